@@ -110,15 +110,6 @@ def contact_tags(spark: SparkSession, sf_dir: str, contacts_df: DataFrame | None
     )
 
 
-# Event type of the test table → activity type.
-EVENT_TYPE_MAP = {
-    "signup": "CONTACT_CREATED",
-    "click": "CONTACT_UPDATED",
-    "error": "CONTACT_DELETED",
-    "view": "TAG_ADDED",
-}
-
-
 def contact_activity(spark: SparkSession, sf_dir: str, contacts_df: DataFrame | None = None) -> DataFrame:
     c = (contacts_df if contacts_df is not None else contacts(spark, sf_dir)).select("id", "account_id")
     e = raw(spark, sf_dir, "events")
@@ -178,7 +169,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("event_id").alias("request_id"),
         F.col("event_type").alias("scenario"),
-        F.shiftleft(F.lit(1), (F.col("user_id") % 5).cast("int")).cast("int").alias("clients"),
+        F.pow(F.lit(2), F.col("user_id") % 5).cast("int").alias("clients"),
         status.cast("int").alias("status"),
         F.col("value").alias("latency_ms"),
         F.col("ts").alias("started_at"),
