@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from rolodeck.functions.csvcells import csv_line_from_array
 from rolodeck.functions.text import js_trim, normalize_header, split_tags
 from rolodeck.functions.validators import is_email, is_phone
+from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
 from rolodeck.sources.contacts import with_generated_columns
 
@@ -430,9 +431,9 @@ def apply_create(reviewed: DataFrame, contacts: DataFrame, tags: DataFrame, cont
     links = wants.withColumn("key", F.lower("name")).join(resolved.select("account_id", "key", "tag_id", F.col("name").alias("tag_name")), ["account_id", "key"])
     links = links.dropDuplicates(["contact_id", "tag_id"])
     created_ev = kept.select("account_id", "contact_id", F.lit("CONTACT_CREATED").alias("type"),
-                             F.to_json(F.struct(F.col("job_id").cast("string").alias("import"))).alias("payload"), "row_number", F.lit(0).alias("tpos"), "job_id")
+                             json_object(F.struct(F.col("job_id").cast("string").alias("import"))).alias("payload"), "row_number", F.lit(0).alias("tpos"), "job_id")
     tag_ev = links.select("account_id", "contact_id", F.lit("TAG_ADDED").alias("type"),
-                          F.to_json(F.struct(F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"),
+                          json_object(F.struct(F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"),
                                              F.col("job_id").cast("string").alias("import"))).alias("payload"), "row_number", (F.col("tpos") + 1).alias("tpos"), "job_id")
     activity = created_ev.unionByName(tag_ev).select(
         F.xxhash64(F.lit("import-activity"), "job_id", "row_number", "tpos").alias("id"), "account_id", "contact_id", "type", "payload", ts.alias("created_at"))
@@ -498,10 +499,10 @@ def apply_update(reviewed: DataFrame, contacts: DataFrame, tags: DataFrame, cont
         (F.col("c.version") + 1).alias("version"), F.col("c.created_at").alias("created_at"), ts.alias("updated_at"),
         F.col("c.deleted_at").alias("deleted_at"),
     ))
-    upd_ev = updated.select("account_id", "contact_id", F.lit("CONTACT_UPDATED").alias("type"), F.to_json(F.struct(
+    upd_ev = updated.select("account_id", "contact_id", F.lit("CONTACT_UPDATED").alias("type"), json_object(F.struct(
         F.map_from_entries("_chg").alias("changes"), (F.col("c.version") + 1).alias("version"), F.col("job_id").cast("string").alias("import"))).alias("payload"),
         "job_id", "row_number", F.lit(0).alias("tpos"))
-    tag_ev = new_links.select("account_id", "contact_id", F.lit("TAG_ADDED").alias("type"), F.to_json(F.struct(
+    tag_ev = new_links.select("account_id", "contact_id", F.lit("TAG_ADDED").alias("type"), json_object(F.struct(
         F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"), F.col("job_id").cast("string").alias("import"))).alias("payload"),
         "job_id", "row_number", (F.col("tpos") + 1).alias("tpos"))
     activity = upd_ev.unionByName(tag_ev).select(
