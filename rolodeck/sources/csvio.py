@@ -115,11 +115,17 @@ def read_import_files(spark: SparkSession, path: str, modes: DataFrame, max_cols
     return files, rows
 
 
-def intake_screen(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+def intake_screen(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES, expected: DataFrame | None = None) -> DataFrame:
     """S3: refuse files that are not .csv, empty, too large or binary (NUL
     byte). The size filter is checked on file metadata before any content is
-    read; only files within the limit are scanned for NUL bytes."""
+    read; only files within the limit are scanned for NUL bytes.
+
+    Spark's file sources do not list zero-byte files; pass ``expected`` (a
+    ``path`` column, e.g. from the upload/job table) to report those as empty.
+    """
     meta = spark.read.format("binaryFile").load(path).select("path", "length")
+    if expected is not None:
+        meta = expected.select("path").join(meta, "path", "full").withColumn("length", F.coalesce("length", F.lit(0)).cast("long"))
     nul = spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes).select(
         "path", F.contains(F.col("content"), F.lit(bytearray([0]))).alias("has_nul"))
     j = meta.join(nul, "path", "left")
