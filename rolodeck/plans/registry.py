@@ -6,7 +6,7 @@ import importlib
 
 # Domain modules, each exporting QUERIES (name → (spark, sf_dir) → DataFrame)
 # and ORACLE (name → DuckDB SQL over the raw tables).
-_DOMAINS = ("metrics_plans", "listing_plans", "loadstats_plans", "import_plans", "changes_plans", "io_plans", "streaming_plans")
+_DOMAINS = ("metrics_plans", "listing_plans", "loadstats_plans", "import_plans", "changes_plans", "io_plans", "streaming_plans", "functions_plans")
 
 
 def _modules():
