@@ -135,8 +135,8 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
 
     E-mail arbitration happens before the fold: a command that would give an
     active contact an e-mail (an update setting it, or a restore) loses when
-    another active contact of the snapshot owns it or an earlier command of
-    the batch claims it. (An e-mail released and retaken within one batch is
+    another active contact of the snapshot owns it or another contact's
+    command claims it earlier in the batch. (An e-mail released and retaken within one batch is
     judged on the snapshot.)
     """
     cmds = normalise_fields(commands)
@@ -151,11 +151,12 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
     owners = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_claim"), F.col("id").alias("_owner"))
     c2 = claims.join(owners, ["account_id", "_claim"], "left")
     first_claim = c2.filter(F.col("_claim").isNotNull() & (F.col("_owner").isNull() | (F.col("_owner") == F.col("contact_id")))) \
-        .groupBy("account_id", "_claim").agg(F.min("seq").alias("_first"))
+        .groupBy("account_id", "_claim").agg(F.min_by("contact_id", "seq").alias("_winner"))
+    # the contact whose claim comes first wins the e-mail; its own later commands do not compete with it
     c3 = c2.join(first_claim, ["account_id", "_claim"], "left").withColumn(
         "email_lost",
         F.coalesce(F.col("_claim").isNotNull() & ((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("contact_id")))
-                                                  | (F.col("seq") != F.col("_first"))), F.lit(False)),
+                                                  | (F.col("_winner") != F.col("contact_id"))), F.lit(False)),
     )
     cmd_struct = F.struct(
         F.col("seq").cast("bigint").alias("seq"), "kind", F.col("expected_version").cast("int").alias("expected_version"), "email_lost",

@@ -41,7 +41,10 @@ MAX_ROWS = 50_000
 CHUNK_SIZE = 500
 
 ERR_T = "array<struct<field:string,message:string>>"
-EMPTY_ERRORS = F.array().cast(ERR_T)
+
+
+def _empty_errors() -> Column:
+    return F.array().cast(ERR_T)
 
 
 def _err(field: str, message) -> Column:
@@ -279,11 +282,11 @@ def review(rows: DataFrame, files: DataFrame, contacts: DataFrame) -> DataFrame:
         "errors",
         F.concat("errors", F.when(F.col("first_row").isNotNull(),
                                   F.array(_err("email", F.concat(F.lit("Duplicate of row "), F.col("first_row").cast("string"), F.lit(" in this file"))))
-                                  ).otherwise(EMPTY_ERRORS)),
+                                  ).otherwise(_empty_errors())),
     ).drop("first_row")
     existing = check_existing(v, contacts)
     return v.join(existing, ["file", "row_number"], "left").withColumn(
-        "errors", F.concat("errors", F.when(F.col("message").isNotNull(), F.array(_err("email", F.col("message")))).otherwise(EMPTY_ERRORS))
+        "errors", F.concat("errors", F.when(F.col("message").isNotNull(), F.array(_err("email", F.col("message")))).otherwise(_empty_errors()))
     ).drop("message")
 
 
