@@ -62,30 +62,36 @@ def _errs(*pairs: tuple[Column, Column]) -> Column:
 # ---------------------------------------------------------------- S4 header map
 
 
-def alias_table(spark) -> DataFrame:
-    """The 18 header aliases as a tiny DataFrame (fixed size: safe to broadcast)."""
-    return spark.createDataFrame(sorted(ALIASES.items()), "alias string, column string")
+def alias_map() -> Column:
+    """The 18 header aliases as a literal map (normalised name → column)."""
+    return F.create_map(*[F.lit(x) for kv in sorted(ALIASES.items()) for x in kv])
 
 
 def header_map(files: DataFrame) -> DataFrame:
     """Per file, column → cell index, the ignored header names (in file
-    order) and the first header problem, if any."""
-    spark = files.sparkSession
-    cells = files.select("file", "mode", F.posexplode("header").alias("pos", "raw"))
-    named = cells.withColumn("alias", normalize_header(F.col("raw"))).join(
-        F.broadcast(alias_table(spark)), "alias", "left"
-    )
-    # first duplicated column in header order = the smallest second position
-    second_pos = Window.partitionBy("file", "column").orderBy("pos")
-    named = named.withColumn("_k", F.when(F.col("column").isNotNull(), F.row_number().over(second_pos)))
-    agg = named.groupBy("file", "mode").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("_k") == 1, F.struct("column", "pos")))).alias("index"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("column").isNull() & (js_trim("raw") != ""), F.struct("pos", js_trim("raw").alias("name"))))),
-            lambda s: s["name"],
-        ).alias("ignored"),
-        F.min_by(F.col("column"), F.when(F.col("_k") == 2, F.col("pos"))).alias("_dup"),
-    )
+    order) and the first header problem, if any.
+
+    Each file's header is one array, so this is a projection with
+    higher-order functions over that array: no explode, join or shuffle.
+    """
+    aliases = alias_map()
+    n = F.size("header")
+    cols = F.transform("header", lambda h: F.try_element_at(aliases, normalize_header(h)))
+    positions = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))
+
+    def earlier(c: Column, i: Column) -> Column:
+        # null-safe: unmapped header cells are null and must not make the test unknown
+        return F.exists(F.slice("_cols", 1, F.greatest(i, F.lit(1))), lambda x: x.eqNullSafe(c)) & (i > 0)
+
+    with_cols = files.select("file", "mode", "header", F.when(n > 0, cols).otherwise(F.array().cast("array<string>")).alias("_cols"))
+    pos = F.when(F.size("_cols") > 0, positions).otherwise(F.array().cast("array<int>"))
+    first_seen = F.filter(pos, lambda i: F.get(F.col("_cols"), i).isNotNull() & ~earlier(F.get(F.col("_cols"), i), i))
+    repeats = F.filter(pos, lambda i: F.get(F.col("_cols"), i).isNotNull() & earlier(F.get(F.col("_cols"), i), i))
+    index = F.map_from_entries(F.transform(first_seen, lambda i: F.struct(F.get(F.col("_cols"), i).alias("column"), i.alias("pos"))))
+    ignored = F.filter(F.transform(pos, lambda i: F.when(F.get(F.col("_cols"), i).isNull() & (js_trim(F.get(F.col("header"), i)) != ""),
+                                                         js_trim(F.get(F.col("header"), i)))), lambda x: x.isNotNull())
+    dup = F.get(F.col("_cols"), F.get(repeats, 0))
+    agg = with_cols.select("file", "mode", index.alias("index"), ignored.alias("ignored"), dup.alias("_dup"))
     idx = F.col("index")
 
     def missing(mode: str) -> Column:

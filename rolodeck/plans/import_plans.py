@@ -19,15 +19,14 @@ from rolodeck.sources.import_fixture import CREATE_HEADER, UPDATE_HEADER, import
 
 
 class _Run:
-    """The inputs of one import run. The contact snapshot and the review are
-    written once to the shared checkpoint folder (the review is what the
-    apply step reads back, as a stored review would be), so the later steps
-    read them instead of re-deriving them in every branch of the plan."""
+    """The inputs of one import run. The review is written once to the shared
+    checkpoint folder (it is what the apply step reads back, as a stored
+    review would be), so later steps read it instead of re-deriving it in
+    every branch of the plan."""
 
     def __init__(self, spark, sf):
         checkpoint_dir(spark)
         self.m = load_model(spark, sf)
-        self.m.contacts = self.m.contacts.checkpoint()
         self.files = import_files(spark, sf)
         self.rows = import_rows(spark, sf, self.m.contacts)
         self._reviewed = None

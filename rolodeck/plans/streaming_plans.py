@@ -45,7 +45,7 @@ def q_stream_import_files(spark, sf):
         .withColumn("name", F.regexp_extract("file", r"file=([^/]+)/", 1)) \
         .join(files.select(F.col("file").alias("name"), "job_id", "account_id", "mode"), "name").drop("name")
     out, ck = _fresh(spark, "import-review"), _fresh(spark, "import-ckpt")
-    S.import_files_stream(spark, path + "/*/*.txt", modes, m.contacts.checkpoint(), out, ck, files_per_trigger=2).awaitTermination()
+    S.import_files_stream(spark, path + "/*/*.txt", modes, m.contacts, out, ck, files_per_trigger=2).awaitTermination()
     rev = spark.read.parquet(out)
     return rev.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "row_number", "errors")
 

@@ -178,7 +178,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """All derived tables of one scale, built lazily from one contacts plan."""
+    """All derived tables of one scale."""
 
     contacts: DataFrame
     tags: DataFrame
@@ -188,6 +188,14 @@ class Model:
 
 
 def load_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The derived model as stored tables (built once per input fingerprint)."""
+    from rolodeck.sources.store import stored_model
+
+    return stored_model(spark, sf_dir)
+
+
+def derive_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The derived model as lazy plans over the raw tables."""
     c = contacts(spark, sf_dir)
     return Model(
         contacts=c,
