@@ -319,3 +319,91 @@ ORACLE = {
     "set_difference": with_fixtures("SELECT DISTINCT id FROM requests EXCEPT SELECT id FROM contacts WHERE deleted_at IS NULL",
                                     extra_ctes=_REQ),
 }
+
+
+# ---------------------------------------------------------------- DuckDB twin of the command fold (M2–M4)
+
+_FIELDS_SQL = ["first_name", "last_name", "email", "phone", "company"]
+_CHG = " + ".join(f"CAST(c.{f}_set AND s.{f} IS DISTINCT FROM c.{f} AS INTEGER)" for f in _FIELDS_SQL)
+_OUTCOME = f"""CASE WHEN c.kind = 'update' THEN (CASE WHEN s.deleted THEN 'CONTACT_DELETED' WHEN c.expected_version <> s.version THEN 'VERSION_CONFLICT'
+                                              WHEN ({_CHG}) = 0 THEN 'NO_CHANGE' WHEN c.email_lost THEN 'EMAIL_TAKEN' ELSE 'APPLIED' END)
+              WHEN c.kind = 'delete' THEN (CASE WHEN s.deleted THEN 'ALREADY_DELETED' WHEN c.expected_version <> s.version THEN 'VERSION_CONFLICT'
+                                              ELSE 'APPLIED' END)
+              ELSE (CASE WHEN NOT s.deleted THEN 'ALREADY_ACTIVE' WHEN c.expected_version <> s.version THEN 'VERSION_CONFLICT'
+                         WHEN c.email_lost THEN 'EMAIL_TAKEN' ELSE 'APPLIED' END) END"""
+_APPLIED = f"(({_OUTCOME}) = 'APPLIED')"
+_STEP = "{" + ", ".join([
+    f"'version': CASE WHEN {_APPLIED} THEN s.version + 1 ELSE s.version END",
+    f"'deleted': CASE WHEN {_APPLIED} AND c.kind = 'delete' THEN true WHEN {_APPLIED} AND c.kind = 'restore' THEN false ELSE s.deleted END",
+    *[f"'{f}': CASE WHEN {_APPLIED} AND c.kind = 'update' AND c.{f}_set THEN c.{f} ELSE s.{f} END" for f in _FIELDS_SQL],
+    f"'log': list_append(s.log, {{'seq': c.seq, 'outcome': {_OUTCOME}, "
+    f"'version': CASE WHEN {_APPLIED} THEN s.version + 1 ELSE s.version END}})",
+]) + "}"
+
+_FOLD_CTES = f"""
+cmd_raw AS (
+  SELECT ev.event_id AS seq, ev.account_id, ev.user_id AS contact_id,
+         CASE WHEN ev.event_type = 'click' THEN 'update' WHEN ev.event_type = 'error' THEN 'delete' ELSE 'restore' END AS kind,
+         CAST(1 + ev.event_id % 4 AS INTEGER) AS expected_version,
+         CAST(NULL AS VARCHAR) AS first_name, false AS first_name_set,
+         CASE WHEN ev.event_type = 'click' AND ev.event_id % 11 = 0 THEN '  Renamed ' END AS last_name,
+         ev.event_type = 'click' AND ev.event_id % 11 = 0 AS last_name_set,
+         CASE WHEN ev.event_type = 'click' AND ev.event_id % 7 = 0 THEN ' Shared' || CAST(ev.event_id % 3 AS VARCHAR) || '@Mail.TEST ' END AS email,
+         ev.event_type = 'click' AND ev.event_id % 7 = 0 AS email_set,
+         CASE WHEN ev.event_type = 'click' AND ev.event_id % 5 = 0 THEN ' +1 555 ' || lpad(CAST(ev.event_id % 10000 AS VARCHAR), 4, '0') END AS phone,
+         ev.event_type = 'click' AND ev.event_id % 5 = 0 AS phone_set,
+         CASE WHEN ev.event_type = 'click' AND ev.event_id % 2 = 0 THEN 'Co ' || CAST(ev.event_id % 4 AS VARCHAR) END AS company,
+         ev.event_type = 'click' AND ev.event_id % 2 = 0 AS company_set
+  FROM ev WHERE ev.event_type IN ('click', 'error') OR (ev.event_type = 'purchase' AND ev.event_id % 2 = 0)
+),
+cmds AS (
+  SELECT * REPLACE (nullif({_TRIM.format(x='first_name')}, '') AS first_name, nullif({_TRIM.format(x='last_name')}, '') AS last_name,
+                    lower(nullif({_TRIM.format(x='email')}, '')) AS email, nullif({_TRIM.format(x='phone')}, '') AS phone,
+                    nullif({_TRIM.format(x='company')}, '') AS company)
+  FROM cmd_raw
+),
+found AS (
+  SELECT k.*, c.email AS cur_email FROM cmds k JOIN contacts c ON c.id = k.contact_id AND c.account_id = k.account_id
+),
+claims AS (
+  SELECT f.*, CASE WHEN f.kind = 'update' AND f.email_set THEN f.email WHEN f.kind = 'restore' THEN f.cur_email END AS claim FROM found f
+),
+owned AS (
+  SELECT cl.*, o.id AS owner FROM claims cl
+  LEFT JOIN contacts o ON o.deleted_at IS NULL AND o.email IS NOT NULL AND o.account_id = cl.account_id AND o.email = cl.claim
+),
+winners AS (
+  SELECT account_id, claim, arg_min(contact_id, seq) AS winner FROM owned
+  WHERE claim IS NOT NULL AND (owner IS NULL OR owner = contact_id) GROUP BY 1, 2
+),
+judged AS (
+  SELECT o.*, coalesce(o.claim IS NOT NULL AND ((o.owner IS NOT NULL AND o.owner <> o.contact_id) OR w.winner IS DISTINCT FROM o.contact_id),
+                       false) AS email_lost
+  FROM owned o LEFT JOIN winners w ON w.account_id = o.account_id AND w.claim = o.claim
+),
+folded AS (
+  SELECT j.contact_id,
+         list_reduce(j.cs, lambda s, c: {_STEP},
+                     {{'version': ct.version, 'deleted': ct.deleted_at IS NOT NULL, 'first_name': ct.first_name, 'last_name': ct.last_name,
+                       'email': ct.email, 'phone': ct.phone, 'company': ct.company,
+                       'log': []::STRUCT(seq BIGINT, outcome VARCHAR, version INTEGER)[]}}) AS s
+  FROM (SELECT contact_id, list({{'seq': seq, 'kind': kind, 'expected_version': expected_version, 'email_lost': email_lost,
+                                  'first_name': first_name, 'first_name_set': first_name_set, 'last_name': last_name,
+                                  'last_name_set': last_name_set, 'email': email, 'email_set': email_set, 'phone': phone,
+                                  'phone_set': phone_set, 'company': company, 'company_set': company_set}} ORDER BY seq) AS cs
+        FROM judged GROUP BY contact_id) j
+  JOIN contacts ct ON ct.id = j.contact_id
+),
+outcomes AS (
+  SELECT u.e.seq AS seq, f.contact_id, u.e.outcome AS outcome, u.e.version AS version
+  FROM folded f, LATERAL (SELECT unnest(f.s.log) AS e) u
+  UNION ALL
+  SELECT k.seq, k.contact_id, 'NOT_FOUND', CAST(NULL AS INTEGER) FROM cmds k
+  WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE c.id = k.contact_id AND c.account_id = k.account_id)
+)
+"""
+
+for _kind, _name in [("update", "apply_update"), ("delete", "apply_soft_delete"), ("restore", "apply_restore")]:
+    ORACLE[_name] = with_fixtures(f"""
+        SELECT o.seq, o.contact_id, o.outcome, o.version FROM outcomes o JOIN cmds k ON k.seq = o.seq WHERE k.kind = '{_kind}'""",
+                                  extra_ctes=_ACC + "," + _FOLD_CTES)
