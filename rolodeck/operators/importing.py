@@ -326,6 +326,17 @@ def error_rows_distinct(errors: DataFrame) -> DataFrame:
     return errors.groupBy("file", "phase").agg(F.count_distinct("row_number").alias("n"))
 
 
+def error_page(errors: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Per file, errors ordered by (row, discovery order), ``limit`` (1–500)
+    rows after ``offset``, with the file's total. The window runs per file,
+    whose errors are bounded by the import row limit."""
+    limit = min(max(limit, 1), 500)
+    w = Window.partitionBy("file").orderBy("row_number", F.col("phase") != "validate", "pos")
+    ranked = errors.withColumn("_k", F.row_number().over(w)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("file")))
+    return ranked.filter((F.col("_k") > offset) & (F.col("_k") <= offset + limit)).select(
+        "file", F.col("_k").alias("k"), F.col("row_number").alias("row"), "phase", "field", "message", "total")
+
+
 def job_summary(reviewed: DataFrame, files: DataFrame, rows: DataFrame) -> DataFrame:
     """Per file: totals, notes, status ('ready' / 'failed'), failure
     reason and whether there is anything to import."""

@@ -128,10 +128,20 @@ def q_csv_quote_line(spark, sf):
     return p.select(F.col("p_partkey").alias("id"), csv_line_from_array(cells).alias("line"))
 
 
-def q_slug_pad_truncate(spark, sf):
-    c = _c(spark, sf)
-    return c.select("id", T.slug(F.concat_ws(" ", "first_name", "company")).alias("slug"),
-                    T.pad_left(F.col("id") % 1000, 4).alias("padded"), T.truncate_text("company_lower", 7).alias("short"))
+def q_trim_lower(spark, sf):
+    return _padded_names(spark, sf).select("id", T.trim_lower("raw").alias("lower_value"))
+
+
+def q_slug(spark, sf):
+    return _c(spark, sf).select("id", T.slug(F.concat_ws(" ", "first_name", "company")).alias("slug"))
+
+
+def q_pad_left(spark, sf):
+    return _c(spark, sf).select("id", T.pad_left(F.col("id") % 1000, 4).alias("padded"))
+
+
+def q_truncate_text(spark, sf):
+    return _c(spark, sf).select("id", T.truncate_text("company_lower", 7).alias("short"))
 
 
 def q_error_filename(spark, sf):
@@ -237,7 +247,10 @@ QUERIES = {
     "activity_text": q_activity_text,
     "csv_safe": q_csv_safe,
     "csv_quote_line": q_csv_quote_line,
-    "slug_pad_truncate": q_slug_pad_truncate,
+    "trim_lower": q_trim_lower,
+    "slug": q_slug,
+    "pad_left": q_pad_left,
+    "truncate_text": q_truncate_text,
     "error_filename": q_error_filename,
     "json_object_build": q_json_object_build,
     "uuid_check": q_uuid_check,
@@ -314,9 +327,10 @@ ORACLE = {
         SELECT p_partkey AS id, array_to_string(list_transform([p_name, p_brand || ', Inc', 'say "' || p_type || '"',
                                                                 'line1' || chr(10) || p_type, ''],
                                                                lambda x: {_quote(_safe('x'))}), ',') AS line FROM part"""),
-    "slug_pad_truncate": with_fixtures("""
-        SELECT id, regexp_replace(lower(concat_ws(' ', first_name, company)), '[^a-z]', '', 'g') AS slug,
-               lpad(CAST(id % 1000 AS VARCHAR), 4, '0') AS padded, substr(company_lower, 1, 7) AS short FROM contacts"""),
+    "slug": with_fixtures("SELECT id, regexp_replace(lower(concat_ws(' ', first_name, company)), '[^a-z]', '', 'g') AS slug FROM contacts"),
+    "pad_left": with_fixtures("SELECT id, lpad(CAST(id % 1000 AS VARCHAR), 4, '0') AS padded FROM contacts"),
+    "truncate_text": with_fixtures("SELECT id, substr(company_lower, 1, 7) AS short FROM contacts"),
+    "trim_lower": with_fixtures(f"SELECT c_custkey AS id, lower(nullif({_TRIM.format(x=_PAD)}, '')) AS lower_value FROM customer"),
     "error_filename": with_fixtures("""
         SELECT s_suppkey AS id,
                regexp_replace(CASE WHEN s_suppkey % 3 = 0 THEN s_name || '.CSV' WHEN s_suppkey % 3 = 1 THEN s_name || '.csv' ELSE s_name END,

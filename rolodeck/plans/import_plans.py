@@ -478,3 +478,74 @@ ORACLE = {
         FROM reviewed r LEFT JOIN contacts c ON c.deleted_at IS NULL AND c.account_id = r.account_id AND c.email = r.email
         WHERE r.mode = 'update' AND len(r.errors) = 0"""),
 }
+
+
+# ---------------------------------------------------------------- O6, W3, M9, I8
+
+
+def q_import_error_page(spark, sf):
+    return I.error_page(I.import_errors(_Run(spark, sf).reviewed()), limit=50, offset=10)
+
+
+def q_first_spelling_in_row(spark, sf):
+    """W3 within a row: tags de-duplicated case-insensitively, first spelling kept."""
+    r = _Run(spark, sf)
+    v = I.validate_rows(r.rows, I.header_map(r.files), "create")
+    return v.filter(F.size("v.tags") > 0).select("file", "row_number", F.array_join("v.tags", ";").alias("tags"))
+
+
+def q_import_pipeline(spark, sf):
+    """I8 end to end: CSV files on disk → review → apply (create and update) → counters."""
+    from rolodeck.plans.io_plans import _stage_import_csv
+    from rolodeck.sources import csvio
+
+    m = load_model(spark, sf)
+    path = _stage_import_csv(spark, sf) + "/*/*.txt"
+    jobs = import_files(spark, sf)
+    modes = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")) \
+        .withColumn("name", F.regexp_extract("file", r"file=([^/]+)/", 1)) \
+        .join(jobs.select(F.col("file").alias("name"), "job_id", "account_id", "mode"), "name").drop("name")
+    files, rows = csvio.read_import_files(spark, path, modes)
+    rev = I.review(rows, files, m.contacts).checkpoint()
+    c = I.apply_create(rev, m.contacts, m.tags, m.contact_tags, AS_OF)
+    u = I.apply_update(rev, m.contacts, m.tags, m.contact_tags, AS_OF)
+    errs = I.import_errors(rev).unionByName(c["errors"]).unionByName(u["errors"])
+    out = I.import_counters(I.job_summary(rev, files, rows), c["outcomes"].unionByName(u["outcomes"]), errs)
+    return out.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "processed", "created", "updated", "unchanged",
+                      "error_rows", "status")
+
+
+QUERIES["import_error_page"] = q_import_error_page
+QUERIES["ensure_tags"] = q_first_spelling_wins
+QUERIES["first_spelling_wins"] = q_first_spelling_in_row
+QUERIES["import_pipeline"] = q_import_pipeline
+
+_UPDATE_OUTCOME = ORACLE["import_update_match"][ORACLE["import_update_match"].rindex("SELECT r.file, r.row_number,"):]
+_COUNTERS = f"""
+SELECT s.file, CAST(s.t AS BIGINT) AS processed,
+       CAST(coalesce(cr.n, 0) AS BIGINT) AS created,
+       CAST(coalesce(up.updated, 0) AS BIGINT) AS updated, CAST(coalesce(up.unchanged, 0) AS BIGINT) AS unchanged,
+       CAST(s.e + coalesce(cr.lost, 0) + coalesce(up.missing, 0) AS BIGINT) AS error_rows, 'completed' AS status
+FROM (SELECT file, count(*) AS t, count(*) FILTER (WHERE len(errors) > 0) AS e FROM reviewed GROUP BY file) s
+LEFT JOIN (SELECT r.file, count(*) FILTER (WHERE NOT taken) AS n, count(*) FILTER (WHERE taken) AS lost FROM (
+             SELECT r.*, EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = r.account_id AND c.email = r.email) AS taken
+             FROM reviewed r WHERE r.mode = 'create' AND len(r.errors) = 0) r GROUP BY r.file) cr ON cr.file = s.file
+LEFT JOIN (SELECT file, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged,
+                  count(*) FILTER (WHERE outcome = 'No contact has this email') AS missing
+           FROM ({_UPDATE_OUTCOME}) x GROUP BY file) up ON up.file = s.file
+"""
+ORACLE["import_counters"] = _imp(f"SELECT file, CAST(9000 + CAST(regexp_extract(file, '(\\d+)', 1) AS INTEGER) AS BIGINT) AS job_id, "
+                                 f"processed, created, updated, unchanged, error_rows, status FROM ({_COUNTERS}) z")
+ORACLE["import_pipeline"] = _imp(_COUNTERS)
+ORACLE["import_error_page"] = _imp("""
+    SELECT file, k, row_number AS "row", phase, field, message, total FROM (
+      SELECT *, row_number() OVER (PARTITION BY file ORDER BY row_number, pos) AS k, count(*) OVER (PARTITION BY file) AS total FROM errs) x
+    WHERE k > 10 AND k <= 60""")
+ORACLE["first_spelling_wins"] = _imp("""
+    SELECT file, row_number, array_to_string(tags, ';') AS tags FROM validated WHERE mode = 'create' AND len(tags) > 0""")
+ORACLE["ensure_tags"] = _imp("""
+    SELECT w.account_id, w.key, coalesce(t.name, w.first) AS name, t.id IS NULL AS is_new
+    FROM (SELECT r.account_id, lower(u.tag) AS key, arg_min(u.tag, (r.job_id, r.row_number, u.pos)) AS first
+          FROM reviewed r, LATERAL (SELECT unnest(r.tags) AS tag, unnest(generate_series(1, len(r.tags))) AS pos) u
+          WHERE len(r.errors) = 0 GROUP BY 1, 2) w
+    LEFT JOIN tags t ON t.account_id = w.account_id AND lower(t.name) = w.key""")

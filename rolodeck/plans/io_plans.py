@@ -134,3 +134,15 @@ ORACLE["csv_scan"] = _import_sql("""
     FROM import_files
     UNION ALL
     SELECT file, CAST(row_number + 1 AS INTEGER), len(cells), array_to_string(cells, '|'), false FROM import_rows""")
+
+
+def q_csv_row_numbers(spark, sf):
+    """1-based data row numbers per file, in file order."""
+    path = _stage_import_csv(spark, sf)
+    rec = csvio.read_csv_records(spark, path + "/*/*.txt").filter(F.col("record_no") > 1)
+    return rec.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), (F.col("record_no") - 1).cast("long").alias("row_number"),
+                      F.get(F.col("cells"), 0).alias("first_cell"))
+
+
+QUERIES["csv_row_numbers"] = q_csv_row_numbers
+ORACLE["csv_row_numbers"] = _import_sql("SELECT file, row_number, cells[1] AS first_cell FROM import_rows")
