@@ -268,29 +268,71 @@ def active_trend(contacts: DataFrame, activity: DataFrame, as_of: dt.datetime, r
 # ---------------------------------------------------------------- A12
 
 
+def _activity_rollup(activity: DataFrame, start: dt.datetime) -> DataFrame:
+    """One pass over activity: counts per (account, type, UTC day) in the range;
+    events before the range collapse into one (account, type, null) row, so
+    every account with activity is still listed."""
+    in_range = F.col("created_at") >= P.ts_lit(start)
+    return activity.groupBy("account_id", "type", F.when(in_range, utc_day("created_at")).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def _jobs_rollup(jobs: DataFrame, start: dt.datetime) -> DataFrame:
+    """A8 over all accounts that have jobs (0 when none fall in the range)."""
+    in_range = F.col("created_at") >= P.ts_lit(start)
+    done = in_range & (F.col("status") == "completed")
+
+    def done_sum(c: str) -> Column:
+        return F.coalesce(F.sum(F.when(done, F.col(c))), F.lit(0)).cast("long")
+
+    return jobs.groupBy("account_id").agg(
+        F.count_if(in_range).alias("jobs"), F.count_if(done).alias("completed"),
+        F.count_if(in_range & (F.col("status") == "failed")).alias("failed"),
+        done_sum("created_count").alias("created"), done_sum("updated_count").alias("updated"),
+        done_sum("unchanged_count").alias("unchanged"), done_sum("error_rows").alias("rejected"),
+        done_sum("total_rows").alias("submitted"),
+    )
+
+
 def metrics_document(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, activity: DataFrame,
                      jobs: DataFrame, as_of: dt.datetime, range_days: int = 30) -> DataFrame:
     """The whole dashboard payload, one row per account.
 
-    One scan of contacts (A1+A7), one of activity (A3/A4/A11 share it), one
-    of links (A5), one of jobs (A8); the parts meet on ``account_id``, and
-    the arrays are built from already-aggregated rows (≤ 90 days, ≤ 10 tags,
-    6 types per account).
+    Activity is scanned once (rolled up per account, type and day, then
+    A3/A4/A11 are read off that small rollup), jobs once, links once, and
+    contacts for the quality pack (A1+A7), duplicate phones (A6) and the
+    created-per-day series (A2). The list of accounts comes from those
+    aggregates, not from extra scans. Arrays are built from already-aggregated
+    rows (≤ 90 days, ≤ 10 tags, 6 types per account).
     """
-    accounts = accounts_of(contacts, activity, jobs)
+    start, _, _, _ = window_bounds(as_of, range_days)
     q = quality_pack(contacts, contact_tags, as_of, range_days, include_trash=True)
     dup = duplicate_phone_groups(contacts)
-    imp = import_rollup(jobs, as_of, range_days)
-    tt = top_tags(contacts, tags, contact_tags).groupBy("account_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "name", F.col("n").alias("count")))).alias("_t")
-    )
-    act = activity_by_type(activity, as_of, range_days).groupBy("account_id").agg(
+    imp = _jobs_rollup(jobs, start)
+    roll = _activity_rollup(activity, start)
+    accounts = q.select("account_id").unionByName(roll.select("account_id")).unionByName(imp.select("account_id")).distinct()
+
+    in_range = roll.filter(F.col("day").isNotNull())
+    by_type = in_range.groupBy("account_id", "type").agg(F.sum("n").alias("n"))
+    by_type = by_type.withColumn("rank", F.row_number().over(Window.partitionBy("account_id").orderBy(F.col("n").desc(), F.col("type"))))
+    act = by_type.groupBy("account_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "type", F.col("n").alias("count")))).alias("_a"),
         F.sum(F.when(F.col("type") == "CONTACT_DELETED", F.col("n"))).alias("_del"),
         F.sum(F.when(F.col("type") == "CONTACT_RESTORED", F.col("n"))).alias("_res"),
     )
-    daily = daily_series(contacts, activity, as_of, range_days, accounts).groupBy("account_id").agg(
-        F.array_sort(F.collect_list(F.struct("date", "created", "edits"))).alias("daily")
+    edits = in_range.filter(F.col("type") == "CONTACT_UPDATED").select("account_id", F.col("day").alias("date"), F.col("n").alias("edits"))
+    created = created_by_day(contacts, as_of, range_days).select("account_id", F.col("d").alias("date"), F.col("n").alias("created"))
+    daily = (
+        day_grid(accounts, as_of, range_days)
+        .join(created, ["account_id", "date"], "left")
+        .join(edits, ["account_id", "date"], "left")
+        .groupBy("account_id")
+        .agg(F.array_sort(F.collect_list(F.struct(
+            "date", F.coalesce("created", F.lit(0)).cast("long").alias("created"), F.coalesce("edits", F.lit(0)).cast("long").alias("edits")
+        ))).alias("daily"))
+    )
+    tt = top_tags(contacts, tags, contact_tags).groupBy("account_id").agg(
+        F.array_sort(F.collect_list(F.struct("rank", "name", F.col("n").alias("count")))).alias("_t")
     )
 
     j = (

@@ -51,10 +51,22 @@ def position_within(df: DataFrame, partition_cols: list[str], order_cols: list[C
     )
 
 
+# Spark plans ``row_number() <= n`` with a pre-shuffle group limit only up to
+# this n (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
+GROUP_LIMIT_MAX = 1000
+
+
 def top_n_per_group(df: DataFrame, partition_cols: list[str], order_cols: list[Column], n: int,
                     out: str = "rank") -> DataFrame:
-    """First ``n`` rows of every group. ``row_number() <= n`` is planned with a
-    group limit on both sides of the shuffle, so at most ``n`` rows per group
-    leave each map task whatever the group size."""
+    """First ``n`` rows of every group (``order_cols`` must make the order total).
+
+    For n up to 1,000, ``row_number() <= n`` is planned with a group limit on
+    both sides of the shuffle, so at most ``n`` rows per group leave each map
+    task whatever the group size. Above that Spark applies no pre-shuffle
+    limit and would sort a whole group in one task, so the distributed
+    ranking is used instead.
+    """
+    if n > GROUP_LIMIT_MAX:
+        return position_within(df, partition_cols, order_cols, out=out).filter(F.col(out) <= n)
     w = Window.partitionBy(*partition_cols).orderBy(*order_cols)
     return df.withColumn(out, F.row_number().over(w)).filter(F.col(out) <= n)
