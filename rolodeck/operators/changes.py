@@ -2,21 +2,24 @@
 
 A batch of commands is applied to a contact snapshot and yields the next
 snapshot rows, the activity rows to append and one outcome per command.
-Per-contact version checks are a fold over that contact's commands (in
-``seq`` order) with the ``aggregate`` higher-order function; tenant checks,
-not-found and e-mail arbitration are joins and grouped minima.
+Per-contact version checks are a streaming fold over each contact's
+commands in ``seq`` order (``versionfold``); tenant checks, not-found and
+e-mail arbitration are joins and grouped minima.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from rolodeck.functions.text import trim_lower, trim_to_null
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
+from rolodeck.operators import versionfold
 from rolodeck.sources.contacts import with_generated_columns
 
 # Editable fields (API name → column) and outcome codes.
@@ -90,39 +93,17 @@ def apply_create(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -
 
 # ---------------------------------------------------------------- M2 / M3 / M4 fold
 
-_STATE_T = "struct<version:int,deleted:boolean,first_name:string,last_name:string,email:string,phone:string,company:string,log:array<struct<seq:bigint,outcome:string,version:int,changes:map<string,struct<from:string,to:string>>>>>"
-
-
-def _step(state: Column, cmd: Column) -> Column:
-    """One command against the running state of its contact (reference order:
-    trashed / idempotent → version → no-op → e-mail → applied)."""
-    kind, expv = cmd["kind"], cmd["expected_version"]
-    fields = ["first_name", "last_name", "email", "phone", "company"]
-    new = {f: F.when(cmd[f"{f}_set"], cmd[f]).otherwise(state[f]) for f in fields}
-    chg = changed_fields({k: state[v] for k, v in EDITABLE.items()}, {k: cmd[v] for k, v in EDITABLE.items()},
-                         {k: cmd[f"{v}_set"] for k, v in EDITABLE.items()})
-    version_ok = expv == state["version"]
-    upd_outcome = (
-        F.when(state["deleted"], F.lit(IN_TRASH)).when(~version_ok, F.lit(CONFLICT)).when(F.size(chg) == 0, F.lit(NO_CHANGE))
-        .when(cmd["email_lost"], F.lit(EMAIL_TAKEN)).otherwise(F.lit(APPLIED))
-    )
-    del_outcome = F.when(state["deleted"], F.lit(ALREADY_DELETED)).when(~version_ok, F.lit(CONFLICT)).otherwise(F.lit(APPLIED))
-    res_outcome = (
-        F.when(~state["deleted"], F.lit(ALREADY_ACTIVE)).when(~version_ok, F.lit(CONFLICT))
-        .when(cmd["email_lost"], F.lit(EMAIL_TAKEN)).otherwise(F.lit(APPLIED))
-    )
-    outcome = F.when(kind == "update", upd_outcome).when(kind == "delete", del_outcome).otherwise(res_outcome)
-    applied = outcome == APPLIED
-    version = F.when(applied, state["version"] + 1).otherwise(state["version"])
-    deleted = F.when(applied & (kind == "delete"), F.lit(True)).when(applied & (kind == "restore"), F.lit(False)).otherwise(state["deleted"])
-    upd = applied & (kind == "update")
-    entry = F.struct(cmd["seq"].alias("seq"), outcome.alias("outcome"), version.alias("version"),
-                     F.when(upd, chg).otherwise(F.create_map().cast("map<string,struct<from:string,to:string>>")).alias("changes"))
-    return F.struct(
-        version.alias("version"), deleted.alias("deleted"),
-        *[F.when(upd, new[f]).otherwise(state[f]).alias(f) for f in fields],
-        F.concat(state["log"], F.array(entry)).alias("log"),
-    )
+# The fold runs in the Python workers; ship its module by value so the
+# workers need not import this package.
+cloudpickle.register_pickle_by_value(versionfold)
+
+
+def _fold_schema(df: DataFrame) -> StructType:
+    fields = [StructField(c, df.schema[c].dataType, True) for c in versionfold.PASS]
+    fields += [StructField("outcome", StringType(), True), StructField("version", IntegerType(), True),
+               StructField("deleted", BooleanType(), True)]
+    fields += [StructField(f"b_{f}", StringType(), True) for f in versionfold.FIELDS]
+    return StructType(fields)
 
 
 def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
@@ -138,12 +119,23 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
     another active contact of the snapshot owns it or another contact's
     command claims it earlier in the batch. (An e-mail released and retaken within one batch is
     judged on the snapshot.)
+
+    The version chain is judged by a streaming pass (``versionfold``) over
+    the commands hash-partitioned by contact and sorted by (contact, seq):
+    no contact's commands are collected into one row, and the work is linear
+    in the batch. Everything else (tenant check, arbitration, the next
+    snapshot rows, activity) is joins and map-side-combined aggregates.
     """
+    fields = list(versionfold.FIELDS)
     cmds = normalise_fields(commands)
-    snap = contacts.select("id", "account_id", "version", "deleted_at", "first_name", "last_name", "email", "phone", "company", "created_at")
+    snap = contacts.select("id", "account_id", "version", "deleted_at", *fields, "created_at")
     # tenant check: a command for another account's contact is NOT_FOUND
-    found = cmds.join(snap.select(F.col("id").alias("contact_id"), "account_id", F.col("email").alias("_cur_email")),
-                      ["contact_id", "account_id"])
+    start = snap.select(
+        F.col("id").alias("contact_id"), "account_id", F.col("email").alias("_cur_email"),
+        F.col("version").cast("int").alias("_s_version"), F.col("deleted_at").isNotNull().alias("_s_deleted"),
+        *[F.col(f).alias(f"_s_{f}") for f in fields],
+    )
+    found = cmds.join(start, ["contact_id", "account_id"])
     missing = cmds.join(snap.select(F.col("id").alias("contact_id"), "account_id"), ["contact_id", "account_id"], "left_anti")
 
     claim = F.when(F.col("kind") == "update", F.when(F.col("email_set"), F.col("email"))).when(F.col("kind") == "restore", F.col("_cur_email"))
@@ -158,40 +150,37 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
         F.coalesce(F.col("_claim").isNotNull() & ((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("contact_id")))
                                                   | (F.col("_winner") != F.col("contact_id"))), F.lit(False)),
     )
-    cmd_struct = F.struct(
-        F.col("seq").cast("bigint").alias("seq"), "kind", F.col("expected_version").cast("int").alias("expected_version"), "email_lost",
-        *[F.col(f) for f in ["first_name", "last_name", "email", "phone", "company"]],
-        *[F.coalesce(F.col(f"{f}_set"), F.lit(False)).alias(f"{f}_set") for f in ["first_name", "last_name", "email", "phone", "company"]],
+    fold_in = c3.select(
+        F.col("seq").cast("bigint").alias("seq"), "contact_id", "account_id", "kind",
+        *fields, *[F.coalesce(F.col(f"{f}_set"), F.lit(False)).alias(f"{f}_set") for f in fields],
+        F.col("expected_version").cast("int").alias("expected_version"), "email_lost",
+        "_s_version", "_s_deleted", *[f"_s_{f}" for f in fields],
     )
-    per_contact = c3.groupBy("contact_id").agg(F.array_sort(F.collect_list(cmd_struct)).alias("cmds"))
-    start = snap.select(
-        F.col("id").alias("contact_id"), "account_id",
-        F.struct(F.col("version").cast("int").alias("version"), F.col("deleted_at").isNotNull().alias("deleted"),
-                 "first_name", "last_name", "email", "phone", "company",
-                 F.array().cast("array<struct<seq:bigint,outcome:string,version:int,changes:map<string,struct<from:string,to:string>>>>").alias("log")
-                 ).alias("s0"),
-        "created_at", "deleted_at",
-    )
-    folded = per_contact.join(start, "contact_id").withColumn("s", F.aggregate("cmds", F.col("s0").cast(_STATE_T), _step))
-    log = folded.select("contact_id", "account_id", F.explode("s.log").alias("e"))
-    kinds = cmds.select("seq", "kind")
-    outcomes = log.select("e.seq", "contact_id", F.col("e.outcome").alias("outcome"), F.col("e.version").alias("version")).join(kinds, "seq") \
-        .unionByName(missing.select("seq", "contact_id", "kind", F.lit(NOT_FOUND).alias("outcome"), F.lit(None).cast("int").alias("version")))
+    ordered = fold_in.repartition("contact_id").sortWithinPartitions("contact_id", "seq")
+    folded = ordered.mapInPandas(versionfold.fold_sorted, _fold_schema(fold_in))
+
+    outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version").unionByName(
+        missing.select("seq", "contact_id", "kind", F.lit(NOT_FOUND).alias("outcome"), F.lit(None).cast("int").alias("version")))
 
     ts = P.ts_lit(as_of)
-    changed = folded.filter(F.col("s.version") != F.col("s0.version"))
-    next_rows = with_generated_columns(changed.select(
-        F.col("contact_id").alias("id"), "account_id", F.col("s.first_name").alias("first_name"), F.col("s.last_name").alias("last_name"),
-        F.col("s.email").alias("email"), F.col("s.phone").alias("phone"), F.col("s.company").alias("company"),
+    applied = folded.filter(F.col("outcome") == APPLIED)
+    is_upd = F.col("kind") == "update"
+    after = [F.when(is_upd & F.col(f"{f}_set"), F.col(f)).otherwise(F.col(f"b_{f}")).alias(f) for f in fields]
+    # the state after each contact's last applied command (partial max_by per map task, so a hot contact ships one row per task)
+    last = applied.groupBy("contact_id", "account_id").agg(
+        F.max_by(F.struct(*after, "version", "deleted"), "seq").alias("s"))
+    next_rows = with_generated_columns(last.join(snap.select(F.col("id").alias("contact_id"), "created_at", "deleted_at"), "contact_id").select(
+        F.col("contact_id").alias("id"), "account_id", *[F.col(f"s.{f}").alias(f) for f in fields],
         F.col("s.version").alias("version"), "created_at", ts.alias("updated_at"),
         F.when(F.col("s.deleted") & F.col("deleted_at").isNotNull(), F.col("deleted_at")).when(F.col("s.deleted"), ts).alias("deleted_at"),
     ))
-    applied = log.filter(F.col("e.outcome") == APPLIED).join(kinds.withColumnRenamed("seq", "_seq"), F.col("e.seq") == F.col("_seq"))
-    typ = F.when(F.col("kind") == "update", "CONTACT_UPDATED").when(F.col("kind") == "delete", "CONTACT_DELETED").otherwise("CONTACT_RESTORED")
-    payload = F.when(F.col("kind") == "update", json_object(F.struct(F.col("e.changes").alias("changes"), F.col("e.version").alias("version")))) \
-        .otherwise(json_object(F.struct(F.col("e.version").alias("version"))))
+    chg = changed_fields({k: F.col(f"b_{v}") for k, v in EDITABLE.items()}, {k: F.col(v) for k, v in EDITABLE.items()},
+                         {k: F.col(f"{v}_set") for k, v in EDITABLE.items()})
+    typ = F.when(is_upd, "CONTACT_UPDATED").when(F.col("kind") == "delete", "CONTACT_DELETED").otherwise("CONTACT_RESTORED")
+    payload = F.when(is_upd, json_object(F.struct(chg.alias("changes"), F.col("version").alias("version")))) \
+        .otherwise(json_object(F.struct(F.col("version").alias("version"))))
     activity = applied.select(
-        F.xxhash64(F.lit("change-activity"), F.col("e.seq")).alias("id"), "account_id", "contact_id", typ.alias("type"),
+        F.xxhash64(F.lit("change-activity"), F.col("seq")).alias("id"), "account_id", "contact_id", typ.alias("type"),
         payload.alias("payload"), ts.alias("created_at"),
     )
     return {"next_contacts": next_rows, "activity": activity, "outcomes": outcomes}

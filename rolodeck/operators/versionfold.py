@@ -1,0 +1,94 @@
+"""Streaming fold of versioned commands (M2 update, M3 soft delete, M4 restore).
+
+Runs inside ``mapInPandas`` over rows that Spark has hash-partitioned by
+``contact_id`` and sorted by ``(contact_id, seq)``. One contact's state
+(version, trashed flag, five fields) is carried from row to row, and across
+Arrow batches, so a contact with millions of commands is never held in
+memory as one group: the task keeps O(1) state and emits one outcome row per
+command. The chain itself is sequential by definition (each command is
+judged against the version the previous one left), as the reference
+serialises it with a row lock.
+
+This module is shipped to the Python workers by value (see
+``changes.apply_commands``), so it imports nothing from the package.
+"""
+
+from __future__ import annotations
+
+# Editable fields and outcome codes (same as in changes.py).
+FIELDS = ("first_name", "last_name", "email", "phone", "company")
+APPLIED, NO_CHANGE = "APPLIED", "NO_CHANGE"
+IN_TRASH, CONFLICT, EMAIL_TAKEN = "CONTACT_DELETED", "VERSION_CONFLICT", "EMAIL_TAKEN"
+ALREADY_DELETED, ALREADY_ACTIVE = "ALREADY_DELETED", "ALREADY_ACTIVE"
+
+# Columns copied from the input to the output unchanged.
+PASS = ("seq", "contact_id", "account_id", "kind", *FIELDS, *(f"{f}_set" for f in FIELDS))
+
+
+def fold_sorted(batches):
+    """Judge every command against its contact's running state.
+
+    Input columns: PASS, ``expected_version``, ``email_lost`` and the
+    snapshot state ``_s_version``, ``_s_deleted``, ``_s_<field>``. Output:
+    PASS + ``outcome``, ``version`` (after the command), ``deleted`` (after)
+    and ``b_<field>`` = field values before an applied command (null for
+    commands that were not applied).
+    """
+    cur = object()
+    version, deleted, state = 0, False, {}
+    for pdf in batches:
+        n = len(pdf)
+        col = {c: pdf[c].tolist() for c in ("contact_id", "kind", "expected_version", "email_lost", "_s_version", "_s_deleted")}
+        val = {f: pdf[f].tolist() for f in FIELDS}
+        has = {f: pdf[f"{f}_set"].tolist() for f in FIELDS}
+        snap = {f: pdf[f"_s_{f}"].tolist() for f in FIELDS}
+        outcome, after_version, after_deleted = [None] * n, [0] * n, [False] * n
+        before = {f: [None] * n for f in FIELDS}
+        for i in range(n):
+            if col["contact_id"][i] != cur:
+                cur = col["contact_id"][i]
+                version, deleted = int(col["_s_version"][i]), bool(col["_s_deleted"][i])
+                state = {f: snap[f][i] for f in FIELDS}
+            kind = col["kind"][i]
+            exp = col["expected_version"][i]
+            version_ok = exp is not None and exp == exp and int(exp) == version  # exp == exp: not NaN
+            if kind == "update":
+                if deleted:
+                    out = IN_TRASH
+                elif not version_ok:
+                    out = CONFLICT
+                elif not any(has[f][i] and state[f] != val[f][i] for f in FIELDS):
+                    out = NO_CHANGE
+                elif col["email_lost"][i]:
+                    out = EMAIL_TAKEN
+                else:
+                    out = APPLIED
+            elif kind == "delete":
+                out = ALREADY_DELETED if deleted else (CONFLICT if not version_ok else APPLIED)
+            else:  # restore
+                if not deleted:
+                    out = ALREADY_ACTIVE
+                elif not version_ok:
+                    out = CONFLICT
+                elif col["email_lost"][i]:
+                    out = EMAIL_TAKEN
+                else:
+                    out = APPLIED
+            if out == APPLIED:
+                for f in FIELDS:
+                    before[f][i] = state[f]
+                version += 1
+                if kind == "update":
+                    for f in FIELDS:
+                        if has[f][i]:
+                            state[f] = val[f][i]
+                else:
+                    deleted = kind == "delete"
+            outcome[i], after_version[i], after_deleted[i] = out, version, deleted
+        res = pdf[list(PASS)].copy()
+        res["outcome"] = outcome
+        res["version"] = after_version
+        res["deleted"] = after_deleted
+        for f in FIELDS:
+            res[f"b_{f}"] = before[f]
+        yield res

@@ -337,8 +337,11 @@ _STEP = "{" + ", ".join([
     f"'deleted': CASE WHEN {_APPLIED} AND c.kind = 'delete' THEN true WHEN {_APPLIED} AND c.kind = 'restore' THEN false ELSE s.deleted END",
     *[f"'{f}': CASE WHEN {_APPLIED} AND c.kind = 'update' AND c.{f}_set THEN c.{f} ELSE s.{f} END" for f in _FIELDS_SQL],
     f"'log': list_append(s.log, {{'seq': c.seq, 'outcome': {_OUTCOME}, "
-    f"'version': CASE WHEN {_APPLIED} THEN s.version + 1 ELSE s.version END}})",
+    f"'version': CASE WHEN {_APPLIED} THEN s.version + 1 ELSE s.version END, 'kind': c.kind, "
+    + ", ".join(f"'b_{f}': s.{f}, 'n_{f}': c.{f}, 'p_{f}': c.{f}_set" for f in _FIELDS_SQL) + "})",
 ]) + "}"
+_LOG_T = "STRUCT(seq BIGINT, outcome VARCHAR, version INTEGER, kind VARCHAR, " + ", ".join(
+    f"b_{f} VARCHAR, n_{f} VARCHAR, p_{f} BOOLEAN" for f in _FIELDS_SQL) + ")"
 
 _FOLD_CTES = f"""
 cmd_raw AS (
@@ -386,7 +389,7 @@ folded AS (
          list_reduce(j.cs, lambda s, c: {_STEP},
                      {{'version': ct.version, 'deleted': ct.deleted_at IS NOT NULL, 'first_name': ct.first_name, 'last_name': ct.last_name,
                        'email': ct.email, 'phone': ct.phone, 'company': ct.company,
-                       'log': []::STRUCT(seq BIGINT, outcome VARCHAR, version INTEGER)[]}}) AS s
+                       'log': []::{_LOG_T}[]}}) AS s
   FROM (SELECT contact_id, list({{'seq': seq, 'kind': kind, 'expected_version': expected_version, 'email_lost': email_lost,
                                   'first_name': first_name, 'first_name_set': first_name_set, 'last_name': last_name,
                                   'last_name_set': last_name_set, 'email': email, 'email_set': email_set, 'phone': phone,
@@ -407,3 +410,21 @@ for _kind, _name in [("update", "apply_update"), ("delete", "apply_soft_delete")
     ORACLE[_name] = with_fixtures(f"""
         SELECT o.seq, o.contact_id, o.outcome, o.version FROM outcomes o JOIN cmds k ON k.seq = o.seq WHERE k.kind = '{_kind}'""",
                                   extra_ctes=_ACC + "," + _FOLD_CTES)
+
+# the next snapshot rows and the activity of the applied commands, from the same fold
+_API = [("firstName", "first_name"), ("lastName", "last_name"), ("email", "email"), ("phone", "phone"), ("company", "company")]
+_JSTR = "CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || {x} || '\"' END"
+_CHANGES = "array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN e.p_{f} AND e.b_{f} IS DISTINCT FROM e.n_{f} THEN "
+    f"'\"{api}\":{{\"from\":' || {_JSTR.format(x=f'e.b_{f}')} || ',\"to\":' || {_JSTR.format(x=f'e.n_{f}')} || '}}' END"
+    for api, f in _API) + "], lambda x: x IS NOT NULL), ',')"
+ORACLE["apply_next_contacts"] = with_fixtures("""
+    SELECT f.contact_id AS id, ct.account_id, f.s.version AS version, f.s.email AS email, f.s.phone AS phone, f.s.company AS company,
+           f.s.last_name AS last_name, f.s.deleted AS trashed
+    FROM folded f JOIN contacts ct ON ct.id = f.contact_id WHERE f.s.version <> ct.version""", extra_ctes=_ACC + "," + _FOLD_CTES)
+ORACLE["activity_emit"] = with_fixtures(f"""
+    SELECT contact_id,
+           CASE e.kind WHEN 'update' THEN 'CONTACT_UPDATED' WHEN 'delete' THEN 'CONTACT_DELETED' ELSE 'CONTACT_RESTORED' END AS type,
+           CASE WHEN e.kind = 'update' THEN '{{"changes":{{' || {_CHANGES} || '}},"version":' || CAST(e.version AS VARCHAR) || '}}'
+                ELSE '{{"version":' || CAST(e.version AS VARCHAR) || '}}' END AS payload
+    FROM (SELECT f.contact_id, unnest(f.s.log) AS e FROM folded f) x WHERE e.outcome = 'APPLIED'""", extra_ctes=_ACC + "," + _FOLD_CTES)

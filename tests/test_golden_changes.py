@@ -130,3 +130,27 @@ def test_three_way_merge(spark):
     latest = make_contacts(spark, [dict(id=1, first="A", last="L", phone="2", company="Theirs", created=T0)])
     got = {r.field: (r.original, r.latest, r.mine, r.clash) for r in C.three_way_merge(base, mine, latest, ["phone", "company"]).collect()}
     assert got == {"phone": ("1", "2", "2", False), "company": ("Old", "Theirs", "Mine", True)}
+
+
+def test_hot_contact_chain_streams_across_batches(spark):
+    # one contact with 3,000 commands (every version read by three racing clients)
+    # and a second contact interleaved; Arrow batches of 64 rows split both chains
+    c = make_contacts(spark, [dict(id=1, first="A", last="L", company="A", created=T0),
+                              dict(id=2, first="B", last="L", company="B", created=T0)])
+    cmds = [cmd(i + 1, 1, "update", 1 + i // 3, company=f"C{i}") for i in range(3000)]
+    cmds += [cmd(10_000 + i, 2, "delete" if i % 2 == 0 else "restore", 1 + i) for i in range(50)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got, out = outcomes(spark, c, cmds)
+        nxt = {r.id: r for r in out["next_contacts"].collect()}
+        n_events = out["activity"].count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for i in range(3000):
+        want = ("APPLIED", 2 + i // 3) if i % 3 == 0 else ("VERSION_CONFLICT", 2 + i // 3)
+        assert got[i + 1] == want, (i, got[i + 1])
+    assert all(got[10_000 + i] == ("APPLIED", 2 + i) for i in range(50))
+    assert nxt[1].version == 1001 and nxt[1].company == "C2997" and nxt[1].deleted_at is None
+    assert nxt[2].version == 51 and nxt[2].deleted_at is None
+    assert n_events == 1000 + 50
