@@ -132,7 +132,8 @@ def tag_commands(spark, sf, m):
 def q_add_tags(spark, sf):
     m = load_model(spark, sf)
     out = C.add_tags(m.contacts, m.tags, m.contact_tags, tag_commands(spark, sf, m), AS_OF)
-    return out["activity"].select("contact_id", "payload")
+    # the tag id of a new tag is a hash id; the check reads the contact and the tag's name from each TAG_ADDED event
+    return out["activity"].select("contact_id", F.get_json_object("payload", "$.tag.name").alias("tag_name"))
 
 
 def remove_commands(spark, sf, m):
@@ -428,3 +429,26 @@ ORACLE["activity_emit"] = with_fixtures(f"""
            CASE WHEN e.kind = 'update' THEN '{{"changes":{{' || {_CHANGES} || '}},"version":' || CAST(e.version AS VARCHAR) || '}}'
                 ELSE '{{"version":' || CAST(e.version AS VARCHAR) || '}}' END AS payload
     FROM (SELECT f.contact_id, unnest(f.s.log) AS e FROM folded f) x WHERE e.outcome = 'APPLIED'""", extra_ctes=_ACC + "," + _FOLD_CTES)
+
+_TAG_CMDS = f"""
+per_cmd AS (
+  SELECT seq, account_id, contact_id, lower(name) AS key, arg_min(name, pos) AS name, min(pos) AS pos
+  FROM (SELECT x.seq, x.account_id, x.contact_id, u.pos, nullif({_TRIM.format(x='u.name')}, '') AS name
+        FROM (SELECT v.event_id AS seq, v.account_id, v.user_id AS contact_id,
+                     [' VIP', 'vip', 'Lead' || CAST(v.event_id % 3 AS VARCHAR), 'urgent'] AS names
+              FROM ev v JOIN contacts c ON c.id = v.user_id AND c.account_id = v.account_id AND c.deleted_at IS NULL
+              WHERE v.event_type = 'view') x,
+             LATERAL (SELECT unnest(x.names[1:{C.MAX_TAGS}]) AS name, unnest(generate_series(0, len(x.names) - 1)) AS pos) u)
+  WHERE name IS NOT NULL GROUP BY 1, 2, 3, 4
+),
+firsts AS (SELECT account_id, key, arg_min(name, (seq, pos)) AS first FROM per_cmd GROUP BY 1, 2)
+"""
+ORACLE["add_tags"] = with_fixtures("""
+    SELECT contact_id, tag_name FROM (
+      SELECT l.contact_id, coalesce(t.name, fs.first) AS tag_name,
+             row_number() OVER (PARTITION BY l.contact_id, l.key ORDER BY l.seq, l.pos) AS k
+      FROM per_cmd l
+      JOIN firsts fs ON fs.account_id = l.account_id AND fs.key = l.key
+      LEFT JOIN tags t ON t.account_id = l.account_id AND lower(t.name) = l.key
+      WHERE t.id IS NULL OR NOT EXISTS (SELECT 1 FROM contact_tags ct WHERE ct.contact_id = l.contact_id AND ct.tag_id = t.id)
+    ) WHERE k = 1""", extra_ctes=_ACC + "," + _TAG_CMDS)
