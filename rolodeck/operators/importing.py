@@ -438,8 +438,15 @@ def apply_create(reviewed: DataFrame, contacts: DataFrame, tags: DataFrame, cont
     ok = reviewed.filter((F.col("mode") == "create") & (F.size("errors") == 0))
     taken = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_e"))
     keyed = ok.withColumn("_e", F.col("v.email"))
-    lost = keyed.join(taken, ["account_id", "_e"], "left_semi")
-    kept = keyed.join(taken, ["account_id", "_e"], "left_anti").withColumn("contact_id", new_contact_id(F.col("job_id"), F.col("row_number")))
+    free = keyed.join(taken, ["account_id", "_e"], "left_anti")
+    # rows of several create jobs may claim one new e-mail: as when the jobs run one
+    # after another, the first (job_id, row_number) creates the contact and the
+    # later ones find it taken. An e-mail appears at most once per file (W1), so
+    # the window holds at most one row per job.
+    first = F.row_number().over(Window.partitionBy("account_id", "_e").orderBy("job_id", "row_number"))
+    free = free.withColumn("_k", F.when(F.col("_e").isNull(), F.lit(1)).otherwise(first))
+    lost = keyed.join(taken, ["account_id", "_e"], "left_semi").unionByName(free.filter(F.col("_k") > 1).drop("_k"))
+    kept = free.filter(F.col("_k") == 1).drop("_k").withColumn("contact_id", new_contact_id(F.col("job_id"), F.col("row_number")))
     ts = P.ts_lit(as_of)
     new_contacts = with_generated_columns(kept.select(
         F.col("contact_id").alias("id"), "account_id", F.col("v.first_name").alias("first_name"), F.col("v.last_name").alias("last_name"),
@@ -495,32 +502,51 @@ def apply_update(reviewed: DataFrame, contacts: DataFrame, tags: DataFrame, cont
     cur = active.select(F.struct(*[F.col(c) for c in contacts.columns]).alias("c"), "account_id", F.col("email").alias("_e"))
     j = ok.withColumn("_e", F.col("v.email")).join(cur, ["account_id", "_e"], "left")
     missing = j.filter(F.col("c").isNull())
-    matched = j.filter(F.col("c").isNotNull()).withColumn("contact_id", F.col("c.id")).withColumn("_chg", changed_fields())
+    # Several update jobs of a batch may touch one contact; as when the jobs run
+    # one after another, each row is judged against the state the earlier rows
+    # (job_id, row_number) left. An e-mail appears at most once per file (W1), so
+    # these windows hold at most one row per job. They are keyed like the match
+    # join, (account, e-mail) = one active contact, and reuse its partitioning.
+    contact = Window.partitionBy("account_id", "_e")
+    earlier = contact.orderBy("job_id", "row_number").rowsBetween(Window.unboundedPreceding, -1)
+    upto = contact.orderBy("job_id", "row_number").rowsBetween(Window.unboundedPreceding, 0)
+
+    def before(f: str) -> Column:
+        last_set = F.last(F.when(F.col(f"v.{f}_set"), F.struct(F.col(f"v.{f}").alias("x"))), ignorenulls=True).over(earlier)
+        return F.when(last_set.isNotNull(), last_set["x"]).otherwise(F.col(f"c.{f}"))
+
+    matched = j.filter(F.col("c").isNotNull()).withColumn("contact_id", F.col("c.id")) \
+        .withColumn("b", F.struct(*[before(f).alias(f) for f in FIELDS])).withColumn("_chg", changed_fields("b.", "v."))
+    field_changed = F.size("_chg") > 0
+    matched = matched.withColumn("_ver", F.col("c.version") + F.sum(field_changed.cast("int")).over(upto)) \
+        .withColumn("_last_ver", F.col("c.version") + F.sum(field_changed.cast("int")).over(contact))
     ts = P.ts_lit(as_of)
 
     wants = _tag_wants(matched)
     resolved = ensure_tags(tags, wants.select("account_id", "name", "order"))
     links = wants.withColumn("key", F.lower("name")).join(resolved.select("account_id", "key", "tag_id", F.col("name").alias("tag_name")), ["account_id", "key"])
     existing = contact_tags.select("contact_id", F.col("tag_id").cast("long").alias("tag_id"))
-    new_links = links.join(existing, ["contact_id", "tag_id"], "left_anti").dropDuplicates(["contact_id", "tag_id"])
+    # a link wanted by several rows is added by the first of them (at most one row per job wants it)
+    new_links = links.join(existing, ["contact_id", "tag_id"], "left_anti") \
+        .withColumn("_k", F.row_number().over(Window.partitionBy("contact_id", "tag_id").orderBy("order"))).filter(F.col("_k") == 1).drop("_k")
     link_rows = new_links.groupBy("file", "row_number").agg(F.count(F.lit(1)).alias("_nl"))
 
     m = matched.join(link_rows, ["file", "row_number"], "left")
-    field_changed = F.size("_chg") > 0
     touched = field_changed | (F.coalesce(F.col("_nl"), F.lit(0)) > 0)
     updated = m.filter(field_changed)
 
     def nv(f: str) -> Column:
-        return F.when(F.col(f"v.{f}_set"), F.col(f"v.{f}")).otherwise(F.col(f"c.{f}"))
+        return F.when(F.col(f"v.{f}_set"), F.col(f"v.{f}")).otherwise(F.col(f"b.{f}"))
 
-    next_rows = with_generated_columns(updated.select(
+    # the contact's row after its last changing import row
+    next_rows = with_generated_columns(updated.filter(F.col("_ver") == F.col("_last_ver")).select(
         F.col("c.id").alias("id"), "account_id", nv("first_name").alias("first_name"), nv("last_name").alias("last_name"),
         F.col("c.email").alias("email"), nv("phone").alias("phone"), nv("company").alias("company"),
-        (F.col("c.version") + 1).alias("version"), F.col("c.created_at").alias("created_at"), ts.alias("updated_at"),
+        F.col("_ver").alias("version"), F.col("c.created_at").alias("created_at"), ts.alias("updated_at"),
         F.col("c.deleted_at").alias("deleted_at"),
     ))
     upd_ev = updated.select("account_id", "contact_id", F.lit("CONTACT_UPDATED").alias("type"), json_object(F.struct(
-        F.map_from_entries("_chg").alias("changes"), (F.col("c.version") + 1).alias("version"), F.col("job_id").cast("string").alias("import"))).alias("payload"),
+        F.map_from_entries("_chg").alias("changes"), F.col("_ver").alias("version"), F.col("job_id").cast("string").alias("import"))).alias("payload"),
         "job_id", "row_number", F.lit(0).alias("tpos"))
     tag_ev = new_links.select("account_id", "contact_id", F.lit("TAG_ADDED").alias("type"), json_object(F.struct(
         F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"), F.col("job_id").cast("string").alias("import"))).alias("payload"),

@@ -390,6 +390,17 @@ def _imp(body: str, extra: str = "") -> str:
     return with_fixtures(body, ctes)
 
 
+# accepted create rows; jobs apply in job order, so a row finds its e-mail taken when an active
+# contact owns it or an earlier row (job_id, row_number) of a create job created it
+_CREATES = """
+creates AS (
+  SELECT r.*, EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = r.account_id AND c.email = r.email)
+              OR EXISTS (SELECT 1 FROM reviewed p WHERE p.mode = 'create' AND len(p.errors) = 0 AND p.account_id = r.account_id
+                         AND p.email = r.email AND (p.job_id < r.job_id OR (p.job_id = r.job_id AND p.row_number < r.row_number))) AS taken
+  FROM reviewed r WHERE r.mode = 'create' AND len(r.errors) = 0
+)
+"""
+
 _ERRTEXT = "array_to_string(list_transform(errors, lambda e: e.field || ': ' || e.message), '; ')"
 _VALS = f"file, row_number, first_name, last_name, email, phone, company, array_to_string(tags, ';') AS tags, {_ERRTEXT} AS errors"
 
@@ -462,8 +473,7 @@ ORACLE = {
         WHERE NOT EXISTS (SELECT 1 FROM errs e WHERE e.file = r.file AND e.row_number = r.row_number AND e.phase = 'validate')"""),
     "import_apply_create": _imp("""
         SELECT -(r.job_id * 1000000 + r.row_number) AS id, r.account_id, r.first_name, r.last_name, r.email, r.phone, r.company
-        FROM reviewed r WHERE r.mode = 'create' AND len(r.errors) = 0
-          AND NOT EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = r.account_id AND c.email = r.email)"""),
+        FROM creates r WHERE NOT r.taken""", _CREATES),
     "import_update_match": _imp("""
         SELECT r.file, r.row_number,
                CASE WHEN c.id IS NULL THEN 'No contact has this email'
@@ -527,16 +537,15 @@ SELECT s.file, CAST(s.t AS BIGINT) AS processed,
        CAST(coalesce(up.updated, 0) AS BIGINT) AS updated, CAST(coalesce(up.unchanged, 0) AS BIGINT) AS unchanged,
        CAST(s.e + coalesce(cr.lost, 0) + coalesce(up.missing, 0) AS BIGINT) AS error_rows, 'completed' AS status
 FROM (SELECT file, count(*) AS t, count(*) FILTER (WHERE len(errors) > 0) AS e FROM reviewed GROUP BY file) s
-LEFT JOIN (SELECT r.file, count(*) FILTER (WHERE NOT taken) AS n, count(*) FILTER (WHERE taken) AS lost FROM (
-             SELECT r.*, EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = r.account_id AND c.email = r.email) AS taken
-             FROM reviewed r WHERE r.mode = 'create' AND len(r.errors) = 0) r GROUP BY r.file) cr ON cr.file = s.file
+LEFT JOIN (SELECT r.file, count(*) FILTER (WHERE NOT taken) AS n, count(*) FILTER (WHERE taken) AS lost
+           FROM creates r GROUP BY r.file) cr ON cr.file = s.file
 LEFT JOIN (SELECT file, count(*) FILTER (WHERE outcome = 'updated') AS updated, count(*) FILTER (WHERE outcome = 'unchanged') AS unchanged,
                   count(*) FILTER (WHERE outcome = 'No contact has this email') AS missing
            FROM ({_UPDATE_OUTCOME}) x GROUP BY file) up ON up.file = s.file
 """
 ORACLE["import_counters"] = _imp(f"SELECT file, CAST(9000 + CAST(regexp_extract(file, '(\\d+)', 1) AS INTEGER) AS BIGINT) AS job_id, "
-                                 f"processed, created, updated, unchanged, error_rows, status FROM ({_COUNTERS}) z")
-ORACLE["import_pipeline"] = _imp(_COUNTERS)
+                                 f"processed, created, updated, unchanged, error_rows, status FROM ({_COUNTERS}) z", _CREATES)
+ORACLE["import_pipeline"] = _imp(_COUNTERS, _CREATES)
 ORACLE["import_error_page"] = _imp("""
     SELECT file, k, row_number AS "row", phase, field, message, total FROM (
       SELECT *, row_number() OVER (PARTITION BY file ORDER BY row_number, pos) AS k, count(*) OVER (PARTITION BY file) AS total FROM errs) x

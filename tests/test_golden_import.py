@@ -151,3 +151,34 @@ def test_chunks_and_rejected_file(spark):
     lines = [x.line for x in I.rejected_rows_csv(I.import_errors(rev), f).orderBy("line_no").collect()]
     assert lines == ["first_name,last_name,email,phone,company,tags,error",
                      ",X,bad,,'=1+1,,first_name: First name is required; email: Not a valid email address"]
+
+
+def test_update_jobs_apply_one_after_another(spark):
+    # three update jobs touch one contact: each row is judged on the state the earlier jobs left
+    c = make_contacts(spark, [dict(id=1, first="Ada", last="L", email="ada@x.io", phone="1", company="Old", created=T0)])
+    t, ct = make_tags(spark, []), make_links(spark, [])
+    h = ["email", "company", "phone", "tags"]
+    f = files_df(spark, [("a.csv", "update", h), ("b.csv", "update", h), ("c.csv", "update", h)])
+    r = rows_df(spark, "a.csv", "update", [["ada@x.io", "New", "", "vip"]], job=0) \
+        .unionByName(rows_df(spark, "b.csv", "update", [["ada@x.io", "New", "+1 555 0100", "VIP"]], job=1)) \
+        .unionByName(rows_df(spark, "c.csv", "update", [["ada@x.io", "New", "", "Vip"]], job=2))
+    out = I.apply_update(I.review(r, f, c), c, t, ct, NOW)
+    assert {x.file: x.outcome for x in out["outcomes"].collect()} == {"a.csv": "updated", "b.csv": "updated", "c.csv": "unchanged"}
+    up = out["updated_contacts"].collect()
+    assert [(x.id, x.version, x.company, x.phone) for x in up] == [(1, 3, "New", "+1 555 0100")]
+    ev = sorted((x.type, x.payload) for x in out["activity"].collect())
+    assert ev[0] == ("CONTACT_UPDATED", '{"changes":{"company":{"from":"Old","to":"New"}},"version":2,"import":"0"}')
+    assert ev[1] == ("CONTACT_UPDATED", '{"changes":{"phone":{"from":"1","to":"+1 555 0100"}},"version":3,"import":"1"}')
+    assert ev[2][0] == "TAG_ADDED" and ev[2][1].endswith('"name":"vip"},"import":"0"}') and len(ev) == 3
+
+
+def test_create_jobs_claiming_one_email(spark):
+    # the earlier job creates the contact; the later one finds the e-mail taken
+    c = make_contacts(spark, [])
+    t, ct = make_tags(spark, []), make_links(spark, [])
+    f = files_df(spark, [("a.csv", "create", CREATE_H), ("b.csv", "create", CREATE_H)])
+    r = rows_df(spark, "a.csv", "create", [["A", "One", "x@x.io", "", "", ""]], job=0) \
+        .unionByName(rows_df(spark, "b.csv", "create", [["B", "Two", "", "", "", ""], ["B", "Three", "X@x.io", "", "", ""]], job=1))
+    out = I.apply_create(I.review(r, f, c), c, t, ct, NOW)
+    assert sorted((x.last_name, x.email) for x in out["new_contacts"].collect()) == [("One", "x@x.io"), ("Two", None)]
+    assert [(e.file, e.row_number, e.message) for e in out["errors"].collect()] == [("b.csv", 2, "Already used by another contact")]
