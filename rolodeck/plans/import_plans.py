@@ -152,7 +152,11 @@ def q_import_update_match(spark, sf):
 def q_import_apply_update(spark, sf):
     r = _Run(spark, sf)
     out = I.apply_update(r.reviewed(), r.m.contacts, r.m.tags, r.m.contact_tags, AS_OF)
-    return out["activity"].select("contact_id", "type", "payload")
+    # a new tag's id is a hash id: TAG_ADDED events are checked by tag name and import
+    tag = F.col("type") == "TAG_ADDED"
+    return out["activity"].select("contact_id", "type", F.when(~tag, F.col("payload")).alias("payload"),
+                                  F.when(tag, F.get_json_object("payload", "$.tag.name")).alias("tag_name"),
+                                  F.get_json_object("payload", "$.import").alias("import_id"))
 
 
 def q_import_counters(spark, sf):
@@ -558,3 +562,53 @@ ORACLE["ensure_tags"] = _imp("""
           FROM reviewed r, LATERAL (SELECT unnest(r.tags) AS tag, unnest(generate_series(1, len(r.tags))) AS pos) u
           WHERE len(r.errors) = 0 GROUP BY 1, 2) w
     LEFT JOIN tags t ON t.account_id = w.account_id AND lower(t.name) = w.key""")
+
+# I6 in job order: each matched row against the fields the earlier rows of its contact left
+_J = "CASE WHEN {x} IS NULL THEN 'null' ELSE '\"' || {x} || '\"' END"
+_UPD_FIELDS = [("first_name", "firstName"), ("last_name", "lastName"), ("phone", "phone"), ("company", "company")]
+_UPDATES = """
+upd AS (
+  SELECT r.*, c.id AS contact_id, c.version AS c_version, """ + ", ".join(f"c.{f} AS c_{f}" for f, _ in _UPD_FIELDS) + """
+  FROM reviewed r JOIN contacts c ON c.deleted_at IS NULL AND c.account_id = r.account_id AND c.email = r.email
+  WHERE r.mode = 'update' AND len(r.errors) = 0
+),
+bef AS (
+  SELECT u.*, """ + ", ".join(
+    f"coalesce(last_value(CASE WHEN {f}_set THEN {{'x': {f}}} END IGNORE NULLS) OVER w, {{'x': c_{f}}}).x AS b_{f}"
+    for f, _ in _UPD_FIELDS) + """
+  FROM upd u
+  WINDOW w AS (PARTITION BY contact_id ORDER BY job_id, row_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+chg AS (
+  SELECT b.*, list_filter([""" + ", ".join(
+    f"CASE WHEN {f}_set AND b_{f} IS DISTINCT FROM {f} THEN "
+    f"'\"{api}\":{{\"from\":' || {_J.format(x=f'b_{f}')} || ',\"to\":' || {_J.format(x=f)} || '}}' END"
+    for f, api in _UPD_FIELDS) + """], lambda x: x IS NOT NULL) AS ch
+  FROM bef b
+),
+ver AS (
+  SELECT *, c_version + sum(CASE WHEN len(ch) > 0 THEN 1 ELSE 0 END)
+                        OVER (PARTITION BY contact_id ORDER BY job_id, row_number ROWS UNBOUNDED PRECEDING) AS ver
+  FROM chg
+),
+wants AS (
+  SELECT u.account_id, u.contact_id, u.job_id, u.row_number, t.pos, t.name, lower(t.name) AS key
+  FROM upd u, LATERAL (SELECT unnest(u.tags) AS name, unnest(generate_series(1, len(u.tags))) AS pos) t
+),
+new_links AS (
+  SELECT w.*, coalesce(tg.name, f.first) AS tag_name,
+         row_number() OVER (PARTITION BY w.contact_id, w.key ORDER BY w.job_id, w.row_number, w.pos) AS k
+  FROM wants w
+  JOIN (SELECT account_id, key, arg_min(name, (job_id, row_number, pos)) AS first FROM wants GROUP BY 1, 2) f
+    ON f.account_id = w.account_id AND f.key = w.key
+  LEFT JOIN tags tg ON tg.account_id = w.account_id AND lower(tg.name) = w.key
+  WHERE tg.id IS NULL OR NOT EXISTS (SELECT 1 FROM contact_tags ct WHERE ct.contact_id = w.contact_id AND ct.tag_id = tg.id)
+)
+"""
+ORACLE["import_apply_update"] = _imp("""
+    SELECT contact_id, 'CONTACT_UPDATED' AS type,
+           '{"changes":{' || array_to_string(ch, ',') || '},"version":' || CAST(ver AS VARCHAR) || ',"import":"' || CAST(job_id AS VARCHAR) || '"}' AS payload,
+           CAST(NULL AS VARCHAR) AS tag_name, CAST(job_id AS VARCHAR) AS import_id
+    FROM ver WHERE len(ch) > 0
+    UNION ALL
+    SELECT contact_id, 'TAG_ADDED', CAST(NULL AS VARCHAR), tag_name, CAST(job_id AS VARCHAR) FROM new_links WHERE k = 1""", _UPDATES)
