@@ -30,7 +30,7 @@ def _with_account(spark, sf, df, m):
 
 def commands(spark, sf, m):
     """Mixed update / delete / restore batch (see module doc)."""
-    e = _events(spark, sf).filter(F.col("event_type").isin("click", "error") | ((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 0)))
+    e = _events(spark, sf).filter(F.col("event_type").isin("click", "error", "purchase"))
     e = _with_account(spark, sf, e, m)
     k = F.col("event_id")
     kind = F.when(F.col("event_type") == "click", "update").when(F.col("event_type") == "error", "delete").otherwise("restore")
@@ -137,7 +137,7 @@ def q_add_tags(spark, sf):
 
 
 def remove_commands(spark, sf, m):
-    e = _with_account(spark, sf, _events(spark, sf).filter((F.col("event_type") == "purchase") & (F.col("event_id") % 2 == 1)), m)
+    e = _with_account(spark, sf, _events(spark, sf).filter(F.col("event_type") == "purchase"), m)
     return e.select(F.col("event_id").alias("seq"), "account_id", F.col("user_id").alias("contact_id"),
                     (F.col("account_id") * 10 + F.col("event_id") % 5 + 1).cast("int").alias("tag_id"))
 
@@ -287,7 +287,7 @@ ORACLE = {
     "remove_tag": with_fixtures("""
         SELECT DISTINCT x.contact_id, '{"tag":{"id":' || CAST(t.id AS VARCHAR) || ',"name":"' || t.name || '"}}' AS payload
         FROM (SELECT event_id AS seq, account_id, user_id AS contact_id, CAST(account_id * 10 + event_id % 5 + 1 AS INTEGER) AS tag_id
-              FROM ev WHERE event_type = 'purchase' AND event_id % 2 = 1) x
+              FROM ev WHERE event_type = 'purchase') x
         JOIN contact_tags ct ON ct.contact_id = x.contact_id AND ct.tag_id = x.tag_id
         JOIN tags t ON t.id = x.tag_id AND t.account_id = x.account_id
         JOIN contacts c ON c.id = x.contact_id AND c.account_id = x.account_id""", extra_ctes=_ACC),
@@ -358,7 +358,7 @@ cmd_raw AS (
          ev.event_type = 'click' AND ev.event_id % 5 = 0 AS phone_set,
          CASE WHEN ev.event_type = 'click' AND ev.event_id % 2 = 0 THEN 'Co ' || CAST(ev.event_id % 4 AS VARCHAR) END AS company,
          ev.event_type = 'click' AND ev.event_id % 2 = 0 AS company_set
-  FROM ev WHERE ev.event_type IN ('click', 'error') OR (ev.event_type = 'purchase' AND ev.event_id % 2 = 0)
+  FROM ev WHERE ev.event_type IN ('click', 'error', 'purchase')
 ),
 cmds AS (
   SELECT * REPLACE (nullif({_TRIM.format(x='first_name')}, '') AS first_name, nullif({_TRIM.format(x='last_name')}, '') AS last_name,
