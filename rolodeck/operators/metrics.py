@@ -61,24 +61,34 @@ def accounts_of(*dfs: DataFrame) -> DataFrame:
 
 def quality_pack(contacts: DataFrame, contact_tags: DataFrame, as_of: dt.datetime, range_days: int = 30,
                  include_trash: bool = False) -> DataFrame:
-    """A1 (and A7 when ``include_trash``): one pass over contacts per account."""
+    """A1 (and A7 when ``include_trash``): one pass over contacts per account.
+
+    Each contact is first reduced to its id, account and the boolean tests
+    the counts need, so the join with the distinct linked ids (broadcast by
+    AQE when small, else shuffled) moves a few bytes per contact, not the
+    contact row; the counts are then map-side partial ``count_if``.
+    """
     start, prev, _, _ = window_bounds(as_of, range_days)
     active = P.is_active()
-    c = P.tagged_flag(contacts, contact_tags)
-    aggs = [
-        F.count_if(active).alias("active"),
-        F.count_if(active & (F.col("created_at") >= P.ts_lit(start))).alias("new_in_range"),
-        F.count_if(active & (F.col("created_at") >= P.ts_lit(prev)) & (F.col("created_at") < P.ts_lit(start))).alias("new_prev"),
-        F.count_if(active & F.col("email").isNotNull()).alias("with_email"),
-        F.count_if(active & F.col("phone").isNotNull()).alias("with_phone"),
-        F.count_if(active & F.col("company").isNotNull()).alias("with_company"),
-        F.count_if(active & P.no_contact_info()).alias("no_contact"),
-        F.count_if(active & ~F.col("is_tagged")).alias("untagged"),
-        F.count_if(active & P.stale(as_of)).alias("stale"),
-    ]
+    tests = {
+        "active": active,
+        "new_in_range": active & (F.col("created_at") >= P.ts_lit(start)),
+        "new_prev": active & (F.col("created_at") >= P.ts_lit(prev)) & (F.col("created_at") < P.ts_lit(start)),
+        "with_email": active & F.col("email").isNotNull(),
+        "with_phone": active & F.col("phone").isNotNull(),
+        "with_company": active & F.col("company").isNotNull(),
+        "no_contact": active & P.no_contact_info(),
+        "stale": active & P.stale(as_of),
+    }
     if include_trash:
-        aggs.append(F.count_if(P.is_trashed()).alias("in_trash"))
-    out = c.groupBy("account_id").agg(*aggs)
+        tests["in_trash"] = P.is_trashed()
+    flags = contacts.select("id", "account_id", *[v.alias(f"_{k}") for k, v in tests.items()])
+    tagged = contact_tags.select(F.col("contact_id").alias("id")).distinct().withColumn("_tagged", F.lit(True))
+    counts = {k: F.count_if(F.col(f"_{k}")).alias(k) for k in tests}
+    counts["untagged"] = F.count_if(F.col("_active") & F.col("_tagged").isNull()).alias("untagged")
+    order = ["active", "new_in_range", "new_prev", "with_email", "with_phone", "with_company", "no_contact", "untagged", "stale"]
+    out = flags.join(tagged, "id", "left").groupBy("account_id").agg(
+        *[counts[k] for k in order], *([counts["in_trash"]] if include_trash else []))
     return out if include_trash else out.filter(F.col("active") > 0)
 
 

@@ -99,16 +99,6 @@ def untagged(contacts: DataFrame, contact_tags: DataFrame) -> DataFrame:
     return contacts.join(contact_tags.select(F.col("contact_id").alias("id")), "id", "left_anti")
 
 
-def tagged_flag(contacts: DataFrame, contact_tags: DataFrame, flag: str = "is_tagged") -> DataFrame:
-    """Adds ``flag`` = the contact has at least one link.
-
-    The links are reduced to distinct contact ids with a map-side partial
-    aggregate before the shuffle, then left-joined on id.
-    """
-    tagged = contact_tags.select(F.col("contact_id").alias("id")).distinct().withColumn(flag, F.lit(True))
-    return contacts.join(tagged, "id", "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-
-
 def shared_phone_keys(contacts: DataFrame) -> DataFrame:
     """(account_id, phone_digits, n) for digits used by more than one active
     contact. Empty digits are removed *before* the shuffle (they would be the
