@@ -423,12 +423,13 @@ ORACLE["apply_next_contacts"] = with_fixtures("""
     SELECT f.contact_id AS id, ct.account_id, f.s.version AS version, f.s.email AS email, f.s.phone AS phone, f.s.company AS company,
            f.s.last_name AS last_name, f.s.deleted AS trashed
     FROM folded f JOIN contacts ct ON ct.id = f.contact_id WHERE f.s.version <> ct.version""", extra_ctes=_ACC + "," + _FOLD_CTES)
-ORACLE["activity_emit"] = with_fixtures(f"""
+APPLIED_ACTIVITY_SQL = f"""
     SELECT contact_id,
            CASE e.kind WHEN 'update' THEN 'CONTACT_UPDATED' WHEN 'delete' THEN 'CONTACT_DELETED' ELSE 'CONTACT_RESTORED' END AS type,
            CASE WHEN e.kind = 'update' THEN '{{"changes":{{' || {_CHANGES} || '}},"version":' || CAST(e.version AS VARCHAR) || '}}'
                 ELSE '{{"version":' || CAST(e.version AS VARCHAR) || '}}' END AS payload
-    FROM (SELECT f.contact_id, unnest(f.s.log) AS e FROM folded f) x WHERE e.outcome = 'APPLIED'""", extra_ctes=_ACC + "," + _FOLD_CTES)
+    FROM (SELECT f.contact_id, unnest(f.s.log) AS e FROM folded f) x WHERE e.outcome = 'APPLIED'"""
+ORACLE["activity_emit"] = with_fixtures(APPLIED_ACTIVITY_SQL, extra_ctes=_ACC + "," + _FOLD_CTES)
 
 _TAG_CMDS = f"""
 per_cmd AS (

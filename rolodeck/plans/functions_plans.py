@@ -8,12 +8,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rolodeck.functions import text as T
-from rolodeck.functions.activity_text import activity_detail, activity_title
+from rolodeck.functions.activity_text import LABELS as ACTIVITY_LABELS, activity_detail, activity_title
 from rolodeck.functions.csvcells import csv_line_from_array, csv_safe
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.functions.validators import EMAIL_PATTERN, is_email, is_phone
 from rolodeck.operators import metrics as M
 from rolodeck.operators import tenants as TN
+from rolodeck.plans.changes_plans import _ACC, _FOLD_CTES, APPLIED_ACTIVITY_SQL
 from rolodeck.plans.import_plans import _imp
 from rolodeck.plans.oracle_fixtures import with_fixtures
 from rolodeck.sources import generator as G
@@ -204,7 +205,7 @@ def q_activity_text(spark, sf):
     from rolodeck.plans.changes_plans import _applied
 
     a = _applied(spark, sf)["activity"].unionByName(load_model(spark, sf).activity)
-    return a.select("id", "type", activity_title("type", "payload").alias("title"), activity_detail("type", "payload").alias("detail"))
+    return a.select("contact_id", "type", activity_title("type", "payload").alias("title"), activity_detail("type", "payload").alias("detail"))
 
 
 def q_bernoulli_cross_join(spark, sf):
@@ -379,3 +380,24 @@ ORACLE = {
         FROM import_rows WHERE mode = 'create'""".replace("TRIM_FIRST", _TRIM.format(x="cells[1]")).replace(
         "TRIM_LAST", _TRIM.format(x="cells[2]")).replace("TRIM_COMPANY", _TRIM.format(x="cells[5]"))),
 }
+
+
+# F14 over the stored activity and the activity of the applied command batch (its payloads as activity_emit builds them)
+_LABEL = "CASE {k} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ACTIVITY_LABELS.items()) + " ELSE {k} END"
+_SHOW = "CASE WHEN {v} IS NULL OR {v} = '' THEN '(empty)' ELSE {v} END"
+_CHANGE_TEXT = ("nullif(array_to_string(list_transform(coalesce(json_keys(payload, '$.changes'), []), lambda k: "
+                + _LABEL.format(k="k") + " || ': ' || "
+                + _SHOW.format(v="json_extract_string(payload, '$.changes.\"' || k || '\".from')") + " || ' → ' || "
+                + _SHOW.format(v="json_extract_string(payload, '$.changes.\"' || k || '\".to')") + "), '; '), '')")
+ORACLE["activity_text"] = with_fixtures(f"""
+    SELECT contact_id, type,
+           CASE type WHEN 'CONTACT_CREATED' THEN 'Contact created' WHEN 'CONTACT_UPDATED' THEN 'Contact updated'
+                     WHEN 'CONTACT_DELETED' THEN CASE WHEN bulk THEN 'Moved to trash (bulk)' ELSE 'Moved to trash' END
+                     WHEN 'CONTACT_RESTORED' THEN 'Restored from trash'
+                     WHEN 'TAG_ADDED' THEN CASE WHEN bulk THEN 'Tag added (bulk)' ELSE 'Tag added' END
+                     WHEN 'TAG_REMOVED' THEN 'Tag removed' END AS title,
+           CASE WHEN type IN ('TAG_ADDED', 'TAG_REMOVED') THEN json_extract_string(payload, '$.tag.name')
+                WHEN type = 'CONTACT_UPDATED' THEN {_CHANGE_TEXT} END AS detail
+    FROM (SELECT *, coalesce(CAST(json_extract(payload, '$.bulk') AS BOOLEAN), false) AS bulk FROM (
+            SELECT contact_id, type, payload FROM contact_activity
+            UNION ALL ({APPLIED_ACTIVITY_SQL})) a) x""", extra_ctes=_ACC + "," + _FOLD_CTES)
