@@ -309,18 +309,23 @@ def metrics_document(contacts: DataFrame, tags: DataFrame, contact_tags: DataFra
     """The whole dashboard payload, one row per account.
 
     Activity is scanned once (rolled up per account, type and day, then
-    A3/A4/A11 are read off that small rollup), jobs once, links once, and
-    contacts for the quality pack (A1+A7), duplicate phones (A6) and the
-    created-per-day series (A2). The list of accounts comes from those
-    aggregates, not from extra scans. Arrays are built from already-aggregated
-    rows (≤ 90 days, ≤ 10 tags, 6 types per account).
+    A3/A4/A11 are read off that small rollup), jobs once, and contacts for
+    the quality pack (A1+A7), duplicate phones (A6), the created-per-day
+    series (A2) and the top tags (A5). The list of accounts is a full outer
+    join of those aggregates, and the daily series is generated per account
+    row from the window's day sequence and day → count maps, so no branch
+    re-reads a table for account ids alone. Arrays are built from
+    already-aggregated rows (≤ 90 days, ≤ 10 tags, 6 types per account).
     """
-    start, _, _, _ = window_bounds(as_of, range_days)
+    start, _, first, last = window_bounds(as_of, range_days)
     q = quality_pack(contacts, contact_tags, as_of, range_days, include_trash=True)
     dup = duplicate_phone_groups(contacts)
     imp = _jobs_rollup(jobs, start)
     roll = _activity_rollup(activity, start)
-    accounts = q.select("account_id").unionByName(roll.select("account_id")).unionByName(imp.select("account_id")).distinct()
+    # every account with contacts, activity or jobs, read off the aggregates themselves: the activity
+    # accounts keep the rollup's partial count, so its shuffle is shared rather than re-run on a pruned copy
+    seen = roll.groupBy("account_id").agg(F.sum("n").alias("_events"))
+    base = q.join(imp, "account_id", "full").join(seen, "account_id", "full")
 
     in_range = roll.filter(F.col("day").isNotNull())
     by_type = in_range.groupBy("account_id", "type").agg(F.sum("n").alias("n"))
@@ -330,28 +335,27 @@ def metrics_document(contacts: DataFrame, tags: DataFrame, contact_tags: DataFra
         F.sum(F.when(F.col("type") == "CONTACT_DELETED", F.col("n"))).alias("_del"),
         F.sum(F.when(F.col("type") == "CONTACT_RESTORED", F.col("n"))).alias("_res"),
     )
-    edits = in_range.filter(F.col("type") == "CONTACT_UPDATED").select("account_id", F.col("day").alias("date"), F.col("n").alias("edits"))
-    created = created_by_day(contacts, as_of, range_days).select("account_id", F.col("d").alias("date"), F.col("n").alias("created"))
-    daily = (
-        day_grid(accounts, as_of, range_days)
-        .join(created, ["account_id", "date"], "left")
-        .join(edits, ["account_id", "date"], "left")
-        .groupBy("account_id")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            "date", F.coalesce("created", F.lit(0)).cast("long").alias("created"), F.coalesce("edits", F.lit(0)).cast("long").alias("edits")
-        ))).alias("daily"))
-    )
+    # the zero-filled daily series: per account a day → count map (≤ range days), read along the window's days
+    last_day = F.lit(last.isoformat())
+    created = created_by_day(contacts, as_of, range_days).filter(F.col("d") <= last_day).groupBy("account_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("_cm"))
+    edits = in_range.filter((F.col("type") == "CONTACT_UPDATED") & (F.col("day") <= last_day)).groupBy("account_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("_em"))
+    days = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    daily = F.transform(days, lambda d: F.struct(
+        d.alias("date"), F.coalesce(F.col("_cm")[d], F.lit(0)).cast("long").alias("created"),
+        F.coalesce(F.col("_em")[d], F.lit(0)).cast("long").alias("edits")))
     tt = top_tags(contacts, tags, contact_tags).groupBy("account_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "name", F.col("n").alias("count")))).alias("_t")
     )
 
     j = (
-        accounts.join(q, "account_id", "left")
-        .join(dup, "account_id", "left")
-        .join(imp, "account_id", "left")
+        base.join(dup, "account_id", "left")
         .join(tt, "account_id", "left")
         .join(act, "account_id", "left")
-        .join(daily, "account_id", "left")
+        .join(created, "account_id", "left")
+        .join(edits, "account_id", "left")
+        .withColumn("daily", daily)
     )
 
     def z(c: str) -> Column:
