@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rolodeck.sources.contacts import with_generated_columns
 
@@ -33,8 +34,24 @@ def _shift(c):
     return c + F.make_dt_interval(F.lit(SHIFT_DAYS))
 
 
+# schemas of the input tables already read in this process, keyed by path, size and modification time
+_RAW_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table; its schema is inferred once per file version and then passed to the reader."""
+    path = f"{sf_dir}/{name}.parquet"
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    st = fs.getFileStatus(p)
+    key = (path, st.getLen(), st.getModificationTime())
+    schema = _RAW_SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _RAW_SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:

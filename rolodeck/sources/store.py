@@ -12,10 +12,12 @@ half-written attempt is never read and a lost executor only costs a retry.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
 from rolodeck.session import staging_path
 from rolodeck.sources import fixtures as fx
@@ -24,6 +26,7 @@ from rolodeck.sources.contacts import write_contacts
 INPUTS = ("customer", "part", "orders", "events", "supplier")
 TABLES = ("contacts", "tags", "contact_tags", "activity", "import_jobs")
 MARKER = "_READY"
+SCHEMAS = "_SCHEMAS"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -42,28 +45,41 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
-def _read_marker(spark: SparkSession, base: str) -> str | None:
-    p, fs = _fs(spark, os.path.join(base, MARKER))
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    p, fs = _fs(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
     try:
-        reader = spark.sparkContext._jvm.java.io.BufferedReader(spark.sparkContext._jvm.java.io.InputStreamReader(stream))
-        return reader.readLine()
+        reader = spark.sparkContext._jvm.java.io.BufferedReader(spark.sparkContext._jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        lines = []
+        line = reader.readLine()
+        while line is not None:
+            lines.append(line)
+            line = reader.readLine()
+        return "\n".join(lines)
     finally:
         stream.close()
 
 
+def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
+    p, fs = _fs(spark, path)
+    out = fs.create(p, overwrite)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def _read_marker(spark: SparkSession, base: str) -> str | None:
+    return _read_text(spark, os.path.join(base, MARKER))
+
+
 def _write_marker(spark: SparkSession, base: str, attempt: str) -> str:
-    p, fs = _fs(spark, os.path.join(base, MARKER))
     try:
-        out = fs.create(p, False)  # fails if another writer published first
+        _write_text(spark, os.path.join(base, MARKER), attempt, overwrite=False)  # fails if another writer published first
     except Exception:  # noqa: BLE001
         return _read_marker(spark, base)
-    try:
-        out.write(bytearray(attempt.encode()))
-    finally:
-        out.close()
     return attempt
 
 
@@ -76,6 +92,17 @@ def build(spark: SparkSession, sf_dir: str, attempt_dir: str) -> None:
     (m.activity.repartitionByRange("account_id", "created_at", "id").sortWithinPartitions("account_id", "created_at", "id")
      .write.mode("overwrite").parquet(os.path.join(attempt_dir, "activity")))
     m.import_jobs.write.mode("overwrite").parquet(os.path.join(attempt_dir, "import_jobs"))
+    _record_schemas(spark, attempt_dir)
+
+
+def _record_schemas(spark: SparkSession, attempt_dir: str) -> str:
+    """Write the tables' schemas next to them, so readers pass them instead of
+    inferring them (a footer-reading job per table and query). The content
+    comes from the files, so concurrent writers write the same text."""
+    schemas = {t: json.loads(spark.read.parquet(os.path.join(attempt_dir, t)).schema.json()) for t in TABLES}
+    text = json.dumps(schemas)
+    _write_text(spark, os.path.join(attempt_dir, SCHEMAS), text)
+    return text
 
 
 def stored_model(spark: SparkSession, sf_dir: str) -> fx.Model:
@@ -86,6 +113,10 @@ def stored_model(spark: SparkSession, sf_dir: str) -> fx.Model:
         attempt_dir = os.path.join(base, f"attempt-{uuid.uuid4().hex[:12]}")
         build(spark, sf_dir, attempt_dir)
         attempt = _write_marker(spark, base, attempt_dir)
-    read = {t: spark.read.parquet(os.path.join(attempt, t)) for t in TABLES}
+    text = _read_text(spark, os.path.join(attempt, SCHEMAS))
+    if text is None:  # a store written before schemas were recorded: record them once
+        text = _record_schemas(spark, attempt)
+    schemas = {t: StructType.fromJson(v) for t, v in json.loads(text).items()}
+    read = {t: spark.read.schema(schemas[t]).parquet(os.path.join(attempt, t)) for t in TABLES}
     return fx.Model(**read)
 
