@@ -42,3 +42,20 @@ def test_query_matches_oracle(spark, duck, name):
     drows = rel.fetchall()
     assert sorted(df.columns) == sorted(rel.columns)
     assert digest(df.columns, srows)[0] == digest(rel.columns, drows)[0]
+
+
+def test_opening_the_store_runs_no_job(spark):
+    # the store records its schemas and input schemas are kept per file version:
+    # opening the model and an input table plans queries without any Spark job
+    from rolodeck.sources.fixtures import load_model, raw
+
+    load_model(spark, SF)
+    raw(spark, SF, "events")
+    spark.sparkContext.setJobGroup("open-store", "open-store")
+    try:
+        m = load_model(spark, SF)
+        raw(spark, SF, "events")
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("open-store") == []
+        assert m.contacts.count() > 0
+    finally:
+        spark.sparkContext.setJobGroup("", "")
