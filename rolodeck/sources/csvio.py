@@ -151,15 +151,15 @@ def export_lines(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame,
     df = L.list_filtered(contacts, tags, contact_tags, q, as_of)
     top = L.top_n_per_group(df, ["account_id"], L.sort_columns(sort, q.order), cap, out="pos")
     tl = L.contact_tag_list(contact_tags, tags, top.select("id")).withColumnRenamed("contact_id", "id")
-    rows = top.join(tl, "id", "left").select(
-        "account_id", F.col("pos").cast("long").alias("pos"),
-        csv_line(["first_name", "last_name", "email", "phone", "company",
-                  F.array_join(F.coalesce(F.transform("tags", lambda t: t["name"]), F.array().cast("array<string>")), ";")]).alias("line"),
-    )
-    header = rows.select("account_id").distinct().select(
-        "account_id", F.lit(0).cast("long").alias("pos"),
-        F.concat(F.lit(BOM), csv_line_from_array(F.array(*[F.lit(h) for h in EXPORT_HEADER]))).alias("line"))
-    return header.unionByName(rows)
+    row = F.struct(F.col("pos").cast("long").alias("pos"), csv_line([
+        "first_name", "last_name", "email", "phone", "company",
+        F.array_join(F.coalesce(F.transform("tags", lambda t: t["name"]), F.array().cast("array<string>")), ";")]).alias("line"))
+    header = F.struct(F.lit(0).cast("long").alias("pos"),
+                      F.concat(F.lit(BOM), csv_line_from_array(F.array(*[F.lit(h) for h in EXPORT_HEADER]))).alias("line"))
+    # each account's first row also emits the header line, so no second pass over the ranked rows finds the accounts
+    lines = top.join(tl, "id", "left").select(
+        "account_id", F.explode(F.when(F.col("pos") == 1, F.array(header, row)).otherwise(F.array(row))).alias("l"))
+    return lines.select("account_id", "l.pos", "l.line")
 
 
 def write_export(lines: DataFrame, path: str) -> None:
