@@ -131,15 +131,16 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
     snap = contacts.select("id", "account_id", "version", "deleted_at", *fields, "created_at")
     # tenant check: a command for another account's contact is NOT_FOUND
     start = snap.select(
-        F.col("id").alias("contact_id"), "account_id", F.col("email").alias("_cur_email"),
+        F.col("id").alias("contact_id"), "account_id", F.lit(True).alias("_found"), F.col("email").alias("_cur_email"),
         F.col("version").cast("int").alias("_s_version"), F.col("deleted_at").isNotNull().alias("_s_deleted"),
         *[F.col(f).alias(f"_s_{f}") for f in fields],
     )
-    found = cmds.join(start, ["contact_id", "account_id"])
-    missing = cmds.join(snap.select(F.col("id").alias("contact_id"), "account_id"), ["contact_id", "account_id"], "left_anti")
+    # one pass over the batch: commands without a contact in their account stay in it and come out NOT_FOUND
+    judged = cmds.join(start, ["contact_id", "account_id"], "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
 
-    claim = F.when(F.col("kind") == "update", F.when(F.col("email_set"), F.col("email"))).when(F.col("kind") == "restore", F.col("_cur_email"))
-    claims = found.withColumn("_claim", claim)
+    claim = F.when(~F.col("_found"), F.lit(None)).when(F.col("kind") == "update", F.when(F.col("email_set"), F.col("email"))) \
+        .when(F.col("kind") == "restore", F.col("_cur_email"))
+    claims = judged.withColumn("_claim", claim)
     owners = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_claim"), F.col("id").alias("_owner"))
     c2 = claims.join(owners, ["account_id", "_claim"], "left")
     first_claim = c2.filter(F.col("_claim").isNotNull() & (F.col("_owner").isNull() | (F.col("_owner") == F.col("contact_id")))) \
@@ -154,13 +155,12 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
         F.col("seq").cast("bigint").alias("seq"), "contact_id", "account_id", "kind",
         *fields, *[F.coalesce(F.col(f"{f}_set"), F.lit(False)).alias(f"{f}_set") for f in fields],
         F.col("expected_version").cast("int").alias("expected_version"), "email_lost",
-        "_s_version", "_s_deleted", *[f"_s_{f}" for f in fields],
+        "_found", "_s_version", "_s_deleted", *[f"_s_{f}" for f in fields],
     )
     ordered = fold_in.repartition("contact_id").sortWithinPartitions("contact_id", "seq")
     folded = ordered.mapInPandas(versionfold.fold_sorted, _fold_schema(fold_in))
 
-    outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version").unionByName(
-        missing.select("seq", "contact_id", "kind", F.lit(NOT_FOUND).alias("outcome"), F.lit(None).cast("int").alias("version")))
+    outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version")
 
     ts = P.ts_lit(as_of)
     applied = folded.filter(F.col("outcome") == APPLIED)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 # Editable fields and outcome codes (same as in changes.py).
 FIELDS = ("first_name", "last_name", "email", "phone", "company")
-APPLIED, NO_CHANGE = "APPLIED", "NO_CHANGE"
+APPLIED, NO_CHANGE, NOT_FOUND = "APPLIED", "NO_CHANGE", "NOT_FOUND"
 IN_TRASH, CONFLICT, EMAIL_TAKEN = "CONTACT_DELETED", "VERSION_CONFLICT", "EMAIL_TAKEN"
 ALREADY_DELETED, ALREADY_ACTIVE = "ALREADY_DELETED", "ALREADY_ACTIVE"
 
@@ -28,23 +28,31 @@ PASS = ("seq", "contact_id", "account_id", "kind", *FIELDS, *(f"{f}_set" for f i
 def fold_sorted(batches):
     """Judge every command against its contact's running state.
 
-    Input columns: PASS, ``expected_version``, ``email_lost`` and the
-    snapshot state ``_s_version``, ``_s_deleted``, ``_s_<field>``. Output:
-    PASS + ``outcome``, ``version`` (after the command), ``deleted`` (after)
-    and ``b_<field>`` = field values before an applied command (null for
-    commands that were not applied).
+    Input columns: PASS, ``expected_version``, ``email_lost``, ``_found``
+    (the contact exists in the command's account) and the snapshot state
+    ``_s_version``, ``_s_deleted``, ``_s_<field>``. Output: PASS +
+    ``outcome``, ``version`` (after the command), ``deleted`` (after) and
+    ``b_<field>`` = field values before an applied command (null for
+    commands that were not applied). A command whose contact is not found
+    is NOT_FOUND and leaves the running state alone (its id may belong to
+    a contact of another account).
     """
+    import pandas as pd
+
     cur = object()
     version, deleted, state = 0, False, {}
     for pdf in batches:
         n = len(pdf)
-        col = {c: pdf[c].tolist() for c in ("contact_id", "kind", "expected_version", "email_lost", "_s_version", "_s_deleted")}
+        col = {c: pdf[c].tolist() for c in ("contact_id", "kind", "expected_version", "email_lost", "_found", "_s_version", "_s_deleted")}
         val = {f: pdf[f].tolist() for f in FIELDS}
         has = {f: pdf[f"{f}_set"].tolist() for f in FIELDS}
         snap = {f: pdf[f"_s_{f}"].tolist() for f in FIELDS}
-        outcome, after_version, after_deleted = [None] * n, [0] * n, [False] * n
+        outcome, after_version, after_deleted = [None] * n, [None] * n, [None] * n
         before = {f: [None] * n for f in FIELDS}
         for i in range(n):
+            if not col["_found"][i]:
+                outcome[i] = NOT_FOUND
+                continue
             if col["contact_id"][i] != cur:
                 cur = col["contact_id"][i]
                 version, deleted = int(col["_s_version"][i]), bool(col["_s_deleted"][i])
@@ -87,8 +95,8 @@ def fold_sorted(batches):
             outcome[i], after_version[i], after_deleted[i] = out, version, deleted
         res = pdf[list(PASS)].copy()
         res["outcome"] = outcome
-        res["version"] = after_version
-        res["deleted"] = after_deleted
+        res["version"] = pd.array(after_version, dtype="Int32")
+        res["deleted"] = pd.array(after_deleted, dtype="boolean")
         for f in FIELDS:
             res[f"b_{f}"] = before[f]
         yield res

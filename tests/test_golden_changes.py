@@ -154,3 +154,18 @@ def test_hot_contact_chain_streams_across_batches(spark):
     assert nxt[1].version == 1001 and nxt[1].company == "C2997" and nxt[1].deleted_at is None
     assert nxt[2].version == 51 and nxt[2].deleted_at is None
     assert n_events == 1000 + 50
+
+
+def test_foreign_account_commands_do_not_touch_the_chain(spark):
+    # contact 1 is in account 0; account 1's commands for it are NOT_FOUND, sit inside the
+    # chain without breaking it, and their e-mail claim does not beat contact 2's
+    c = make_contacts(spark, [dict(id=1, first="A", last="L", company="A", created=T0),
+                              dict(id=2, first="B", last="L", created=T0)])
+    got, out = outcomes(spark, c, [
+        cmd(1, 1, "update", 1, company="X"),
+        cmd(2, 1, "update", 2, account=1, email="new@x.io"),
+        cmd(3, 1, "update", 2, company="Y"),
+        cmd(4, 2, "update", 1, email="new@x.io"),
+    ])
+    assert got == {1: ("APPLIED", 2), 2: ("NOT_FOUND", None), 3: ("APPLIED", 3), 4: ("APPLIED", 2)}
+    assert {r.id: (r.version, r.company, r.email) for r in out["next_contacts"].collect()} == {1: (3, "Y", None), 2: (2, None, "new@x.io")}
