@@ -71,11 +71,11 @@ def apply_create(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -
     contact, or claimed by an earlier command of the batch, is EMAIL_TAKEN and
     writes nothing. ``commands``: seq, account_id, new_id, first_name,
     last_name, email, phone, company."""
-    c = normalise_fields(commands)
-    taken = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", "email").distinct()
-    free = c.join(taken, ["account_id", "email"], "left_anti")
-    first = free.filter(F.col("email").isNotNull()).groupBy("account_id", "email").agg(F.min("seq").alias("_first"))
-    judged = c.join(first, ["account_id", "email"], "left").withColumn(
+    c = normalise_fields(commands).withColumn("_k", P.spread_nulls(F.col("email"), F.col("seq")))
+    taken = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_k")).distinct()
+    free = c.join(taken, ["account_id", "_k"], "left_anti")
+    first = free.filter(F.col("email").isNotNull()).groupBy("account_id", "_k").agg(F.min("seq").alias("_first"))
+    judged = c.join(first, ["account_id", "_k"], "left").drop("_k").withColumn(
         "outcome",
         F.when(F.col("email").isNull() | (F.col("seq") == F.col("_first")), APPLIED).otherwise(EMAIL_TAKEN),
     )
@@ -140,13 +140,14 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
 
     claim = F.when(~F.col("_found"), F.lit(None)).when(F.col("kind") == "update", F.when(F.col("email_set"), F.col("email"))) \
         .when(F.col("kind") == "restore", F.col("_cur_email"))
-    claims = judged.withColumn("_claim", claim)
-    owners = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_claim"), F.col("id").alias("_owner"))
-    c2 = claims.join(owners, ["account_id", "_claim"], "left")
+    # most commands claim no e-mail: their null key is spread so they do not all hash to one partition
+    claims = judged.withColumn("_claim", claim).withColumn("_ck", P.spread_nulls(F.col("_claim"), F.col("seq")))
+    owners = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_ck"), F.col("id").alias("_owner"))
+    c2 = claims.join(owners, ["account_id", "_ck"], "left")
     first_claim = c2.filter(F.col("_claim").isNotNull() & (F.col("_owner").isNull() | (F.col("_owner") == F.col("contact_id")))) \
-        .groupBy("account_id", "_claim").agg(F.min_by("contact_id", "seq").alias("_winner"))
+        .groupBy("account_id", "_ck").agg(F.min_by("contact_id", "seq").alias("_winner"))
     # the contact whose claim comes first wins the e-mail; its own later commands do not compete with it
-    c3 = c2.join(first_claim, ["account_id", "_claim"], "left").withColumn(
+    c3 = c2.join(first_claim, ["account_id", "_ck"], "left").withColumn(
         "email_lost",
         F.coalesce(F.col("_claim").isNotNull() & ((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("contact_id")))
                                                   | (F.col("_winner") != F.col("contact_id"))), F.lit(False)),

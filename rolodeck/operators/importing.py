@@ -437,16 +437,19 @@ def apply_create(reviewed: DataFrame, contacts: DataFrame, tags: DataFrame, cont
     on. Returns new_contacts, new_tags, new_links, activity, errors."""
     ok = reviewed.filter((F.col("mode") == "create") & (F.size("errors") == 0))
     taken = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_e"))
-    keyed = ok.withColumn("_e", F.col("v.email"))
-    free = keyed.join(taken, ["account_id", "_e"], "left_anti")
+    # rows without an e-mail get a unique key, so they spread over partitions instead of sharing the null one
+    keyed = ok.withColumn("_e", F.col("v.email")).withColumn(
+        "_ek", P.spread_nulls(F.col("_e"), F.concat_ws(":", F.col("job_id"), F.col("row_number"))))
+    taken_k = taken.withColumnRenamed("_e", "_ek")
+    free = keyed.join(taken_k, ["account_id", "_ek"], "left_anti")
     # rows of several create jobs may claim one new e-mail: as when the jobs run one
     # after another, the first (job_id, row_number) creates the contact and the
     # later ones find it taken. An e-mail appears at most once per file (W1), so
     # the window holds at most one row per job.
-    first = F.row_number().over(Window.partitionBy("account_id", "_e").orderBy("job_id", "row_number"))
-    free = free.withColumn("_k", F.when(F.col("_e").isNull(), F.lit(1)).otherwise(first))
-    lost = keyed.join(taken, ["account_id", "_e"], "left_semi").unionByName(free.filter(F.col("_k") > 1).drop("_k"))
-    kept = free.filter(F.col("_k") == 1).drop("_k").withColumn("contact_id", new_contact_id(F.col("job_id"), F.col("row_number")))
+    first = F.row_number().over(Window.partitionBy("account_id", "_ek").orderBy("job_id", "row_number"))
+    free = free.withColumn("_k", first)
+    lost = keyed.join(taken_k, ["account_id", "_ek"], "left_semi").unionByName(free.filter(F.col("_k") > 1).drop("_k")).drop("_ek")
+    kept = free.filter(F.col("_k") == 1).drop("_k", "_ek").withColumn("contact_id", new_contact_id(F.col("job_id"), F.col("row_number")))
     ts = P.ts_lit(as_of)
     new_contacts = with_generated_columns(kept.select(
         F.col("contact_id").alias("id"), "account_id", F.col("v.first_name").alias("first_name"), F.col("v.last_name").alias("last_name"),

@@ -134,3 +134,12 @@ def attention(contacts: DataFrame, contact_tags: DataFrame, which: str, as_of: d
     if which == "duplicate_phone":
         return duplicate_phone(contacts)
     raise ValueError(f"unknown attention filter {which!r}")
+
+
+def spread_nulls(key: Column, salt: Column) -> Column:
+    """Join / window key for an optional text value (e-mail, claim). A null
+    matches nothing; a unique NUL-prefixed text, which no stored value can
+    equal, gives the same left, anti and semi join results while spreading
+    the rows without a value over all partitions instead of hashing them all
+    to one."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), salt.cast("string")))
