@@ -101,7 +101,12 @@ def _record_schemas(spark: SparkSession, attempt_dir: str) -> str:
     comes from the files, so concurrent writers write the same text."""
     schemas = {t: json.loads(spark.read.parquet(os.path.join(attempt_dir, t)).schema.json()) for t in TABLES}
     text = json.dumps(schemas)
-    _write_text(spark, os.path.join(attempt_dir, SCHEMAS), text)
+    # written under a temporary name and renamed, so a reader never sees half a file
+    tmp = os.path.join(attempt_dir, f"{SCHEMAS}.tmp-{uuid.uuid4().hex[:8]}")
+    _write_text(spark, tmp, text)
+    tp, fs = _fs(spark, tmp)
+    if not fs.rename(tp, _fs(spark, os.path.join(attempt_dir, SCHEMAS))[0]):
+        fs.delete(tp, False)  # another reader recorded the same schemas first
     return text
 
 
@@ -114,9 +119,13 @@ def stored_model(spark: SparkSession, sf_dir: str) -> fx.Model:
         build(spark, sf_dir, attempt_dir)
         attempt = _write_marker(spark, base, attempt_dir)
     text = _read_text(spark, os.path.join(attempt, SCHEMAS))
-    if text is None:  # a store written before schemas were recorded: record them once
-        text = _record_schemas(spark, attempt)
-    schemas = {t: StructType.fromJson(v) for t, v in json.loads(text).items()}
+    try:
+        recorded = json.loads(text) if text else None
+    except ValueError:
+        recorded = None
+    if recorded is None:  # a store written before schemas were recorded: record them once
+        recorded = json.loads(_record_schemas(spark, attempt))
+    schemas = {t: StructType.fromJson(v) for t, v in recorded.items()}
     read = {t: spark.read.schema(schemas[t]).parquet(os.path.join(attempt, t)) for t in TABLES}
     return fx.Model(**read)
 
