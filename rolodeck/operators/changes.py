@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from rolodeck.functions.text import trim_lower, trim_to_null
 from rolodeck.functions.jsonpayload import json_object
@@ -245,10 +245,22 @@ def bulk_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, requ
 
 
 def bulk_result_sets(contacts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per account, the sorted array of matched ids and the count of active ones."""
-    req = requests.select("account_id", "id").distinct()
-    hit = contacts.select("account_id", "id", "deleted_at").join(req, ["account_id", "id"], "left_semi")
-    return hit.groupBy("account_id").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count_if(P.is_active()).alias("affected"))
+    """Per bulk request, the sorted array of its ids that exist in its
+    account and how many of them are active. ``requests``: request_id,
+    account_id, id. A request of more than 1,000 distinct ids is refused (as
+    the reference's validation does), so an array never exceeds 1,000 ids,
+    whatever the size of the table or of the batch."""
+    req = requests.select("request_id", "account_id", "id").distinct()
+    sizes = req.groupBy("request_id", "account_id").agg(F.count(F.lit(1)).alias("requested"))
+    ok = req.join(sizes.filter(F.col("requested") <= BULK_MAX_IDS).select("request_id"), "request_id", "left_semi")
+    hit = ok.join(contacts.select("account_id", "id", "deleted_at"), ["account_id", "id"])
+    res = hit.groupBy("request_id").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.count_if(P.is_active()).alias("affected"))
+    valid = F.col("requested") <= BULK_MAX_IDS
+    return sizes.join(res, "request_id", "left").select(
+        "request_id", "account_id", "requested", (~valid).alias("refused"),
+        F.when(valid, F.coalesce("ids", F.array().cast(ArrayType(requests.schema["id"].dataType)))).alias("ids"),
+        F.when(valid, F.coalesce("affected", F.lit(0))).alias("affected"),
+    )
 
 
 # ---------------------------------------------------------------- M6 / M7 tags

@@ -95,11 +95,14 @@ def q_apply_create(spark, sf):
 
 
 def bulk_requests(spark, sf):
+    """Bulk requests from big orders: one request per account and order month (``request_id``)."""
     o = raw(spark, sf, "orders")
+    acc = (F.col("o_orderkey") % 2).cast("int")
+    rid = F.concat(acc.cast("string"), F.lit(":"), F.date_format("o_orderdate", "yyyy-MM")).alias("request_id")
     real = o.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 350000)).select(
-        (F.col("o_orderkey") % 2).cast("int").alias("account_id"), F.col("o_custkey").alias("id"))
+        rid, acc.alias("account_id"), F.col("o_custkey").alias("id"))
     ghost = o.filter(F.col("o_totalprice") > 490000).select(
-        (F.col("o_orderkey") % 2).cast("int").alias("account_id"), (F.col("o_orderkey") + 1_000_000_000).alias("id"))
+        rid, acc.alias("account_id"), (F.col("o_orderkey") + 1_000_000_000).alias("id"))
     return real.unionByName(ghost).withColumn("tag_name", F.when(F.col("account_id") == 0, "urgent").otherwise("Big Spender"))
 
 
@@ -119,7 +122,8 @@ def q_bulk_not_found(spark, sf):
 
 def q_bulk_result_sets(spark, sf):
     r = C.bulk_result_sets(load_model(spark, sf).contacts, bulk_requests(spark, sf))
-    return r.select("account_id", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "affected")
+    return r.select("request_id", "account_id", "requested", "refused",
+                    F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "affected")
 
 
 def tag_commands(spark, sf, m):
@@ -223,9 +227,11 @@ _TRIM = "regexp_replace({x}, '^[\\t\\n\\x0B\\f\\r\\p{{Z}}\\x{{FEFF}}]+|[\\t\\n\\
 
 _REQ = """
 requests AS (
-  SELECT CAST(o_orderkey % 2 AS INTEGER) AS account_id, o_custkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 350000
+  SELECT CAST(o_orderkey % 2 AS VARCHAR) || ':' || strftime(o_orderdate, '%Y-%m') AS request_id,
+         CAST(o_orderkey % 2 AS INTEGER) AS account_id, o_custkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 350000
   UNION ALL
-  SELECT CAST(o_orderkey % 2 AS INTEGER), o_orderkey + 1000000000 FROM orders WHERE o_totalprice > 490000
+  SELECT CAST(o_orderkey % 2 AS VARCHAR) || ':' || strftime(o_orderdate, '%Y-%m'),
+         CAST(o_orderkey % 2 AS INTEGER), o_orderkey + 1000000000 FROM orders WHERE o_totalprice > 490000
 ),
 req AS (SELECT DISTINCT account_id, id, CASE WHEN account_id = 0 THEN 'urgent' ELSE 'Big Spender' END AS tag_name FROM requests)
 """
@@ -281,8 +287,15 @@ ORACLE = {
         SELECT DISTINCT account_id, id FROM req q
         WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE c.account_id = q.account_id AND c.id = q.id)""", extra_ctes=_REQ),
     "bulk_result_sets": with_fixtures("""
-        SELECT c.account_id, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.id) AS ids, count(*) FILTER (WHERE c.deleted_at IS NULL) AS affected
-        FROM contacts c JOIN (SELECT DISTINCT account_id, id FROM req) q ON q.account_id = c.account_id AND q.id = c.id GROUP BY 1""",
+        SELECT s.request_id, s.account_id, s.requested, s.requested > 1000 AS refused,
+               CASE WHEN s.requested <= 1000 THEN coalesce(h.ids, '') END AS ids,
+               CASE WHEN s.requested <= 1000 THEN coalesce(h.affected, 0) END AS affected
+        FROM (SELECT request_id, account_id, count(*) AS requested
+              FROM (SELECT DISTINCT request_id, account_id, id FROM requests) GROUP BY 1, 2) s
+        LEFT JOIN (SELECT q.request_id, string_agg(CAST(c.id AS VARCHAR), ',' ORDER BY c.id) AS ids,
+                          count(*) FILTER (WHERE c.deleted_at IS NULL) AS affected
+                   FROM (SELECT DISTINCT request_id, account_id, id FROM requests) q
+                   JOIN contacts c ON c.account_id = q.account_id AND c.id = q.id GROUP BY 1) h ON h.request_id = s.request_id""",
         extra_ctes=_REQ),
     "remove_tag": with_fixtures("""
         SELECT DISTINCT x.contact_id, '{"tag":{"id":' || CAST(t.id AS VARCHAR) || ',"name":"' || t.name || '"}}' AS payload

@@ -169,3 +169,13 @@ def test_foreign_account_commands_do_not_touch_the_chain(spark):
     ])
     assert got == {1: ("APPLIED", 2), 2: ("NOT_FOUND", None), 3: ("APPLIED", 3), 4: ("APPLIED", 2)}
     assert {r.id: (r.version, r.company, r.email) for r in out["next_contacts"].collect()} == {1: (3, "Y", None), 2: (2, None, "new@x.io")}
+
+
+def test_bulk_result_sets_per_request(spark):
+    c = make_contacts(spark, [dict(id=1, first="A", last="L", created=T0), dict(id=2, first="B", last="L", created=T0, deleted=T0),
+                              dict(id=3, first="C", last="L", created=T0, account=1)])
+    reqs = [("r1", 0, 1), ("r1", 0, 2), ("r1", 0, 2), ("r1", 0, 3), ("r2", 0, 9)] + [("big", 0, i) for i in range(1001)]
+    out = C.bulk_result_sets(c, spark.createDataFrame(reqs, "request_id string, account_id int, id long"))
+    got = {r.request_id: (r.requested, r.refused, r.ids, r.affected) for r in out.collect()}
+    # id 3 belongs to another account; r2 matches nothing; a request of more than 1,000 ids is refused
+    assert got == {"r1": (3, False, [1, 2], 1), "r2": (1, False, [], 0), "big": (1001, True, None, None)}
