@@ -59,15 +59,15 @@ def accounts_of(*dfs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- A1 / A7
 
 
-def quality_pack(contacts: DataFrame, contact_tags: DataFrame, as_of: dt.datetime, range_days: int = 30,
-                 include_trash: bool = False) -> DataFrame:
-    """A1 (and A7 when ``include_trash``): one pass over contacts per account.
+QUALITY_ORDER = ["active", "new_in_range", "new_prev", "with_email", "with_phone", "with_company", "no_contact", "untagged", "stale"]
 
-    Each contact is first reduced to its id, account and the boolean tests
-    the counts need, so the join with the distinct linked ids (broadcast by
-    AQE when small, else shuffled) moves a few bytes per contact, not the
-    contact row; the counts are then map-side partial ``count_if``.
-    """
+
+def _quality_flags(contacts: DataFrame, contact_tags: DataFrame, as_of: dt.datetime, range_days: int,
+                   include_trash: bool, *extra: Column) -> tuple[DataFrame, list[str]]:
+    """Each contact reduced to its account, the boolean tests of the quality
+    pack and ``_tagged``, so the join with the distinct linked ids (broadcast
+    by AQE when small, else shuffled) moves a few bytes per contact, not the
+    contact row. Returns the frame and the names of the tests."""
     start, prev, _, _ = window_bounds(as_of, range_days)
     active = P.is_active()
     tests = {
@@ -82,13 +82,19 @@ def quality_pack(contacts: DataFrame, contact_tags: DataFrame, as_of: dt.datetim
     }
     if include_trash:
         tests["in_trash"] = P.is_trashed()
-    flags = contacts.select("id", "account_id", *[v.alias(f"_{k}") for k, v in tests.items()])
+    flags = contacts.select("id", "account_id", *extra, *[v.alias(f"_{k}") for k, v in tests.items()])
     tagged = contact_tags.select(F.col("contact_id").alias("id")).distinct().withColumn("_tagged", F.lit(True))
-    counts = {k: F.count_if(F.col(f"_{k}")).alias(k) for k in tests}
-    counts["untagged"] = F.count_if(F.col("_active") & F.col("_tagged").isNull()).alias("untagged")
-    order = ["active", "new_in_range", "new_prev", "with_email", "with_phone", "with_company", "no_contact", "untagged", "stale"]
-    out = flags.join(tagged, "id", "left").groupBy("account_id").agg(
-        *[counts[k] for k in order], *([counts["in_trash"]] if include_trash else []))
+    out = flags.join(tagged, "id", "left").withColumn("_untagged", F.col("_active") & F.col("_tagged").isNull())
+    names = [k for k in QUALITY_ORDER] + (["in_trash"] if include_trash else [])
+    return out, names
+
+
+def quality_pack(contacts: DataFrame, contact_tags: DataFrame, as_of: dt.datetime, range_days: int = 30,
+                 include_trash: bool = False) -> DataFrame:
+    """A1 (and A7 when ``include_trash``): one pass over contacts per account;
+    the counts are map-side partial ``count_if`` over the boolean tests."""
+    flags, names = _quality_flags(contacts, contact_tags, as_of, range_days, include_trash)
+    out = flags.groupBy("account_id").agg(*[F.count_if(F.col(f"_{k}")).alias(k) for k in names])
     return out if include_trash else out.filter(F.col("active") > 0)
 
 
@@ -308,39 +314,55 @@ def metrics_document(contacts: DataFrame, tags: DataFrame, contact_tags: DataFra
                      jobs: DataFrame, as_of: dt.datetime, range_days: int = 30) -> DataFrame:
     """The whole dashboard payload, one row per account.
 
-    Activity is scanned once (rolled up per account, type and day, then
-    A3/A4/A11 are read off that small rollup), jobs once, and contacts for
-    the quality pack (A1+A7), duplicate phones (A6), the created-per-day
-    series (A2) and the top tags (A5). The list of accounts is a full outer
-    join of those aggregates, and the daily series is generated per account
-    row from the window's day sequence and day → count maps, so no branch
-    re-reads a table for account ids alone. Arrays are built from
-    already-aggregated rows (≤ 90 days, ≤ 10 tags, 6 types per account).
+    Each rollup has one consumer, so neither column pruning nor a pushed
+    filter gives a branch its own scan: activity is scanned once (rolled up
+    per account, type and day, then A3/A4/A11 are read off one per-account
+    aggregate), jobs once, and contacts for the quality pack with the
+    created-per-day map (A1+A7+A2), duplicate phones (A6) and the top tags
+    (A5). The list of accounts is a full outer join of those aggregates, and
+    the daily series is generated per account row from the window's day
+    sequence and day → count maps. Arrays are built from already-aggregated
+    rows (≤ 6 types × 90 days, ≤ 10 tags per account).
     """
     start, _, first, last = window_bounds(as_of, range_days)
-    q = quality_pack(contacts, contact_tags, as_of, range_days, include_trash=True)
+    last_day = F.lit(last.isoformat())
+    in_window = lambda day: day.isNotNull() & (day <= last_day)
+
+    # contacts: the quality counts per (account, created day in range), then per account; the
+    # created-per-day map (A2) comes from the same pass
+    flags, names = _quality_flags(contacts, contact_tags, as_of, range_days, True,
+                                  F.when(P.is_active() & (F.col("created_at") >= P.ts_lit(start)), utc_day("created_at")).alias("_day"))
+    per_day = flags.groupBy("account_id", "_day").agg(*[F.count_if(F.col(f"_{k}")).alias(k) for k in names])
+    q = per_day.groupBy("account_id").agg(
+        *[F.sum(k).alias(k) for k in names],
+        F.map_from_entries(F.collect_list(F.when(in_window(F.col("_day")), F.struct("_day", "active")))).alias("_cm"))
+
+    # activity: one rollup per (account, type, day in range), read by one per-account aggregate; the
+    # per-type counts, the edits map and the trash counts come off bounded arrays (types × days)
+    roll = _activity_rollup(activity, start)
+    in_range = F.col("day").isNotNull()
+    act = roll.groupBy("account_id").agg(
+        F.collect_list(F.when(in_range, F.struct("type", "n"))).alias("_tn"),
+        F.map_from_entries(F.collect_list(F.when((F.col("type") == "CONTACT_UPDATED") & in_window(F.col("day")),
+                                                 F.struct("day", "n")))).alias("_em"))
+
+    def type_total(t) -> Column:
+        return F.aggregate(F.filter("_tn", lambda x: x["type"] == t), F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
+
+    types = F.array_distinct(F.transform("_tn", lambda x: x["type"]))
+    # by count descending, then type: sort on (−count, type)
+    ranked = F.array_sort(F.transform(types, lambda t: F.struct((-type_total(t)).alias("k"), t.alias("type"))))
+    act = act.select(
+        "account_id", "_em",
+        F.transform(ranked, lambda r: F.struct(r["type"].alias("type"), (-r["k"]).alias("count"))).alias("_a"),
+        type_total(F.lit("CONTACT_DELETED")).alias("_del"), type_total(F.lit("CONTACT_RESTORED")).alias("_res"))
+
     dup = duplicate_phone_groups(contacts)
     imp = _jobs_rollup(jobs, start)
-    roll = _activity_rollup(activity, start)
-    # every account with contacts, activity or jobs, read off the aggregates themselves: the activity
-    # accounts keep the rollup's partial count, so its shuffle is shared rather than re-run on a pruned copy
-    seen = roll.groupBy("account_id").agg(F.sum("n").alias("_events"))
-    base = q.join(imp, "account_id", "full").join(seen, "account_id", "full")
-
-    in_range = roll.filter(F.col("day").isNotNull())
-    by_type = in_range.groupBy("account_id", "type").agg(F.sum("n").alias("n"))
-    by_type = by_type.withColumn("rank", F.row_number().over(Window.partitionBy("account_id").orderBy(F.col("n").desc(), F.col("type"))))
-    act = by_type.groupBy("account_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "type", F.col("n").alias("count")))).alias("_a"),
-        F.sum(F.when(F.col("type") == "CONTACT_DELETED", F.col("n"))).alias("_del"),
-        F.sum(F.when(F.col("type") == "CONTACT_RESTORED", F.col("n"))).alias("_res"),
-    )
-    # the zero-filled daily series: per account a day → count map (≤ range days), read along the window's days
-    last_day = F.lit(last.isoformat())
-    created = created_by_day(contacts, as_of, range_days).filter(F.col("d") <= last_day).groupBy("account_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("d", "n"))).alias("_cm"))
-    edits = in_range.filter((F.col("type") == "CONTACT_UPDATED") & (F.col("day") <= last_day)).groupBy("account_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("_em"))
+    # every account with contacts, activity or jobs
+    base = q.join(imp, "account_id", "full").join(act, "account_id", "full")
+
+    # the zero-filled daily series, read along the window's days from the two day → count maps
     days = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda d: F.date_format(d, "yyyy-MM-dd"))
     daily = F.transform(days, lambda d: F.struct(
         d.alias("date"), F.coalesce(F.col("_cm")[d], F.lit(0)).cast("long").alias("created"),
@@ -349,14 +371,7 @@ def metrics_document(contacts: DataFrame, tags: DataFrame, contact_tags: DataFra
         F.array_sort(F.collect_list(F.struct("rank", "name", F.col("n").alias("count")))).alias("_t")
     )
 
-    j = (
-        base.join(dup, "account_id", "left")
-        .join(tt, "account_id", "left")
-        .join(act, "account_id", "left")
-        .join(created, "account_id", "left")
-        .join(edits, "account_id", "left")
-        .withColumn("daily", daily)
-    )
+    j = base.join(dup, "account_id", "left").join(tt, "account_id", "left").withColumn("daily", daily)
 
     def z(c: str) -> Column:
         return F.coalesce(F.col(c), F.lit(0)).cast("long")
