@@ -47,15 +47,6 @@ def utc_day(c) -> Column:
     return F.date_format(F.to_date(c), "yyyy-MM-dd")
 
 
-def accounts_of(*dfs: DataFrame) -> DataFrame:
-    """Every account that appears in any of the inputs (a small, distinct set)."""
-    out = None
-    for d in dfs:
-        a = d.select("account_id").distinct()
-        out = a if out is None else out.unionByName(a)
-    return out.distinct()
-
-
 # ---------------------------------------------------------------- A1 / A7
 
 
@@ -221,30 +212,32 @@ def metrics_ratios(quality: DataFrame, imports: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- A10 / A11 / W4
 
 
-def day_grid(accounts: DataFrame, as_of: dt.datetime, range_days: int = 30) -> DataFrame:
-    """Every (account, UTC day) of the window: a generator per account row, no join."""
-    _, _, first, last = window_bounds(as_of, range_days)
-    return accounts.select(
-        "account_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day")
-    ).select("account_id", F.date_format("day", "yyyy-MM-dd").alias("date"))
-
-
 def daily_series(contacts: DataFrame, activity: DataFrame, as_of: dt.datetime, range_days: int = 30,
                  accounts: DataFrame | None = None) -> DataFrame:
-    """A10: zero-filled days [as_of − (range − 1) … as_of] with created and edits."""
-    accts = accounts if accounts is not None else accounts_of(contacts, activity)
-    grid = day_grid(accts, as_of, range_days)
-    created = created_by_day(contacts, as_of, range_days).withColumnRenamed("d", "date").withColumnRenamed("n", "created")
-    edits = edits_by_day(activity, as_of, range_days).withColumnRenamed("d", "date").withColumnRenamed("n", "edits")
-    return (
-        grid.join(created, ["account_id", "date"], "left")
-        .join(edits, ["account_id", "date"], "left")
-        .select(
-            "account_id",
-            "date",
-            F.coalesce(F.col("created"), F.lit(0)).cast("long").alias("created"),
-            F.coalesce(F.col("edits"), F.lit(0)).cast("long").alias("edits"),
-        )
+    """A10: zero-filled days [as_of − (range − 1) … as_of] with created and edits.
+
+    One pass per table: counts per (account, day in range), every other row
+    in a null day so each account is listed, then per account a day → count
+    map (≤ range days); the days are generated per account row and read off
+    the two maps. Accounts are those with contacts or activity, or the given
+    ``accounts``."""
+    start, _, first, last = window_bounds(as_of, range_days)
+    last_day = F.lit(last.isoformat())
+    in_range = F.col("created_at") >= P.ts_lit(start)
+
+    def day_map(df: DataFrame, counted: Column, name: str) -> DataFrame:
+        per_day = df.groupBy("account_id", F.when(counted & in_range, utc_day("created_at")).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+        keep = F.col("_d").isNotNull() & (F.col("_d") <= last_day)
+        return per_day.groupBy("account_id").agg(F.map_from_entries(F.collect_list(F.when(keep, F.struct("_d", "_n")))).alias(name))
+
+    base = day_map(contacts, P.is_active(), "_cm").join(day_map(activity, F.col("type") == "CONTACT_UPDATED", "_em"), "account_id", "full")
+    if accounts is not None:
+        base = accounts.select("account_id").distinct().join(base, "account_id", "left")
+    days = F.transform(F.sequence(F.lit(first), F.lit(last)), lambda d: F.date_format(d, "yyyy-MM-dd"))
+    return base.select("account_id", "_cm", "_em", F.explode(days).alias("date")).select(
+        "account_id", "date",
+        F.coalesce(F.col("_cm")[F.col("date")], F.lit(0)).cast("long").alias("created"),
+        F.coalesce(F.col("_em")[F.col("date")], F.lit(0)).cast("long").alias("edits"),
     )
 
 
