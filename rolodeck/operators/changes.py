@@ -190,26 +190,41 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
 # ---------------------------------------------------------------- M5 / M8 bulk, J7, A18
 
 
+def _request_keys(requests: DataFrame) -> tuple[list[str], Column]:
+    """Bulk requests are reported per ``request_id`` when the requests carry
+    one, applied in that order; without it an account's requests count as
+    one request."""
+    if "request_id" in requests.columns:
+        return ["request_id", "account_id"], F.col("request_id")
+    return ["account_id"], F.lit(0)
+
+
 def bulk_delete(contacts: DataFrame, requests: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
-    """M5: trash the requested ids of each account (ids de-duplicated; other
-    accounts' ids are not found). ``requests``: account_id, id."""
-    req = requests.select("account_id", "id").distinct()
-    existing = contacts.select("id", "account_id", "deleted_at").join(req, ["account_id", "id"], "left_semi")
-    to_trash = existing.filter(P.is_active())
+    """M5: trash the requested ids (ids de-duplicated per request; other
+    accounts' ids are not found). ``requests``: [request_id,] account_id, id.
+    An active contact is trashed by the first request naming it; later
+    requests find it already in the trash."""
+    keys, order = _request_keys(requests)
+    req = requests.select(*keys, "id").distinct().withColumn("_order", order)
+    existing = req.join(contacts.select("account_id", "id", "deleted_at"), ["account_id", "id"])
+    first = existing.filter(P.is_active()).groupBy("account_id", "id").agg(F.min("_order").alias("_first"))
+    judged = existing.join(first, ["account_id", "id"], "left").withColumn(
+        "_deletes", P.is_active() & (F.col("_order") == F.col("_first")))
     report = (
-        req.groupBy("account_id").agg(F.count(F.lit(1)).alias("requested"))
-        .join(existing.groupBy("account_id").agg(F.count(F.lit(1)).alias("_existing"), F.count_if(P.is_active()).alias("deleted")), "account_id", "left")
-        .select("account_id", "requested", F.coalesce("deleted", F.lit(0)).alias("deleted"),
+        req.groupBy(*keys).agg(F.count(F.lit(1)).alias("requested"))
+        .join(judged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_existing"), F.count_if("_deletes").alias("deleted")), keys, "left")
+        .select(*keys, "requested", F.coalesce("deleted", F.lit(0)).alias("deleted"),
                 (F.coalesce("_existing", F.lit(0)) - F.coalesce("deleted", F.lit(0))).alias("already_in_trash"),
                 (F.col("requested") - F.coalesce("_existing", F.lit(0))).alias("not_found"))
     )
+    to_trash = first.select("account_id", "id")
     ts = P.ts_lit(as_of)
     changed = contacts.join(to_trash.select("id"), "id", "left_semi").withColumn("version", F.col("version") + 1) \
         .withColumn("deleted_at", ts).withColumn("updated_at", ts)
     activity = to_trash.select(F.xxhash64(F.lit("bulk-delete"), F.col("id")).alias("id"), "account_id", F.col("id").alias("contact_id"),
                                F.lit("CONTACT_DELETED").alias("type"), F.lit('{"bulk":true}').alias("payload"), ts.alias("created_at"))
     return {"next_contacts": changed, "activity": activity, "report": report,
-            "not_found": bulk_not_found(contacts, req)}
+            "not_found": bulk_not_found(contacts, requests)}
 
 
 def bulk_not_found(contacts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -218,10 +233,13 @@ def bulk_not_found(contacts: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def bulk_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, requests: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
-    """M8: tag many contacts with one tag name per account. ``requests``:
-    account_id, id, tag_name. Trashed and foreign ids count as not found; the
-    tag is found case-insensitively (existing casing kept) or created."""
-    req = requests.select("account_id", "id", "tag_name").distinct()
+    """M8: tag many contacts with one tag name. ``requests``: [request_id,]
+    account_id, id, tag_name. Trashed and foreign ids count as not found;
+    the tag is found case-insensitively (existing casing kept) or created.
+    A link is added by the first request that asks for it; later requests
+    find the contact already tagged."""
+    keys, order = _request_keys(requests)
+    req = requests.select(*keys, "id", "tag_name").distinct().withColumn("_order", order)
     names = req.groupBy("account_id", F.lower("tag_name").alias("key")).agg(F.min("tag_name").alias("tag_name"))
     have = tags.select("account_id", F.lower("name").alias("key"), F.col("id").cast("long").alias("tag_id"), F.col("name").alias("have"))
     tag = names.join(have, ["account_id", "key"], "left").select(
@@ -229,12 +247,14 @@ def bulk_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, requ
     target = req.join(contacts.filter(P.is_active()).select("account_id", "id"), ["account_id", "id"], "left_semi") \
         .withColumn("key", F.lower("tag_name")).join(tag, ["account_id", "key"])
     links = contact_tags.select(F.col("contact_id").alias("id"), F.col("tag_id").cast("long").alias("tag_id"))
-    added = target.join(links, ["id", "tag_id"], "left_anti")
-    per = req.groupBy("account_id").agg(F.count(F.lit(1)).alias("requested")).join(
-        target.groupBy("account_id").agg(F.count(F.lit(1)).alias("matched")), "account_id", "left").join(
-        added.groupBy("account_id").agg(F.count(F.lit(1)).alias("added")), "account_id", "left")
+    fresh = target.join(links, ["id", "tag_id"], "left_anti")
+    first = fresh.groupBy("id", "tag_id").agg(F.min("_order").alias("_first"))
+    added = fresh.join(first, ["id", "tag_id"]).filter(F.col("_order") == F.col("_first"))
+    per = req.groupBy(*keys).agg(F.count(F.lit(1)).alias("requested")).join(
+        target.groupBy(*keys).agg(F.count(F.lit(1)).alias("matched")), keys, "left").join(
+        added.groupBy(*keys).agg(F.count(F.lit(1)).alias("added")), keys, "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    report = per.select("account_id", "requested", z("matched").alias("matched"), z("added").alias("added"),
+    report = per.select(*keys, "requested", z("matched").alias("matched"), z("added").alias("added"),
                         (z("matched") - z("added")).alias("already_tagged"), (F.col("requested") - z("matched")).alias("not_found"))
     ts = P.ts_lit(as_of)
     activity = added.select(F.xxhash64(F.lit("bulk-tag"), "id", "tag_id").alias("id"), "account_id", F.col("id").alias("contact_id"),

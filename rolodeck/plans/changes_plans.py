@@ -257,6 +257,22 @@ cc AS (
 )
 """
 
+# bulk requests apply in request order: the first request naming an active contact trashes it / adds the link
+_BULK_DEL = """
+rq AS (SELECT DISTINCT request_id, account_id, id FROM requests),
+ex AS (SELECT q.request_id, q.account_id, q.id, c.deleted_at IS NULL AS active
+       FROM rq q JOIN contacts c ON c.account_id = q.account_id AND c.id = q.id),
+fr AS (SELECT account_id, id, min(request_id) AS first FROM ex WHERE active GROUP BY 1, 2)
+"""
+_BULK_TAG = """
+rqt AS (SELECT DISTINCT request_id, account_id, id, CASE WHEN account_id = 0 THEN 'urgent' ELSE 'Big Spender' END AS tag_name FROM requests),
+tgt AS (SELECT q.request_id, q.account_id, q.id, lower(q.tag_name) AS key, t.id AS tag_id
+        FROM rqt q JOIN contacts c ON c.id = q.id AND c.account_id = q.account_id AND c.deleted_at IS NULL
+        LEFT JOIN tags t ON t.account_id = q.account_id AND lower(t.name) = lower(q.tag_name)),
+fresh AS (SELECT * FROM tgt x
+          WHERE x.tag_id IS NULL OR NOT EXISTS (SELECT 1 FROM contact_tags ct WHERE ct.contact_id = x.id AND ct.tag_id = x.tag_id))
+"""
+
 ORACLE = {
     "apply_create": with_fixtures("""
         SELECT cc.seq, cc.new_id AS contact_id,
@@ -266,23 +282,22 @@ ORACLE = {
           WHERE email IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = cc.account_id AND c.email = cc.email)
           GROUP BY 1, 2) f ON f.account_id = cc.account_id AND f.email = cc.email""", extra_ctes=_ACC + "," + _CREATE),
     "bulk_delete": with_fixtures("""
-        SELECT r.account_id, r.requested, coalesce(e.deleted, 0) AS deleted,
+        SELECT r.request_id, r.account_id, r.requested, coalesce(e.deleted, 0) AS deleted,
                coalesce(e.existing, 0) - coalesce(e.deleted, 0) AS already_in_trash, r.requested - coalesce(e.existing, 0) AS not_found
-        FROM (SELECT account_id, count(*) AS requested FROM (SELECT DISTINCT account_id, id FROM req) GROUP BY 1) r
-        LEFT JOIN (SELECT c.account_id, count(*) AS existing, count(*) FILTER (WHERE c.deleted_at IS NULL) AS deleted
-                   FROM contacts c JOIN (SELECT DISTINCT account_id, id FROM req) q ON q.account_id = c.account_id AND q.id = c.id GROUP BY 1) e
-          ON e.account_id = r.account_id""", extra_ctes=_REQ),
+        FROM (SELECT request_id, account_id, count(*) AS requested FROM rq GROUP BY 1, 2) r
+        LEFT JOIN (SELECT ex.request_id, count(*) AS existing,
+                          count(*) FILTER (WHERE ex.active AND ex.request_id = fr.first) AS deleted
+                   FROM ex LEFT JOIN fr ON fr.account_id = ex.account_id AND fr.id = ex.id GROUP BY 1) e
+          ON e.request_id = r.request_id""", extra_ctes=_REQ + "," + _BULK_DEL),
     "bulk_tag": with_fixtures("""
-        SELECT r.account_id, r.requested, coalesce(t.matched, 0) AS matched, coalesce(t.added, 0) AS added,
-               coalesce(t.matched, 0) - coalesce(t.added, 0) AS already_tagged, r.requested - coalesce(t.matched, 0) AS not_found
-        FROM (SELECT account_id, count(*) AS requested FROM req GROUP BY 1) r
-        LEFT JOIN (
-          SELECT q.account_id, count(*) AS matched,
-                 count(*) FILTER (WHERE NOT EXISTS (
-                   SELECT 1 FROM contact_tags ct JOIN tags tg ON tg.id = ct.tag_id
-                   WHERE ct.contact_id = q.id AND tg.account_id = q.account_id AND lower(tg.name) = lower(q.tag_name))) AS added
-          FROM req q JOIN contacts c ON c.id = q.id AND c.account_id = q.account_id AND c.deleted_at IS NULL GROUP BY 1) t
-          ON t.account_id = r.account_id""", extra_ctes=_REQ),
+        SELECT r.request_id, r.account_id, r.requested, coalesce(m.matched, 0) AS matched, coalesce(a.added, 0) AS added,
+               coalesce(m.matched, 0) - coalesce(a.added, 0) AS already_tagged, r.requested - coalesce(m.matched, 0) AS not_found
+        FROM (SELECT request_id, account_id, count(*) AS requested FROM rqt GROUP BY 1, 2) r
+        LEFT JOIN (SELECT request_id, count(*) AS matched FROM tgt GROUP BY 1) m ON m.request_id = r.request_id
+        LEFT JOIN (SELECT f.request_id, count(*) AS added FROM fresh f
+                   JOIN (SELECT account_id, id, key, min(request_id) AS first FROM fresh GROUP BY 1, 2, 3) x
+                     ON x.account_id = f.account_id AND x.id = f.id AND x.key = f.key AND x.first = f.request_id
+                   GROUP BY 1) a ON a.request_id = r.request_id""", extra_ctes=_REQ + "," + _BULK_TAG),
     "bulk_not_found": with_fixtures("""
         SELECT DISTINCT account_id, id FROM req q
         WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE c.account_id = q.account_id AND c.id = q.id)""", extra_ctes=_REQ),

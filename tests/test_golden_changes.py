@@ -179,3 +179,20 @@ def test_bulk_result_sets_per_request(spark):
     got = {r.request_id: (r.requested, r.refused, r.ids, r.affected) for r in out.collect()}
     # id 3 belongs to another account; r2 matches nothing; a request of more than 1,000 ids is refused
     assert got == {"r1": (3, False, [1, 2], 1), "r2": (1, False, [], 0), "big": (1001, True, None, None)}
+
+
+def test_bulk_requests_apply_in_request_order(spark):
+    c = make_contacts(spark, [dict(id=1, first="A", last="1", created=T0), dict(id=2, first="A", last="2", created=T0),
+                              dict(id=3, first="A", last="3", created=T0, deleted=T0)])
+    req = spark.createDataFrame([("a", 0, 1), ("a", 0, 3), ("b", 0, 1), ("b", 0, 2), ("b", 0, 9)], "request_id string, account_id int, id long")
+    out = C.bulk_delete(c, req, NOW)
+    rep = {r.request_id: (r.requested, r.deleted, r.already_in_trash, r.not_found) for r in out["report"].collect()}
+    # request a trashes 1; b finds 1 already in the trash, trashes 2 and does not find 9
+    assert rep == {"a": (2, 1, 1, 0), "b": (3, 1, 1, 1)}
+    assert sorted(r.id for r in out["next_contacts"].collect()) == [1, 2] and out["activity"].count() == 2
+    t, ct = make_tags(spark, [(1, 0, "VIP")]), make_links(spark, [(2, 1)])
+    treq = spark.createDataFrame([("a", 0, 1, "vip"), ("b", 0, 1, "VIP"), ("b", 0, 2, "vip")],
+                                 "request_id string, account_id int, id long, tag_name string")
+    tout = C.bulk_tag(c, t, ct, treq, NOW)
+    trep = {r.request_id: (r.requested, r.matched, r.added, r.already_tagged) for r in tout["report"].collect()}
+    assert trep == {"a": (1, 1, 1, 0), "b": (2, 2, 0, 2)}
