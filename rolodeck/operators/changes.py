@@ -20,6 +20,7 @@ from rolodeck.functions.text import trim_lower, trim_to_null
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
 from rolodeck.operators import versionfold
+from rolodeck.session import checkpoint_dir
 from rolodeck.sources.contacts import with_generated_columns
 
 # Editable fields (API name → column) and outcome codes.
@@ -124,7 +125,9 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
     the commands hash-partitioned by contact and sorted by (contact, seq):
     no contact's commands are collected into one row, and the work is linear
     in the batch. Everything else (tenant check, arbitration, the next
-    snapshot rows, activity) is joins and map-side-combined aggregates.
+    snapshot rows, activity) is joins and map-side-combined aggregates. The
+    judged batch is checkpointed (eagerly, in the shared checkpoint folder):
+    the three outputs read it instead of each re-joining the snapshot.
     """
     fields = list(versionfold.FIELDS)
     cmds = normalise_fields(commands)
@@ -159,7 +162,10 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
         "_found", "_s_version", "_s_deleted", *[f"_s_{f}" for f in fields],
     )
     ordered = fold_in.repartition("contact_id").sortWithinPartitions("contact_id", "seq")
-    folded = ordered.mapInPandas(versionfold.fold_sorted, _fold_schema(fold_in))
+    # the judged batch feeds all three outputs: written once to the shared checkpoint folder, so writing
+    # the outcomes, the next snapshot and the activity does not re-run the joins and the fold
+    checkpoint_dir(contacts.sparkSession)
+    folded = ordered.mapInPandas(versionfold.fold_sorted, _fold_schema(fold_in)).checkpoint()
 
     outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version")
 
