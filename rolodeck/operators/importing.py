@@ -20,6 +20,7 @@ from rolodeck.functions.text import js_trim, normalize_header, split_tags
 from rolodeck.functions.validators import is_email, is_phone
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
+from rolodeck.session import checkpoint_dir
 from rolodeck.sources.contacts import with_generated_columns
 
 # Canonical columns, header aliases, labels, limits, messages.
@@ -440,16 +441,20 @@ def apply_create(reviewed: DataFrame, contacts: DataFrame, tags: DataFrame, cont
     # rows without an e-mail get a unique key, so they spread over partitions instead of sharing the null one
     keyed = ok.withColumn("_e", F.col("v.email")).withColumn(
         "_ek", P.spread_nulls(F.col("_e"), F.concat_ws(":", F.col("job_id"), F.col("row_number"))))
-    taken_k = taken.withColumnRenamed("_e", "_ek")
-    free = keyed.join(taken_k, ["account_id", "_ek"], "left_anti")
+    taken_k = taken.withColumnRenamed("_e", "_ek").distinct().withColumn("_taken", F.lit(True))
     # rows of several create jobs may claim one new e-mail: as when the jobs run one
     # after another, the first (job_id, row_number) creates the contact and the
     # later ones find it taken. An e-mail appears at most once per file (W1), so
-    # the window holds at most one row per job.
+    # the window holds at most one row per job. (Whether a key is taken depends on
+    # the key only, so the window may run over taken keys too.)
     first = F.row_number().over(Window.partitionBy("account_id", "_ek").orderBy("job_id", "row_number"))
-    free = free.withColumn("_k", first)
-    lost = keyed.join(taken_k, ["account_id", "_ek"], "left_semi").unionByName(free.filter(F.col("_k") > 1).drop("_k")).drop("_ek")
-    kept = free.filter(F.col("_k") == 1).drop("_k", "_ek").withColumn("contact_id", new_contact_id(F.col("job_id"), F.col("row_number")))
+    # one join with the contacts, checkpointed: every output below reads it instead of re-joining
+    checkpoint_dir(reviewed.sparkSession)
+    judged = keyed.join(taken_k, ["account_id", "_ek"], "left").withColumn("_taken", F.coalesce(F.col("_taken"), F.lit(False))) \
+        .withColumn("_k", first).checkpoint()
+    lost = judged.filter(F.col("_taken") | (F.col("_k") > 1)).drop("_taken", "_k", "_ek")
+    kept = judged.filter(~F.col("_taken") & (F.col("_k") == 1)).drop("_taken", "_k", "_ek") \
+        .withColumn("contact_id", new_contact_id(F.col("job_id"), F.col("row_number")))
     ts = P.ts_lit(as_of)
     new_contacts = with_generated_columns(kept.select(
         F.col("contact_id").alias("id"), "account_id", F.col("v.first_name").alias("first_name"), F.col("v.last_name").alias("last_name"),
@@ -503,7 +508,9 @@ def apply_update(reviewed: DataFrame, contacts: DataFrame, tags: DataFrame, cont
     ok = reviewed.filter((F.col("mode") == "update") & (F.size("errors") == 0))
     active = contacts.filter(P.is_active() & F.col("email").isNotNull())
     cur = active.select(F.struct(*[F.col(c) for c in contacts.columns]).alias("c"), "account_id", F.col("email").alias("_e"))
-    j = ok.withColumn("_e", F.col("v.email")).join(cur, ["account_id", "_e"], "left")
+    # one join with the contacts, checkpointed: every output below reads it instead of re-joining
+    checkpoint_dir(reviewed.sparkSession)
+    j = ok.withColumn("_e", F.col("v.email")).join(cur, ["account_id", "_e"], "left").checkpoint()
     missing = j.filter(F.col("c").isNull())
     # Several update jobs of a batch may touch one contact; as when the jobs run
     # one after another, each row is judged against the state the earlier rows
