@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     # run time; this is the size ceiling for that (checked) broadcast.
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.autoBroadcastJoinThreshold": "16MB",
+    # checkpoints of a batch (judged commands, joined import rows) are removed once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
