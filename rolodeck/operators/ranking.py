@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rolodeck.session import checkpoint_dir
+
 
 def _sort_cols(partition_cols: list[str], order_cols: list[Column]) -> list[Column]:
     return [F.col(c).asc() for c in partition_cols] + list(order_cols)
@@ -30,12 +32,18 @@ def position_within(df: DataFrame, partition_cols: list[str], order_cols: list[C
     keys = _sort_cols(partition_cols, order_cols)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # The rows and the count table below must see the same partition of every
+    # row. Range boundaries come from a sample, and each branch of a plan that
+    # re-runs the range exchange samples anew, so the partitioned rows are
+    # checkpointed (shared checkpoint folder) and both branches read them.
+    checkpoint_dir(spark)
     ordered = (
         df.repartitionByRange(n, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         # increases by one per row inside a partition, in the sorted order
         .withColumn("_mid", F.monotonically_increasing_id())
+        .checkpoint()
     )
     stats = ordered.groupBy("_pid", *partition_cols).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*partition_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

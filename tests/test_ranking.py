@@ -40,3 +40,24 @@ def test_top_n_per_group(spark):
     for a, rows in by.items():
         want = sorted((i for i in range(3000) if acct(i) == a), reverse=True)[:3]
         assert sorted(rows) == [(k + 1, i) for k, i in enumerate(want)]
+
+
+def test_positions_hold_when_range_sampling_is_partial(spark):
+    # with 2 sampled keys per partition the range boundaries differ from one
+    # sampling to the next; positions must still equal row_number
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from rolodeck.operators.ranking import position_within
+
+    old = spark.conf.get("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")
+    try:
+        # a payload column only the rows need: the count table's branch is pruned to other columns
+        df = spark.range(0, 20000, 1, 8).select((F.col("id") % 3).alias("g"), F.xxhash64("id").alias("k"), "id",
+                                                 F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+        got = position_within(df, ["g"], [F.col("k").desc(), F.col("id")], out="pos", num_partitions=16)
+        want = df.withColumn("want", F.row_number().over(Window.partitionBy("g").orderBy(F.col("k").desc(), F.col("id"))))
+        bad = got.join(want, ["g", "k", "id", "payload"], "full").filter(~F.col("pos").eqNullSafe(F.col("want"))).count()
+        assert bad == 0 and got.count() == 20000
+    finally:
+        spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", old)
