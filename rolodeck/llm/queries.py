@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module per operator, each with QUERIES (name to (spark, sf_dir) -> DataFrame) and ORACLE (name to SQL).
-_MODULES = ("op3_queries",)
+_MODULES = ("op1_queries", "op2_queries", "op3_queries", "op5_queries", "op6_queries", "op7_queries")
 
 
 def queries() -> dict:
