@@ -18,6 +18,12 @@ empty tables.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,33 +65,43 @@ def longest_rule(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,host_size:int,allow:boolean,rule:string,verdict:string>")
 
 
-def _resolved(base: Column, link: Column) -> Column:
-    link = F.regexp_replace(F.trim(link), "&amp;", "&")
-    site = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
-    return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), link))
-        .when(link.startswith("/"), F.concat(site, link))
-        .when(link.rlike(r"^(\?|[A-Za-z][A-Za-z0-9+.-]*:)") | (link == ""), F.lit(None))
-        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), link))
-    )
+_HIDDEN = re.compile(r"<!--.*?(?:-->|$)|<script\b.*?(?:</script|$)", re.S | re.I)
+_TAG = re.compile(r"<(link|meta)\b([^>]*)>", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_REFRESH = re.compile(r"""\burl\s*=\s*["']?([^"']*)""", re.I)
+
+
+def targets(url: str, html: str) -> list[str]:
+    """Where the canonical links and meta refreshes of a page lead, as whole URLs."""
+    out = []
+    for name, attributes in _TAG.findall(_HIDDEN.sub(" ", html)):
+        got = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+        link = None
+        if name.lower() == "link" and "canonical" in got.get("rel", "").lower().split():
+            link = got.get("href")
+        elif name.lower() == "meta" and got.get("http-equiv", "").lower() == "refresh" and (m := _REFRESH.search(got.get("content", ""))):
+            link = m[1]
+        if link and link.strip():
+            try:
+                out.append(urljoin(url, link.strip()))
+            except ValueError:  # not a URL
+                pass
+    return out
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [(url, to) for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for to in targets(url, html)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["a", "b"])
 
 
 def page_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): the page's URL and the target of its canonical link or of its redirect by meta refresh, as keys."""
-    u, h = F.col(url), F.col(html)
-    shown = F.regexp_replace(h, r"(?is)<!--.*?-->|<script\b.*?</script", "")
-    tags = F.when(h.rlike(r"(?i)canonical|refresh"), F.regexp_extract_all(shown, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), 0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"""(?i)^<link\b.*\brel\s*=\s*["']?canonical\b"""))
-    refresh = F.filter(tags, lambda t: t.rlike(r"""(?i)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""))
-    href = lambda t: F.regexp_extract(t, r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", 0)
-    links = F.concat(
-        F.transform(canonical, lambda t: F.regexp_replace(href(t), r"""(?is)^href\s*=\s*["']?|["']$""", "")),
-        F.transform(refresh, lambda t: F.regexp_extract(t, r"""(?is)\burl\s*=\s*["']?([^"'>]*)""", 1)),
-    )
-    found = pages.where(u.contains("://")).select(u.alias("url"), F.explode(links).alias("link"))
-    return found.select(key_of(F.col("url")).alias("a"), key_of(_resolved(F.col("url"), F.col("link"))).alias("b")).where("b IS NOT NULL AND a <> b")
+    """(a, b): the page's URL and the target of its canonical link or of its redirect by meta refresh.
+
+    Only pages that hold either word are parsed.
+    """
+    rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).where(F.col("url").contains("://") & F.col("html").rlike("(?i)canonical|refresh"))
+    return rows.mapInArrow(_edges, "a string, b string")
 
 
 def alias_verdicts(edges: DataFrame, rules=RULES) -> DataFrame:
