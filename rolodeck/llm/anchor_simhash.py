@@ -237,4 +237,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
     classes = near_duplicates(rows.select("doc_id", "fp"), max_bits=max_bits)
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     best = rows.select("row", "doc_id", "fp").join(classes, "fp").groupBy("component").agg(F.min(first).alias("first"))
-    return rows.join(staged(best.select("first.row"), "survivors"), "row", "left_semi").select("doc.*")
+    removed = rows.select("row").join(staged(best.select("first.row"), "survivors"), "row", "left_anti")
+    # written first: its size is then known, and the documents are shuffled only if it is above the session's threshold
+    return rows.join(staged(removed, "removed"), "row", "left_anti").select("doc.*")
