@@ -1,7 +1,8 @@
 """The corpus pipeline: documents that pass the quality rules, one of each near-duplicate group, mixed to target weights, encoded.
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the
-next one's docs. All but the last return the columns of ``documents``.
+next one's docs. All but the last return the columns of ``documents``. Tables that a stage writes on its way
+are dropped when the next stage begins, unless its docs still read them.
 """
 
 from __future__ import annotations
@@ -13,27 +14,35 @@ from rolodeck.llm.anchor_simhash import one_of_each
 from rolodeck.llm.host_quality import keep_good
 from rolodeck.llm.pfair_mix import in_mixed_order
 from rolodeck.llm.scan_bpe import digests
-from rolodeck.llm.staging import staged, table
+from rolodeck.llm.staging import Staged, collecting, drop_unread, table
+
+_on_the_way: list[Staged] = []
+
+
+def _made(docs: DataFrame, operator) -> DataFrame:
+    drop_unread(_on_the_way, docs)
+    with collecting(_on_the_way):
+        return operator(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail their own rules, or whose source is rejected, go."""
-    return keep_good(docs)
+    return _made(docs, keep_good)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of fingerprints within four bits stays."""
-    return one_of_each(docs)
+    return _made(docs, one_of_each)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order in which the sources have their target weights."""
-    return in_mixed_order(docs)
+    return _made(docs, in_mixed_order)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of ids and decoded bytes, in the order of the mixture."""
-    return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return _made(docs, lambda d: digests(d, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
 
 
 STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("mixture", mixture), ("encoding", encoding)]
@@ -44,7 +53,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        written = Staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if before:
+            before.drop()
+        docs, before = written.df, written
     return docs
