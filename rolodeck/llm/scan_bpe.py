@@ -191,8 +191,8 @@ def parts_of(text: str, most: int = AT_ONCE) -> list[str]:
     return [*out, text[at:]]
 
 
-def encode_parts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts in a row, and the number of ids of each."""
+def split_parts(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """All pieces of the texts in a row, and the number of pieces of each."""
     joined = "\n".join([*texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int32)
     stops = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -200,8 +200,15 @@ def encode_parts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(boundaries(points))
     ends = np.append(starts[1:], len(points))
     real = points[starts] != BETWEEN
+    starts, ends = starts[real], ends[real]
+    return [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist())], np.diff(np.searchsorted(starts, stops), prepend=0)
+
+
+def encode_parts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the texts in a row, and the number of ids of each."""
+    pieces, n = split_parts(texts)
     index: dict[str, int] = {}
-    order = np.array([index.setdefault(joined[a:b], len(index)) for a, b in zip(starts[real].tolist(), ends[real].tolist())], np.intp)
+    order = np.array([index.setdefault(p, len(index)) for p in pieces], np.intp)
     merged_ids = _ids_of(list(index), path)
     lengths = np.fromiter(map(len, merged_ids), np.int64, len(merged_ids))
     flat = np.fromiter(chain.from_iterable(merged_ids), np.int32, int(lengths.sum()))
@@ -209,7 +216,7 @@ def encode_parts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     first = (np.cumsum(lengths) - lengths)[order]
     total = np.cumsum(counts)
     ids = flat[np.repeat(first - (total - counts), counts) + np.arange(counts.sum())]
-    upto = np.concatenate(([0], total))[np.searchsorted(starts[real], stops)]
+    upto = np.concatenate(([0], total))[np.cumsum(n)]
     return ids, np.diff(upto, prepend=0)
 
 
