@@ -2,11 +2,16 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from rolodeck.llm import token_counts as C
+from rolodeck.llm.scan_bpe import split_parts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PARTS = [*"abst re vld''  \n\t19!?-é中", " ", "'s", "'ll", "  ", "\r\n", "<|endoftext|>", "<|endoftext|", "\U0001f600", " the", "tokenize"]
@@ -41,24 +46,31 @@ def test_defined_cases(spark, library):
     assert C.token_counts(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
 
 
-def test_blocks(spark, library, monkeypatch):
+def test_blocks_and_buckets(library, monkeypatch):
     # many small blocks, with words that all of them share
     monkeypatch.setattr(C, "BLOCK_CHARS", 200)
-    batches = C._postings
     rng = random.Random(9)
-    rows = [(i, "the same words " + "".join(rng.choices(PARTS, k=30))) for i in range(60)]
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    schema = to_arrow_schema(_parse_datatype_string("block long, word string, rows array<int>, times array<int>, doc_ids array<long>, n_bytes array<long>, specials array<long>"))
-    import pyarrow as pa
-
-    out = list(batches(iter([pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})]), PATH, schema))
+    texts = ["the same words " + "".join(rng.choices(PARTS, k=30)) for _ in range(60)]
+    schema = to_arrow_schema(StructType.fromDDL("block long, bucket int, data binary, doc_ids array<long>, n_bytes array<long>, specials array<long>"))
+    out = list(C._blocks(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": texts})]), PATH, 7, schema))
     assert len(out) > 10
-    pieces = C._tools(PATH)[2]
+    special, counter = C._tools(PATH)
     total = 0
-    for b in out:
-        for r in b.to_pylist():
-            total += sum(r["times"]) * len(pieces.encode(r["word"], add_special_tokens=False).ids) if r["word"] is not None else sum(r["specials"])
-    assert total == sum(len(library.encode(t, add_special_tokens=False).ids) for _, t in rows)
-    assert sorted(i for b in out for r in b.to_pylist() if r["word"] is None for i in r["doc_ids"]) == list(range(60))
+    for r in (r for b in out for r in b.to_pylist()):
+        if r["data"] is None:
+            total += sum(r["specials"])
+        else:
+            words, counts, rows, times = C._unpacked(r["data"])
+            assert words == sorted(words) and counts.sum() == len(rows) == len(times) and {C.zlib.crc32(w) % 7 for w in words} == {r["bucket"]}
+            of = np.repeat(np.arange(len(words)), counts)
+            total += sum(int(t) * len(counter.encode(words[w].decode(), add_special_tokens=False).ids) for w, t in zip(of, times))
+    assert total == sum(len(library.encode(t, add_special_tokens=False).ids) for t in texts)
+    assert sorted(i for b in out for r in b.to_pylist() if r["data"] is None for i in r["doc_ids"]) == list(range(60))
+
+
+def test_splits_equal_the_library(library):
+    rng = random.Random(10)
+    points = [*range(0x3100), *range(0xA000, 0xA800), *rng.sample(range(0x3100, 0x110000), 20_000)]
+    text = "".join(p + chr(c) for c in points if not 0xD800 <= c < 0xE000 for p in "a1! ")
+    (pieces, n), want = split_parts([text]), library.pre_tokenizer.pre_tokenize_str(text)
+    assert n.tolist() == [len(pieces)] and [len(p) for p in pieces] == [b - a for _, (a, b) in want]
