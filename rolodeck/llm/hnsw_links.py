@@ -6,8 +6,8 @@ shard gets a hierarchical navigable small-world graph, and each shard's nodes
 query every shard of the label. A query batch doubles its beam until an audit
 (exact search for ``AUDITED`` of its queries) finds ``RECALL`` of the links;
 queries whose beam is full of links widen on their own, and a beam that would
-cover an eighth of the shard becomes an exact scan. What is found is verified
-by cosine in double precision.
+look at as many nodes as the shard holds becomes an exact scan. What is found
+is verified by cosine in double precision.
 
 A task of two shards looks both ways and counts the links of both sides, so
 pairs never leave it: it hands on counts per node and star links for the
@@ -186,7 +186,7 @@ class Graph:
             audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
             truth = q[audited] @ self.vectors.T >= least
             while len(open_):
-                if 8 * beam >= len(self.vectors):  # the widest beam: all of the shard
+                if 2 * DEGREE * beam >= len(self.vectors):  # it would look at as many nodes as there are: all of the shard
                     rows, nodes = np.nonzero(q[open_] @ self.vectors.T >= least)
                     asked.append(at + open_[rows])
                     found.append(nodes)
