@@ -103,17 +103,17 @@ def _parents(messages: DataFrame) -> DataFrame:
 
 
 def _rooted(links: DataFrame) -> DataFrame:
-    """(msg_id, parent_id, thread_id, depth): pointers to an ancestor double their reach until all are roots."""
-    first = links.select("msg_id", "parent_id", F.coalesce("parent_id", "msg_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth"))
-    now = Staged(first, "threads")
-    while True:
-        above = now.df.select(F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        after = Staged(now.df.join(above, "up").select("msg_id", "parent_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth")), "threads")
-        moved = after.df.agg(F.sum("depth")).first()[0] != now.df.agg(F.sum("depth")).first()[0]
+    """(msg_id, parent_id, thread_id, depth): pointers to an ancestor double their reach; those at a root stand still."""
+    columns = ("msg_id", "parent_id", "up", "depth", "done")
+    none = F.col("parent_id").isNull()
+    now = Staged(links.select("msg_id", "parent_id", F.coalesce("parent_id", "msg_id").alias("up"), (~none).cast("int").alias("depth"), none.alias("done")), "threads")
+    while not now.df.where("NOT done").isEmpty():
+        above = now.df.select(F.col("msg_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("done").alias("top"))
+        moved = now.df.where("NOT done").join(above, "up").select("msg_id", "parent_id", F.col("next").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("done"))
+        after = Staged(now.df.where("done").select(*columns).unionByName(moved), "threads")
         now.drop()
         now = after
-        if not moved:
-            return now.df.withColumnRenamed("up", "thread_id")
+    return now.df.select("msg_id", "parent_id", F.col("up").alias("thread_id"), "depth")
 
 
 def conversations_by_quotes(messages: DataFrame) -> DataFrame:
