@@ -30,6 +30,7 @@ NOT_FOUND, IN_TRASH, CONFLICT, EMAIL_TAKEN = "NOT_FOUND", "CONTACT_DELETED", "VE
 ALREADY_DELETED, ALREADY_ACTIVE = "ALREADY_DELETED", "ALREADY_ACTIVE"
 BULK_MAX_IDS = 1000
 MAX_TAGS = 20
+TOO_MANY_TAGS = "TOO_MANY_TAGS"
 
 
 # ---------------------------------------------------------------- F24 / helpers
@@ -294,13 +295,14 @@ def bulk_result_sets(contacts: DataFrame, requests: DataFrame) -> DataFrame:
 
 def add_tags(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, commands: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
     """M6: add up to 20 names to a contact (first spelling wins); only new
-    links are written and logged; a trashed contact is rejected; the contact
-    version does not change. ``commands``: seq, account_id, contact_id, names."""
-    outcome = F.when(F.col("deleted_at").isNotNull(), IN_TRASH).when(F.col("deleted_at").isNull() & F.col("_found"), APPLIED).otherwise(NOT_FOUND)
+    links are written and logged; a trashed contact is rejected, and so is a
+    command with more names, of which none is added; the contact version does
+    not change. ``commands``: seq, account_id, contact_id, names."""
+    outcome = F.when(F.size("names") > MAX_TAGS, TOO_MANY_TAGS).when(F.col("deleted_at").isNotNull(), IN_TRASH).when(F.col("deleted_at").isNull() & F.col("_found"), APPLIED).otherwise(NOT_FOUND)
     c = commands.join(contacts.select(F.col("id").alias("contact_id"), "account_id", "deleted_at", F.lit(True).alias("_found")),
                       ["contact_id", "account_id"], "left").withColumn("outcome", F.coalesce(outcome, F.lit(NOT_FOUND)))
     ok = c.filter(F.col("outcome") == APPLIED)
-    wanted = ok.select("seq", "account_id", "contact_id", F.posexplode(F.slice("names", 1, MAX_TAGS)).alias("pos", "name")) \
+    wanted = ok.select("seq", "account_id", "contact_id", F.posexplode("names").alias("pos", "name")) \
         .withColumn("name", trim_to_null("name")).filter(F.col("name").isNotNull())
     # first spelling per (command, lower name), then per (account, lower name) for new tags
     per_cmd = wanted.groupBy("seq", "account_id", "contact_id", F.lower("name").alias("key")).agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
@@ -326,18 +328,24 @@ def add_tags(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, comm
 
 
 def remove_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, commands: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
-    """M7: delete the (contact, tag) link when the tag belongs to the account;
-    TAG_REMOVED only for a link that existed. ``commands``: seq, account_id,
-    contact_id, tag_id."""
+    """M7: delete the (contact, tag) link when the tag belongs to the account.
+
+    The first command of the batch that names an existing link removes it and
+    writes TAG_REMOVED; later ones find no link and write nothing. A trashed
+    contact is refused. ``commands``: seq, account_id, contact_id, tag_id."""
+    known = contacts.select(F.col("id").alias("contact_id"), "account_id", "deleted_at", F.lit(True).alias("_found"))
+    judged = commands.join(known, ["contact_id", "account_id"], "left").withColumn(
+        "outcome", F.when(F.col("_found").isNull(), NOT_FOUND).when(F.col("deleted_at").isNotNull(), IN_TRASH).otherwise(APPLIED))
     t = tags.select(F.col("id").alias("tag_id"), "account_id", F.col("name").alias("tag_name"))
-    hit = commands.join(contact_tags.select("contact_id", "tag_id"), ["contact_id", "tag_id"], "left_semi").join(t, ["tag_id", "account_id"])
-    hit = hit.join(contacts.select(F.col("id").alias("contact_id"), "account_id"), ["contact_id", "account_id"], "left_semi")
-    remaining = contact_tags.join(hit.select("contact_id", "tag_id"), ["contact_id", "tag_id"], "left_anti")
-    ts = P.ts_lit(as_of)
-    activity = hit.select(F.xxhash64(F.lit("remove-tag"), "seq").alias("id"), "account_id", "contact_id", F.lit("TAG_REMOVED").alias("type"),
-                          json_object(F.struct(F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"))).alias("payload"),
-                          ts.alias("created_at"))
-    return {"contact_tags": remaining, "activity": activity}
+    links = contact_tags.select("contact_id", "tag_id")
+    first = judged.filter(F.col("outcome") == APPLIED).join(links, ["contact_id", "tag_id"], "left_semi") \
+        .groupBy("account_id", "contact_id", "tag_id").agg(F.min("seq").alias("seq"))
+    removed = first.join(t, ["tag_id", "account_id"])
+    remaining = contact_tags.join(removed.select("contact_id", "tag_id"), ["contact_id", "tag_id"], "left_anti")
+    activity = removed.select(F.xxhash64(F.lit("remove-tag"), "seq", "contact_id", "tag_id").alias("id"), "account_id", "contact_id", F.lit("TAG_REMOVED").alias("type"),
+                              json_object(F.struct(F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"))).alias("payload"),
+                              P.ts_lit(as_of).alias("created_at"))
+    return {"contact_tags": remaining, "activity": activity, "outcomes": judged.select("seq", "contact_id", "outcome")}
 
 
 # ---------------------------------------------------------------- M11 / M12 / J12 / U1–U3

@@ -149,7 +149,7 @@ def remove_commands(spark, sf, m):
 def q_remove_tag(spark, sf):
     m = load_model(spark, sf)
     out = C.remove_tag(m.contacts, m.tags, m.contact_tags, remove_commands(spark, sf, m), AS_OF)
-    return out["activity"].select("contact_id", "payload").distinct()
+    return out["activity"].select("contact_id", "payload")
 
 
 def q_email_conflicts(spark, sf):
@@ -313,12 +313,11 @@ ORACLE = {
                    JOIN contacts c ON c.account_id = q.account_id AND c.id = q.id GROUP BY 1) h ON h.request_id = s.request_id""",
         extra_ctes=_REQ),
     "remove_tag": with_fixtures("""
-        SELECT DISTINCT x.contact_id, '{"tag":{"id":' || CAST(t.id AS VARCHAR) || ',"name":"' || t.name || '"}}' AS payload
-        FROM (SELECT event_id AS seq, account_id, user_id AS contact_id, CAST(account_id * 10 + event_id % 5 + 1 AS INTEGER) AS tag_id
-              FROM ev WHERE event_type = 'purchase') x
-        JOIN contact_tags ct ON ct.contact_id = x.contact_id AND ct.tag_id = x.tag_id
-        JOIN tags t ON t.id = x.tag_id AND t.account_id = x.account_id
-        JOIN contacts c ON c.id = x.contact_id AND c.account_id = x.account_id""", extra_ctes=_ACC),
+        SELECT ct.contact_id, '{"tag":{"id":' || CAST(t.id AS VARCHAR) || ',"name":"' || t.name || '"}}' AS payload
+        FROM contact_tags ct JOIN tags t ON t.id = ct.tag_id
+        JOIN contacts c ON c.id = ct.contact_id AND c.account_id = t.account_id AND c.deleted_at IS NULL
+        WHERE EXISTS (SELECT 1 FROM ev WHERE event_type = 'purchase' AND ev.user_id = ct.contact_id AND ev.account_id = t.account_id
+                      AND ev.account_id * 10 + ev.event_id % 5 + 1 = t.id)""", extra_ctes=_ACC),
     "email_conflicts": with_fixtures("""
         SELECT account_id, email, count(*) AS n FROM (
           SELECT account_id, email FROM contacts WHERE deleted_at IS NULL AND email IS NOT NULL

@@ -121,7 +121,26 @@ def test_add_and_remove_tags(spark):
     assert sorted(r.name for r in out["new_tags"].collect()) == ["Lead", "new"]
     rm = spark.createDataFrame([(1, 0, 1, 1), (2, 0, 1, 1), (3, 1, 1, 1)], "seq long, account_id int, contact_id long, tag_id int")
     res = C.remove_tag(c, t, ct, rm, NOW)
-    assert res["contact_tags"].count() == 0 and res["activity"].select("contact_id").distinct().count() == 1
+    assert res["contact_tags"].count() == 0
+    assert [r.contact_id for r in res["activity"].collect()] == [1]  # one event per link that was there, not per command
+    assert {r.seq: r.outcome for r in res["outcomes"].collect()} == {1: "APPLIED", 2: "APPLIED", 3: "NOT_FOUND"}
+
+
+def test_remove_tag_of_a_trashed_contact_is_refused(spark):
+    c = make_contacts(spark, [dict(id=1, first="A", last="1", created=T0, deleted=T0)])
+    res = C.remove_tag(c, make_tags(spark, [(1, 0, "VIP")]), make_links(spark, [(1, 1)]),
+                       spark.createDataFrame([(1, 0, 1, 1)], "seq long, account_id int, contact_id long, tag_id int"), NOW)
+    assert res["contact_tags"].count() == 1 and res["activity"].count() == 0
+    assert [r.outcome for r in res["outcomes"].collect()] == ["CONTACT_DELETED"]
+
+
+def test_more_than_twenty_names_are_refused_whole(spark):
+    c = make_contacts(spark, [dict(id=1, first="A", last="1", created=T0)])
+    cmds = spark.createDataFrame([(1, 0, 1, [f"t{i}" for i in range(21)]), (2, 0, 1, [f"u{i}" for i in range(20)])],
+                                 "seq long, account_id int, contact_id long, names array<string>")
+    out = C.add_tags(c, make_tags(spark, [(1, 0, "VIP")]), make_links(spark, [(1, 1)]), cmds, NOW)
+    assert {r.seq: (r.outcome, r.added_count) for r in out["outcomes"].collect()} == {1: ("TOO_MANY_TAGS", 0), 2: ("APPLIED", 20)}
+    assert out["new_links"].count() == 20
 
 
 def test_three_way_merge(spark):
