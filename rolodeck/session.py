@@ -52,13 +52,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and staged tables.
 
     On a cluster ``spark.checkpoint.dir`` names a shared (distributed) folder
-    and is used as is. Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    and is used as is. Only when it is unset in a single-process local session
+    (tests) a scratch folder is created and registered; any other master needs
+    the setting, as a folder of the driver's machine is not shared.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not conf_dir:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
         conf_dir = tempfile.mkdtemp(prefix="rolodeck-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -59,3 +59,14 @@ def test_opening_the_store_runs_no_job(spark):
         assert m.contacts.count() > 0
     finally:
         spark.sparkContext.setJobGroup("", "")
+
+
+def test_no_local_folder_off_local_masters():
+    from types import SimpleNamespace
+
+    from rolodeck.session import checkpoint_dir
+
+    unset = SimpleNamespace(get=lambda key, default=None: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(getConf=lambda: unset, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(cluster)
