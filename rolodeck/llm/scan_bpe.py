@@ -10,7 +10,8 @@ expression. The slices go through a cache of merged pairs; every id keeps the
 byte offset of its token, by which decoding places the bytes.
 
 Defined cases: null and empty texts have no ids; a text of any length is
-encoded whole (a long one in exact parts, so memory follows the part); repeated
+encoded whole (a long one in exact parts, so memory follows the part); a batch
+is worked off in slices of whole rows, so memory follows the slice; repeated
 rows and clashing column names are no matter, as columns are added to a
 selection the caller names.
 """
@@ -26,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +51,7 @@ FREE, RUN, AFTER_SPACE, ONE_LEFT, TWO_LEFT, CUT = range(6)
 STATES = 8  # a row of the table has room for eight
 
 #: Characters of a block of the scan; characters handled at once; pieces that a worker remembers, and their greatest length.
-BLOCK, AT_ONCE, REMEMBERED, LONGEST = 64, 1 << 20, 1 << 18, 64
+BLOCK, AT_ONCE, REMEMBERED, LONGEST = 64, 1 << 18, 1 << 18, 64
 
 
 @lru_cache(1)
@@ -256,30 +258,46 @@ def encode_batch(texts: list[str | None], path: str) -> tuple[pa.ListArray, pa.L
 def decode_batch(ids: pa.ListArray, offsets: pa.ListArray, path: str) -> pa.Array:
     """The bytes of each row's ids, every token's placed at its offset; null for null."""
     _, blob, begins = load_ranks(path)
-    out: list[bytes | None] = []
-    for row, at in zip(ids, offsets):
-        if not row.is_valid:
-            out.append(None)
-            continue
-        row, at = row.values.to_numpy(zero_copy_only=False), at.values.to_numpy(zero_copy_only=False)
-        sizes = begins[row + 1] - begins[row]
-        text = np.empty(int(at[-1] + sizes[-1]) if len(row) else 0, np.uint8)
-        for k in range(0, len(row), AT_ONCE):
-            n, first, to = sizes[k : k + AT_ONCE], begins[row[k : k + AT_ONCE]], at[k : k + AT_ONCE]
-            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            text[np.repeat(to, n) + within] = blob[np.repeat(first, n) + within]
-        out.append(text.tobytes())
-    return pa.array(out, pa.binary())
-
-
-def _added(df: DataFrame, inputs: list[str], outputs: list[tuple[str, T.DataType]], work) -> DataFrame:
-    """``df`` with columns that ``work`` makes of the inputs' arrays, batch by batch."""
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, at = ids.flatten().to_numpy(zero_copy_only=False), offsets.flatten().to_numpy(zero_copy_only=False)
+    last = (np.cumsum(lengths) - 1)[lengths > 0]
+    row_bytes = np.zeros(len(lengths), np.int64)
+    row_bytes[lengths > 0] = at[last] + begins[flat[last] + 1] - begins[flat[last]]
+    bounds = np.concatenate(([0], np.cumsum(row_bytes)))
+    to = at + np.repeat(bounds[:-1], lengths)
+    text = np.empty(bounds[-1], np.uint8)
+    for k in range(0, len(flat), AT_ONCE):
+        first = begins[flat[k : k + AT_ONCE]]
+        n = begins[flat[k : k + AT_ONCE] + 1] - first
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        text[np.repeat(to[k : k + AT_ONCE], n) + within] = blob[np.repeat(first, n) + within]
+    out = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(text)])
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, pa.binary())) if ids.null_count else out
+
+
+def slices(batch: pa.RecordBatch, by: str, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of whole rows whose texts or lists in column ``by`` begin within the same ``most`` bytes or elements."""
+    c = batch.column(batch.schema.get_field_index(by))
+    size = pc.list_value_length(c) if pa.types.is_list(c.type) or pa.types.is_large_list(c.type) else pc.binary_length(c)
+    sizes = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+    bounds = [0, *cuts.tolist(), batch.num_rows]
+    for a, b in zip(bounds, bounds[1:]):
+        yield batch.slice(a, b - a)
+
+
+def _added(df: DataFrame, inputs: list[str], outputs: list[tuple[str, T.DataType]], work, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """``df``, without what is dropped, with columns that ``work`` makes of the inputs' arrays, slice by slice."""
+    kept = [f for f in df.schema.fields if f.name not in dropped]
+    at = [k for k, f in enumerate(df.schema.fields) if f.name not in dropped]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = [b.column(b.schema.get_field_index(c)) for c in inputs]
-            yield pa.RecordBatch.from_arrays([*b.columns, *work(*columns)], [*b.schema.names, *[n for n, _ in outputs]])
+        for batch in batches:
+            for b in slices(batch, inputs[0]):
+                columns = [b.column(b.schema.get_field_index(c)) for c in inputs]
+                yield pa.RecordBatch.from_arrays([*[b.column(k) for k in at], *work(*columns)], [*[f.name for f in kept], *[n for n, _ in outputs]])
 
-    schema = T.StructType(list(df.schema.fields))
+    schema = T.StructType(list(kept))
     for name, kind in outputs:
         schema = schema.add(name, kind)
     return df.mapInArrow(run, schema)
@@ -295,9 +313,18 @@ def decode(df: DataFrame, path: str, ids: str = "ids", offsets: str = "offsets",
     return _added(df, [ids, offsets], [(out, T.BinaryType())], lambda i, o: (decode_batch(i, o, path),))
 
 
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of ``text`` and the bytes that they decode to instead of it: one pass, so no ids travel to be decoded."""
+    def work(texts):
+        got, offsets = encode_batch(texts.to_pylist(), path)
+        return got, decode_batch(got, offsets, path)
+
+    return _added(df, [text], [(ids, T.ArrayType(T.IntegerType())), (decoded, T.BinaryType())], work, dropped=(text,))
+
+
 def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids, after encoding and decoding."""
-    coded = decode(encode(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path).drop("text"), path)
+    coded = round_trip(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids",

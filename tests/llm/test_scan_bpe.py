@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -88,3 +89,19 @@ def test_columns(spark, library):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
     assert S.digests(spark.createDataFrame([], df.schema), PATH).collect() == []
+
+
+def test_slices_hold_every_row_once():
+    sizes = [0, 5, 3, 40, 0, 1, 1, 1, 9, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10)), pa.array([None if k == 4 else "x" * n for k, n in enumerate(sizes)])], ["k", "t"])
+    got = list(S.slices(batch, "t", 8))
+    assert [k for b in got for k in b.column(0).to_pylist()] == list(range(10))
+    assert len(got) > 2 and all(sum(len(t or "") for t in b.column(1).to_pylist()[:-1]) < 8 for b in got)
+    assert [b.num_rows for b in S.slices(batch.slice(0, 0), "t")] == [0]
+
+
+def test_decoding_keeps_nulls_and_slices():
+    ids, offsets = S.encode_batch(["a b", None, "long words here", ""], PATH)
+    with_null = [pa.array([None if k == 2 else x for k, x in enumerate(c.to_pylist())], c.type) for c in (ids, offsets)]
+    assert S.decode_batch(*with_null, PATH).to_pylist() == [b"a b", b"", None, b""]
+    assert S.decode_batch(ids.slice(1, 2), offsets.slice(1, 2), PATH).to_pylist() == [b"", b"long words here"]
