@@ -142,7 +142,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """Ids of a piece: the pair of lowest rank is merged first, the leftmost of equals."""
     if (whole := ranks.get(piece)) is not None:
         return (whole,)
-    n = len(piece)
+    if (n := len(piece)) <= LONGEST:
+        return _merged_short(piece, ranks)
     after, before, parts = list(range(1, n + 1)), list(range(-1, n - 1)), [piece[i : i + 1] for i in range(n)]
     heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -163,6 +164,22 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[parts[i]] for i in end)
 
 
+def _merged_short(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """The same for a short piece, where a look over all pairs costs less than a heap."""
+    none, get = len(ranks) + (1 << 32), ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (least := min(pairs)) < none:
+        i = pairs.index(least)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = get(parts[i - 1] + parts[i], none)
+        if i < len(pairs):
+            pairs[i] = get(parts[i] + parts[i + 1], none)
+    return tuple([ranks[p] for p in parts])
+
+
 _seen: dict[str, dict[str, tuple[int, ...]]] = {}
 
 
