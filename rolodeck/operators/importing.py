@@ -280,9 +280,10 @@ def check_existing(validated_with_dups: DataFrame, contacts: DataFrame) -> DataF
 
 def review(rows: DataFrame, files: DataFrame, contacts: DataFrame) -> DataFrame:
     """The whole validation (I1/I2 → W1 → I3): every data row with its full
-    ordered error list."""
+    ordered error list. A file that fails as a whole (S5) has no reviewed
+    rows, so nothing of it is ever applied."""
     headers = header_map(files)
-    usable = headers.filter(F.col("problem").isNull())
+    usable = headers.join(file_failures(files, rows, headers).filter(F.col("reason").isNull()).select("file"), "file")
     v = validate_rows(rows, usable, "create").unionByName(validate_rows(rows, usable, "update"))
     dups = file_duplicates(v)
     v = v.join(dups, ["file", "row_number"], "left").withColumn(

@@ -182,3 +182,21 @@ def test_create_jobs_claiming_one_email(spark):
     out = I.apply_create(I.review(r, f, c), c, t, ct, NOW)
     assert sorted((x.last_name, x.email) for x in out["new_contacts"].collect()) == [("One", "x@x.io"), ("Two", None)]
     assert [(e.file, e.row_number, e.message) for e in out["errors"].collect()] == [("b.csv", 2, "Already used by another contact")]
+
+
+def test_rows_of_failed_files_are_not_applied(spark):
+    # invalid CSV in one row fails the whole file, as do a bad header and a file without rows; the good file is applied
+    c = make_contacts(spark, [])
+    t, ct = make_tags(spark, []), make_links(spark, [])
+    f = files_df(spark, [("bad.csv", "create", CREATE_H), ("head.csv", "create", ["email"]), ("none.csv", "create", CREATE_H),
+                         ("good.csv", "create", CREATE_H)])
+    bad = rows_df(spark, "bad.csv", "create", [["A", "One", "a@x.io", "", "", ""], ["B", "Two", "b@x.io", "", "", ""]], job=0)
+    r = bad.withColumn("invalid", bad.row_number == 2) \
+        .unionByName(rows_df(spark, "head.csv", "create", [["c@x.io"]], job=1)) \
+        .unionByName(rows_df(spark, "good.csv", "create", [["D", "Four", "d@x.io", "", "", ""]], job=2))
+    rev = I.review(r, f, c)
+    assert {x.file for x in rev.collect()} == {"good.csv"}
+    out = I.apply_create(rev, c, t, ct, NOW)
+    assert [x.email for x in out["new_contacts"].collect()] == ["d@x.io"]
+    status = {x.file: x.status for x in I.job_summary(rev, f, r).collect()}
+    assert status == {"bad.csv": "failed", "head.csv": "failed", "none.csv": "failed", "good.csv": "ready"}
