@@ -108,6 +108,46 @@ def _fold_schema(df: DataFrame) -> StructType:
     return StructType(fields)
 
 
+def _fold(prepared: DataFrame, winners: DataFrame | None) -> DataFrame:
+    """The commands judged in the order of each contact. winners: (account_id, claim, winner), the contact that gets an e-mail."""
+    lost = F.col("owned_by_other")
+    if winners is not None:
+        # most commands claim nothing: their null key is spread
+        key = P.spread_nulls(F.col("claim"), F.col("seq"))
+        prepared = prepared.withColumn("_ck", key).join(winners.withColumnRenamed("claim", "_ck"), ["account_id", "_ck"], "left").drop("_ck")
+        lost = lost | F.coalesce(F.col("winner") != F.col("contact_id"), F.lit(False))
+    rows = prepared.withColumn("email_lost", lost).drop("owned_by_other", *(["winner"] if winners is not None else []))
+    ordered = rows.repartition("contact_id").sortWithinPartitions("contact_id", "seq")
+    return ordered.mapInPandas(versionfold.fold_sorted, _fold_schema(rows))
+
+
+def _arbitrate(prepared: DataFrame) -> DataFrame | None:
+    """(account_id, claim, winner) of each e-mail that several contacts claim: the contact whose command is the first to
+    pass its own checks. None when no e-mail is contested.
+
+    Whether a command passes depends on the version its contact then has, and so on which of its contact's earlier
+    commands lost their e-mail. The contacts in such contests are folded, and each e-mail goes to the first command that
+    wanted it and was not refused otherwise, until no winner changes. After each round at least one more command in
+    ``seq`` order is final, so the rounds end, and what they end with is the batch judged one command after another.
+    """
+    rival = prepared.filter(F.col("claim").isNotNull()).groupBy("account_id", "claim").agg(
+        F.min("contact_id").alias("_lo"), F.max("contact_id").alias("_hi")).filter("_lo < _hi").select("account_id", "claim")
+    involved = prepared.join(rival, ["account_id", "claim"], "left_semi").select("contact_id").distinct()
+    contest = prepared.join(involved, "contact_id", "left_semi").checkpoint()
+    if contest.isEmpty():
+        return None
+    winners = None
+    while True:
+        tried = _fold(contest, winners).filter(F.col("claim").isNotNull() & F.col("outcome").isin(APPLIED, EMAIL_TAKEN))
+        # an e-mail of the snapshot's own owner is not in ``claim``, so what is refused here lost to another command
+        now = tried.groupBy("account_id", "claim").agg(F.min_by("contact_id", "seq").alias("winner")).checkpoint()
+        if winners is not None:
+            was = winners.withColumnRenamed("winner", "_was")
+            if now.join(was, ["account_id", "claim"], "full").filter(~F.col("winner").eqNullSafe(F.col("_was"))).isEmpty():
+                return now
+        winners = now
+
+
 def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
     """M2 update / M3 soft delete / M4 restore for a batch of commands.
 
@@ -116,11 +156,12 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
     ``*_set`` presence flags. Returns next_contacts (changed rows only),
     activity and outcomes (seq, contact_id, kind, outcome, version).
 
-    E-mail arbitration happens before the fold: a command that would give an
-    active contact an e-mail (an update setting it, or a restore) loses when
-    another active contact of the snapshot owns it or another contact's
-    command claims it earlier in the batch. (An e-mail released and retaken within one batch is
-    judged on the snapshot.)
+    E-mail arbitration: a command that would give an active contact an e-mail
+    (an update setting it, or a restore) loses when another active contact of
+    the snapshot owns it, or when an earlier command of the batch that passed
+    its own checks has claimed it for another contact (``_arbitrate``); a
+    command that fails for another reason claims nothing. (An e-mail released
+    and retaken within one batch is judged on the snapshot.)
 
     The version chain is judged by a streaming pass (``versionfold``) over
     the commands hash-partitioned by contact and sorted by (contact, seq):
@@ -148,25 +189,19 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime)
     claims = judged.withColumn("_claim", claim).withColumn("_ck", P.spread_nulls(F.col("_claim"), F.col("seq")))
     owners = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_ck"), F.col("id").alias("_owner"))
     c2 = claims.join(owners, ["account_id", "_ck"], "left")
-    first_claim = c2.filter(F.col("_claim").isNotNull() & (F.col("_owner").isNull() | (F.col("_owner") == F.col("contact_id")))) \
-        .groupBy("account_id", "_ck").agg(F.min_by("contact_id", "seq").alias("_winner"))
-    # the contact whose claim comes first wins the e-mail; its own later commands do not compete with it
-    c3 = c2.join(first_claim, ["account_id", "_ck"], "left").withColumn(
-        "email_lost",
-        F.coalesce(F.col("_claim").isNotNull() & ((F.col("_owner").isNotNull() & (F.col("_owner") != F.col("contact_id")))
-                                                  | (F.col("_winner") != F.col("contact_id"))), F.lit(False)),
-    )
-    fold_in = c3.select(
+    owned_by_other = F.col("_claim").isNotNull() & F.coalesce(F.col("_owner") != F.col("contact_id"), F.lit(False))
+    fold_in = c2.select(
         F.col("seq").cast("bigint").alias("seq"), "contact_id", "account_id", "kind",
         *fields, *[F.coalesce(F.col(f"{f}_set"), F.lit(False)).alias(f"{f}_set") for f in fields],
-        F.col("expected_version").cast("int").alias("expected_version"), "email_lost",
+        F.when(~owned_by_other, F.col("_claim")).alias("claim"),
+        F.col("expected_version").cast("int").alias("expected_version"), owned_by_other.alias("owned_by_other"),
         "_found", "_s_version", "_s_deleted", *[f"_s_{f}" for f in fields],
     )
-    ordered = fold_in.repartition("contact_id").sortWithinPartitions("contact_id", "seq")
-    # the judged batch feeds all three outputs: written once to the shared checkpoint folder, so writing
-    # the outcomes, the next snapshot and the activity does not re-run the joins and the fold
+    # the prepared batch is read by the arbitration and by the fold, the judged batch feeds all three outputs: both are
+    # written once to the shared checkpoint folder, so nothing re-runs the joins and the fold
     checkpoint_dir(contacts.sparkSession)
-    folded = ordered.mapInPandas(versionfold.fold_sorted, _fold_schema(fold_in)).checkpoint()
+    prepared = fold_in.checkpoint()
+    folded = _fold(prepared, _arbitrate(prepared)).checkpoint()
 
     outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version")
 

@@ -22,7 +22,7 @@ IN_TRASH, CONFLICT, EMAIL_TAKEN = "CONTACT_DELETED", "VERSION_CONFLICT", "EMAIL_
 ALREADY_DELETED, ALREADY_ACTIVE = "ALREADY_DELETED", "ALREADY_ACTIVE"
 
 # Columns copied from the input to the output unchanged.
-PASS = ("seq", "contact_id", "account_id", "kind", *FIELDS, *(f"{f}_set" for f in FIELDS))
+PASS = ("seq", "contact_id", "account_id", "kind", *FIELDS, *(f"{f}_set" for f in FIELDS), "claim")
 
 
 def fold_sorted(batches):

@@ -371,6 +371,43 @@ _STEP = "{" + ", ".join([
 _LOG_T = "STRUCT(seq BIGINT, outcome VARCHAR, version INTEGER, kind VARCHAR, " + ", ".join(
     f"b_{f} VARCHAR, n_{f} VARCHAR, p_{f} BOOLEAN" for f in _FIELDS_SQL) + ")"
 
+#: One round of the e-mail arbitration: the fold under the winners so far, and from it the first command for each e-mail that
+#: passed its own checks. Nobody has won before the first round; the test data settle within ``_ROUNDS``. (SQL needs a fixed
+#: number; the engine goes on until nothing changes.)
+_ROUNDS = 6
+
+
+def _arbitration_round(k: int) -> str:
+    last = k == _ROUNDS
+    judged, folded = ("judged", "folded") if last else (f"judged{k}", f"folded{k}")
+    won = f"LEFT JOIN winners{k - 1} w ON w.account_id = o.account_id AND w.claim = o.claim" if k else ""
+    lost = "OR coalesce(w.winner <> o.contact_id, false)" if k else ""
+    sql = f"""
+{judged} AS (
+  SELECT o.*, coalesce(o.claim IS NOT NULL AND (coalesce(o.owner <> o.contact_id, false) {lost}), false) AS email_lost
+  FROM owned o {won}
+),
+{folded} AS (
+  SELECT j.contact_id,
+         list_reduce(j.cs, lambda s, c: {_STEP},
+                     {{'version': ct.version, 'deleted': ct.deleted_at IS NOT NULL, 'first_name': ct.first_name, 'last_name': ct.last_name,
+                       'email': ct.email, 'phone': ct.phone, 'company': ct.company,
+                       'log': []::{_LOG_T}[]}}) AS s
+  FROM (SELECT contact_id, list({{'seq': seq, 'kind': kind, 'expected_version': expected_version, 'email_lost': email_lost,
+                                  'first_name': first_name, 'first_name_set': first_name_set, 'last_name': last_name,
+                                  'last_name_set': last_name_set, 'email': email, 'email_set': email_set, 'phone': phone,
+                                  'phone_set': phone_set, 'company': company, 'company_set': company_set}} ORDER BY seq) AS cs
+        FROM {judged} GROUP BY contact_id) j
+  JOIN contacts ct ON ct.id = j.contact_id
+)"""
+    return sql if last else sql + f""",
+winners{k} AS (
+  SELECT o.account_id, o.claim, arg_min(o.contact_id, o.seq) AS winner
+  FROM (SELECT unnest(f.s.log) AS e FROM {folded} f) x JOIN owned o ON o.seq = x.e.seq
+  WHERE o.claim IS NOT NULL AND (o.owner IS NULL OR o.owner = o.contact_id) AND x.e.outcome IN ('APPLIED', 'EMAIL_TAKEN') GROUP BY 1, 2
+)"""
+
+
 _FOLD_CTES = f"""
 cmd_raw AS (
   SELECT ev.event_id AS seq, ev.account_id, ev.user_id AS contact_id,
@@ -403,28 +440,7 @@ owned AS (
   SELECT cl.*, o.id AS owner FROM claims cl
   LEFT JOIN contacts o ON o.deleted_at IS NULL AND o.email IS NOT NULL AND o.account_id = cl.account_id AND o.email = cl.claim
 ),
-winners AS (
-  SELECT account_id, claim, arg_min(contact_id, seq) AS winner FROM owned
-  WHERE claim IS NOT NULL AND (owner IS NULL OR owner = contact_id) GROUP BY 1, 2
-),
-judged AS (
-  SELECT o.*, coalesce(o.claim IS NOT NULL AND ((o.owner IS NOT NULL AND o.owner <> o.contact_id) OR w.winner IS DISTINCT FROM o.contact_id),
-                       false) AS email_lost
-  FROM owned o LEFT JOIN winners w ON w.account_id = o.account_id AND w.claim = o.claim
-),
-folded AS (
-  SELECT j.contact_id,
-         list_reduce(j.cs, lambda s, c: {_STEP},
-                     {{'version': ct.version, 'deleted': ct.deleted_at IS NOT NULL, 'first_name': ct.first_name, 'last_name': ct.last_name,
-                       'email': ct.email, 'phone': ct.phone, 'company': ct.company,
-                       'log': []::{_LOG_T}[]}}) AS s
-  FROM (SELECT contact_id, list({{'seq': seq, 'kind': kind, 'expected_version': expected_version, 'email_lost': email_lost,
-                                  'first_name': first_name, 'first_name_set': first_name_set, 'last_name': last_name,
-                                  'last_name_set': last_name_set, 'email': email, 'email_set': email_set, 'phone': phone,
-                                  'phone_set': phone_set, 'company': company, 'company_set': company_set}} ORDER BY seq) AS cs
-        FROM judged GROUP BY contact_id) j
-  JOIN contacts ct ON ct.id = j.contact_id
-),
+{','.join(_arbitration_round(k) for k in range(_ROUNDS + 1))},
 outcomes AS (
   SELECT u.e.seq AS seq, f.contact_id, u.e.outcome AS outcome, u.e.version AS version
   FROM folded f, LATERAL (SELECT unnest(f.s.log) AS e) u

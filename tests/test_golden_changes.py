@@ -1,6 +1,7 @@
 """Command batches: version race, delete/restore rules, bulk operations, tags, merge."""
 
 import datetime as dt
+import random
 
 from conftest import make_contacts, make_links, make_tags
 from rolodeck.operators import changes as C
@@ -215,3 +216,56 @@ def test_bulk_requests_apply_in_request_order(spark):
     tout = C.bulk_tag(c, t, ct, treq, NOW)
     trep = {r.request_id: (r.requested, r.matched, r.added, r.already_tagged) for r in tout["report"].collect()}
     assert trep == {"a": (1, 1, 1, 0), "b": (2, 2, 0, 2)}
+
+
+def serially(contacts, cmds):
+    """The batch command by command: (outcome, version) by seq. contacts: id -> [version, deleted, email, company]."""
+    state = {i: list(v) for i, v in contacts.items()}
+    taken = {v[2]: i for i, v in contacts.items() if v[2] and not v[1]}  # released e-mails stay with the snapshot's owner
+    got = {}
+    for seq, _, i, kind, version, *values in sorted(cmds):
+        new = {f: values[2 * k] for k, f in enumerate(["first_name", "last_name", "email", "phone", "company"]) if values[2 * k + 1]}
+        s = state[i]
+        wanted = new.get("email") if kind == "update" else contacts[i][2] if kind == "restore" else None
+        if kind != "restore" and s[1]:
+            out = "CONTACT_DELETED" if kind == "update" else "ALREADY_DELETED"
+        elif kind == "restore" and not s[1]:
+            out = "ALREADY_ACTIVE"
+        elif version != s[0]:
+            out = "VERSION_CONFLICT"
+        elif kind == "update" and all((s[2] if f == "email" else s[3]) == v for f, v in new.items()):
+            out = "NO_CHANGE"
+        elif wanted and taken.setdefault(wanted, i) != i:
+            out = "EMAIL_TAKEN"
+        else:
+            out = "APPLIED"
+            s[0] += 1
+            s[1] = kind == "delete" if kind != "update" else s[1]
+            s[2], s[3] = new.get("email", s[2]), new.get("company", s[3])
+        got[seq] = (out, s[0])
+    return got
+
+
+def test_failed_command_claims_no_email(spark):
+    c = make_contacts(spark, [dict(id=i, first="A", last=str(i), created=T0) for i in (1, 2, 3)])
+    cmds = [cmd(1, 1, "update", 9, email="new@x.io"),   # stale: must not block the next one
+            cmd(2, 2, "update", 1, email="new@x.io"),
+            cmd(3, 3, "update", 1, email="new@x.io"),   # loses, so its contact stays at version 1
+            cmd(4, 3, "update", 2, email="b@x.io"),     # stale for that reason
+            cmd(5, 1, "update", 1, email="b@x.io")]
+    got, _ = outcomes(spark, c, cmds)
+    assert got == {1: ("VERSION_CONFLICT", 1), 2: ("APPLIED", 2), 3: ("EMAIL_TAKEN", 1), 4: ("VERSION_CONFLICT", 1), 5: ("APPLIED", 2)}
+
+
+def test_contested_emails_as_one_after_another(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        people = {i: [1, i % 3 == 0, f"own{i}@x.io" if i % 2 else None, None] for i in range(1, 9)}
+        c = make_contacts(spark, [dict(id=i, first="A", last=str(i), email=v[2], created=T0, **(dict(deleted=T0) if v[1] else {})) for i, v in people.items()])
+        cmds = []
+        for seq in range(60):
+            kind = rng.choice(["update", "update", "update", "delete", "restore"])
+            fields = rng.choice([{"email": f"e{rng.randrange(4)}@x.io"}, {"email": f"own{rng.randrange(1, 9)}@x.io"}, {"company": f"C{rng.randrange(2)}"}]) if kind == "update" else {}
+            cmds.append(cmd(seq, rng.randrange(1, 9), kind, rng.randrange(1, 4), **fields))
+        got, _ = outcomes(spark, c, cmds)
+        assert got == serially(people, cmds)
