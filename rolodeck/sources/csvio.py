@@ -1,10 +1,10 @@
 """CSV sources and sinks (S2 read, S3 intake screen, S6 export, S11-style writes).
 
-Reading keeps every cell: the schema is wider than any row, so surplus cells
-survive (for the rejected-rows file), and each record keeps exactly as many
-cells as its text has (see ``read_csv_records``). A multi-line CSV file is
-not splittable, so each file is read by one task and row numbers follow file
-order; the import row limit bounds the per-file work.
+Reading keeps every cell: a record is an array of as many cells as its text
+has, so surplus cells survive (for the rejected-rows file) and there is no
+column limit. A multi-line CSV file is not splittable, so each file is read by
+one task and row numbers follow file order; only files within the upload limit
+(``MAX_BYTES``, checked on file metadata) are read, which bounds that task.
 """
 
 from __future__ import annotations
@@ -13,14 +13,12 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from rolodeck.functions.csvcells import csv_line, csv_line_from_array
 from rolodeck.operators import listing as L
+from rolodeck.session import checkpoint_dir
 
 # Fixed values
-MAX_COLS = 64
 MAX_RECORD_CHARS = 20_000
 MAX_BYTES = 5 * 1024 * 1024
 EXPORT_CAP = 50_000
@@ -28,87 +26,77 @@ EXPORT_HEADER = ["first_name", "last_name", "email", "phone", "company", "tags"]
 BOM = "\ufeff"
 
 
-def _wide_schema(n: int) -> T.StructType:
-    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
+#: Marks of cell ends, record ends and quoted text, led by NUL, which a text file does not have (``intake_screen``).
+_CELL, _RECORD, _QUOTED = "\0c", "\0r", "\0q"
 
 
-def cell_counts(texts: DataFrame) -> DataFrame:
-    """Cells per record, from the raw text of each file: every quoted segment
-    (``"…"``, doubled quotes included) becomes one placeholder character, so
-    the commas and line breaks left are the structural ones. Blank lines are
-    skipped as the reader skips them. Linear in the file size."""
-    flat = F.regexp_replace("text", '"[^"]*"', "q")
-    flat = F.regexp_replace(flat, "^\ufeff", "")
-    lines = F.filter(F.split(flat, "\r\n|\n|\r"), lambda l: l != "")
-    return texts.select("file", F.posexplode(lines).alias("i", "line")).select(
-        "file", (F.col("i") + 1).alias("record_no"),
-        (F.length("line") - F.length(F.regexp_replace("line", ",", "")) + 1).alias("n_cells"))
+def file_texts(spark: SparkSession, path: str | list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(file, text): whole text of each file, one task per file. A file above ``max_bytes`` or with a NUL byte has a null
+    text; the content of the former is not read."""
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"), "length", "content")
+    small = listed.filter(F.col("length") <= max_bytes).select(
+        "file", F.when(~F.contains("content", F.lit(bytearray([0]))), F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
+    return small.unionByName(listed.filter(F.col("length") > max_bytes).select("file", F.lit(None).cast("string").alias("text")))
 
 
-def read_csv_records(spark: SparkSession, path: str, max_cols: int = MAX_COLS) -> DataFrame:
-    """(file, record_no, cells, too_long) for every record of every file
-    under ``path``; record 1 is the header. Blank lines are skipped, quotes,
-    doubled quotes, embedded separators and newlines are handled by Spark's
-    CSV reader (``multiLine``).
-
-    Spark returns null both for an empty unquoted cell and for a cell past
-    the end of a short row, so the number of cells of each record is taken
-    from the raw text (``cell_counts``) and the parsed values are padded with
-    '' up to it. Records wider than ``max_cols`` are flagged ``too_long``.
+def parsed(texts: DataFrame) -> DataFrame:
+    """(file, invalid, records): each file's records as the text stands between its record ends, cell ends marked.
+
+    Cut at the quote characters, every second part of a text is quoted. The
+    others hold the structure: their commas and line breaks end cells and
+    records, and an empty one between two quoted parts is a doubled quote.
+    ``invalid``: a quoted cell is not closed, or a quote stands inside an
+    unquoted cell or is followed by more text. Linear in the text: the lambdas
+    read nothing but their part (an outer column could be computed anew for
+    each part once the optimizer has moved a filter), which the line break
+    added at the end allows, as the last part is then like any other.
     """
-    df = (
-        spark.read.schema(_wide_schema(max_cols))
-        .option("multiLine", "true")
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("header", "false")
-        .option("mode", "PERMISSIVE")
-        .option("ignoreLeadingWhiteSpace", "false")
-        .option("ignoreTrailingWhiteSpace", "false")
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
-    cells = F.array(*[F.coalesce(F.col(f"c{i}"), F.lit("")) for i in range(max_cols)])
-    out = df.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("_order"),
-        cells.alias("_cells"),
-    )
-    # file order inside one file (a multi-line file is one split, one task)
-    w = Window.partitionBy("file").orderBy("_order")
-    rec = out.select("file", F.row_number().over(w).alias("record_no"), "_cells")
-    counts = cell_counts(file_texts(spark, path))
-    j = rec.join(counts, ["file", "record_no"], "left")
-    n = F.coalesce(F.col("n_cells"), F.lit(max_cols))
-    kept = F.slice("_cells", 1, F.least(n, F.lit(max_cols)))
-    return j.select(
-        "file", "record_no", kept.alias("cells"),
-        ((n > max_cols) | (F.aggregate(kept, F.lit(0), lambda a, c: a + F.length(c)) > MAX_RECORD_CHARS)).alias("too_long"),
-    )
+    whole = F.concat(F.regexp_replace("text", "^\ufeff", ""), F.lit("\n"))
+    cut = texts.select("file", F.split(whole, '"').alias("_parts"))
 
+    def misplaced(x, i):
+        return (i % 2 == 0) & (x != "") & (((i > 0) & ~x.rlike(r"\A[,\r\n]")) | ~x.rlike(r"[,\r\n]\z"))
 
-def file_texts(spark: SparkSession, path: str) -> DataFrame:
-    """Whole-file text per file (one task per file; files are size-screened first)."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    def marked(x, i):
+        ends = F.regexp_replace(F.replace(x, F.lit(","), F.lit(_CELL)), "\r\n|\n|\r", _RECORD)
+        return F.when(i % 2 == 1, F.concat(F.lit(_QUOTED), x)).when((x == "") & (i > 0), '"').otherwise(ends)
 
+    records = F.filter(F.split(F.array_join(F.transform("_parts", marked), ""), _RECORD), lambda r: r != "")
+    invalid = F.col("_parts").isNull() | (F.size("_parts") % 2 == 0) | (F.size(F.filter("_parts", misplaced)) > 0)
+    return cut.select("file", invalid.alias("invalid"), records.alias("records"))
 
-def unbalanced_quotes(texts: DataFrame) -> DataFrame:
-    """Files with an odd number of '"' characters: an unterminated quoted
-    field, which Spark's reader would otherwise accept silently."""
-    n = F.length("text") - F.length(F.regexp_replace("text", '"', ""))
-    return texts.select("file", ((n % 2) == 1).alias("invalid"))
+
+def _records(files: DataFrame) -> DataFrame:
+    """(file, record_no, cells, too_long) of the files' parsed records."""
+    cells = F.transform(F.split("_record", _CELL), lambda c: F.replace(c, F.lit(_QUOTED), F.lit("")))
+    # outer, as the filter that Spark infers for an inner explode would build the records twice
+    rec = files.select("file", F.posexplode_outer("records").alias("_i", "_record")).filter(F.col("_record").isNotNull())
+    rec = rec.select("file", (F.col("_i") + 1).alias("record_no"), cells.alias("cells"))
+    return rec.withColumn("too_long", F.aggregate("cells", F.lit(0), lambda a, c: a + F.length(c)) > MAX_RECORD_CHARS)
+
+
+def read_csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, record_no, cells, too_long) for every record of every file
+    under ``path``; record 1 is the header. Blank lines are skipped; quotes,
+    doubled quotes, embedded separators and line breaks of any kind (also
+    mixed in a file) are handled by ``parsed``. A record of more than
+    ``MAX_RECORD_CHARS`` characters is flagged ``too_long``."""
+    return _records(parsed(file_texts(spark, path)))
 
 
-def read_import_files(spark: SparkSession, path: str, modes: DataFrame, max_cols: int = MAX_COLS) -> tuple[DataFrame, DataFrame]:
+def read_import_files(spark: SparkSession, path: str | list[str], modes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """S2 + S5 inputs for the import pipeline: (files, rows) in the shape
     ``rolodeck.operators.importing`` expects. ``modes``: file, job_id,
-    account_id, mode (one row per uploaded file)."""
-    rec = read_csv_records(spark, path, max_cols)
-    bad = unbalanced_quotes(file_texts(spark, path))
-    header = rec.filter(F.col("record_no") == 1).select("file", F.col("cells").alias("header"))
-    files = modes.join(header, "file", "left").join(bad, "file", "left").select(
+    account_id, mode (one row per uploaded file). A file that is too large or
+    binary is not parsed and comes back invalid. Files are parsed once, into
+    the shared checkpoint folder, as the review reads the rows several times."""
+    checkpoint_dir(spark)
+    texts = parsed(file_texts(spark, path)).checkpoint()
+    rec = _records(texts)
+    header = rec.filter(F.col("record_no") == 1).select("file", F.col("cells").alias("header"), "too_long")
+    files = modes.join(header, "file", "left").join(texts.select("file", "invalid"), "file", "left").select(
         "file", "job_id", "account_id", "mode", F.element_at(F.split("file", "/"), -1).alias("filename"), "header",
-        F.coalesce("invalid", F.lit(False)).alias("invalid"))
+        (F.coalesce("invalid", F.lit(False)) | F.coalesce("too_long", F.lit(False))).alias("invalid"))
     rows = rec.filter(F.col("record_no") > 1).join(modes, "file").select(
         "file", "job_id", "account_id", "mode", (F.col("record_no") - 1).cast("long").alias("row_number"), "cells",
         F.col("too_long").alias("invalid"))

@@ -36,10 +36,63 @@ def test_unterminated_quote_is_invalid(spark):
     d = tempfile.mkdtemp(prefix="csvt-")
     _write(d, "bad.csv", b'first_name,last_name\n"Ada,Lovelace\n')
     _write(d, "good.csv", b'first_name,last_name\n"Ada","Lovelace"\n')
-    got = {os.path.basename(r.file): r.invalid for r in csvio.unbalanced_quotes(csvio.file_texts(spark, d)).collect()}
+    got = {os.path.basename(r.file): r.invalid for r in csvio.parsed(csvio.file_texts(spark, d)).collect()}
     assert got == {"bad.csv": True, "good.csv": False}
 
 
+def test_misplaced_quotes_are_invalid(spark):
+    d = tempfile.mkdtemp(prefix="csvt-")
+    texts = {"inside.csv": b'A"b"c,D\n', "after.csv": b'"A"b,D\n', "blank.csv": b'"A" ,D\n', "lead.csv": b'a,b\n "A",D\n', "doubled.csv": b'"A""",""\n',
+             "bom.csv": '\ufeff"A",b\n'.encode(), "end.csv": b'a,"b"', "nul.csv": b"a\0,b\n"}
+    for name, data in texts.items():
+        _write(d, name, data)
+    got = {os.path.basename(r.file): r.invalid for r in csvio.parsed(csvio.file_texts(spark, d)).collect()}
+    assert got == {n: n in ("inside.csv", "after.csv", "blank.csv", "lead.csv", "nul.csv") for n in texts}
+
+
+def test_any_number_of_columns(spark):
+    d = tempfile.mkdtemp(prefix="csvt-")
+    for n in (70, 300):
+        _write(d, f"w{n}.csv", (",".join(f"h{i}" for i in range(n)) + "\n" + ",".join(f'"v,{i}"' for i in range(n)) + "\n").encode())
+    recs = _records(spark, d)
+    assert [(r[0], len(r[2]), r[3]) for r in recs] == [("w300.csv", 300, False)] * 2 + [("w70.csv", 70, False)] * 2
+    assert recs[1][2] == [f"v,{i}" for i in range(300)]
+
+
+def test_records_as_the_csv_module_reads_them(spark):
+    import csv
+    import io
+    import random
+
+    rng, d, texts = random.Random(7), tempfile.mkdtemp(prefix="csvt-"), {}
+    for k in range(40):
+        rows = [["".join(rng.choice('ab,"\n\r é') for _ in range(rng.randrange(6))) for _ in range(rng.randrange(1, 5))] for _ in range(rng.randrange(1, 8))]
+        out = io.StringIO()
+        csv.writer(out, quoting=csv.QUOTE_ALL if k % 2 else csv.QUOTE_MINIMAL, lineterminator=rng.choice(["\r\n", "\n", "\r"])).writerows(rows)
+        texts[f"{k:02}.csv"] = rows
+        _write(d, f"{k:02}.csv", out.getvalue().encode())
+    got = {n: [] for n in texts}
+    for name, _, cells, _ in _records(spark, d):
+        got[name].append(cells)
+    assert got == texts
+    assert not any(r.invalid for r in csvio.parsed(csvio.file_texts(spark, d)).collect())
+
+
+def test_mixed_line_ends_and_long_records(spark):
+    d = tempfile.mkdtemp(prefix="csvt-")
+    _write(d, "m.csv", b'a,b\r1,2\n3,4\r\n\r\n""\n' + b"x" * 20_001 + b",5")
+    recs = _records(spark, d)
+    assert [r[2] for r in recs[:4]] == [["a", "b"], ["1", "2"], ["3", "4"], [""]]
+    assert [r[3] for r in recs] == [False] * 4 + [True]
+
+
+def test_large_files_are_not_read(spark):
+    d = tempfile.mkdtemp(prefix="csvt-")
+    _write(d, "big.csv", b"a,b\n" * 600)
+    _write(d, "ok.csv", b"a,b\n")
+    assert {os.path.basename(r.file): r.text for r in csvio.file_texts(spark, d, max_bytes=1024).collect()} == {"big.csv": None, "ok.csv": "a,b\n"}
+
+
 def test_intake_screen(spark):
     d = tempfile.mkdtemp(prefix="csvt-")
     _write(d, "ok.csv", b"first_name,last_name\nA,B\n")
