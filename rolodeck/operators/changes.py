@@ -277,15 +277,18 @@ def bulk_not_found(contacts: DataFrame, requests: DataFrame) -> DataFrame:
 def bulk_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, requests: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
     """M8: tag many contacts with one tag name. ``requests``: [request_id,]
     account_id, id, tag_name. Trashed and foreign ids count as not found;
-    the tag is found case-insensitively (existing casing kept) or created.
+    the tag is found case-insensitively (existing casing kept) or created
+    (``new_tags``), in the spelling of the first request that names it and
+    even if that request matches no contact.
     A link is added by the first request that asks for it; later requests
     find the contact already tagged."""
     keys, order = _request_keys(requests)
     req = requests.select(*keys, "id", "tag_name").distinct().withColumn("_order", order)
-    names = req.groupBy("account_id", F.lower("tag_name").alias("key")).agg(F.min("tag_name").alias("tag_name"))
+    names = req.groupBy("account_id", F.lower("tag_name").alias("key")).agg(F.min_by("tag_name", F.struct("_order", "tag_name")).alias("tag_name"))
     have = tags.select("account_id", F.lower("name").alias("key"), F.col("id").cast("long").alias("tag_id"), F.col("name").alias("have"))
     tag = names.join(have, ["account_id", "key"], "left").select(
-        "account_id", "key", F.coalesce("tag_id", F.xxhash64("account_id", "key")).alias("tag_id"), F.coalesce("have", "tag_name").alias("name"))
+        "account_id", "key", F.coalesce("tag_id", F.xxhash64("account_id", "key")).alias("tag_id"), F.coalesce("have", "tag_name").alias("name"),
+        F.col("tag_id").isNull().alias("is_new"))
     target = req.join(contacts.filter(P.is_active()).select("account_id", "id"), ["account_id", "id"], "left_semi") \
         .withColumn("key", F.lower("tag_name")).join(tag, ["account_id", "key"])
     links = contact_tags.select(F.col("contact_id").alias("id"), F.col("tag_id").cast("long").alias("tag_id"))
@@ -303,7 +306,9 @@ def bulk_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, requ
                             F.lit("TAG_ADDED").alias("type"),
                             json_object(F.struct(F.struct(F.col("tag_id").alias("id"), "name").alias("tag"), F.lit(True).alias("bulk"))).alias("payload"),
                             ts.alias("created_at"))
-    return {"new_links": added.select(F.col("id").alias("contact_id"), "tag_id", ts.alias("created_at")), "activity": activity, "report": report}
+    return {"new_links": added.select(F.col("id").alias("contact_id"), "tag_id", ts.alias("created_at")),
+            "new_tags": tag.filter("is_new").select(F.col("tag_id").alias("id"), "account_id", "name", ts.alias("created_at")),
+            "activity": activity, "report": report}
 
 
 def bulk_result_sets(contacts: DataFrame, requests: DataFrame) -> DataFrame:

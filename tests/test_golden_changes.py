@@ -98,6 +98,17 @@ def test_bulk_tag_counts(spark):
     assert rep == dict(account_id=0, requested=7, matched=5, added=4, already_tagged=1, not_found=2)
 
 
+def test_bulk_tag_returns_new_tags(spark):
+    c = make_contacts(spark, [dict(id=i, first="A", last=str(i), created=T0) for i in (1, 2)])
+    t = make_tags(spark, [(1, 0, "VIP")])
+    req = spark.createDataFrame([(1, 0, 1, "vip"), (2, 0, 1, "Lead"), (3, 0, 2, "LEAD"), (4, 0, 99, "Ghost")],
+                                "request_id int, account_id int, id long, tag_name string")
+    out = C.bulk_tag(c, t, make_links(spark, []), req, NOW)
+    new = {r.name: r.id for r in out["new_tags"].collect()}
+    assert set(new) == {"Lead", "Ghost"}  # the first spelling; a request without a contact still creates its tag
+    assert sorted((r.contact_id, r.tag_id) for r in out["new_links"].collect()) == sorted([(1, 1), (1, new["Lead"]), (2, new["Lead"])])
+
+
 def test_bulk_delete_twice(spark):
     c = make_contacts(spark, [dict(id=1, first="A", last="1", created=T0), dict(id=2, first="A", last="2", created=T0),
                               dict(id=3, first="A", last="3", created=T0), dict(id=4, first="A", last="4", created=T0, deleted=T0),
