@@ -339,10 +339,10 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     return _added(df, [text], [(ids, T.ArrayType(T.IntegerType())), (decoded, T.BinaryType())], work, dropped=(text,))
 
 
-def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids, after encoding and decoding."""
-    coded = round_trip(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), path)
+def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, n_tokens, ids_sha256, decoded_sha256 and the ids, after encoding and decoding."""
+    coded = round_trip(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *keep), path)
     return coded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *keep, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids",
     )
