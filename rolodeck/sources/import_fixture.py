@@ -1,10 +1,13 @@
 """Parsed import files derived from the test tables (for the import pipeline).
 
-Six files: rows are ``part`` rows split by ``p_partkey % 6`` (data row number
-``p_partkey div 6 + 1``). Files 0–3 are create files, 4–5 update files; the
-file number's parity is the account. Cell values are chosen so that every
+Six files for each 150,000 part keys, so that no file outgrows the limits of
+an upload (50,000 rows, 5 MB): of the first 150,000, rows are split by
+``p_partkey % 6`` (data row number ``p_partkey div 6 + 1``), the next keys
+make files 6–11 alike, and so on. Of each six, files 0–3 are create files, 4–5
+update files; the file number's parity is the account. Cell values are chosen so that every
 validation message occurs, and some rows re-use the e-mail of an existing
-(derived) contact. The SQL twin is in ``rolodeck.plans.import_plans``.
+(derived) contact. The SQL twin is in ``rolodeck.plans.import_plans``; it
+knows the first six files only, so it holds for keys below 150,000.
 """
 
 from __future__ import annotations
@@ -18,16 +21,22 @@ from rolodeck.sources.fixtures import raw
 CREATE_HEADER = ["First Name", "LASTNAME", "E-mail", "Phone", "Company", "Tags", "Favourite colour"]
 UPDATE_HEADER = ["email", "Company", "phone", "tags"]
 N_FILES = 6
+FILE_ROWS = 25_000
 JOB_BASE = 9000
 
 
 def _file_no():
-    return (F.col("p_partkey") % N_FILES).cast("int")
+    p = F.col("p_partkey")
+    return (p % N_FILES + N_FILES * F.floor(p / (N_FILES * FILE_ROWS))).cast("int")
+
+
+def _mode(file_no):
+    return F.when(file_no % N_FILES < 4, "create").otherwise("update")
 
 
 def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = raw(spark, sf_dir, "part").select(_file_no().alias("file_no")).distinct()
-    mode = F.when(F.col("file_no") < 4, "create").otherwise("update")
+    mode = _mode(F.col("file_no"))
     return p.select(
         F.concat(F.lit("import-"), F.col("file_no").cast("string"), F.lit(".csv")).alias("file"),
         (F.col("file_no") + JOB_BASE).cast("long").alias("job_id"),
@@ -85,13 +94,13 @@ def import_rows(spark: SparkSession, sf_dir: str, contacts: DataFrame) -> DataFr
         F.when(p % 43 == 0, F.lit("[clear]")).otherwise(F.lit("imported")),
     )
     fno = _file_no()
-    mode = F.when(fno < 4, "create").otherwise("update")
+    mode = _mode(fno)
     return j.select(
         F.concat(F.lit("import-"), fno.cast("string"), F.lit(".csv")).alias("file"),
         (fno + JOB_BASE).cast("long").alias("job_id"),
         (fno % 2).cast("int").alias("account_id"),
         mode.alias("mode"),
-        (F.floor(p / N_FILES) + 1).cast("long").alias("row_number"),
+        (F.floor(p / N_FILES) % FILE_ROWS + 1).cast("long").alias("row_number"),
         F.when(mode == "create", create_cells).otherwise(update_cells).alias("cells"),
         F.lit(False).alias("invalid"),
     )
