@@ -11,7 +11,9 @@ Entropy alone cannot tell a menu whose words differ from page to page from an
 article, so what the markup states outranks it: elements that say they are
 menus, footers, adverts, forms, comments and the like are noise wherever they
 stand, and the prose of an ``article`` or ``main`` element is content. The
-importance decides everything else.
+importance decides everything else. A word or form names a wrapper, not noise,
+where it holds the larger part of the page's main content or, in prose, of its
+text (``_Page.settle``); text outside an ``article`` goes unless its prose is longer.
 
 Pages are parsed where they are read (the parser is a small helper per row).
 Counts are map-side combined by hashed (host, path, text), so a host with a
@@ -61,7 +63,7 @@ CLOSES = {
 }
 SIBLINGS = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"]))}
 #: Elements that are never main text, and words of class, id or role that say so.
-NOISE_TAGS = frozenset("head nav footer aside form script style noscript template button select textarea iframe svg canvas object menu dialog title search audio video map datalist input label fieldset".split())
+NOISE_TAGS = frozenset("head nav footer aside script style noscript template button select textarea iframe svg canvas object menu dialog title search audio video map datalist input label fieldset".split())
 NOISE_WORDS = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside footer header masthead banner ad ads advert adverts advertisement advertisements adsense adslot sponsor sponsors "
     "sponsored promo promos promotion promotions cookie cookies consent gdpr notice notices alert alerts popup popups modal overlay newsletter subscribe subscription signup login signin search "
@@ -71,6 +73,11 @@ NOISE_WORDS = frozenset(
 #: Words that make an ``article`` element something else.
 ARTICLE_NOISE = frozenset("comment comments ad ads advert advertisement promo related recommended sponsored teaser".split())
 MAIN_TAGS = frozenset(("article", "main"))
+#: Words that say what an element holds, not how a page is laid out: only a ``main`` element inside makes it a wrapper.
+HELD_WORDS = frozenset("comment comments commentlist disqus respond replies reply related recommended recommendations cookie cookies consent gdpr hidden popup popups modal".split())
+PARAGRAPHS = frozenset("p blockquote pre".split())
+#: How main content began: by an article, by a main element.
+ARTICLE, MAIN = 1, 2
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -97,29 +104,54 @@ def _tag_end(text: str, at: int, none: dict[str, int]) -> int:
 
 
 class _Page:
-    """Blocks of a page in order: (path, text, is noise, is in main content, is exempt prose); children by path."""
+    """Blocks of a page in order: (path, text, is noise, how its main content began or 0, is exempt prose); children by path."""
 
     def __init__(self, text: str):
-        self.blocks: list[tuple[str, str, bool, bool, bool]] = []
+        self.blocks: list[tuple[str, str, bool, int, bool]] = []
+        #: Of each block the stated elements (words, forms) that it is in, of these the ones that main content began in; of each element whether HELD_WORDS name it.
+        self.stated: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
+        self.named: list[bool] = []
         self.children: dict[str, list[str]] = {}
-        #: Tag, path, noise, main, exempt, and for noise within a line the text before it, which goes on behind it.
-        self.open: list[tuple[str, str, bool, bool, bool, list[str] | None]] = []
+        #: Tag, path, noise, main, exempt, stated, and for noise within a line the text before it, which goes on behind it.
+        self.open: list[tuple[str, str, bool, int, bool, tuple[tuple[int, ...], tuple[int, ...]], list[str] | None]] = []
         self.held: list[str] = []
         self._parse(text)
-
-    def _top(self) -> tuple[str, bool, bool, bool]:
-        return self.open[-1][1:5] if self.open else ("", False, False, False)
+        self.settle()
+
+    def _top(self) -> tuple[str, bool, int, bool, tuple[tuple[int, ...], tuple[int, ...]]]:
+        return self.open[-1][1:6] if self.open else ("", False, 0, False, ((), ()))
+
+    def settle(self) -> None:
+        """Blocks in stated elements are noise, but for wrappers: those with more than half of the page's main content, or of its text in prose."""
+        if not self.named:
+            return
+        everything, mains = 0, 0
+        prose, inside, of_main = ([0] * len(self.named) for _ in range(3))
+        for (path, said, noise, main, _), (within, around) in zip(self.blocks, self.stated):
+            if noise:
+                continue
+            everything += len(said)
+            mains += len(said) * (main > 0)
+            paragraph = path.rpartition("/")[2].partition(".")[0] in PARAGRAPHS
+            for e in within:
+                prose[e] += len(said) * (paragraph and not main)
+            for e in around:
+                inside[e] += len(said)
+                of_main[e] += len(said) * (main == MAIN)
+        wraps = [2 * (of_main[e] if held else inside[e]) > mains or (not held and 2 * prose[e] > everything) for e, held in enumerate(self.named)]
+        self.blocks = [(path, said, noise or not all(wraps[e] for e in within), main, exempt) for (path, said, noise, main, exempt), (within, _) in zip(self.blocks, self.stated)]
 
     def _flush(self) -> None:
         if self.held:
             said = " ".join(entities.unescape("".join(self.held)).split())
             self.held = []
             if said:
-                path, noise, main, exempt = self._top()
+                path, noise, main, exempt, stated = self._top()
                 self.blocks.append((path, said, noise, main, exempt))
+                self.stated.append(stated)
 
     def _push(self, tag: str, attributes: str) -> None:
-        path, noise, main, exempt = self._top()
+        path, noise, main, exempt, (within, around) = self._top()
         got = {}
         if attributes.strip():
             got = {k.lower(): entities.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(attributes)}
@@ -128,12 +160,21 @@ class _Page:
         own = tag in NOISE_TAGS or (tag == "header" and not main) or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
         if tag == "article":
             own = own or not ARTICLE_NOISE.isdisjoint(words)
+        says = tag == "form"
+        if tag == "article":
+            pass
         elif not begins and tag not in ("html", "body"):
             # within the main content a header holds the title
-            own = own or not NOISE_WORDS.isdisjoint(words - {"header"} if main else words)
+            says = says or not NOISE_WORDS.isdisjoint(words - {"header"} if main else words)
         # prose right under the main element, or under prose of it, is content whatever its importance
         exempt = begins or (exempt and (tag not in BLOCK or (tag in PROSE and not words)))
-        noise, main = noise or own, main or begins
+        if begins and not main:
+            around = within  # the main content begins inside all of these
+        noise, main = noise or own, max(main, begins and (ARTICLE if tag == "article" else MAIN))
+        if says and not own:
+            within = (*within, len(self.named))
+            self.named.append(not HELD_WORDS.isdisjoint(words))
+        own = own or says
         saved = None
         if tag in BLOCK:
             self._flush()
@@ -143,11 +184,11 @@ class _Page:
             style = ".".join([tag, *sorted({"#" if w.isdigit() else w for w in words})])
             self.children.setdefault(path, []).append(style)
             path = f"{path}/{style}"
-        self.open.append((tag, path, noise, main, exempt, saved))
+        self.open.append((tag, path, noise, main, exempt, (within, around), saved))
 
     def _pop_to(self, index: int) -> None:
         while len(self.open) > index:
-            tag, saved = self.open[-1][0], self.open[-1][5]
+            tag, saved = self.open[-1][0], self.open[-1][6]
             if tag in BLOCK or saved is not None:
                 self._flush()
             self.open.pop()
@@ -216,6 +257,10 @@ def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
     page = _Page(html or "")
     kept = [b for b in page.blocks if not b[2]]
     within = [b for b in kept if b[3]]
+    if not any(b[3] == MAIN for b in within):
+        # a teaser's article does not hide longer prose
+        outside = sum(len(b[1]) for b in kept if not b[3] and b[0].rpartition("/")[2].partition(".")[0] in PARAGRAPHS)
+        within = within if outside <= sum(len(b[1]) for b in within) else kept
     return "\n\n".join(said for path, said, _, _, exempt in within or kept if not low or exempt or hashed(path) not in low)
 
 

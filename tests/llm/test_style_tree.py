@@ -26,6 +26,24 @@ def test_cases(html, text):
     assert S.main_text(html) == text
 
 
+STORY = "A story that goes on for a while and says something."
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<div class='layout has-sidebar'><article><p>{STORY}</p></article><div class='sidebar'><p>side</p></div></div>", STORY),
+    (f"<div class='content no-sidebar'><main><p>{STORY}</p></main></div>", STORY),
+    (f"<div id='page-header-wrap'><div class='nav'>menu</div><div role='main'><p>{STORY}</p></div></div>", STORY),
+    (f"<form id='aspnetForm'><div class='menu'>a menu</div><div class='page'><p>{STORY}</p></div></form>", STORY),
+    (f"<div class='has-sidebar'><div class='x'><p>{STORY}</p></div></div>", STORY),
+    (f"<form><article><p>{STORY}</p><form>f</form></article></form>", STORY),
+    (f"<article><p>teaser</p></article><div><p>{STORY}</p></div>", f"teaser\n\n{STORY}"),
+    (f"<article><p>{STORY}</p></article><div class='related'><article><p>{STORY} {STORY}</p></article></div>", STORY),
+    (f"<div><p>short</p></div><section id='comments'><p>{STORY}</p></section>", "short"),
+])
+def test_wrappers(html, text):
+    assert S.main_text(html) == text
+
+
 SCHEMA = "page_id long, url string, html string"
 
 
