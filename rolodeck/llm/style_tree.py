@@ -20,7 +20,9 @@ Counts are map-side combined by hashed (host, path, text), so a host with a
 third of all pages is no hot task; only its low paths are joined back to pages.
 
 Defined cases: null or empty html gives empty text; a page without a host
-merges with no other; equal pages of a host count once; broken markup is
+merges with no other; equal pages of a host, and near copies (pages with the
+same shared texts that make up most of them), count once; a page whose blocks
+would all go keeps its largest branch; broken markup is
 closed as browsers do; repeated rows get a row each.
 """
 
@@ -261,7 +263,17 @@ def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
         # a teaser's article does not hide longer prose
         outside = sum(len(b[1]) for b in kept if not b[3] and b[0].rpartition("/")[2].partition(".")[0] in PARAGRAPHS)
         within = within if outside <= sum(len(b[1]) for b in within) else kept
-    return "\n\n".join(said for path, said, _, _, exempt in within or kept if not low or exempt or hashed(path) not in low)
+    whole = within or kept
+    if low:
+        left = [b for b in whole if b[4] or hashed(b[0]) not in low]
+        if not left and whole:
+            size: dict[str, int] = {}
+            for b in whole:
+                size[b[0]] = size.get(b[0], 0) + len(b[1])
+            largest = max(size, key=size.__getitem__)
+            left = [b for b in whole if b[0] == largest]
+        whole = left
+    return "\n\n".join(b[1] for b in whole)
 
 
 def hashed(text: str) -> int:
@@ -272,38 +284,60 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1))
 
 
-_NODES = "host string, page long, path long, kind byte, feature long"
-#: Kinds of a node's features: the sequence of its block children, a text of its own.
-STYLE, TEXT = 0, 1
+_NODES = "host string, page long, path long, kind byte, feature long, chars long"
+#: Kinds of a node's features: the sequence of its block children, a text of its own; and of a page's: a text that is not stated noise, all of these.
+STYLE, TEXT, SAID, PAGE = 0, 1, 2, 3
+#: Bits that a text's hash gives up, so that the sum over a page's texts stays within a long.
+SPARE = 20
+#: A page is a near copy if at most one in COPY of its characters is of texts that no other page of the host has.
+COPY = 5
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: tuple[list, ...] = ([], [], [], [], [])
+        rows: tuple[list, ...] = ([], [], [], [], [], [])
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             page = _Page(html or "")
             number = hashed("\n".join(said for _, said, _, _, _ in page.blocks))
             texts = {(path, said) for path, said, _, _, _ in page.blocks}
             paths = {path for path, _ in texts} | page.children.keys()
-            found = [(path, TEXT, said) for path, said in texts] + [(path, STYLE, " ".join(page.children.get(path, ()))) for path in paths]
-            for path, kind, feature in found:
-                for column, x in zip(rows, (host, number, hashed(path), kind, hashed(feature))):
+            found = [(hashed(path), TEXT, hashed(said), 0) for path, said in texts]
+            found += [(hashed(path), STYLE, hashed(" ".join(page.children.get(path, ()))), 0) for path in paths]
+            own = {hashed(said) >> SPARE: len(said) for _, said, noise, _, _ in page.blocks if not noise}
+            found += [(0, SAID, text, n) for text, n in own.items()] + [(0, PAGE, sum(own), sum(own.values()))]
+            for path, kind, feature, chars in found:
+                for column, x in zip(rows, (host, number, path, kind, feature, chars)):
                     column.append(x)
-        types = (pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["host", "page", "path", "kind", "feature"])
+        types = (pa.string(), pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], ["host", "page", "path", "kind", "feature", "chars"])
+
+
+def _copies(nodes: DataFrame) -> DataFrame:
+    """(host, page, of): the near copies among the pages; ``of`` is the same for pages with the same shared texts."""
+    texts = nodes.where(F.col("kind") == SAID).groupBy("host", "feature").agg(F.count(F.lit(1)).alias("k"), F.min("page").alias("page"), F.first("chars").alias("chars"))
+    # a text that one page has counts against it; a page's shared texts are all of its texts but these
+    alone = texts.where("k = 1").select("host", "page", (-F.col("feature")).alias("feature"), F.lit(0).cast("long").alias("chars"), F.col("chars").alias("alone"))
+    whole = nodes.where(F.col("kind") == PAGE).select("host", "page", "feature", "chars", F.lit(0).cast("long").alias("alone"))
+    sums = whole.unionByName(alone).groupBy("host", "page").agg(*[F.sum(c).alias(c) for c in ("feature", "chars", "alone")])
+    return sums.where(F.col("alone") * COPY <= F.col("chars")).select("host", "page", F.col("feature").alias("of"))
 
 
 def importance(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The site style trees: (host, path, pages, presentation, content, importance), paths as hashes.
 
-    With m pages that have a path, presentation is -sum(p log_m p) over its child sequences, content is the mean
+    With m pages, near copies counted once, that have a path, presentation is -sum(p log_m p) over its child sequences, content is the mean
     over its distinct texts of 1 - log_m(pages that have the text); importance is
     (1 - GAMMA^l) presentation + GAMMA^l content with l child sequences. Below MIN_PAGES all are 1.
     """
     sites = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> ''")
-    nodes = sites.mapInArrow(_nodes, _NODES).distinct()  # equal pages count once
-    counted = nodes.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
+    nodes = staged(sites.mapInArrow(_nodes, _NODES).distinct(), "nodes")  # equal pages count once
+    copies = staged(_copies(nodes), "near-copies")
     style = F.col("kind") == STYLE
+    features = nodes.where(F.col("kind").isin(STYLE, TEXT)).join(copies, ["host", "page"], "left").withColumn("page", F.coalesce("of", "page"))
+    # near copies count once: each of their texts, and of a path's child sequences one
+    text = F.when(~style, F.col("feature")).alias("text")
+    once = features.groupBy("host", "page", "path", "kind", text).agg(F.min("feature").alias("feature"))
+    counted = once.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
     sums = counted.groupBy("host", "path").agg(
         F.sum(F.when(style, F.col("k"))).alias("pages"),
         F.sum(F.when(style, F.col("k") * F.log("k"))).alias("spread"),

@@ -74,6 +74,23 @@ def test_an_article_stays_whole_though_all_pages_share_it(spark):
     assert {r["text"] for r in S.extract(spark.createDataFrame(pages, SCHEMA)).collect()} == {"Same\n\nstory"}
 
 
+def test_near_copies_count_once(spark):
+    # a site without article elements: most pages are tracking copies of one story, each with a block of its own
+    say = " ".join(f"word{k}" for k in range(60))
+    copies = [(i, f"http://h.org/{i}", f'<body><div class="box">Same on every page</div><div class="content"><p>{say}</p></div><div class="ref">visit {i}</div></body>') for i in range(20)]
+    others = [(100 + i, f"http://h.org/o{i}", f'<body><div class="box">Same on every page</div><div class="content"><p>another story, the {i}th, on something else</p></div></body>') for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in S.extract(spark.createDataFrame(copies + others, SCHEMA)).collect()}
+    assert all(say in got[i] and "Same" not in got[i] for i in range(20))
+    assert all(got[100 + i] == f"another story, the {i}th, on something else" for i in range(4))
+    alone = {r["page_id"]: r["text"] for r in S.extract(spark.createDataFrame(copies, SCHEMA)).collect()}
+    assert all(say in alone[i] for i in range(20))
+
+
+def test_a_page_never_goes_whole():
+    low = frozenset(S.hashed(x) for x in ("/div.a", "/div.b/p"))
+    assert S.main_text("<div class=a>short</div><div class=b><p>one longer</p><p>two</p></div>", low) == "one longer\n\ntwo"
+
+
 def test_empty_and_repeated(spark):
     assert S.extract(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(r) for r in S.extract(spark.createDataFrame([(1, "http://a.b/", "<p>x")] * 2, SCHEMA)).collect()] == [(1, "http://a.b/", "x", 1)] * 2
