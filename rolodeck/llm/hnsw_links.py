@@ -3,8 +3,9 @@
 Vectors are compared within their label. Equal vectors are one node with a
 count. A label's nodes are dealt over shards of at most about ``SHARD``; each
 shard gets a hierarchical navigable small-world graph, and each shard's nodes
-query every shard of the label. A query batch doubles its beam until an audit
-(exact search for ``AUDITED`` of its queries) finds ``RECALL`` of the links;
+query every shard of the label. The beam doubles until it finds ``RECALL`` of
+the links of an audit, exact searches for queries drawn until ``EVIDENCE`` links
+other than a node's to itself are seen (for all of them where links are rare);
 queries whose beam is full of links widen on their own, and a beam that would
 look at as many nodes as the shard holds becomes an exact scan. What is found
 is verified by cosine in double precision.
@@ -37,8 +38,8 @@ COSINE = 0.98
 SHARD = 1 << 16
 #: Neighbours a node keeps above the ground level (twice as many there), beam while building.
 DEGREE, BUILD_BEAM = 16, 48
-#: First beam of a query; queries handled at once; audited queries of a batch; share of their links that must be found.
-BEAM, BATCH, AUDITED, RECALL = 32, 256, 32, 0.995
+#: First beam of a query; queries handled at once; links that the audit of a shard by another must see; share of them that must be found.
+BEAM, BATCH, EVIDENCE, RECALL = 32, 256, 1_000, 0.995
 #: Expansions per query and step.
 STEP = 3
 #: What single precision may lose of a cosine before it is verified.
@@ -177,31 +178,55 @@ class Graph:
             entries = _search(self.vectors, links, queries, entries, 1)[0]
         return _search(self.vectors, self.links[0], queries, entries, beam)
 
-    def within(self, queries: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) of the pairs found with at least that similarity; beams widen until the audits pass."""
-        asked, found = [], []
-        for at in range(0, len(queries), BATCH):
-            q = queries[at : at + BATCH]
-            open_, beam = np.arange(len(q)), BEAM
-            audited = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-            truth = q[audited] @ self.vectors.T >= least
+    def within(self, queries: np.ndarray, least: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) of the pairs found with at least that similarity. own: the queries are the nodes, which do not count as found by themselves."""
+        n = len(queries)
+        asked, found = [np.empty(0, int)], [np.empty(0, int)]
+
+        def keep(of, nodes):
+            asked.append(of)
+            found.append(nodes)
+
+        def scanned(of):
+            rows, nodes = np.nonzero(queries[of] @ self.vectors.T >= least)
+            keep(of[rows], nodes)
+            links = np.bincount(rows, minlength=len(of))
+            return links - own  # each finds itself
+
+        def wide(beam):  # it would look at as many nodes as there are: all of the shard
+            return 2 * DEGREE * beam >= len(self.vectors)
+
+        # one audit for all queries: exact until it has seen enough links, or all queries
+        order, at, audited, truth, seen = np.random.default_rng(7).permutation(n), 0, [], [], 0
+        while at < n and (seen < EVIDENCE or wide(BEAM)):
+            audited.append(order[at : at + BATCH])
+            truth.append(scanned(audited[-1]))
+            seen += int(truth[-1].sum())
+            at += BATCH
+        if at >= n:
+            return np.concatenate(asked), np.concatenate(found)
+        beam = BEAM
+        while not wide(beam):
+            got = 0
+            for of, true in zip(audited, truth):
+                near = (self.search(queries[of], beam)[1] >= least).sum(1) - own
+                got += int(np.minimum(near, true).sum())
+            if got >= RECALL * seen:
+                break
+            beam *= 2
+        for at in range(at, n, BATCH):
+            open_, width = order[at : at + BATCH], beam
             while len(open_):
-                if 2 * DEGREE * beam >= len(self.vectors):  # it would look at as many nodes as there are: all of the shard
-                    rows, nodes = np.nonzero(q[open_] @ self.vectors.T >= least)
-                    asked.append(at + open_[rows])
-                    found.append(nodes)
+                if wide(width):
+                    scanned(open_)
                     break
-                ids, sims = self.search(q[open_], beam)
+                ids, sims = self.search(queries[open_], width)
                 near = sims >= least
-                hits = truth.sum(1) > 0
-                got = np.array([near[np.searchsorted(open_, k)].sum() if k in open_ else truth[i].sum() for i, k in enumerate(audited)])
-                passed = not hits.any() or np.minimum(got, truth.sum(1)).sum() >= RECALL * truth.sum()
-                ready = ~near.all(1) if passed else np.zeros(len(open_), bool)
+                ready = ~near.all(1)
                 rows, slots = np.nonzero(near & ready[:, None])
-                asked.append(at + open_[rows])
-                found.append(ids[rows, slots])
-                open_, beam = open_[~ready], 2 * beam
-        return (np.concatenate(asked), np.concatenate(found)) if asked else (np.empty(0, int), np.empty(0, int))
+                keep(open_[rows], ids[rows, slots])
+                open_, width = open_[~ready], 2 * width
+        return np.concatenate(asked), np.concatenate(found)
 
 
 def _packed(**arrays) -> bytes:
@@ -246,7 +271,7 @@ def _matched(group: pd.DataFrame, least: float) -> pd.DataFrame:
     """Of two shards (or one with itself): (a, null, n) links of node a, and (a, b, null) star links."""
     shards = [_Shard(g) for g in group.sort_values("shard")["graph"]]
     one, two = shards[0], shards[-1]
-    a, b = two.graph.within(one.graph.vectors, least - SLACK)
+    a, b = two.graph.within(one.graph.vectors, least - SLACK, one is two)
     if one is two:
         a, b = np.minimum(a, b), np.maximum(a, b)
         a, b = a[a != b], b[a != b]

@@ -67,6 +67,20 @@ def test_recall_of_a_graph():
     assert np.mean([len(set(x) & set(y)) / 10 for x, y in zip(near.tolist(), ids[:, :10].tolist())]) > 0.9
 
 
+def test_rare_links_are_not_passed_unseen():
+    rng = np.random.default_rng(3)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    graph, _ = H.Graph.build(unit(rng.normal(size=(3000, 24))))
+    for links in graph.links:
+        links[:] = -1  # a graph that finds nothing
+    queries = unit(rng.normal(size=(512, 24)))
+    queries[[5, 300]] = graph.vectors[[2000, 2500]]
+    asked, found = graph.within(queries, 0.99)
+    assert sorted(zip(asked.tolist(), found.tolist())) == [(5, 2000), (300, 2500)]
+    asked, found = graph.within(graph.vectors, 0.99, own=True)
+    assert len(asked) == 3000 and (np.sort(asked) == np.arange(3000)).all()
+
+
 def test_empty(spark):
     assert H.embedding_links(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(r) for r in H.embedding_links(spark.createDataFrame([(4, None, 1)], SCHEMA)).collect()] == [(4, 0, 4, True)]
