@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: One module per operator, each with QUERIES (name to (spark, sf_dir) -> DataFrame) and ORACLE (name to SQL).
-_MODULES = tuple(f"op{n}_queries" for n in range(1, 12))
+_MODULES = tuple(f"op{n}_queries" for n in range(1, 14))
 
 
 def queries() -> dict:
