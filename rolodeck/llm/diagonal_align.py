@@ -31,6 +31,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -68,9 +69,29 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Fixed value: how byte-level vocabularies split a text before they merge.
+SPLITS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _by_ranks(config: dict, pieces: list[bytes]):
+    """An encoder by ranks that gives a file's ids, or None: merges must be in the order of their ids, with nothing but the usual splitting before."""
+    model, split = config["model"], config["pre_tokenizer"]
+    usual = split and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not config["normalizer"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    merged = (model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"])
+    if not (usual and plain and all(i == at for at, i in enumerate(merged, 256)) and len(model["vocab"]) == 256 + len(model["merges"])):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("ranks", pat_str=SPLITS, mergeable_ranks={pieces[i]: i for i in model["vocab"].values()}, special_tokens={}).encode_ordinary
+
+
 @lru_cache(2)
 def _byte_level(path: str):
-    """(encode list of texts, Vocabulary) of a byte-level .json; encodes a space and the text."""
+    """(encode list of texts, Vocabulary) of a byte-level .json; encodes a space and the text.
+
+    By ranks where the file allows (twice as fast; the tests hold each code point against the file's own library).
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
@@ -79,12 +100,16 @@ def _byte_level(path: str):
     tok.no_truncation()
     tok.no_padding()
     with open(path, encoding="utf-8") as f:
-        added = {t["id"]: t["content"].encode() for t in json.load(f)["added_tokens"]}
+        config = json.load(f)
+    added = {t["id"]: t["content"].encode() for t in config["added_tokens"]}
     byte = _byte_of()
     size = max([*tok.get_vocab().values(), *added], default=-1) + 1
     pieces = [added[i] if i in added else bytes(byte[c] for c in tok.id_to_token(i) or "") for i in range(size)]
+    one = _by_ranks(config, pieces)
 
     def encode(texts: list[str]) -> list[list[int]]:
+        if one:
+            return [one(" " + t) for t in texts]
         return [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
     return encode, Vocabulary(pieces)
@@ -186,7 +211,7 @@ def _linked(texts: list[str], path_a: str, path_b: str, tables: tuple) -> tuple[
         good = text != "" and b"".join(map(va.bytes.__getitem__, x)) == want and b"".join(map(vb.bytes.__getitem__, y)) == want
         ids.append((x, y) if good else ((), ()))
     n_a, n_b = (np.array([len(t[k]) for t in ids], np.int64) for k in (0, 1))
-    ids_a, ids_b = (np.fromiter((i for t in ids for i in t[k]), np.int64, n.sum()) for k, n in ((0, n_a), (1, n_b)))
+    ids_a, ids_b = (np.fromiter(chain.from_iterable(t[k] for t in ids), np.int64, n.sum()) for k, n in ((0, n_a), (1, n_b)))
     a, b = np.cumsum(va.sizes[ids_a]), np.cumsum(vb.sizes[ids_b])
     common = common_a, common_b = aligned(a, b)
     doc_a = np.repeat(np.arange(len(texts)), n_a)

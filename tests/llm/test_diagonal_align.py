@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from rolodeck.llm.diagonal_align import _byte_of, aligned, alignments
+from rolodeck.llm.diagonal_align import _byte_level, _byte_of, aligned, alignments
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 LONGS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -94,6 +94,16 @@ def test_odd_texts_repeats_nulls_and_clashing_names(spark):
     assert empty.columns == ["doc_id", *LONGS, "groups_sha256"] and empty.count() == 0
 
 
+def test_ranks_give_the_ids_of_the_file_for_every_code_point():
+    encode = _byte_level(PATHS[0])[0]
+    tok = Tokenizer.from_file(PATHS[0])
+    tok.encode_special_tokens = True
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 17):
+        texts = [f"x{chr(c)}y1 {chr(c)} z{chr(c)}" for c in points[at : at + (1 << 17)]]
+        assert encode(texts) == [e.ids for e in tok.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("block, once", [(1 << 22, 1 << 19), (20_000, 7_000)])
 def test_documents_in_blocks_of_any_size(spark, monkeypatch, block, once):
     import rolodeck.llm.diagonal_align as D
