@@ -2,24 +2,22 @@
 
 A batch of commands is applied to a contact snapshot and yields the next
 snapshot rows, the activity rows to append and one outcome per command.
-Per-contact version checks are a streaming fold over each contact's
-commands in ``seq`` order (``versionfold``); tenant checks, not-found and
-e-mail arbitration are joins and grouped minima.
+Version checks and e-mail ownership are ``versionscan``; everything else is
+joins and map-side-combined aggregates.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType
 
 from rolodeck.functions.text import trim_lower, trim_to_null
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
-from rolodeck.operators import versionfold
+from rolodeck.operators import versionscan
 from rolodeck.session import checkpoint_dir
 from rolodeck.sources.contacts import with_generated_columns
 
@@ -93,115 +91,33 @@ def apply_create(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -
             "outcomes": judged.select("seq", F.col("new_id").alias("contact_id"), "outcome")}
 
 
-# ---------------------------------------------------------------- M2 / M3 / M4 fold
+# ---------------------------------------------------------------- M2 / M3 / M4
 
-# The fold runs in the Python workers; ship its module by value so the
-# workers need not import this package.
-cloudpickle.register_pickle_by_value(versionfold)
 
+def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime, chain: int = versionscan.CHAIN, range_rows: int = versionscan.RANGE_ROWS) -> dict[str, DataFrame]:
+    """M2 update / M3 soft delete / M4 restore for a batch of commands, as if
+    applied one after another in ``seq`` order.
 
-def _fold_schema(df: DataFrame) -> StructType:
-    fields = [StructField(c, df.schema[c].dataType, True) for c in versionfold.PASS]
-    fields += [StructField("outcome", StringType(), True), StructField("version", IntegerType(), True),
-               StructField("deleted", BooleanType(), True)]
-    fields += [StructField(f"b_{f}", StringType(), True) for f in versionfold.FIELDS]
-    return StructType(fields)
-
-
-def _fold(prepared: DataFrame, winners: DataFrame | None) -> DataFrame:
-    """The commands judged in the order of each contact. winners: (account_id, claim, winner), the contact that gets an e-mail."""
-    lost = F.col("owned_by_other")
-    if winners is not None:
-        # most commands claim nothing: their null key is spread
-        key = P.spread_nulls(F.col("claim"), F.col("seq"))
-        prepared = prepared.withColumn("_ck", key).join(winners.withColumnRenamed("claim", "_ck"), ["account_id", "_ck"], "left").drop("_ck")
-        lost = lost | F.coalesce(F.col("winner") != F.col("contact_id"), F.lit(False))
-    rows = prepared.withColumn("email_lost", lost).drop("owned_by_other", *(["winner"] if winners is not None else []))
-    ordered = rows.repartition("contact_id").sortWithinPartitions("contact_id", "seq")
-    return ordered.mapInPandas(versionfold.fold_sorted, _fold_schema(rows))
-
-
-def _arbitrate(prepared: DataFrame) -> DataFrame | None:
-    """(account_id, claim, winner) of each e-mail that several contacts claim: the contact whose command is the first to
-    pass its own checks. None when no e-mail is contested.
-
-    Whether a command passes depends on the version its contact then has, and so on which of its contact's earlier
-    commands lost their e-mail. The contacts in such contests are folded, and each e-mail goes to the first command that
-    wanted it and was not refused otherwise, until no winner changes. After each round at least one more command in
-    ``seq`` order is final, so the rounds end, and what they end with is the batch judged one command after another.
-    """
-    rival = prepared.filter(F.col("claim").isNotNull()).groupBy("account_id", "claim").agg(
-        F.min("contact_id").alias("_lo"), F.max("contact_id").alias("_hi")).filter("_lo < _hi").select("account_id", "claim")
-    involved = prepared.join(rival, ["account_id", "claim"], "left_semi").select("contact_id").distinct()
-    contest = prepared.join(involved, "contact_id", "left_semi").checkpoint()
-    if contest.isEmpty():
-        return None
-    winners = None
-    while True:
-        tried = _fold(contest, winners).filter(F.col("claim").isNotNull() & F.col("outcome").isin(APPLIED, EMAIL_TAKEN))
-        # an e-mail of the snapshot's own owner is not in ``claim``, so what is refused here lost to another command
-        now = tried.groupBy("account_id", "claim").agg(F.min_by("contact_id", "seq").alias("winner")).checkpoint()
-        if winners is not None:
-            was = winners.withColumnRenamed("winner", "_was")
-            if now.join(was, ["account_id", "claim"], "full").filter(~F.col("winner").eqNullSafe(F.col("_was"))).isEmpty():
-                return now
-        winners = now
-
-
-def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
-    """M2 update / M3 soft delete / M4 restore for a batch of commands.
-
-    ``commands``: seq, account_id, contact_id, kind ∈ {update, delete,
+    ``commands``: seq (unique), account_id, contact_id, kind ∈ {update, delete,
     restore}, expected_version, and for updates first_name … company with
     ``*_set`` presence flags. Returns next_contacts (changed rows only),
     activity and outcomes (seq, contact_id, kind, outcome, version).
 
-    E-mail arbitration: a command that would give an active contact an e-mail
-    (an update setting it, or a restore) loses when another active contact of
-    the snapshot owns it, or when an earlier command of the batch that passed
-    its own checks has claimed it for another contact (``_arbitrate``); a
-    command that fails for another reason claims nothing. (An e-mail released
-    and retaken within one batch is judged on the snapshot.)
-
-    The version chain is judged by a streaming pass (``versionfold``) over
-    the commands hash-partitioned by contact and sorted by (contact, seq):
-    no contact's commands are collected into one row, and the work is linear
-    in the batch. Everything else (tenant check, arbitration, the next
-    snapshot rows, activity) is joins and map-side-combined aggregates. The
-    judged batch is checkpointed (eagerly, in the shared checkpoint folder):
-    the three outputs read it instead of each re-joining the snapshot.
+    A command for a contact that its account does not have is NOT_FOUND. An
+    e-mail belongs to the active contact that holds it at that moment: it is
+    free again once its owner changes it or goes to the trash, and a restore
+    claims what the contact had last. ``versionscan`` judges the batch in
+    expressions; ``chain`` commands of a contact share a row, contacts with more
+    are spread, as are e-mails in batches of more than ``range_rows`` commands. The judged batch is checkpointed (eagerly, in the shared
+    checkpoint folder): the three outputs read it.
     """
-    fields = list(versionfold.FIELDS)
-    cmds = normalise_fields(commands)
-    snap = contacts.select("id", "account_id", "version", "deleted_at", *fields, "created_at")
-    # tenant check: a command for another account's contact is NOT_FOUND
-    start = snap.select(
-        F.col("id").alias("contact_id"), "account_id", F.lit(True).alias("_found"), F.col("email").alias("_cur_email"),
-        F.col("version").cast("int").alias("_s_version"), F.col("deleted_at").isNotNull().alias("_s_deleted"),
-        *[F.col(f).alias(f"_s_{f}") for f in fields],
-    )
-    # one pass over the batch: commands without a contact in their account stay in it and come out NOT_FOUND
-    judged = cmds.join(start, ["contact_id", "account_id"], "left").withColumn("_found", F.coalesce("_found", F.lit(False)))
-
-    claim = F.when(~F.col("_found"), F.lit(None)).when(F.col("kind") == "update", F.when(F.col("email_set"), F.col("email"))) \
-        .when(F.col("kind") == "restore", F.col("_cur_email"))
-    # most commands claim no e-mail: their null key is spread so they do not all hash to one partition
-    claims = judged.withColumn("_claim", claim).withColumn("_ck", P.spread_nulls(F.col("_claim"), F.col("seq")))
-    owners = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_ck"), F.col("id").alias("_owner"))
-    c2 = claims.join(owners, ["account_id", "_ck"], "left")
-    owned_by_other = F.col("_claim").isNotNull() & F.coalesce(F.col("_owner") != F.col("contact_id"), F.lit(False))
-    fold_in = c2.select(
-        F.col("seq").cast("bigint").alias("seq"), "contact_id", "account_id", "kind",
-        *fields, *[F.coalesce(F.col(f"{f}_set"), F.lit(False)).alias(f"{f}_set") for f in fields],
-        F.when(~owned_by_other, F.col("_claim")).alias("claim"),
-        F.col("expected_version").cast("int").alias("expected_version"), owned_by_other.alias("owned_by_other"),
-        "_found", "_s_version", "_s_deleted", *[f"_s_{f}" for f in fields],
-    )
-    # the prepared batch is read by the arbitration and by the fold, the judged batch feeds all three outputs: both are
-    # written once to the shared checkpoint folder, so nothing re-runs the joins and the fold
+    fields = list(versionscan.FIELDS)
     checkpoint_dir(contacts.sparkSession)
-    prepared = fold_in.checkpoint()
-    folded = _fold(prepared, _arbitrate(prepared)).checkpoint()
+    cmds = normalise_fields(commands).withColumn("seq", F.col("seq").cast("bigint"))
+    snap = contacts.select("id", "account_id", "version", "deleted_at", *fields, "created_at")
+    known = snap.select(F.col("id").alias("contact_id"), "account_id", F.col("version").cast("int").alias("version"),
+                        F.col("deleted_at").isNotNull().alias("deleted"), *fields)
+    folded = versionscan.settle(cmds, known, chain, range_rows).checkpoint()
 
     outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version")
 

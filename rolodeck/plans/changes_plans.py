@@ -371,40 +371,48 @@ _STEP = "{" + ", ".join([
 _LOG_T = "STRUCT(seq BIGINT, outcome VARCHAR, version INTEGER, kind VARCHAR, " + ", ".join(
     f"b_{f} VARCHAR, n_{f} VARCHAR, p_{f} BOOLEAN" for f in _FIELDS_SQL) + ")"
 
-#: One round of the e-mail arbitration: the fold under the winners so far, and from it the first command for each e-mail that
-#: passed its own checks. Nobody has won before the first round; the test data settle within ``_ROUNDS``. (SQL needs a fixed
-#: number; the engine goes on until nothing changes.)
-_ROUNDS = 6
+#: E-mails by rounds: the fold with the claims that are refused so far, the intervals in which contacts then hold e-mails, and
+#: from these the claims that come while another contact holds theirs. Where a round changes nothing this is the batch applied
+#: one command after another; the test data settle within ``_ROUNDS``. (SQL needs a fixed number; the engine goes on until
+#: nothing changes.)
+_ROUNDS = 9
 
 
-def _arbitration_round(k: int) -> str:
+def _mail_round(k: int) -> str:
     last = k == _ROUNDS
-    judged, folded = ("judged", "folded") if last else (f"judged{k}", f"folded{k}")
-    won = f"LEFT JOIN winners{k - 1} w ON w.account_id = o.account_id AND w.claim = o.claim" if k else ""
-    lost = "OR coalesce(w.winner <> o.contact_id, false)" if k else ""
+    folded = "folded" if last else f"folded{k}"
+    refused = f"f.seq IN (SELECT seq FROM refused{k - 1})" if k else "false"
     sql = f"""
-{judged} AS (
-  SELECT o.*, coalesce(o.claim IS NOT NULL AND (coalesce(o.owner <> o.contact_id, false) {lost}), false) AS email_lost
-  FROM owned o {won}
-),
-{folded} AS (
-  SELECT j.contact_id,
+{folded} AS MATERIALIZED (
+  SELECT j.contact_id, ct.account_id,
          list_reduce(j.cs, lambda s, c: {_STEP},
                      {{'version': ct.version, 'deleted': ct.deleted_at IS NOT NULL, 'first_name': ct.first_name, 'last_name': ct.last_name,
                        'email': ct.email, 'phone': ct.phone, 'company': ct.company,
                        'log': []::{_LOG_T}[]}}) AS s
-  FROM (SELECT contact_id, list({{'seq': seq, 'kind': kind, 'expected_version': expected_version, 'email_lost': email_lost,
+  FROM (SELECT contact_id, list({{'seq': seq, 'kind': kind, 'expected_version': expected_version, 'email_lost': {refused},
                                   'first_name': first_name, 'first_name_set': first_name_set, 'last_name': last_name,
                                   'last_name_set': last_name_set, 'email': email, 'email_set': email_set, 'phone': phone,
                                   'phone_set': phone_set, 'company': company, 'company_set': company_set}} ORDER BY seq) AS cs
-        FROM {judged} GROUP BY contact_id) j
+        FROM found f GROUP BY contact_id) j
   JOIN contacts ct ON ct.id = j.contact_id
 )"""
     return sql if last else sql + f""",
-winners{k} AS (
-  SELECT o.account_id, o.claim, arg_min(o.contact_id, o.seq) AS winner
-  FROM (SELECT unnest(f.s.log) AS e FROM {folded} f) x JOIN owned o ON o.seq = x.e.seq
-  WHERE o.claim IS NOT NULL AND (o.owner IS NULL OR o.owner = o.contact_id) AND x.e.outcome IN ('APPLIED', 'EMAIL_TAKEN') GROUP BY 1, 2
+entry{k} AS (SELECT f.account_id, f.contact_id, unnest(f.s.log) AS e FROM {folded} f),
+got{k} AS (
+  SELECT account_id, contact_id, e.seq AS seq, e.outcome AS outcome, CASE WHEN e.kind = 'restore' THEN e.b_email ELSE e.n_email END AS email
+  FROM entry{k} WHERE e.outcome IN ('APPLIED', 'EMAIL_TAKEN') AND (e.kind = 'restore' OR e.kind = 'update' AND e.p_email)
+),
+hold{k} AS (
+  SELECT account_id, contact_id, email, seq AS since FROM got{k} WHERE outcome = 'APPLIED' AND email IS NOT NULL
+  UNION ALL SELECT account_id, id, email, -1 FROM contacts WHERE deleted_at IS NULL AND email IS NOT NULL
+),
+gave{k} AS (
+  SELECT account_id, contact_id, e.seq AS seq, e.b_email AS email FROM entry{k}
+  WHERE e.outcome = 'APPLIED' AND (e.kind = 'delete' OR e.kind = 'update' AND e.p_email AND e.b_email IS DISTINCT FROM e.n_email)
+),
+refused{k} AS MATERIALIZED (
+  SELECT DISTINCT c.seq FROM got{k} c JOIN hold{k} h ON h.account_id = c.account_id AND h.email = c.email AND h.contact_id <> c.contact_id AND h.since < c.seq
+  WHERE NOT EXISTS (SELECT 1 FROM gave{k} g WHERE g.contact_id = h.contact_id AND g.email = h.email AND g.seq > h.since AND g.seq < c.seq)
 )"""
 
 
@@ -431,16 +439,9 @@ cmds AS (
   FROM cmd_raw
 ),
 found AS (
-  SELECT k.*, c.email AS cur_email FROM cmds k JOIN contacts c ON c.id = k.contact_id AND c.account_id = k.account_id
-),
-claims AS (
-  SELECT f.*, CASE WHEN f.kind = 'update' AND f.email_set THEN f.email WHEN f.kind = 'restore' THEN f.cur_email END AS claim FROM found f
-),
-owned AS (
-  SELECT cl.*, o.id AS owner FROM claims cl
-  LEFT JOIN contacts o ON o.deleted_at IS NULL AND o.email IS NOT NULL AND o.account_id = cl.account_id AND o.email = cl.claim
+  SELECT k.* FROM cmds k JOIN contacts c ON c.id = k.contact_id AND c.account_id = k.account_id
 ),
-{','.join(_arbitration_round(k) for k in range(_ROUNDS + 1))},
+{','.join(_mail_round(k) for k in range(_ROUNDS + 1))},
 outcomes AS (
   SELECT u.e.seq AS seq, f.contact_id, u.e.outcome AS outcome, u.e.version AS version
   FROM folded f, LATERAL (SELECT unnest(f.s.log) AS e) u
