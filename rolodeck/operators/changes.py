@@ -28,7 +28,7 @@ NOT_FOUND, IN_TRASH, CONFLICT, EMAIL_TAKEN = "NOT_FOUND", "CONTACT_DELETED", "VE
 ALREADY_DELETED, ALREADY_ACTIVE = "ALREADY_DELETED", "ALREADY_ACTIVE"
 BULK_MAX_IDS = 1000
 MAX_TAGS = 20
-TOO_MANY_TAGS = "TOO_MANY_TAGS"
+TOO_MANY_TAGS, TOO_MANY_IDS = "TOO_MANY_TAGS", "TOO_MANY_IDS"
 
 
 # ---------------------------------------------------------------- F24 / helpers
@@ -55,9 +55,15 @@ def normalise_fields(df: DataFrame, prefix: str = "") -> DataFrame:
     })
 
 
+def _event_id(kind: str, as_of: dt.datetime, *key: Column | str) -> Column:
+    """An event's id: its kind, its batch (the batch's clock) and its key in the batch. A batch that is applied again
+    gives the same ids; another batch's event on the same contact has another one."""
+    return F.xxhash64(F.lit(kind), F.lit(as_of.isoformat()), *key).alias("id")
+
+
 def _ev(account: Column, contact: Column, typ: str, payload: Column, seq: Column, as_of: dt.datetime) -> list[Column]:
     return [
-        F.xxhash64(F.lit("change-activity"), seq, F.lit(typ)).alias("id"),
+        _event_id(typ, as_of, seq),
         account.alias("account_id"), contact.alias("contact_id"), F.lit(typ).alias("type"),
         payload.alias("payload"), P.ts_lit(as_of).alias("created_at"),
     ]
@@ -139,7 +145,7 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime,
     payload = F.when(is_upd, json_object(F.struct(chg.alias("changes"), F.col("version").alias("version")))) \
         .otherwise(json_object(F.struct(F.col("version").alias("version"))))
     activity = applied.select(
-        F.xxhash64(F.lit("change-activity"), F.col("seq")).alias("id"), "account_id", "contact_id", typ.alias("type"),
+        _event_id("change", as_of, F.col("seq")), "account_id", "contact_id", typ.alias("type"),
         payload.alias("payload"), ts.alias("created_at"),
     )
     return {"next_contacts": next_rows, "activity": activity, "outcomes": outcomes}
@@ -157,12 +163,23 @@ def _request_keys(requests: DataFrame) -> tuple[list[str], Column]:
     return ["account_id"], F.lit(0)
 
 
+def _sized(requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(requests of at most ``BULK_MAX_IDS`` distinct ids, the others as refused rows: keys, requested, outcome).
+
+    A request that names more is refused whole: nothing is written for it."""
+    sizes = requests.groupBy(*keys).agg(F.count_distinct("id").alias("requested"))
+    over = sizes.filter(F.col("requested") > BULK_MAX_IDS)
+    return requests.join(over.select(*keys), keys, "left_anti"), over.withColumn("outcome", F.lit(TOO_MANY_IDS))
+
+
 def bulk_delete(contacts: DataFrame, requests: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
     """M5: trash the requested ids (ids de-duplicated per request; other
     accounts' ids are not found). ``requests``: [request_id,] account_id, id.
     An active contact is trashed by the first request naming it; later
-    requests find it already in the trash."""
+    requests find it already in the trash. A request of more than 1,000 ids is
+    in ``refused`` instead of the report, and trashes nothing."""
     keys, order = _request_keys(requests)
+    requests, refused = _sized(requests, keys)
     req = requests.select(*keys, "id").distinct().withColumn("_order", order)
     existing = req.join(contacts.select("account_id", "id", "deleted_at"), ["account_id", "id"])
     first = existing.filter(P.is_active()).groupBy("account_id", "id").agg(F.min("_order").alias("_first"))
@@ -179,9 +196,9 @@ def bulk_delete(contacts: DataFrame, requests: DataFrame, as_of: dt.datetime) ->
     ts = P.ts_lit(as_of)
     changed = contacts.join(to_trash.select("id"), "id", "left_semi").withColumn("version", F.col("version") + 1) \
         .withColumn("deleted_at", ts).withColumn("updated_at", ts)
-    activity = to_trash.select(F.xxhash64(F.lit("bulk-delete"), F.col("id")).alias("id"), "account_id", F.col("id").alias("contact_id"),
+    activity = to_trash.select(_event_id("bulk-delete", as_of, F.col("id")), "account_id", F.col("id").alias("contact_id"),
                                F.lit("CONTACT_DELETED").alias("type"), F.lit('{"bulk":true}').alias("payload"), ts.alias("created_at"))
-    return {"next_contacts": changed, "activity": activity, "report": report,
+    return {"next_contacts": changed, "activity": activity, "report": report, "refused": refused,
             "not_found": bulk_not_found(contacts, requests)}
 
 
@@ -197,8 +214,10 @@ def bulk_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, requ
     (``new_tags``), in the spelling of the first request that names it and
     even if that request matches no contact.
     A link is added by the first request that asks for it; later requests
-    find the contact already tagged."""
+    find the contact already tagged. A request of more than 1,000 ids is in
+    ``refused`` instead of the report; it adds no link and no tag."""
     keys, order = _request_keys(requests)
+    requests, refused = _sized(requests, keys)
     req = requests.select(*keys, "id", "tag_name").distinct().withColumn("_order", order)
     names = req.groupBy("account_id", F.lower("tag_name").alias("key")).agg(F.min_by("tag_name", F.struct("_order", "tag_name")).alias("tag_name"))
     have = tags.select("account_id", F.lower("name").alias("key"), F.col("id").cast("long").alias("tag_id"), F.col("name").alias("have"))
@@ -218,13 +237,13 @@ def bulk_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, requ
     report = per.select(*keys, "requested", z("matched").alias("matched"), z("added").alias("added"),
                         (z("matched") - z("added")).alias("already_tagged"), (F.col("requested") - z("matched")).alias("not_found"))
     ts = P.ts_lit(as_of)
-    activity = added.select(F.xxhash64(F.lit("bulk-tag"), "id", "tag_id").alias("id"), "account_id", F.col("id").alias("contact_id"),
+    activity = added.select(_event_id("bulk-tag", as_of, "id", "tag_id"), "account_id", F.col("id").alias("contact_id"),
                             F.lit("TAG_ADDED").alias("type"),
                             json_object(F.struct(F.struct(F.col("tag_id").alias("id"), "name").alias("tag"), F.lit(True).alias("bulk"))).alias("payload"),
                             ts.alias("created_at"))
     return {"new_links": added.select(F.col("id").alias("contact_id"), "tag_id", ts.alias("created_at")),
             "new_tags": tag.filter("is_new").select(F.col("tag_id").alias("id"), "account_id", "name", ts.alias("created_at")),
-            "activity": activity, "report": report}
+            "activity": activity, "report": report, "refused": refused}
 
 
 def bulk_result_sets(contacts: DataFrame, requests: DataFrame) -> DataFrame:
@@ -273,7 +292,7 @@ def add_tags(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, comm
     first_add = new_links.groupBy("contact_id", "tag_id").agg(F.min(F.struct("seq", "pos")).alias("_k"))
     new_links = new_links.join(first_add, ["contact_id", "tag_id"]).filter(F.struct("seq", "pos") == F.col("_k"))
     ts = P.ts_lit(as_of)
-    activity = new_links.select(F.xxhash64(F.lit("add-tag"), "seq", "tag_id").alias("id"), "account_id", "contact_id", F.lit("TAG_ADDED").alias("type"),
+    activity = new_links.select(_event_id("add-tag", as_of, "seq", "tag_id"), "account_id", "contact_id", F.lit("TAG_ADDED").alias("type"),
                                 json_object(F.struct(F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"))).alias("payload"),
                                 ts.alias("created_at"))
     counts = new_links.groupBy("seq").agg(F.count(F.lit(1)).alias("added_count"))
@@ -298,7 +317,7 @@ def remove_tag(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, co
         .groupBy("account_id", "contact_id", "tag_id").agg(F.min("seq").alias("seq"))
     removed = first.join(t, ["tag_id", "account_id"])
     remaining = contact_tags.join(removed.select("contact_id", "tag_id"), ["contact_id", "tag_id"], "left_anti")
-    activity = removed.select(F.xxhash64(F.lit("remove-tag"), "seq", "contact_id", "tag_id").alias("id"), "account_id", "contact_id", F.lit("TAG_REMOVED").alias("type"),
+    activity = removed.select(_event_id("remove-tag", as_of, "seq", "contact_id", "tag_id"), "account_id", "contact_id", F.lit("TAG_REMOVED").alias("type"),
                               json_object(F.struct(F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag"))).alias("payload"),
                               P.ts_lit(as_of).alias("created_at"))
     return {"contact_tags": remaining, "activity": activity, "outcomes": judged.select("seq", "contact_id", "outcome")}

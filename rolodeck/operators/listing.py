@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rolodeck.functions.text import UUID_PATTERN
 from rolodeck.operators import predicates as P
-from rolodeck.operators.ranking import position_within, top_n_per_group
+from rolodeck.operators.ranking import position_by_key, position_within, top_n_per_group
 
 # Fixed values
 SORT_COLUMNS = {"name": "name_sort", "createdAt": "created_at", "deletedAt": "deleted_at"}
@@ -259,20 +259,21 @@ def sort_contacts(contacts: DataFrame, sort: str = "createdAt", order: str = "de
     """O1 over whole accounts: ``pos`` = 1-based position in the list order
     (distributed ranking, no single task per account)."""
     df = P.with_status(contacts, status)
-    return position_within(df, ["account_id"], sort_columns(sort, order), out="pos")
+    return position_by_key(df, "id", ["account_id"], sort_columns(sort, order), [SORT_COLUMNS[sort]], out="pos")
 
 
 def page_numbers(contacts: DataFrame, sort: str = "createdAt", order: str = "desc", limit: int = 25,
                  status: str = "active") -> DataFrame:
     """Page index (0-based) of every row when paging with ``limit``."""
-    ranked = sort_contacts(contacts, sort, order, status)
+    df = P.with_status(contacts, status).select("account_id", "id", SORT_COLUMNS[sort])
+    ranked = position_within(df, ["account_id"], sort_columns(sort, order), out="pos")
     return ranked.select("account_id", "id", "pos", F.floor((F.col("pos") - 1) / limit).cast("long").alias("page"))
 
 
 def page_cursors(contacts: DataFrame, sort: str = "createdAt", order: str = "desc", limit: int = 25,
                  status: str = "active") -> DataFrame:
     """O3: the next-page token of every page that has a next page."""
-    df = P.with_status(contacts, status)
+    df = P.with_status(contacts, status).select("account_id", "id", SORT_COLUMNS[sort])
     ranked = position_within(df, ["account_id"], sort_columns(sort, order), out="pos", with_group_size="_size")
     last = ranked.filter((F.col("pos") % limit == 0) & (F.col("pos") < F.col("_size")))
     return last.select(

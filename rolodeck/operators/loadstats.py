@@ -1,15 +1,17 @@
 """Load-result rollups over request logs.
 
 Input rows are single requests ``(scenario, clients, status, latency_ms,
-started_at)``. Quantiles are exact nearest-rank values, computed with the
-distributed ranking of ``rolodeck.operators.ranking`` so one huge step does
-not land in one task; everything else is a grouped aggregate.
+started_at)``. Quantiles are exact nearest-rank values from counted
+distributions (value, count), whose distinct values are ranked by
+``rolodeck.operators.ranking``, so neither a huge step nor a frequent value
+lands in one task; everything else is a grouped aggregate.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolodeck.operators.ranking import position_within
 
@@ -26,37 +28,51 @@ def js_round(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
 
 
-def nearest_rank(log: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """L4: per group, q = sorted[min(n − 1, floor(n·p))] for each named p."""
-    ranked = position_within(log.select(*keys, value), keys, [F.col(value).asc()], out="_pos", with_group_size="_n")
-    picks = []
+def _ranked(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Counted values (keys, value, _w, ...) with _pos, the position of a value's last row in its group, and _n, the group's rows.
+
+    Whole numbers (milliseconds) have few distinct values per group, so a group's are ranked together; others are dealt by range."""
+    if isinstance(counted.schema[value].dataType, T.IntegralType):
+        group = Window.partitionBy(*keys)
+        return counted.withColumn("_pos", F.sum("_w").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.sum("_w").over(group))
+    return position_within(counted, keys, [F.col(value).asc()], out="_pos", with_group_size="_n", weight="_w")
+
+
+def _picks(value: str, quantiles: dict[str, float]) -> list[Column]:
+    """Nearest-rank values over ``_ranked`` rows: the value whose rows reach the rank."""
+    out = []
     for name, p in quantiles.items():
-        target = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)).cast("long")) + 1
-        picks.append(F.max(F.when(F.col("_pos") == target, F.col(value))).alias(name))
-    # only the rows at a target rank survive the filter before the shuffle
-    any_target = None
-    for p in quantiles.values():
-        t = F.col("_pos") == F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)).cast("long")) + 1
-        any_target = t if any_target is None else (any_target | t)
-    return ranked.filter(any_target).groupBy(*keys).agg(*picks)
+        rank = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p)).cast("long")) + 1
+        out.append(F.max(F.when((F.col("_pos") >= rank) & (F.col("_pos") - F.col("_w") < rank), F.col(value))).alias(name))
+    return out
+
+
+def nearest_rank(log: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """L4: per group, q = sorted[min(n − 1, floor(n·p))] for each named p, over its non-null values.
+
+    Rows are first counted by value (map-side combined), so a value that a
+    third of all rows have is one row with a weight, and only distinct values
+    are ranked."""
+    counted = log.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
+    return _ranked(counted, keys, value).groupBy(*keys).agg(*_picks(value, quantiles))
 
 
 def step_digest(log: DataFrame) -> DataFrame:
     """L1: per (scenario, clients): rps, p50 / p97.5 / p99 / max latency and
-    status-class counts. Duration is the step's time span (at least 1 s)."""
+    status-class counts. Duration is the step's time span (at least 1 s).
+
+    The log is read once, for a table with a row per step and latency. Rows
+    without a latency count in all but the quantiles."""
     keys = ["scenario", "clients"]
     s = F.col("status")
-    span_s = (F.unix_micros(F.max("started_at").cast("timestamp")) - F.unix_micros(F.min("started_at").cast("timestamp"))) / 1e6
-    base = log.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.greatest(span_s, F.lit(1.0)).alias("_dur"),
-        F.max("latency_ms").alias("max"),
-        F.count_if((s >= 200) & (s < 300)).alias("ok"),
-        F.count_if((s >= 400) & (s < 500)).alias("s4xx"),
-        F.count_if(s >= 500).alias("s5xx"),
-    )
-    q = nearest_rank(log, keys, "latency_ms", QUANTILES)
-    return base.join(q, keys).select(
+    counted = log.groupBy(*keys, "latency_ms").agg(
+        F.count_if(F.col("latency_ms").isNotNull()).alias("_w"), F.count(F.lit(1)).alias("_rows"), F.min("started_at").alias("_from"), F.max("started_at").alias("_to"),
+        F.count_if((s >= 200) & (s < 300)).alias("_ok"), F.count_if((s >= 400) & (s < 500)).alias("_4xx"), F.count_if(s >= 500).alias("_5xx"))
+    span_s = (F.unix_micros(F.max("_to").cast("timestamp")) - F.unix_micros(F.min("_from").cast("timestamp"))) / 1e6
+    steps = _ranked(counted, keys, "latency_ms").groupBy(*keys).agg(
+        F.sum("_rows").alias("total"), F.greatest(span_s, F.lit(1.0)).alias("_dur"), F.max("latency_ms").alias("max"),
+        F.sum("_ok").alias("ok"), F.sum("_4xx").alias("s4xx"), F.sum("_5xx").alias("s5xx"), *_picks("latency_ms", QUANTILES))
+    return steps.select(
         *keys, js_round(F.col("total") / F.col("_dur")).alias("rps"), "p50", "p97_5", "p99", "max", "total", "ok", "s4xx", "s5xx"
     )
 

@@ -29,7 +29,7 @@ def recent_tag_history(contacts: DataFrame, tags: DataFrame, contact_tags: DataF
                        delay: dt.timedelta = dt.timedelta(hours=1)) -> DataFrame:
     """The tag links of each account's ``n`` newest contacts, with an
     event time of contact creation + ``delay``."""
-    recent = top_n_per_group(contacts, ["account_id"], [F.col("created_at").desc(), F.col("id").desc()], n)
+    recent = top_n_per_group(contacts, ["account_id"], [F.col("created_at").desc(), F.col("id").desc()], n, key="id", order_needs=["created_at"])
     r = recent.select(F.col("id").alias("contact_id"), "created_at")
     t = tags.select(F.col("id").alias("tag_id"), "name")
     secs = int(delay.total_seconds())

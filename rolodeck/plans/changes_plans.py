@@ -2,7 +2,7 @@
 
 Command batches are derived from the test tables: ``events`` rows become
 update / delete / restore / create / tag commands (``seq`` = event id, the
-contact = the event's user), big ``orders`` become bulk requests.
+contact = the event's user), ``orders`` become bulk requests.
 """
 
 from __future__ import annotations
@@ -95,25 +95,31 @@ def q_apply_create(spark, sf):
 
 
 def bulk_requests(spark, sf):
-    """Bulk requests from big orders: one request per account and order month (``request_id``)."""
-    o = raw(spark, sf, "orders")
-    acc = (F.col("o_orderkey") % 2).cast("int")
-    rid = F.concat(acc.cast("string"), F.lit(":"), F.date_format("o_orderdate", "yyyy-MM")).alias("request_id")
-    real = o.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 350000)).select(
-        rid, acc.alias("account_id"), F.col("o_custkey").alias("id"))
-    ghost = o.filter(F.col("o_totalprice") > 490000).select(
-        rid, acc.alias("account_id"), (F.col("o_orderkey") + 1_000_000_000).alias("id"))
-    return real.unionByName(ghost).withColumn("tag_name", F.when(F.col("account_id") == 0, "urgent").otherwise("Big Spender"))
+    """Bulk requests from all orders: each 500 order keys make a request per account, of the orders' customers and of ids that
+    no contact has; each 5,000 keys make one more that names too many ids."""
+    o, key = raw(spark, sf, "orders"), F.col("o_orderkey")
+    acc = (key % 2).cast("int")
+
+    def request(kind: str, keys: int, id):
+        rid = F.concat(F.lit(kind), acc.cast("string"), F.lit(":"), F.floor(key / keys).cast("string"))
+        return o.select(rid.alias("request_id"), acc.alias("account_id"), id.alias("id"))
+
+    ghost = key + 1_000_000_000
+    return request("r", 500, F.col("o_custkey")).unionByName(request("r", 500, F.when(key % 10 == 7, ghost).otherwise(F.col("o_custkey")))).unionByName(request("big", 5000, ghost)).withColumn("tag_name", F.when(F.col("account_id") == 0, "urgent").otherwise("Big Spender"))
+
+
+def _with_refused(out):
+    return out["report"].withColumn("outcome", F.lit(C.APPLIED)).unionByName(out["refused"], allowMissingColumns=True)
 
 
 def q_bulk_delete(spark, sf):
     m = load_model(spark, sf)
-    return C.bulk_delete(m.contacts, bulk_requests(spark, sf), AS_OF)["report"]
+    return _with_refused(C.bulk_delete(m.contacts, bulk_requests(spark, sf), AS_OF))
 
 
 def q_bulk_tag(spark, sf):
     m = load_model(spark, sf)
-    return C.bulk_tag(m.contacts, m.tags, m.contact_tags, bulk_requests(spark, sf), AS_OF)["report"]
+    return _with_refused(C.bulk_tag(m.contacts, m.tags, m.contact_tags, bulk_requests(spark, sf), AS_OF))
 
 
 def q_bulk_not_found(spark, sf):
@@ -160,7 +166,7 @@ def q_email_conflicts(spark, sf):
 
 def q_email_owner(spark, sf):
     m = load_model(spark, sf)
-    o = raw(spark, sf, "orders").filter(F.col("o_totalprice") > 450000).select(F.col("o_custkey").alias("id"))
+    o = raw(spark, sf, "orders").select((2 * F.col("o_orderkey")).alias("id"))
     emails = m.contacts.join(o, "id", "left_semi").select("account_id", "email")
     return C.email_owner(m.contacts, emails)
 
@@ -227,13 +233,15 @@ _TRIM = "regexp_replace({x}, '^[\\t\\n\\x0B\\f\\r\\p{{Z}}\\x{{FEFF}}]+|[\\t\\n\\
 
 _REQ = """
 requests AS (
-  SELECT CAST(o_orderkey % 2 AS VARCHAR) || ':' || strftime(o_orderdate, '%Y-%m') AS request_id,
-         CAST(o_orderkey % 2 AS INTEGER) AS account_id, o_custkey AS id FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 350000
+  SELECT 'r' || CAST(o_orderkey % 2 AS VARCHAR) || ':' || CAST(o_orderkey // 500 AS VARCHAR) AS request_id,
+         CAST(o_orderkey % 2 AS INTEGER) AS account_id, u.id
+  FROM orders, LATERAL (SELECT unnest([o_custkey, CASE WHEN o_orderkey % 10 = 7 THEN o_orderkey + 1000000000 ELSE o_custkey END]) AS id) u
   UNION ALL
-  SELECT CAST(o_orderkey % 2 AS VARCHAR) || ':' || strftime(o_orderdate, '%Y-%m'),
-         CAST(o_orderkey % 2 AS INTEGER), o_orderkey + 1000000000 FROM orders WHERE o_totalprice > 490000
+  SELECT 'big' || CAST(o_orderkey % 2 AS VARCHAR) || ':' || CAST(o_orderkey // 5000 AS VARCHAR), CAST(o_orderkey % 2 AS INTEGER), o_orderkey + 1000000000 FROM orders
 ),
-req AS (SELECT DISTINCT account_id, id, CASE WHEN account_id = 0 THEN 'urgent' ELSE 'Big Spender' END AS tag_name FROM requests)
+req AS (SELECT DISTINCT account_id, id FROM requests),
+small AS (SELECT DISTINCT request_id, account_id, id FROM requests
+          WHERE request_id IN (SELECT request_id FROM requests GROUP BY 1 HAVING count(DISTINCT id) <= 1000))
 """
 
 _ACC = """
@@ -259,13 +267,13 @@ cc AS (
 
 # bulk requests apply in request order: the first request naming an active contact trashes it / adds the link
 _BULK_DEL = """
-rq AS (SELECT DISTINCT request_id, account_id, id FROM requests),
+rq AS (SELECT * FROM small),
 ex AS (SELECT q.request_id, q.account_id, q.id, c.deleted_at IS NULL AS active
        FROM rq q JOIN contacts c ON c.account_id = q.account_id AND c.id = q.id),
 fr AS (SELECT account_id, id, min(request_id) AS first FROM ex WHERE active GROUP BY 1, 2)
 """
 _BULK_TAG = """
-rqt AS (SELECT DISTINCT request_id, account_id, id, CASE WHEN account_id = 0 THEN 'urgent' ELSE 'Big Spender' END AS tag_name FROM requests),
+rqt AS (SELECT *, CASE WHEN account_id = 0 THEN 'urgent' ELSE 'Big Spender' END AS tag_name FROM small),
 tgt AS (SELECT q.request_id, q.account_id, q.id, lower(q.tag_name) AS key, t.id AS tag_id
         FROM rqt q JOIN contacts c ON c.id = q.id AND c.account_id = q.account_id AND c.deleted_at IS NULL
         LEFT JOIN tags t ON t.account_id = q.account_id AND lower(t.name) = lower(q.tag_name)),
@@ -282,16 +290,22 @@ ORACLE = {
           WHERE email IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = cc.account_id AND c.email = cc.email)
           GROUP BY 1, 2) f ON f.account_id = cc.account_id AND f.email = cc.email""", extra_ctes=_ACC + "," + _CREATE),
     "bulk_delete": with_fixtures("""
+        SELECT request_id, account_id, count(DISTINCT id) AS requested, CAST(NULL AS BIGINT) AS deleted, CAST(NULL AS BIGINT) AS already_in_trash, CAST(NULL AS BIGINT) AS not_found,
+               'TOO_MANY_IDS' AS outcome FROM requests GROUP BY 1, 2 HAVING count(DISTINCT id) > 1000
+        UNION ALL
         SELECT r.request_id, r.account_id, r.requested, coalesce(e.deleted, 0) AS deleted,
-               coalesce(e.existing, 0) - coalesce(e.deleted, 0) AS already_in_trash, r.requested - coalesce(e.existing, 0) AS not_found
+               coalesce(e.existing, 0) - coalesce(e.deleted, 0) AS already_in_trash, r.requested - coalesce(e.existing, 0) AS not_found, 'APPLIED' AS outcome
         FROM (SELECT request_id, account_id, count(*) AS requested FROM rq GROUP BY 1, 2) r
         LEFT JOIN (SELECT ex.request_id, count(*) AS existing,
                           count(*) FILTER (WHERE ex.active AND ex.request_id = fr.first) AS deleted
                    FROM ex LEFT JOIN fr ON fr.account_id = ex.account_id AND fr.id = ex.id GROUP BY 1) e
           ON e.request_id = r.request_id""", extra_ctes=_REQ + "," + _BULK_DEL),
     "bulk_tag": with_fixtures("""
+        SELECT request_id, account_id, count(DISTINCT id) AS requested, CAST(NULL AS BIGINT) AS matched, CAST(NULL AS BIGINT) AS added, CAST(NULL AS BIGINT) AS already_tagged,
+               CAST(NULL AS BIGINT) AS not_found, 'TOO_MANY_IDS' AS outcome FROM requests GROUP BY 1, 2 HAVING count(DISTINCT id) > 1000
+        UNION ALL
         SELECT r.request_id, r.account_id, r.requested, coalesce(m.matched, 0) AS matched, coalesce(a.added, 0) AS added,
-               coalesce(m.matched, 0) - coalesce(a.added, 0) AS already_tagged, r.requested - coalesce(m.matched, 0) AS not_found
+               coalesce(m.matched, 0) - coalesce(a.added, 0) AS already_tagged, r.requested - coalesce(m.matched, 0) AS not_found, 'APPLIED' AS outcome
         FROM (SELECT request_id, account_id, count(*) AS requested FROM rqt GROUP BY 1, 2) r
         LEFT JOIN (SELECT request_id, count(*) AS matched FROM tgt GROUP BY 1) m ON m.request_id = r.request_id
         LEFT JOIN (SELECT f.request_id, count(*) AS added FROM fresh f
@@ -325,7 +339,7 @@ ORACLE = {
         GROUP BY 1, 2 HAVING count(*) > 1""", extra_ctes=_ACC + "," + _CREATE),
     "email_owner": with_fixtures("""
         SELECT DISTINCT q.account_id, q.email, c.id, c.first_name || ' ' || c.last_name AS name
-        FROM (SELECT account_id, email FROM contacts WHERE id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)) q
+        FROM (SELECT account_id, email FROM contacts WHERE id IN (SELECT 2 * o_orderkey FROM orders)) q
         JOIN contacts c ON c.deleted_at IS NULL AND c.account_id = q.account_id AND c.email = q.email"""),
     "three_way_merge": with_fixtures("""
         SELECT id, field, original, latest, mine, latest IS DISTINCT FROM original AND latest IS DISTINCT FROM mine AS clash, mine AS merged

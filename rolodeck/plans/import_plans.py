@@ -100,7 +100,7 @@ def q_import_check_existing(spark, sf):
 
 def q_import_email_lookup(spark, sf):
     r = _Run(spark, sf)
-    cand = r.rows.filter(F.col("mode") == "create").select("account_id", F.lower(F.col("cells")[2]).alias("email"))
+    cand = r.rows.select("account_id", F.lower(F.when(F.col("mode") == "create", F.col("cells")[2]).otherwise(F.col("cells")[0])).alias("email"))
     return I.email_lookup(r.m.contacts, cand.filter(F.col("email").isNotNull() & (F.col("email") != "")))
 
 
@@ -438,8 +438,8 @@ ORACLE = {
     "import_check_existing": _imp("SELECT file, row_number, message FROM existing WHERE message IS NOT NULL"),
     "import_email_lookup": _imp("""
         SELECT l.account_id, l.email, l.active_name, l.trashed FROM lookup l
-        WHERE (l.account_id, l.email) IN (SELECT DISTINCT account_id, lower(cells[3]) FROM import_rows
-                                          WHERE mode = 'create' AND cells[3] IS NOT NULL AND cells[3] <> '')"""),
+        WHERE (l.account_id, l.email) IN (SELECT DISTINCT account_id, lower(CASE WHEN mode = 'create' THEN cells[3] ELSE cells[1] END) FROM import_rows
+                                          WHERE coalesce(CASE WHEN mode = 'create' THEN cells[3] ELSE cells[1] END, '') <> '')"""),
     "import_errors": _imp("SELECT file, row_number, pos, phase, field, message, to_json(row_data)::VARCHAR AS row_data FROM errs"),
     "error_reasons": _imp(f"SELECT file, row_number, reasons FROM ({_REASONS}) x"),
     "error_rows_distinct": _imp("SELECT file, phase, count(DISTINCT row_number) AS n FROM errs GROUP BY file, phase"),

@@ -76,10 +76,11 @@ def q_json_payload(spark, sf):
 
 
 def q_activity_append(spark, sf):
-    """Append activity to a date-partitioned table and read it back."""
+    """Append activity in three batches, one of them twice, and read the table back."""
     a = load_model(spark, sf).activity
     path = staging_path(spark, f"activity-{uuid.uuid4().hex[:12]}")
-    G.append_activity(a, path)
+    for batch in (0, 1, 2, 1):
+        G.append_activity(a.filter(F.col("id") % 3 == batch), path, f"b{batch}")
     return spark.read.parquet(path).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 

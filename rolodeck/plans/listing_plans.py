@@ -118,8 +118,8 @@ def q_point_lookup(spark, sf):
 
 
 def _requested_ids(spark, sf):
-    """A requested-id list derived from the data: customers of the largest orders."""
-    return raw(spark, sf, "orders").filter(F.col("o_totalprice") > 450000).select(F.col("o_custkey").alias("id"))
+    """A requested-id list from all orders: even ids, most of them unknown."""
+    return raw(spark, sf, "orders").select((2 * F.col("o_orderkey")).alias("id"))
 
 
 def q_id_in_list(spark, sf):
@@ -296,7 +296,7 @@ ORACLE = {
         SELECT {OUT_SQL}, coalesce(tl.tags, '') AS tags FROM contacts c LEFT JOIN tl ON tl.contact_id = c.id
         WHERE c.id = 0 AND c.account_id = 0""", extra_ctes=f"tl AS ({_TAGGED_NAME})"),
     "id_in_list": with_fixtures(f"""
-        SELECT {OUT_SQL} FROM contacts c WHERE c.id IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)"""),
+        SELECT {OUT_SQL} FROM contacts c WHERE c.id IN (SELECT 2 * o_orderkey FROM orders)"""),
     "tag_prefix": with_fixtures(f"""
         SELECT account_id, id, name, row_number() OVER (PARTITION BY account_id ORDER BY lower(name), id) AS rank
         FROM tags WHERE starts_with(lower(name), {_sql_str(TAG_PREFIX)}) QUALIFY rank <= 200"""),

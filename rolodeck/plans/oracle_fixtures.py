@@ -55,7 +55,7 @@ contact_tags AS (
          CAST(c.account_id * 10 + CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS INTEGER) AS tag_id,
          min(o.o_orderdate) + INTERVAL 8218 DAY AS created_at
   FROM orders o JOIN contacts c ON o.o_custkey = c.id
-  WHERE o.o_totalprice > 400000
+  WHERE c.id % 8 <> 5
   GROUP BY c.id, c.account_id, o.o_orderpriority
 ),
 contact_activity AS (

@@ -137,7 +137,7 @@ def export_lines(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame,
     q = L.ListQuery(**{**q.__dict__, "status": "active", "cursor": None, "limit": 1})
     sort = q.resolved_sort()
     df = L.list_filtered(contacts, tags, contact_tags, q, as_of)
-    top = L.top_n_per_group(df, ["account_id"], L.sort_columns(sort, q.order), cap, out="pos")
+    top = L.top_n_per_group(df, ["account_id"], L.sort_columns(sort, q.order), cap, out="pos", key="id", order_needs=[L.SORT_COLUMNS[sort]])
     tl = L.contact_tag_list(contact_tags, tags, top.select("id")).withColumnRenamed("contact_id", "id")
     row = F.struct(F.col("pos").cast("long").alias("pos"), csv_line([
         "first_name", "last_name", "email", "phone", "company",

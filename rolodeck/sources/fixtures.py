@@ -3,7 +3,7 @@
 The test tables carry no contacts, so the contact-data model is derived from
 them with plain DataFrame operations (joins and grouped aggregates, so the
 derivation grows with the data). The same derivation is written as SQL in
-``rolodeck.plans.oracle`` for the DuckDB cross-check.
+``rolodeck.plans.oracle_fixtures`` for the DuckDB cross-check.
 
 Fixed values (must equal the oracle's): the clock ``AS_OF`` and the day shift
 that moves the newest order date onto 2024-01-31.
@@ -23,7 +23,7 @@ from rolodeck.sources.contacts import with_generated_columns
 # Fixed values
 AS_OF = dt.datetime(2024, 1, 31, 12, 0, 0)
 SHIFT_DAYS = 8218
-LINK_PRICE = 400000.0
+UNTAGGED = (8, 5)  # contacts with id % 8 = 5 have no tag
 
 
 def as_of_lit():
@@ -112,9 +112,10 @@ def tags(spark: SparkSession, sf_dir: str, contacts_df: DataFrame | None = None)
 
 
 def contact_tags(spark: SparkSession, sf_dir: str, contacts_df: DataFrame | None = None) -> DataFrame:
-    """Links: big orders grouped by customer and priority (PK contact_id, tag_id)."""
+    """Links: orders grouped by customer and priority (PK contact_id, tag_id), for all but the untagged contacts."""
     c = (contacts_df if contacts_df is not None else contacts(spark, sf_dir)).select("id", "account_id")
-    o = raw(spark, sf_dir, "orders").filter(F.col("o_totalprice") > LINK_PRICE).select("o_custkey", "o_orderpriority", "o_orderdate")
+    o = raw(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderdate")
+    c = c.filter(F.col("id") % UNTAGGED[0] != UNTAGGED[1])
     return (
         o.join(c, o.o_custkey == c.id)
         .groupBy("id", "account_id", "o_orderpriority")

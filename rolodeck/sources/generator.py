@@ -93,7 +93,8 @@ def rows_from_arrays(df: DataFrame, keep: list[str], arrays: list[str]) -> DataF
     return z.select(*keep, *[F.col(f"_z.{a}").alias(a) for a in arrays])
 
 
-def append_activity(activity: DataFrame, path: str) -> None:
-    """Append events to a day-partitioned Parquet table (append-only)."""
+def append_activity(activity: DataFrame, path: str, batch: str) -> None:
+    """Append a batch of events to a Parquet table partitioned by batch and
+    day. A batch that is appended again replaces itself, so a retry adds nothing."""
     (activity.withColumn("day", F.date_format("created_at", "yyyy-MM-dd"))
-     .write.mode("append").partitionBy("day").parquet(path))
+     .write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch}"))

@@ -5,7 +5,7 @@ scans want them: range-partitioned on (account_id, id) and sorted inside each
 file by (account_id, created_at, id), which gives Parquet min/max statistics
 for tenant filters and keyset seeks. The store lives in the shared
 checkpoint folder, keyed by a fingerprint of the input files (path, size,
-modification time), and is published with a marker file written last, so a
+modification time) and of the derivation, and is published with a marker file written last, so a
 half-written attempt is never read and a lost executor only costs a retry.
 """
 
@@ -25,6 +25,8 @@ from rolodeck.sources.contacts import write_contacts
 
 INPUTS = ("customer", "part", "orders", "events", "supplier")
 TABLES = ("contacts", "tags", "contact_tags", "activity", "import_jobs")
+#: Rises with each change of what is derived, so that a store of an earlier derivation is not read.
+DERIVATION = 2
 MARKER = "_READY"
 SCHEMAS = "_SCHEMAS"
 
@@ -36,8 +38,8 @@ def _fs(spark: SparkSession, path: str):
 
 
 def fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    """Hash of the input files' paths, sizes and modification times."""
-    parts = [sf_dir]
+    """Hash of the derivation and of the input files' paths, sizes and modification times."""
+    parts = [sf_dir, f"derivation {DERIVATION}"]
     for name in INPUTS:
         p, fs = _fs(spark, f"{sf_dir}/{name}.parquet")
         for st in fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)]:

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rolodeck.operators.ranking import position_within, top_n_per_group
+from rolodeck.operators.ranking import position_by_key, position_within, top_n_per_group
 
 
 def _data(spark):
@@ -61,3 +61,34 @@ def test_positions_hold_when_range_sampling_is_partial(spark):
         assert bad == 0 and got.count() == 20000
     finally:
         spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", old)
+
+
+def test_weighted_positions_and_quantiles_of_counted_values(spark):
+    import random
+
+    from rolodeck.operators import loadstats as LS
+
+    rng = random.Random(3)
+    # a third of all rows have one value, group "c" one row, and there are nulls
+    rows = [(g, 7 if rng.random() < 0.33 else rng.randrange(1, 500)) for g in "ab" for _ in range(3000)] + [("c", 5), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    names = {"p0": 0.0, "p50": 0.5, "p97": 0.975, "p100": 1.0}
+    got = {r.g: (r.p0, r.p50, r.p97, r.p100) for r in LS.nearest_rank(df, ["g"], "v", names).collect()}
+    for g in "abc":
+        vals = sorted(v for k, v in rows if k == g and v is not None)
+        assert got[g] == tuple(vals[min(len(vals) - 1, int(len(vals) * p))] for p in names.values())
+        assert got == {r.g: (r.p0, r.p50, r.p97, r.p100) for r in LS.nearest_rank(df.withColumn("v", F.col("v").cast("double")), ["g"], "v", names).collect()}
+    counted = df.filter("v IS NOT NULL").groupBy("g", "v").count()
+    ranked = position_within(counted, ["g"], [F.col("v").asc()], weight="count", with_group_size="n").collect()
+    for r in ranked:
+        assert r.pos == sum(1 for k, v in rows if k == r.g and v is not None and v <= r.v) and r.n == sum(1 for k, v in rows if k == r.g and v is not None)
+
+
+def test_wide_rows_ranked_by_their_keys_alone(spark):
+    df = spark.range(5000).selectExpr("id", "id % 3 AS g", "hash(id) % 50 AS k", "repeat('x', 50) AS wide")
+    order = [F.col("k").desc(), F.col("id").asc()]
+    want = {r.id: r.pos for r in position_within(df, ["g"], order).collect()}
+    got = position_by_key(df, "id", ["g"], order, ["k"])
+    assert {r.id: r.pos for r in got.collect()} == want and set(got.columns) == {"id", "g", "k", "wide", "pos"}
+    top = top_n_per_group(df, ["g"], order, 1200, out="pos", key="id", order_needs=["k"]).collect()
+    assert {r.id: r.pos for r in top} == {i: p for i, p in want.items() if p <= 1200}
