@@ -61,19 +61,23 @@ def step_digest(log: DataFrame) -> DataFrame:
     """L1: per (scenario, clients): rps, p50 / p97.5 / p99 / max latency and
     status-class counts. Duration is the step's time span (at least 1 s).
 
-    The log is read once, for a table with a row per step and latency. Rows
-    without a latency count in all but the quantiles."""
+    Whole-number latencies are counted first, so that the log is read once, for
+    a table with a row per step and latency; others are ranked by themselves.
+    Rows without a latency count in all but the quantiles."""
     keys = ["scenario", "clients"]
     s = F.col("status")
-    counted = log.groupBy(*keys, "latency_ms").agg(
-        F.count_if(F.col("latency_ms").isNotNull()).alias("_w"), F.count(F.lit(1)).alias("_rows"), F.min("started_at").alias("_from"), F.max("started_at").alias("_to"),
-        F.count_if((s >= 200) & (s < 300)).alias("_ok"), F.count_if((s >= 400) & (s < 500)).alias("_4xx"), F.count_if(s >= 500).alias("_5xx"))
-    span_s = (F.unix_micros(F.max("_to").cast("timestamp")) - F.unix_micros(F.min("_from").cast("timestamp"))) / 1e6
-    steps = _ranked(counted, keys, "latency_ms").groupBy(*keys).agg(
-        F.sum("_rows").alias("total"), F.greatest(span_s, F.lit(1.0)).alias("_dur"), F.max("latency_ms").alias("max"),
-        F.sum("_ok").alias("ok"), F.sum("_4xx").alias("s4xx"), F.sum("_5xx").alias("s5xx"), *_picks("latency_ms", QUANTILES))
+    sums = {"total": F.count(F.lit(1)), "ok": F.count_if((s >= 200) & (s < 300)), "s4xx": F.count_if((s >= 400) & (s < 500)), "s5xx": F.count_if(s >= 500)}
+    ends = [F.min("started_at").alias("_from"), F.max("started_at").alias("_to")]
+    if isinstance(log.schema["latency_ms"].dataType, T.IntegralType):
+        counted = log.groupBy(*keys, "latency_ms").agg(F.count_if(F.col("latency_ms").isNotNull()).alias("_w"), *ends, *[c.alias(n) for n, c in sums.items()])
+        steps = _ranked(counted, keys, "latency_ms").groupBy(*keys).agg(
+            F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.max("latency_ms").alias("max"), *[F.sum(n).alias(n) for n in sums], *_picks("latency_ms", QUANTILES))
+    else:
+        steps = log.groupBy(*keys).agg(*ends, F.max("latency_ms").alias("max"), *[c.alias(n) for n, c in sums.items()])
+        steps = steps.join(nearest_rank(log, keys, "latency_ms", QUANTILES), keys, "left")
+    span_s = F.greatest((F.unix_micros(F.col("_to").cast("timestamp")) - F.unix_micros(F.col("_from").cast("timestamp"))) / 1e6, F.lit(1.0))
     return steps.select(
-        *keys, js_round(F.col("total") / F.col("_dur")).alias("rps"), "p50", "p97_5", "p99", "max", "total", "ok", "s4xx", "s5xx"
+        *keys, js_round(F.col("total") / span_s).alias("rps"), "p50", "p97_5", "p99", "max", "total", "ok", "s4xx", "s5xx"
     )
 
 

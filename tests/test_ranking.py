@@ -92,3 +92,13 @@ def test_wide_rows_ranked_by_their_keys_alone(spark):
     assert {r.id: r.pos for r in got.collect()} == want and set(got.columns) == {"id", "g", "k", "wide", "pos"}
     top = top_n_per_group(df, ["g"], order, 1200, out="pos", key="id", order_needs=["k"]).collect()
     assert {r.id: r.pos for r in top} == {i: p for i, p in want.items() if p <= 1200}
+
+
+def test_step_digest_of_whole_and_of_broken_numbers(spark):
+    from rolodeck.operators import loadstats as LS
+
+    log = spark.range(4000).selectExpr("'s' || id % 2 AS scenario", "CAST(1 + id % 3 AS INT) AS clients", "CAST(CASE WHEN id % 50 = 0 THEN 500 WHEN id % 41 = 0 THEN 404 ELSE 200 END AS INT) AS status",
+                                       "CASE WHEN id % 97 = 0 THEN NULL WHEN id % 3 = 0 THEN 7 ELSE id % 211 END AS latency_ms", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 60) AS started_at")
+    whole = sorted(map(tuple, LS.step_digest(log).collect()))
+    broken = sorted(map(tuple, LS.step_digest(log.withColumn("latency_ms", F.col("latency_ms").cast("double"))).collect()))
+    assert len(whole) == 6 and whole == broken and sum(r[7] for r in whole) == 4000
