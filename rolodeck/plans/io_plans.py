@@ -46,10 +46,31 @@ def q_csv_scan(spark, sf):
                       F.size("cells").alias("n_cells"), F.array_join("cells", "|").alias("cells"), "too_long")
 
 
+def _stage_uploads(spark, sf) -> tuple[str, object]:
+    """The import files under their own names, and beside each, in turn, one that is no .csv, holds a NUL byte, is too
+    large or is empty; (folder, the list of what was uploaded)."""
+    files = import_files(spark, sf).select("file", F.regexp_extract("file", r"(\d+)", 1).cast("int").alias("k"))
+    turn = F.col("k") % 4
+    name = F.concat(F.element_at(F.array(F.lit("notes-"), F.lit("binary-"), F.lit("large-"), F.lit("empty-")), turn + 1), "k", F.when(turn == 0, ".txt").otherwise(".csv"))
+    content = F.when(turn == 0, "no table").when(turn == 1, "first_name\0,last_name").when(turn == 2, F.repeat(F.lit("first_name,last_name;"), csvio.MAX_BYTES // 20))
+    planted = files.select(name.alias("file"), content.alias("line"))
+    path = staging_path(spark, f"uploads-{uuid.uuid4().hex[:12]}")
+    planted.filter(F.col("line").isNotNull()).repartition("file").write.mode("overwrite").partitionBy("file").text(path + "/planted")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    to = jvm.Path(path + "/files")
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(to)
+    for staged in (_stage_import_csv(spark, sf), path + "/planted"):
+        for folder in fs.globStatus(jvm.Path(staged + "/file=*")):  # one part file each
+            part = fs.globStatus(jvm.Path(folder.getPath(), "part-*"))[0].getPath()
+            fs.rename(part, jvm.Path(to, folder.getPath().getName().removeprefix("file=")))
+    listed = files.select("file").unionByName(planted.select("file"))
+    return path + "/files", listed.select(F.concat(F.lit(fs.makeQualified(to).toString() + "/"), "file").alias("path"))
+
+
 def q_csv_intake_screen(spark, sf):
-    path = _stage_import_csv(spark, sf)
-    return csvio.intake_screen(spark, path + "/*/*").select(
-        F.regexp_extract("file", r"file=([^/]+)/", 1).alias("file"), "ok", "reason")
+    path, uploads = _stage_uploads(spark, sf)
+    return csvio.intake_screen(spark, path, expected=uploads).select(F.element_at(F.split("file", "/"), -1).alias("file"), "ok", "reason")
 
 
 def q_unnest_rows(spark, sf):
@@ -130,6 +151,12 @@ def _import_sql(body: str) -> str:
 
 
 ORACLE["unnest_rows"] = _import_sql("SELECT file, row_number, cells[1] AS first_cell, cells[3] AS third_cell FROM import_rows")
+ORACLE["csv_intake_screen"] = _import_sql("""
+    SELECT file, true AS ok, CAST(NULL AS VARCHAR) AS reason FROM import_files
+    UNION ALL
+    SELECT CASE k % 4 WHEN 0 THEN 'notes-' || k || '.txt' WHEN 1 THEN 'binary-' || k || '.csv' WHEN 2 THEN 'large-' || k || '.csv' ELSE 'empty-' || k || '.csv' END, false,
+           CASE k % 4 WHEN 0 THEN 'Upload a .csv file' WHEN 1 THEN 'This does not look like a text CSV file' WHEN 2 THEN 'File too large' ELSE 'The file is empty' END
+    FROM (SELECT CAST(regexp_extract(file, '[0-9]+') AS INTEGER) AS k FROM import_files)""")
 ORACLE["csv_scan"] = _import_sql("""
     SELECT file, CAST(1 AS INTEGER) AS record_no, len(header) AS n_cells, array_to_string(header, '|') AS cells, false AS too_long
     FROM import_files

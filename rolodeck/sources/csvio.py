@@ -2,21 +2,27 @@
 
 Reading keeps every cell: a record is an array of as many cells as its text
 has, so surplus cells survive (for the rejected-rows file) and there is no
-column limit. A multi-line CSV file is not splittable, so each file is read by
-one task and row numbers follow file order; only files within the upload limit
-(``MAX_BYTES``, checked on file metadata) are read, which bounds that task.
+column limit. Files of any size are read (``read_csv``): Spark splits a file at
+line breaks, and whether a line begins inside a quoted cell follows from the
+quotes before it, of its own split by a running count and of the splits before
+by a prefix scan over a row per split. Lines between the same two record ends
+are joined again, and row numbers are counted the same way.
+
+Uploads for import are whole texts within the upload limit (``file_texts``,
+``read_import_files``), as a file beyond it is refused unread.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rolodeck.functions.csvcells import csv_line, csv_line_from_array
 from rolodeck.operators import listing as L
 from rolodeck.session import checkpoint_dir
+from rolodeck.sources.staged import staged
 
 # Fixed values
 MAX_RECORD_CHARS = 20_000
@@ -39,8 +45,17 @@ def file_texts(spark: SparkSession, path: str | list[str], max_bytes: int = MAX_
     return small.unionByName(listed.filter(F.col("length") > max_bytes).select("file", F.lit(None).cast("string").alias("text")))
 
 
-def parsed(texts: DataFrame) -> DataFrame:
-    """(file, invalid, records): each file's records as the text stands between its record ends, cell ends marked.
+def _misplaced(x, i):
+    return (i % 2 == 0) & (x != "") & (((i > 0) & ~x.rlike(r"\A[,\r\n]")) | ~x.rlike(r"[,\r\n]\z"))
+
+
+def _marked(x, i):
+    ends = F.regexp_replace(F.replace(x, F.lit(","), F.lit(_CELL)), "\r\n|\n|\r", _RECORD)
+    return F.when(i % 2 == 1, F.concat(F.lit(_QUOTED), x)).when((x == "") & (i > 0), '"').otherwise(ends)
+
+
+def _cut(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with ``invalid`` and ``records`` of a text: its records as the text stands between its record ends, cell ends marked.
 
     Cut at the quote characters, every second part of a text is quoted. The
     others hold the structure: their commas and line breaks end cells and
@@ -51,37 +66,110 @@ def parsed(texts: DataFrame) -> DataFrame:
     each part once the optimizer has moved a filter), which the line break
     added at the end allows, as the last part is then like any other.
     """
-    whole = F.concat(F.regexp_replace("text", "^\ufeff", ""), F.lit("\n"))
-    cut = texts.select("file", F.split(whole, '"').alias("_parts"))
+    cut = df.withColumn("_parts", F.split(F.concat(text, F.lit("\n")), '"'))
+    records = F.filter(F.split(F.array_join(F.transform("_parts", _marked), ""), _RECORD), lambda r: r != "")
+    invalid = F.col("_parts").isNull() | (F.size("_parts") % 2 == 0) | (F.size(F.filter("_parts", _misplaced)) > 0)
+    return cut.withColumn("invalid", invalid).withColumn("records", records).drop("_parts")
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """(file, invalid, records) of whole texts (``_cut``)."""
+    return _cut(texts, F.regexp_replace("text", "^\ufeff", "")).select("file", "invalid", "records")
+
+
+def _parsed_segments(segments: DataFrame) -> DataFrame:
+    """(file, split, id, invalid, records) of (file, split, id, text, bom)."""
+    text = F.when(F.col("bom"), F.regexp_replace("text", "^\ufeff", "")).otherwise(F.col("text"))
+    return _cut(segments, text).select("file", "split", "id", "invalid", "records")
 
-    def misplaced(x, i):
-        return (i % 2 == 0) & (x != "") & (((i > 0) & ~x.rlike(r"\A[,\r\n]")) | ~x.rlike(r"[,\r\n]\z"))
 
-    def marked(x, i):
-        ends = F.regexp_replace(F.replace(x, F.lit(","), F.lit(_CELL)), "\r\n|\n|\r", _RECORD)
-        return F.when(i % 2 == 1, F.concat(F.lit(_QUOTED), x)).when((x == "") & (i > 0), '"').otherwise(ends)
+def _cells(record: str) -> Column:
+    return F.transform(F.split(record, _CELL), lambda c: F.replace(c, F.lit(_QUOTED), F.lit("")))
 
-    records = F.filter(F.split(F.array_join(F.transform("_parts", marked), ""), _RECORD), lambda r: r != "")
-    invalid = F.col("_parts").isNull() | (F.size("_parts") % 2 == 0) | (F.size(F.filter("_parts", misplaced)) > 0)
-    return cut.select("file", invalid.alias("invalid"), records.alias("records"))
+
+def _too_long(cells: str) -> Column:
+    return F.aggregate(cells, F.lit(0), lambda a, c: a + F.length(c)) > MAX_RECORD_CHARS
 
 
 def _records(files: DataFrame) -> DataFrame:
     """(file, record_no, cells, too_long) of the files' parsed records."""
-    cells = F.transform(F.split("_record", _CELL), lambda c: F.replace(c, F.lit(_QUOTED), F.lit("")))
     # outer, as the filter that Spark infers for an inner explode would build the records twice
     rec = files.select("file", F.posexplode_outer("records").alias("_i", "_record")).filter(F.col("_record").isNotNull())
-    rec = rec.select("file", (F.col("_i") + 1).alias("record_no"), cells.alias("cells"))
-    return rec.withColumn("too_long", F.aggregate("cells", F.lit(0), lambda a, c: a + F.length(c)) > MAX_RECORD_CHARS)
+    rec = rec.select("file", (F.col("_i") + 1).alias("record_no"), _cells("_record").alias("cells"))
+    return rec.withColumn("too_long", _too_long("cells"))
+
+
+def _earlier(splits: DataFrame, value: Column, out: str) -> DataFrame:
+    """Prefix scan over the splits of each file (a row a split): ``out`` = the sum of ``value`` over the splits before."""
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.withColumn(out, F.coalesce(F.sum(value).over(before), F.lit(0)))
+
+
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, split, id, line, quotes): lines in the order of (split, id); quotes in the split up to and with the line."""
+    text = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"),
+        F.make_valid_utf8("value").alias("line"))
+    so_far = Window.partitionBy("file", "split").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    return text.withColumn("quotes", F.sum(own).over(so_far))
+
+
+def _segments(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, split, id, text): lines joined to whole records, each where its first line is; (file, open, binary) of the files.
+
+    A line that begins and ends outside quotes is a segment by itself; only the others are grouped, by file and by the
+    number of segments that begin before.
+    """
+    outside = (F.col("quotes") % 2) == 0
+    per_split = lines.groupBy("file", "split").agg(
+        F.max("quotes").alias("in_split"), F.count_if(outside).alias("even"), F.count_if(~outside).alias("odd"), F.max(F.contains("line", F.lit("\0"))).alias("binary"))
+    scanned = _earlier(per_split, F.col("in_split"), "before")
+    # ends of records in the splits before: lines after which the number of quotes is even
+    scanned = staged(_earlier(scanned, F.when(F.col("before") % 2 == 0, F.col("even")).otherwise(F.col("odd")), "ended_before"), "csv-splits")
+    status = scanned.groupBy("file").agg((F.sum("in_split") % 2 == 1).alias("open"), F.max("binary").alias("binary"))
+    in_order = Window.partitionBy("file", "split").orderBy("id")
+    placed = lines.join(scanned.select("file", "split", "before", "ended_before"), ["file", "split"])
+    after = (F.col("before") + F.col("quotes")) % 2 == 0  # the line ends outside quotes
+    placed = placed.withColumn("ends", after).withColumn("begins", F.coalesce(F.lag("ends").over(in_order), F.col("before") % 2 == 0))
+    ended = F.sum(F.col("ends").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("ends").cast("long")
+    placed = staged(placed.withColumn("segment", F.col("ended_before") + ended).select("file", "split", "id", "line", "begins", "ends", "segment"), "csv-lines")
+    single = placed.filter("begins AND ends").select("file", "split", "id", F.col("line").alias("text"))
+    parts = placed.filter("NOT (begins AND ends)").groupBy("file", "segment").agg(F.sum(F.length("line")).alias("size"), F.min(F.struct("split", "id")).alias("first"), F.array_sort(F.collect_list(F.struct("split", "id", "line"))).alias("lines"))
+    joined = parts.select("file", "first.split", "first.id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("text"))
+    return single.unionByName(joined), status
+
+
+def read_csv(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """S2 for files of any size: (files, records).
+
+    ``files``: (file, invalid) of each non-empty file; invalid if a quoted cell is not closed, a quote stands elsewhere, or
+    the file holds a NUL byte (it then has no records). ``records``: (file, record_no, cells, too_long); record 1 is the header.
+    A line up to the next line feed and a record are rows, of any size that a row may have.
+    """
+    segments, status = _segments(_lines(spark, path))
+    first = F.struct("split", "id")
+    heads = segments.groupBy("file").agg(F.min(first).alias("head"))
+    named = segments.join(heads, "file").withColumn("bom", first == F.col("head"))
+    made = staged(_parsed_segments(named), "csv-records")
+    files = status.join(made.groupBy("file").agg(F.max("invalid").alias("misplaced")), "file", "left").select(
+        "file", (F.col("open") | F.col("binary") | F.coalesce("misplaced", F.lit(False))).alias("invalid"), "binary")
+    text = made.join(files.filter("NOT binary").select("file"), "file", "left_semi")
+    counts = _earlier(text.groupBy("file", "split").agg(F.sum(F.size("records")).alias("n")), F.col("n"), "before")
+    so_far = Window.partitionBy("file", "split").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = text.withColumn("_here", F.coalesce(F.sum(F.size("records")).over(so_far), F.lit(0))).join(counts.select("file", "split", "before"), ["file", "split"])
+    rec = placed.select("file", (F.col("before") + F.col("_here")).alias("_n"), F.posexplode("records").alias("_i", "_record"))
+    rec = rec.select("file", (F.col("_n") + F.col("_i") + 1).cast("int").alias("record_no"), _cells("_record").alias("cells"))
+    return files.select("file", "invalid"), rec.withColumn("too_long", _too_long("cells"))
 
 
 def read_csv_records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, record_no, cells, too_long) for every record of every file
     under ``path``; record 1 is the header. Blank lines are skipped; quotes,
     doubled quotes, embedded separators and line breaks of any kind (also
-    mixed in a file) are handled by ``parsed``. A record of more than
-    ``MAX_RECORD_CHARS`` characters is flagged ``too_long``."""
-    return _records(parsed(file_texts(spark, path)))
+    mixed in a file) are handled. A record of more than ``MAX_RECORD_CHARS``
+    characters is flagged ``too_long``."""
+    return read_csv(spark, path)[1]
 
 
 def read_import_files(spark: SparkSession, path: str | list[str], modes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -129,3 +129,45 @@ def test_import_pipeline_from_files(spark):
     summary = I.job_summary(rev, files, rows).collect()[0]
     assert summary.notes == "Ignored columns: Favourite colour"
     assert summary.valid_rows == 2 and summary.status == "ready"
+
+
+def _by_the_csv_module(data: bytes):
+    import csv
+    import io
+
+    return [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig"), newline="")) if r]
+
+
+def test_a_large_file_is_read_by_many_tasks(spark):
+    """Quoted line breaks, doubled quotes and mixed line ends everywhere, so that they fall on split borders too."""
+    import random
+
+    rng, d = random.Random(11), tempfile.mkdtemp(prefix="csvt-")
+    lines = ['\ufeffa,b,c']
+    for k in range(30_000):
+        kind = rng.randrange(12)
+        cell = 'x' * rng.randrange(30) if kind < 6 else f'"l{k}\nm\r\n{k}"' if kind == 6 else '"say ""hi"", é"' if kind == 7 else f'"{chr(10) * rng.randrange(1, 4)}"' if kind == 8 else '""' if kind == 9 else "é,ü" if kind == 10 else '"a,b"'
+        lines.append(f"{k},{cell},{k % 7}" + rng.choice(["", "\r"]) + rng.choice(["", "\n", "\n\r"]) * (rng.random() < 0.1))
+    data = "\n".join(lines).encode()
+    _write(d, "large.csv", data)
+    _write(d, "small.csv", b'p,q\r1,"2\r3"\r')
+    _write(d, "open.csv", b'p,q\n1,"2\n3\n4,5\n')
+    _write(d, "bin.csv", b"p,q\n1,2\n\0,3\n")
+    _write(d, "inside.csv", b'p,q\n1,2\n3,x"y"\n')
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert csvio._lines(spark, d).select("split").distinct().count() > 30
+        files, records = csvio.read_csv(spark, d)
+        got = {}
+        for r in records.orderBy("file", "record_no").collect():
+            got.setdefault(os.path.basename(r.file), []).append((r.record_no, list(r.cells)))
+        assert {os.path.basename(r.file): r.invalid for r in files.collect()} == {"large.csv": False, "small.csv": False, "open.csv": True, "bin.csv": True, "inside.csv": True}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = _by_the_csv_module(data)
+    assert [n for n, _ in got["large.csv"]] == list(range(1, len(want) + 1))
+    assert [c for _, c in got["large.csv"]] == want
+    assert got["small.csv"] == [(1, ["p", "q"]), (2, ["1", "2\r3"])] and "bin.csv" not in got
