@@ -32,7 +32,7 @@ def q_stream_daily_activity(spark, sf):
      .write.mode("overwrite").partitionBy("day").parquet(src))
     out, ck = _fresh(spark, "activity-rollup"), _fresh(spark, "activity-ckpt")
     S.daily_activity_stream(spark, src, out, ck, delay="60 days", files_per_trigger=FILES_PER_TRIGGER).awaitTermination()
-    return spark.read.parquet(out)
+    return S.read_rollup(spark, out)
 
 
 def q_stream_import_files(spark, sf):
@@ -51,17 +51,19 @@ def q_stream_import_files(spark, sf):
 
 
 def q_stream_exactly_once_chunks(spark, sf):
-    """Chunk records arrive twice (a replay of the same rows); each
-    (job, row) is applied once."""
+    """Chunk records arrive again, in the same run, in a later run and in a stream of its own; each (job, row) is applied once."""
     m = load_model(spark, sf)
     rows = import_rows(spark, sf, m.contacts).select(
         "job_id", "row_number", F.lit("2024-01-31 12:00:00").cast("timestamp_ntz").alias("staged_at"))
     src = _fresh(spark, "chunks-src")
-    rows.write.mode("overwrite").parquet(os.path.join(src, "part=1"))
-    rows.filter(F.col("row_number") % 2 == 0).write.mode("overwrite").parquet(os.path.join(src, "part=2"))  # a replay
     out, ck = _fresh(spark, "chunks-out"), _fresh(spark, "chunks-ckpt")
+    rows.filter(F.col("row_number") % 3 > 0).write.mode("overwrite").parquet(os.path.join(src, "part=1"))
+    rows.filter(F.col("row_number") % 2 == 0).write.mode("overwrite").parquet(os.path.join(src, "part=2"))
     S.exactly_once_chunks(spark, src + "/*", rows.schema, out, ck).awaitTermination()
-    return spark.read.parquet(out).select("job_id", "row_number")
+    rows.write.mode("overwrite").parquet(os.path.join(src, "part=3"))
+    S.exactly_once_chunks(spark, src + "/*", rows.schema, out, ck).awaitTermination()
+    S.exactly_once_chunks(spark, src + "/*", rows.schema, out, ck + "-anew").awaitTermination()
+    return S.read_applied(spark, out, rows.schema).select("job_id", "row_number")
 
 
 QUERIES = {
