@@ -7,14 +7,17 @@ operator is checked against an independent formulation.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rolodeck.functions.text import JS_SPACE_CLASS
 from rolodeck.functions.validators import EMAIL_PATTERN
 from rolodeck.operators import importing as I
+from rolodeck.operators import importjobs as J
 from rolodeck.plans.oracle_fixtures import with_fixtures
-from rolodeck.session import checkpoint_dir
-from rolodeck.sources.fixtures import AS_OF, load_model
+from rolodeck.session import checkpoint_dir, staging_path
+from rolodeck.sources.fixtures import AS_OF, load_model, raw
 from rolodeck.sources.import_fixture import CREATE_HEADER, UPDATE_HEADER, import_files, import_rows
 
 
@@ -529,6 +532,47 @@ def q_import_pipeline(spark, sf):
                       "error_rows", "status")
 
 
+RESUME_CHUNK = 100  # rows of a chunk, so that jobs of every scale have several
+
+
+def job_requests(spark, sf):
+    """Confirm and cancel requests of the derived jobs, from all events: the account is at times another one."""
+    e = raw(spark, sf, "events")
+    k, job = F.col("event_id"), F.col("user_id")
+    return e.select(k.alias("seq"), F.when(k % 13 == 0, 1 - job % 2).otherwise(job % 2).cast("int").alias("account_id"), F.floor(job / 3).alias("job_id"),
+                    F.when(F.col("event_type").isin("click", "view"), "confirm").otherwise("cancel").alias("action"))
+
+
+def request_jobs(spark, sf):
+    """The derived jobs, some of them still validating, some ready without a valid row."""
+    k = F.col("id")
+    j = load_model(spark, sf).import_jobs
+    return j.withColumn("status", F.when(k % 10 == 7, "validating").otherwise(F.col("status"))).withColumn("valid_rows", F.when(k % 30 == 1, 0).otherwise(F.col("valid_rows")))
+
+
+def q_import_requests(spark, sf):
+    """I8: confirm and cancel, as a batch."""
+    return J.judge_requests(request_jobs(spark, sf), job_requests(spark, sf))["outcomes"]
+
+
+def q_import_resume(spark, sf):
+    """I8: all jobs confirmed and applied in runs of a few chunks, every second one broken off before its commit; the counters at the end."""
+    r = _Run(spark, sf)
+    rev = r.reviewed()
+    summary = I.job_summary(rev, r.files, r.rows).withColumn("status", F.when(F.col("status") == "ready", "importing").otherwise(F.col("status"))).checkpoint()
+    runs = J.Runs(spark, staging_path(spark, f"import-runs-{uuid.uuid4().hex[:12]}"))
+    chunks = J.pending_chunks(rev, summary.filter("status = 'importing'"), None, RESUME_CHUNK).count()
+    step = dict(max_chunks=-(-chunks // 3), chunk=RESUME_CHUNK)
+    args = (runs, rev, summary, r.m.contacts, r.m.tags, r.m.contact_tags, AS_OF)
+    J.run(*args, **step, commit=False)
+    while J.run(*args, **step):
+        pass
+    return J.job_counters(runs, summary).join(summary.select("job_id", "file"), "job_id").filter("status = 'completed'").select(
+        "file", "job_id", "processed", "created", "updated", "unchanged", "error_rows", "status")
+
+
+QUERIES["import_requests"] = q_import_requests
+QUERIES["import_resume"] = q_import_resume
 QUERIES["import_error_page"] = q_import_error_page
 QUERIES["ensure_tags"] = q_first_spelling_wins
 QUERIES["first_spelling_wins"] = q_first_spelling_in_row
@@ -550,6 +594,23 @@ LEFT JOIN (SELECT file, count(*) FILTER (WHERE outcome = 'updated') AS updated,
 ORACLE["import_counters"] = _imp(f"SELECT file, CAST(9000 + CAST(regexp_extract(file, '(\\d+)', 1) AS INTEGER) AS BIGINT) AS job_id, "
                                  f"processed, created, updated, unchanged, error_rows, status FROM ({_COUNTERS}) z", _CREATES)
 ORACLE["import_pipeline"] = _imp(_COUNTERS, _CREATES)
+ORACLE["import_resume"] = ORACLE["import_counters"]
+ORACLE["import_requests"] = _imp("""
+    SELECT seq, job_id, action, outcome,
+           CASE outcome WHEN 'NOTHING_TO_IMPORT' THEN 'There are no valid rows to import'
+                        WHEN 'IMPORT_NOT_READY' THEN 'This import is ' || status || ', so it can''t be started'
+                        WHEN 'IMPORT_NOT_CANCELLABLE' THEN 'This import is ' || status || ', so it can''t be cancelled' END AS message
+    FROM (SELECT *, CASE WHEN was IS NULL THEN 'NOT_FOUND' WHEN seq = least(go, stop) THEN 'APPLIED'
+                         WHEN action = 'confirm' AND status = 'ready' THEN 'NOTHING_TO_IMPORT' WHEN action = 'confirm' THEN 'IMPORT_NOT_READY' ELSE 'IMPORT_NOT_CANCELLABLE' END AS outcome
+          FROM (SELECT *, CASE WHEN seq <= coalesce(least(go, stop), seq) THEN was WHEN go = least(go, stop) THEN 'importing' ELSE 'cancelled' END AS status
+                FROM (SELECT *, min(CASE WHEN action = 'confirm' AND was = 'ready' AND valid > 0 THEN seq END) OVER w AS go,
+                             min(CASE WHEN action = 'cancel' AND was IN ('validating', 'ready') THEN seq END) OVER w AS stop
+                      FROM (SELECT q.*, j.status AS was, j.valid FROM (
+                              SELECT event_id AS seq, CAST(CASE WHEN event_id % 13 = 0 THEN 1 - user_id % 2 ELSE user_id % 2 END AS INTEGER) AS account_id, user_id // 3 AS job_id,
+                                     CASE WHEN event_type IN ('click', 'view') THEN 'confirm' ELSE 'cancel' END AS action FROM events) q
+                            LEFT JOIN (SELECT id, account_id, CASE WHEN id % 10 = 7 THEN 'validating' ELSE status END AS status,
+                                              CASE WHEN id % 30 = 1 THEN 0 ELSE valid_rows END AS valid FROM import_jobs) j ON j.id = q.job_id AND j.account_id = q.account_id) x
+                      WINDOW w AS (PARTITION BY job_id, account_id)) y) z) o""")
 ORACLE["import_error_page"] = _imp("""
     SELECT file, k, row_number AS "row", phase, field, message, total FROM (
       SELECT *, row_number() OVER (PARTITION BY file ORDER BY row_number, pos) AS k, count(*) OVER (PARTITION BY file) AS total FROM errs) x
