@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
+from rolodeck.functions import rules
 from rolodeck.functions.text import trim_lower, trim_to_null
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
@@ -29,6 +30,7 @@ ALREADY_DELETED, ALREADY_ACTIVE = "ALREADY_DELETED", "ALREADY_ACTIVE"
 BULK_MAX_IDS = 1000
 MAX_TAGS = 20
 TOO_MANY_TAGS, TOO_MANY_IDS = "TOO_MANY_TAGS", "TOO_MANY_IDS"
+INVALID = "VALIDATION_ERROR"
 
 
 # ---------------------------------------------------------------- F24 / helpers
@@ -72,18 +74,30 @@ def _ev(account: Column, contact: Column, typ: str, payload: Column, seq: Column
 # ---------------------------------------------------------------- M1 create
 
 
-def apply_create(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -> dict[str, DataFrame]:
-    """M1: insert normalised contacts; an e-mail already used by an active
-    contact, or claimed by an earlier command of the batch, is EMAIL_TAKEN and
-    writes nothing. ``commands``: seq, account_id, new_id, first_name,
-    last_name, email, phone, company."""
-    c = normalise_fields(commands).withColumn("_k", P.spread_nulls(F.col("email"), F.col("seq")))
+def apply_create(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime, tags: DataFrame | None = None) -> dict[str, DataFrame]:
+    """M1: insert normalised contacts with their initial tags.
+
+    ``commands``: seq, account_id, new_id, first_name, last_name, email, phone,
+    company and, where ``tags`` (the tags that there are) is given, a column
+    tags of names. A command that breaks a rule of its fields (``rules``) is
+    VALIDATION_ERROR; an e-mail already used by an active contact, or taken by
+    an earlier valid command of the batch, is EMAIL_TAKEN. Either writes
+    nothing, no tag and no event. Names are trimmed and used once in any
+    casing; a tag of the account keeps its casing, a new one takes the first
+    spelling. Returns new_contacts, new_tags, new_links, activity and outcomes
+    (seq, contact_id, outcome, errors)."""
+    names = rules.trimmed_tags("tags") if tags is not None else F.array().cast("array<string>")
+    c = normalise_fields(commands).withColumn("_names", names)
+    # rules are checked once, not in each output
+    checkpoint_dir(contacts.sparkSession)
+    c = c.withColumn("errors", rules.field_errors(tags=F.col("_names"))).withColumn("_ok", F.size("errors") == 0)
+    c = c.withColumn("_k", P.spread_nulls(F.when(F.col("_ok"), F.col("email")), F.col("seq"))).checkpoint()
     taken = contacts.filter(P.is_active() & F.col("email").isNotNull()).select("account_id", F.col("email").alias("_k")).distinct()
-    free = c.join(taken, ["account_id", "_k"], "left_anti")
+    free = c.filter("_ok").join(taken, ["account_id", "_k"], "left_anti")
     first = free.filter(F.col("email").isNotNull()).groupBy("account_id", "_k").agg(F.min("seq").alias("_first"))
     judged = c.join(first, ["account_id", "_k"], "left").drop("_k").withColumn(
         "outcome",
-        F.when(F.col("email").isNull() | (F.col("seq") == F.col("_first")), APPLIED).otherwise(EMAIL_TAKEN),
+        F.when(~F.col("_ok"), INVALID).when(F.col("email").isNull() | (F.col("seq") == F.col("_first")), APPLIED).otherwise(EMAIL_TAKEN),
     )
     ok = judged.filter(F.col("outcome") == APPLIED)
     ts = P.ts_lit(as_of)
@@ -93,8 +107,29 @@ def apply_create(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime) -
     ))
     payload = json_object(F.struct(F.struct(F.col("first_name").alias("firstName"), F.col("last_name").alias("lastName")).alias("fields")))
     activity = ok.select(*_ev(F.col("account_id"), F.col("new_id"), "CONTACT_CREATED", payload, F.col("seq"), as_of))
-    return {"new_contacts": new_rows, "activity": activity,
-            "outcomes": judged.select("seq", F.col("new_id").alias("contact_id"), "outcome")}
+    out = {"new_contacts": new_rows, "activity": activity,
+           "outcomes": judged.select("seq", F.col("new_id").alias("contact_id"), "outcome", "errors")}
+    if tags is None:
+        return out
+    wanted = ok.select("seq", "account_id", F.col("new_id").alias("contact_id"), F.posexplode("_names").alias("pos", "name"))
+    links, new_tags = _resolved_tags(wanted, tags)
+    tag_payload = json_object(F.struct(F.struct(F.col("tag_id").alias("id"), F.col("tag_name").alias("name")).alias("tag")))
+    added = links.select(_event_id("create-tag", as_of, "seq", "tag_id"), "account_id", "contact_id", F.lit("TAG_ADDED").alias("type"), tag_payload.alias("payload"), ts.alias("created_at"))
+    return out | {"activity": activity.unionByName(added), "new_tags": new_tags.select("id", "account_id", "name", ts.alias("created_at")),
+                  "new_links": links.select("contact_id", "tag_id", ts.alias("created_at"))}
+
+
+def _resolved_tags(wanted: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, new tags) of ``wanted`` (seq, account_id, contact_id, pos, name): per command and lower-cased name one link
+    (with tag_id, tag_name, pos), to the account's tag of that name or to a new one in the first spelling."""
+    per_cmd = wanted.groupBy("seq", "account_id", "contact_id", F.lower("name").alias("key")).agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
+    firsts = per_cmd.groupBy("account_id", "key").agg(F.min_by("name", F.struct("seq", "pos")).alias("first"))
+    have = tags.select("account_id", F.lower("name").alias("key"), F.col("id").cast("long").alias("tag_id"), F.col("name").alias("have"))
+    resolved = firsts.join(have, ["account_id", "key"], "left").select(
+        "account_id", "key", F.coalesce("tag_id", F.xxhash64("account_id", "key")).alias("tag_id"), F.coalesce("have", "first").alias("tag_name"),
+        F.col("tag_id").isNull().alias("is_new"))
+    new = resolved.filter("is_new").select(F.col("tag_id").alias("id"), "account_id", F.col("tag_name").alias("name"))
+    return per_cmd.join(resolved, ["account_id", "key"]), new
 
 
 # ---------------------------------------------------------------- M2 / M3 / M4
@@ -109,7 +144,8 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime,
     ``*_set`` presence flags. Returns next_contacts (changed rows only),
     activity and outcomes (seq, contact_id, kind, outcome, version).
 
-    A command for a contact that its account does not have is NOT_FOUND. An
+    An update that breaks a rule of its fields is VALIDATION_ERROR, a command
+    for a contact that its account does not have NOT_FOUND. An
     e-mail belongs to the active contact that holds it at that moment: it is
     free again once its owner changes it or goes to the trash, and a restore
     claims what the contact had last. ``versionscan`` judges the batch in
@@ -123,9 +159,12 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime,
     snap = contacts.select("id", "account_id", "version", "deleted_at", *fields, "created_at")
     known = snap.select(F.col("id").alias("contact_id"), "account_id", F.col("version").cast("int").alias("version"),
                         F.col("deleted_at").isNotNull().alias("deleted"), *fields)
-    folded = versionscan.settle(cmds, known, chain, range_rows).checkpoint()
+    given = {f: F.coalesce(F.col(f"{f}_set"), F.lit(False)) for f in fields}
+    cmds = cmds.withColumn("errors", F.when(F.col("kind") == "update", rules.field_errors(given)).otherwise(F.array().cast(rules.NO_ERRORS)))
+    folded = versionscan.settle(cmds.filter(F.size("errors") == 0).drop("errors"), known, chain, range_rows).checkpoint()
 
-    outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version")
+    invalid = cmds.filter(F.size("errors") > 0).select("seq", "contact_id", "kind", F.lit(INVALID).alias("outcome"), F.lit(None).cast("int").alias("version"))
+    outcomes = folded.select("seq", "contact_id", "kind", "outcome", "version").unionByName(invalid)
 
     ts = P.ts_lit(as_of)
     applied = folded.filter(F.col("outcome") == APPLIED)
@@ -279,14 +318,7 @@ def add_tags(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, comm
     ok = c.filter(F.col("outcome") == APPLIED)
     wanted = ok.select("seq", "account_id", "contact_id", F.posexplode("names").alias("pos", "name")) \
         .withColumn("name", trim_to_null("name")).filter(F.col("name").isNotNull())
-    # first spelling per (command, lower name), then per (account, lower name) for new tags
-    per_cmd = wanted.groupBy("seq", "account_id", "contact_id", F.lower("name").alias("key")).agg(F.min_by("name", "pos").alias("name"), F.min("pos").alias("pos"))
-    firsts = per_cmd.groupBy("account_id", "key").agg(F.min_by("name", F.struct("seq", "pos")).alias("first"))
-    have = tags.select("account_id", F.lower("name").alias("key"), F.col("id").cast("long").alias("tag_id"), F.col("name").alias("have"))
-    resolved = firsts.join(have, ["account_id", "key"], "left").select(
-        "account_id", "key", F.coalesce("tag_id", F.xxhash64("account_id", "key")).alias("tag_id"), F.coalesce("have", "first").alias("tag_name"),
-        F.col("tag_id").isNull().alias("is_new"))
-    links = per_cmd.join(resolved, ["account_id", "key"])
+    links, new_tags = _resolved_tags(wanted, tags)
     existing = contact_tags.select("contact_id", F.col("tag_id").cast("long").alias("tag_id"))
     new_links = links.join(existing, ["contact_id", "tag_id"], "left_anti")
     first_add = new_links.groupBy("contact_id", "tag_id").agg(F.min(F.struct("seq", "pos")).alias("_k"))
@@ -298,7 +330,7 @@ def add_tags(contacts: DataFrame, tags: DataFrame, contact_tags: DataFrame, comm
     counts = new_links.groupBy("seq").agg(F.count(F.lit(1)).alias("added_count"))
     outcomes = c.select("seq", "contact_id", "outcome").join(counts, "seq", "left").withColumn("added_count", F.coalesce("added_count", F.lit(0)))
     return {"new_links": new_links.select("contact_id", "tag_id", ts.alias("created_at")),
-            "new_tags": resolved.filter("is_new").select(F.col("tag_id").alias("id"), "account_id", F.col("tag_name").alias("name"), ts.alias("created_at")),
+            "new_tags": new_tags.select("id", "account_id", "name", ts.alias("created_at")),
             "activity": activity, "outcomes": outcomes}
 
 
@@ -342,9 +374,7 @@ def three_way_merge(base: DataFrame, mine: DataFrame, latest: DataFrame, fields:
     """Per contact and per field the user changed (mine ≠ base): the
     original, latest and mine values, ``clash`` when latest differs from both,
     and the merged value (mine wins on the fields the user changed)."""
-    def side(df, tag):
-        return df.select("id", *[F.col(f).alias(f"{tag}_{f}") for f in fields])
-    j = side(base, "b").join(side(mine, "m"), "id").join(side(latest, "l"), "id")
+    j = _three_sides(base, mine, latest, fields)
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"b_{f}").alias("original"), F.col(f"l_{f}").alias("latest"),
                               F.col(f"m_{f}").alias("mine")) for f in fields])
     x = j.select("id", F.explode(rows).alias("r")).select("id", "r.*").filter(~F.col("mine").eqNullSafe(F.col("original")))
@@ -352,6 +382,23 @@ def three_way_merge(base: DataFrame, mine: DataFrame, latest: DataFrame, fields:
         .withColumn("merged", F.col("mine"))
 
 
+def rebased(base: DataFrame, mine: DataFrame, latest: DataFrame, fields: list[str]) -> DataFrame:
+    """The user's edits on top of the latest contact: (id, expected_version, fields and their ``_set``), an update
+    command per contact that the user changed. A field that the user did not touch keeps what the others made of it."""
+    j = _three_sides(base, mine, latest, fields).join(latest.select("id", F.col("version").cast("int").alias("expected_version")), "id")
+    touched = {f: ~F.col(f"m_{f}").eqNullSafe(F.col(f"b_{f}")) for f in fields}
+    changed = F.lit(False)
+    for t in touched.values():
+        changed = changed | t
+    return j.filter(changed).select("id", "expected_version", *[F.when(t, F.col(f"m_{f}")).otherwise(F.col(f"l_{f}")).alias(f) for f, t in touched.items()], *[t.alias(f"{f}_set") for f, t in touched.items()])
+
+
+def _three_sides(base: DataFrame, mine: DataFrame, latest: DataFrame, fields: list[str]) -> DataFrame:
+    def side(df, tag):
+        return df.select("id", *[F.col(f).alias(f"{tag}_{f}") for f in fields])
+    return side(base, "b").join(side(mine, "m"), "id").join(side(latest, "l"), "id")
+
+
 def union_all_pick(named: DataFrame, others: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The named rows UNION ALL a seeded hash-ordered sample of others."""
     pick = others.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)

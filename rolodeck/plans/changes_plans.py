@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rolodeck.functions import rules
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import changes as C
 from rolodeck.plans.oracle_fixtures import with_fixtures
@@ -81,17 +82,37 @@ def create_commands(spark, sf, m):
         .when(k % 9 == 0, F.lit("   "))
         .otherwise(F.concat(F.lit("new."), k.cast("string"), F.lit("@signup.test")))
     )
+    first = F.when(k % 31 == 0, F.repeat(F.lit("x"), 101)).when(k % 37 == 0, F.lit("  ")).otherwise(F.coalesce(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("Ann")))
+    lead = F.concat(F.lit("Lead"), (k % 3).cast("string"))
+    tags = F.when(k % 23 == 0, F.array(F.lit("a,b"), F.lit("VIP"))).when(k % 29 == 0, F.transform(F.sequence(F.lit(1), F.lit(21)), lambda i: F.concat(F.lit("t"), i.cast("string")))) \
+        .when(k % 2 == 0, F.array(F.lit(" VIP "), F.lit("vip"), lead, F.lit("  "), F.lit("Urgent")))
     return e.select(
-        k.alias("seq"), "account_id", (-(k + 1)).alias("new_id"),
-        F.coalesce(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("Ann")).alias("first_name"),
+        k.alias("seq"), "account_id", (-(k + 1)).alias("new_id"), first.alias("first_name"),
         F.concat(F.lit(" "), F.coalesce(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("Lee"))).alias("last_name"),
-        email.alias("email"), F.lit(None).cast("string").alias("phone"), F.col("p_brand").alias("company"),
+        email.alias("email"), F.when(k % 19 == 0, F.lit("12-34")).when(k % 4 == 0, F.lit("+1 (555) 010-0100")).alias("phone"),
+        F.when(k % 41 == 0, F.repeat(F.lit("c"), 151)).otherwise(F.col("p_brand")).alias("company"), tags.alias("tags"),
     )
 
 
 def q_apply_create(spark, sf):
     m = load_model(spark, sf)
-    return C.apply_create(m.contacts, create_commands(spark, sf, m), AS_OF)["outcomes"]
+    out = C.apply_create(m.contacts, create_commands(spark, sf, m), AS_OF, m.tags)["outcomes"]
+    return out.withColumn("errors", rules.errors_text("errors"))
+
+
+def q_apply_create_writes(spark, sf):
+    """All that the creates write: contacts, tags, links (by the tag's name) and events."""
+    m = load_model(spark, sf)
+    out = C.apply_create(m.contacts, create_commands(spark, sf, m), AS_OF, m.tags)
+    names = m.tags.select(F.col("id").cast("long").alias("tag_id"), "name").unionByName(out["new_tags"].select(F.col("id").alias("tag_id"), "name"))
+    null = F.lit(None).cast("string")
+    rows = [
+        out["new_contacts"].select(F.lit("contact").alias("what"), "account_id", F.col("id").alias("contact_id"), F.concat_ws("|", "first_name", "last_name", F.coalesce("email", F.lit("-")), F.coalesce("phone", F.lit("-")), F.coalesce("company", F.lit("-")), "version").alias("detail")),
+        out["new_tags"].select(F.lit("tag").alias("what"), "account_id", F.lit(None).cast("long").alias("contact_id"), F.col("name").alias("detail")),
+        out["new_links"].join(names, "tag_id").select(F.lit("link").alias("what"), F.lit(None).cast("int").alias("account_id"), "contact_id", F.col("name").alias("detail")),
+        out["activity"].select(F.col("type").alias("what"), "account_id", "contact_id", F.coalesce(F.get_json_object("payload", "$.tag.name"), F.get_json_object("payload", "$.fields.firstName"), null).alias("detail")),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
 
 
 def bulk_requests(spark, sf):
@@ -184,6 +205,12 @@ def q_three_way_merge(spark, sf):
     return C.three_way_merge(base, mine, latest, FIELDS)
 
 
+def q_rebased_record(spark, sf):
+    """The user's edits as update commands on the latest contacts."""
+    base, mine, latest = _merge_sides(load_model(spark, sf))
+    return C.rebased(base, mine, latest.withColumn("version", F.col("version") + 1), FIELDS).select("id", "expected_version", "first_name", "phone", "company", "phone_set", "company_set", "email_set")
+
+
 def q_changed_fields(spark, sf):
     base, mine, _ = _merge_sides(load_model(spark, sf))
     b = base.select("id", *[F.col(f).alias(f"b_{f}") for f in FIELDS])
@@ -214,6 +241,7 @@ QUERIES = {
     "apply_next_contacts": q_apply_next_contacts,
     "activity_emit": q_activity_emit,
     "apply_create": q_apply_create,
+    "apply_create_writes": q_apply_create_writes,
     "bulk_delete": q_bulk_delete,
     "bulk_tag": q_bulk_tag,
     "bulk_not_found": q_bulk_not_found,
@@ -223,6 +251,7 @@ QUERIES = {
     "email_conflicts": q_email_conflicts,
     "email_owner": q_email_owner,
     "three_way_merge": q_three_way_merge,
+    "rebased_record": q_rebased_record,
     "changed_fields": q_changed_fields,
     "union_all_pick": q_union_all_pick,
     "distinct_ids": q_distinct_ids,
@@ -255,13 +284,42 @@ ev AS (
 _CREATE = f"""
 cc AS (
   SELECT ev.event_id AS seq, ev.account_id, -(ev.event_id + 1) AS new_id,
-         nullif({_TRIM.format(x="coalesce(split_part(p.p_name, ' ', 1), 'Ann')")}, '') AS first_name,
+         nullif({_TRIM.format(x="""CASE WHEN ev.event_id % 31 = 0 THEN repeat('x', 101) WHEN ev.event_id % 37 = 0 THEN '  ' ELSE coalesce(split_part(p.p_name, ' ', 1), 'Ann') END""")}, '') AS first_name,
+         nullif({_TRIM.format(x="coalesce(split_part(p.p_name, ' ', 2), 'Lee')")}, '') AS last_name,
+         CASE WHEN ev.event_id % 19 = 0 THEN '12-34' WHEN ev.event_id % 4 = 0 THEN '+1 (555) 010-0100' END AS phone,
+         CASE WHEN ev.event_id % 41 = 0 THEN repeat('c', 151) ELSE p.p_brand END AS company,
+         CASE WHEN ev.event_id % 23 = 0 THEN ['a,b', 'VIP'] WHEN ev.event_id % 29 = 0 THEN list_transform(range(1, 22), lambda i: 't' || i)
+              WHEN ev.event_id % 2 = 0 THEN ['VIP', 'vip', 'Lead' || ev.event_id % 3, 'Urgent'] ELSE [] END AS names,
          lower(nullif({_TRIM.format(x='''CASE WHEN ev.event_id % 5 = 0 AND k.email IS NOT NULL THEN ' ' || upper(k.email)
                     WHEN ev.event_id % 7 = 0 THEN 'batch' || CAST(ev.event_id % 3 AS VARCHAR) || '@dup.test'
                     WHEN ev.event_id % 9 = 0 THEN '   '
                     ELSE 'new.' || CAST(ev.event_id AS VARCHAR) || '@signup.test' END''')}, '')) AS email
   FROM ev LEFT JOIN part p ON p.p_partkey = ev.event_id LEFT JOIN contacts k ON k.id = ev.user_id
   WHERE ev.event_type = 'signup'
+),
+cv AS (
+  SELECT *, array_to_string(list_filter([
+           CASE WHEN first_name IS NULL THEN 'firstName: firstName should not be empty' END,
+           CASE WHEN length(first_name) > 100 THEN 'firstName: firstName must be shorter than or equal to 100 characters' END,
+           CASE WHEN length(regexp_replace(phone, '[^0-9]', '', 'g')) NOT BETWEEN 7 AND 15 THEN 'phone: phone must be 7-15 digits and may contain + ( ) - . and spaces' END,
+           CASE WHEN length(company) > 150 THEN 'company: company must be shorter than or equal to 150 characters' END,
+           CASE WHEN len(names) > 20 THEN 'tags: tags must contain no more than 20 elements' END,
+           CASE WHEN len(list_filter(names, lambda x: contains(x, ','))) > 0 THEN 'tags: tag names cannot contain commas' END], lambda x: x IS NOT NULL), '; ') AS errors
+  FROM cc
+),
+co AS (
+  SELECT cv.*, CASE WHEN cv.errors <> '' THEN 'VALIDATION_ERROR' WHEN cv.email IS NULL OR cv.seq = f.first_seq THEN 'APPLIED' ELSE 'EMAIL_TAKEN' END AS outcome
+  FROM cv LEFT JOIN (
+    SELECT account_id, email, min(seq) AS first_seq FROM cv
+    WHERE errors = '' AND email IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = cv.account_id AND c.email = cv.email)
+    GROUP BY 1, 2) f ON f.account_id = cv.account_id AND f.email = cv.email
+),
+cn AS (
+  SELECT w.account_id, w.new_id, w.key, coalesce(t.name, f.first) AS name, t.id IS NULL AS is_new
+  FROM (SELECT DISTINCT account_id, new_id, lower(n) AS key FROM (SELECT account_id, new_id, unnest(names) AS n FROM co WHERE outcome = 'APPLIED')) w
+  JOIN (SELECT account_id, lower(n) AS key, arg_min(n, (seq, i)) AS first
+        FROM (SELECT account_id, seq, unnest(names) AS n, unnest(range(len(names))) AS i FROM co WHERE outcome = 'APPLIED') GROUP BY 1, 2) f ON f.account_id = w.account_id AND f.key = w.key
+  LEFT JOIN tags t ON t.account_id = w.account_id AND lower(t.name) = w.key
 )
 """
 
@@ -282,13 +340,19 @@ fresh AS (SELECT * FROM tgt x
 """
 
 ORACLE = {
-    "apply_create": with_fixtures("""
-        SELECT cc.seq, cc.new_id AS contact_id,
-               CASE WHEN cc.email IS NULL OR cc.seq = f.first_seq THEN 'APPLIED' ELSE 'EMAIL_TAKEN' END AS outcome
-        FROM cc LEFT JOIN (
-          SELECT account_id, email, min(seq) AS first_seq FROM cc
-          WHERE email IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contacts c WHERE c.deleted_at IS NULL AND c.account_id = cc.account_id AND c.email = cc.email)
-          GROUP BY 1, 2) f ON f.account_id = cc.account_id AND f.email = cc.email""", extra_ctes=_ACC + "," + _CREATE),
+    "apply_create": with_fixtures("SELECT seq, new_id AS contact_id, outcome, errors FROM co", extra_ctes=_ACC + "," + _CREATE),
+    "apply_create_writes": with_fixtures("""
+        SELECT 'contact' AS what, account_id, new_id AS contact_id, first_name || '|' || last_name || '|' || coalesce(email, '-') || '|' || coalesce(phone, '-') || '|' || coalesce(company, '-') || '|1' AS detail
+        FROM co WHERE outcome = 'APPLIED'
+        UNION ALL SELECT DISTINCT 'tag', account_id, CAST(NULL AS BIGINT), name FROM cn WHERE is_new
+        UNION ALL SELECT 'link', CAST(NULL AS INTEGER), new_id, name FROM cn
+        UNION ALL SELECT 'CONTACT_CREATED', account_id, new_id, first_name FROM co WHERE outcome = 'APPLIED'
+        UNION ALL SELECT 'TAG_ADDED', account_id, new_id, name FROM cn""", extra_ctes=_ACC + "," + _CREATE),
+    "rebased_record": with_fixtures("""
+        SELECT id, CAST(version + 1 AS INTEGER) AS expected_version, first_name, CASE WHEN id % 4 = 0 THEN '+1 555 0100' ELSE phone END AS phone,
+               CASE WHEN id % 3 = 0 OR id % 5 = 0 THEN coalesce(company, '') || ' Ltd' ELSE company END AS company,
+               id % 4 = 0 AND phone IS DISTINCT FROM '+1 555 0100' AS phone_set, id % 3 = 0 AS company_set, false AS email_set
+        FROM contacts WHERE id % 3 = 0 OR id % 4 = 0 AND phone IS DISTINCT FROM '+1 555 0100'"""),
     "bulk_delete": with_fixtures("""
         SELECT request_id, account_id, count(DISTINCT id) AS requested, CAST(NULL AS BIGINT) AS deleted, CAST(NULL AS BIGINT) AS already_in_trash, CAST(NULL AS BIGINT) AS not_found,
                'TOO_MANY_IDS' AS outcome FROM requests GROUP BY 1, 2 HAVING count(DISTINCT id) > 1000

@@ -8,6 +8,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from rolodeck.functions import text as T
+from rolodeck.functions import rules
 from rolodeck.functions.activity_text import LABELS as ACTIVITY_LABELS, activity_detail, activity_title
 from rolodeck.functions.csvcells import csv_line_from_array, csv_safe
 from rolodeck.functions.jsonpayload import json_object
@@ -188,17 +189,18 @@ def q_email_validate(spark, sf):
 
 
 def q_field_limits(spark, sf):
+    """All rules over the cells of every import row, of create and of update files."""
     from rolodeck.sources.import_fixture import import_rows
 
-    r = import_rows(spark, sf, _c(spark, sf)).filter(F.col("mode") == "create")
-    first, last, company = F.col("cells")[0], F.col("cells")[1], F.get(F.col("cells"), 4)
-    errs = F.filter(F.array(
-        F.when(F.length(T.js_trim(first)) == 0, F.lit("first_name: required")),
-        F.when(F.length(T.js_trim(first)) > 100, F.lit("first_name: too long")),
-        F.when(F.length(T.js_trim(last)) > 100, F.lit("last_name: too long")),
-        F.when(F.length(T.js_trim(company)) > 150, F.lit("company: too long")),
-    ), lambda x: x.isNotNull())
-    return r.select("file", "row_number", F.array_join(errs, "; ").alias("errors"))
+    r = import_rows(spark, sf, _c(spark, sf))
+    create, cell = F.col("mode") == "create", lambda i: F.get(F.col("cells"), i)
+    names = F.when(create, cell(5)).otherwise(cell(3))
+    rows = r.select("file", "row_number", *[c.alias(n) for n, c in {
+        "first_name": F.when(create, T.trim_to_null(cell(0))), "last_name": F.when(create, T.trim_to_null(cell(1))), "email": T.trim_lower(F.when(create, cell(2)).otherwise(cell(0))),
+        "phone": T.trim_to_null(F.when(create, cell(3)).otherwise(cell(2))), "company": T.trim_to_null(F.when(create, cell(4)).otherwise(cell(1))), "tags": F.split(names, ";"), "create": create}.items()])
+    given = {f: (F.col("create") if f.endswith("_name") else F.lit(True)) for f in rules.API_NAMES}
+    errors = rules.field_errors(given, rules.trimmed_tags("tags"))
+    return rows.select("file", "row_number", rules.errors_text(errors).alias("errors"))
 
 
 def q_activity_text(spark, sf):
@@ -373,12 +375,23 @@ ORACLE = {
         JOIN tags t ON t.id = ct.tag_id"""),
     "field_limits": _imp("""
         SELECT file, row_number, array_to_string(list_filter([
-                 CASE WHEN length(TRIM_FIRST) = 0 THEN 'first_name: required' END,
-                 CASE WHEN length(TRIM_FIRST) > 100 THEN 'first_name: too long' END,
-                 CASE WHEN length(TRIM_LAST) > 100 THEN 'last_name: too long' END,
-                 CASE WHEN length(TRIM_COMPANY) > 150 THEN 'company: too long' END], lambda x: x IS NOT NULL), '; ') AS errors
-        FROM import_rows WHERE mode = 'create'""".replace("TRIM_FIRST", _TRIM.format(x="cells[1]")).replace(
-        "TRIM_LAST", _TRIM.format(x="cells[2]")).replace("TRIM_COMPANY", _TRIM.format(x="cells[5]"))),
+                 CASE WHEN mode = 'create' AND first = '' THEN 'firstName: firstName should not be empty' END,
+                 CASE WHEN mode = 'create' AND length(first) > 100 THEN 'firstName: firstName must be shorter than or equal to 100 characters' END,
+                 CASE WHEN mode = 'create' AND last = '' THEN 'lastName: lastName should not be empty' END,
+                 CASE WHEN mode = 'create' AND length(last) > 100 THEN 'lastName: lastName must be shorter than or equal to 100 characters' END,
+                 CASE WHEN email <> '' AND NOT (email LIKE '%_@_%.__%') THEN 'email: email must be an email' END,
+                 CASE WHEN phone <> '' AND NOT (regexp_full_match(phone, '[+]?[0-9 ().-]+') AND length(regexp_replace(phone, '[^0-9]', '', 'g')) BETWEEN 7 AND 15)
+                      THEN 'phone: phone must be 7-15 digits and may contain + ( ) - . and spaces' END,
+                 CASE WHEN length(company) > 150 THEN 'company: company must be shorter than or equal to 150 characters' END,
+                 CASE WHEN len(names) > 20 THEN 'tags: tags must contain no more than 20 elements' END,
+                 CASE WHEN len(list_filter(names, lambda x: length(x) > 50)) > 0 THEN 'tags: each value in tags must be shorter than or equal to 50 characters' END,
+                 CASE WHEN len(list_filter(names, lambda x: contains(x, ','))) > 0 THEN 'tags: tag names cannot contain commas' END], lambda x: x IS NOT NULL), '; ') AS errors
+        FROM (SELECT file, row_number, mode, coalesce(TRIM_FIRST, '') AS first, coalesce(TRIM_LAST, '') AS last,
+                     trim(coalesce(CASE WHEN mode = 'create' THEN cells[3] ELSE cells[1] END, '')) AS email,
+                     trim(coalesce(CASE WHEN mode = 'create' THEN cells[4] ELSE cells[3] END, '')) AS phone,
+                     trim(coalesce(CASE WHEN mode = 'create' THEN cells[5] ELSE cells[2] END, '')) AS company,
+                     list_filter(list_transform(string_split(coalesce(CASE WHEN mode = 'create' THEN cells[6] ELSE cells[4] END, ''), ';'), lambda x: trim(x)), lambda x: x <> '') AS names
+              FROM import_rows) x""".replace("TRIM_FIRST", _TRIM.format(x="cells[1]")).replace("TRIM_LAST", _TRIM.format(x="cells[2]"))),
 }
 
 

@@ -38,9 +38,9 @@ def test_four_racing_updates_one_wins(spark):
 
 
 def test_chained_versions_and_noop(spark):
-    c = make_contacts(spark, [dict(id=1, first="Ada", last="L", phone="1", created=T0)])
-    got, _ = outcomes(spark, c, [cmd(1, 1, "update", 1, phone="2"), cmd(2, 1, "update", 2, phone="2"), cmd(3, 1, "update", 2, phone="3"),
-                                 cmd(4, 1, "update", 3, phone=" 3 ")])
+    c = make_contacts(spark, [dict(id=1, first="Ada", last="L", phone="555 0101", created=T0)])
+    got, _ = outcomes(spark, c, [cmd(1, 1, "update", 1, phone="555 0102"), cmd(2, 1, "update", 2, phone="555 0102"), cmd(3, 1, "update", 2, phone="555 0103"),
+                                 cmd(4, 1, "update", 3, phone=" 555 0103 ")])
     assert got == {1: ("APPLIED", 2), 2: ("NO_CHANGE", 2), 3: ("APPLIED", 3), 4: ("NO_CHANGE", 3)}
 
 
@@ -314,7 +314,7 @@ def _random_batch(seed, people, n, hot=0.0):
         i = 1 if rng.random() < hot else rng.randrange(1, people + 1)
         kind = rng.choice(["update", "update", "update", "delete", "restore"])
         fields = rng.choice([{"email": f"e{rng.randrange(4)}@x.io"}, {"email": f"own{rng.randrange(1, people + 1)}@x.io"}, {"email": None}, {"company": f"C{rng.randrange(2)}"},
-                             {"company": f"C{rng.randrange(2)}", "phone": f"{rng.randrange(2)}"}, {}]) if kind == "update" else {}
+                             {"company": f"C{rng.randrange(2)}", "phone": f"555 010{rng.randrange(2)}"}, {}]) if kind == "update" else {}
         cmds.append(cmd(seq, i, kind, at[i] + rng.choice([0, 0, 0, -1, 1]), account=int(rng.random() < 0.05), **fields))
         at[i] += rng.random() < 0.4
     return start, cmds
@@ -355,3 +355,72 @@ def test_no_python_judges_versions(spark):
 
     source = inspect.getsource(versionscan)
     assert "mapIn" not in source and "udf" not in source.lower() and ".collect()" not in source
+
+
+CREATE = "seq long, account_id int, new_id long, first_name string, last_name string, email string, phone string, company string, tags array<string>"
+
+
+def _create(spark, contacts, tags, cmds):
+    out = C.apply_create(contacts, spark.createDataFrame(cmds, CREATE), NOW, tags)
+    names = {r.id: r.name for r in out["new_tags"].collect()} | {r.id: r.name for r in tags.collect()}
+    return out, {r.seq: (r.outcome, [(e.field, e.message) for e in r.errors]) for r in out["outcomes"].collect()}, sorted((r.contact_id, names[r.tag_id]) for r in out["new_links"].collect())
+
+
+def test_create_with_tags(spark):
+    c, t = make_contacts(spark, [dict(id=1, first="A", last="L", email="a@x.io", created=T0)]), make_tags(spark, [(1, 0, "VIP"), (2, 1, "lead")])
+    out, got, links = _create(spark, c, t, [
+        (1, 0, -1, "Ada", "Byron", "Ada.B@X.io", None, None, ["vip", " lead ", "VIP", " "]),
+        (2, 0, -2, "Al", "B", None, None, None, ["LEAD", "New"]), (3, 0, -3, "No", "Tags", None, None, None, None)])
+    assert {k: o for k, (o, _) in got.items()} == {1: "APPLIED", 2: "APPLIED", 3: "APPLIED"}
+    assert links == [(-2, "New"), (-2, "lead"), (-1, "VIP"), (-1, "lead")]  # the tag keeps its casing, a new one the first spelling; the other account's is another
+    assert sorted(r.name for r in out["new_tags"].collect()) == ["New", "lead"]
+    assert sorted((r.contact_id, r.type) for r in out["activity"].collect()) == [(-3, "CONTACT_CREATED"), (-2, "CONTACT_CREATED"), (-2, "TAG_ADDED"), (-2, "TAG_ADDED"), (-1, "CONTACT_CREATED"), (-1, "TAG_ADDED"), (-1, "TAG_ADDED")]
+    assert len({r.id for r in out["activity"].collect()}) == 7
+
+
+def test_a_refused_create_writes_nothing(spark):
+    c, t = make_contacts(spark, [dict(id=1, first="Ada", last="Lovelace", email="ada@x.io", created=T0)]), make_tags(spark, [])
+    out, got, links = _create(spark, c, t, [
+        (1, 0, -1, "Ada", "Byron", "ADA@x.io", None, None, ["Ghost"]), (2, 0, -2, "A", "B", None, None, None, ["a,b"]), (3, 0, -3, "A", "B", None, None, None, ["x" * 51]),
+        (4, 0, -4, "A", "B", None, None, None, [f"t{i}" for i in range(21)]), (5, 0, -5, " ", "y" * 101, "n@x.io", "12", "c" * 151, None), (6, 0, -6, "A", "B", "nobody", None, None, []),
+        (7, 0, -7, "A", "B", "n@x.io", "+1 (555) 010-0100", None, None)])
+    assert {k: o for k, (o, _) in got.items()} == {1: "EMAIL_TAKEN", **{k: "VALIDATION_ERROR" for k in range(2, 7)}, 7: "APPLIED"}  # 5 claims no e-mail
+    assert [f for f, _ in got[5][1]] == ["firstName", "lastName", "phone", "company"] and got[6][1] == [("email", "email must be an email")]
+    assert got[2][1] == [("tags", "tag names cannot contain commas")] and [f for f, _ in got[4][1]] == ["tags"]
+    assert [r.id for r in out["new_contacts"].collect()] == [-7] and not links and out["new_tags"].count() == 0 and out["activity"].count() == 1
+
+
+def test_update_rules_apply_to_given_fields_only(spark):
+    c = make_contacts(spark, [dict(id=1, first="A", last="L", created=T0), dict(id=2, first="B", last="L", created=T0)])
+    got, out = outcomes(spark, c, [cmd(1, 1, "update", 1, last_name="  "), cmd(2, 1, "update", 1, phone="12", email="x"), cmd(3, 1, "update", 1, phone=" ", company="New"),
+                                   cmd(4, 9, "update", 1, first_name=""), cmd(5, 2, "update", 1, email="nobody@x")])
+    assert got == {1: ("VALIDATION_ERROR", None), 2: ("VALIDATION_ERROR", None), 3: ("APPLIED", 2), 4: ("VALIDATION_ERROR", None), 5: ("VALIDATION_ERROR", None)}
+    assert [(r.id, r.company, r.last_name) for r in out["next_contacts"].collect()] == [(1, "New", "L")]
+
+
+def test_oversize_bulk_requests_write_nothing(spark):
+    c = make_contacts(spark, [dict(id=i, first="A", last=str(i), created=T0) for i in (1, 2)])
+    rows = [("big", 0, i) for i in range(1, 1002)] + [("ok", 0, 2)] + [("repeats", 0, 2)] * 1500
+    out = C.bulk_delete(c, spark.createDataFrame(rows, "request_id string, account_id int, id long"), NOW)
+    assert [r.id for r in out["next_contacts"].collect()] == [2] and out["activity"].count() == 1
+    assert [tuple(r) for r in out["refused"].collect()] == [("big", 0, 1001, "TOO_MANY_IDS")]
+    assert {r.request_id: (r.deleted, r.already_in_trash) for r in out["report"].collect()} == {"ok": (1, 0), "repeats": (0, 1)}
+    tagged = C.bulk_tag(c, make_tags(spark, []), make_links(spark, []), spark.createDataFrame([(*r, "T" + r[0]) for r in rows], "request_id string, account_id int, id long, tag_name string"), NOW)
+    assert sorted(r.name for r in tagged["new_tags"].collect()) == ["Tok", "Trepeats"] and [r.request_id for r in tagged["refused"].collect()] == ["big"]
+
+
+def test_events_of_two_batches_differ_and_of_one_batch_agree(spark):
+    c = make_contacts(spark, [dict(id=1, first="A", last="1", created=T0)])
+    req = spark.createDataFrame([(0, 1)], "account_id int, id long")
+    ids = [C.bulk_delete(c, req, at)["activity"].first().id for at in (NOW, NOW, NOW + dt.timedelta(days=1))]
+    assert ids[0] == ids[1] != ids[2]
+
+
+def test_rebased_edits_apply_to_the_latest_contact(spark):
+    base = make_contacts(spark, [dict(id=i, first="A", last="L", phone="+1 555 0100", company="Old", created=T0) for i in (1, 2)])
+    mine = base.withColumn("phone", F.when(F.col("id") == 1, "+1 555 0199").otherwise(F.col("phone")))
+    latest = base.withColumn("company", F.lit("Theirs")).withColumn("version", F.lit(4))
+    edits = C.rebased(base, mine, latest, ["first_name", "last_name", "email", "phone", "company"])
+    cmds = edits.select(F.lit(1).cast("long").alias("seq"), F.lit(0).alias("account_id"), F.col("id").alias("contact_id"), F.lit("update").alias("kind"), *[x for x in edits.columns if x != "id"])
+    out = C.apply_commands(latest, cmds, NOW)
+    assert [(r.id, r.phone, r.company, r.version) for r in out["next_contacts"].collect()] == [(1, "+1 555 0199", "Theirs", 5)]
