@@ -19,6 +19,7 @@ from rolodeck.functions.text import trim_lower, trim_to_null
 from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
 from rolodeck.operators import versionscan
+from rolodeck.operators.listing import seeded_order
 from rolodeck.session import checkpoint_dir
 from rolodeck.sources.contacts import with_generated_columns
 
@@ -401,7 +402,7 @@ def _three_sides(base: DataFrame, mine: DataFrame, latest: DataFrame, fields: li
 
 def union_all_pick(named: DataFrame, others: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """The named rows UNION ALL a seeded hash-ordered sample of others."""
-    pick = others.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    pick = others.orderBy(seeded_order("id", seed), "id").limit(n)
     return named.select("id").unionByName(pick.select("id"))
 
 

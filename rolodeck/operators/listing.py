@@ -300,9 +300,14 @@ def import_history(jobs: DataFrame, n: int = 50) -> DataFrame:
     return top_n_per_group(jobs, ["account_id"], [F.col("created_at").desc(), F.col("id").desc()], n)
 
 
+def seeded_order(column: str, seed: int) -> Column:
+    """A value to order by that looks random: the MD5 of the seed and the column."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(column).cast("string")).cast("binary"))
+
+
 def random_sample(contacts: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``ORDER BY random() LIMIT n`` as a seeded hash order (repeatable)."""
-    return contacts.orderBy(F.xxhash64(F.col("id"), F.lit(seed)), F.col("id")).limit(n).select("id")
+    return contacts.orderBy(seeded_order("id", seed), F.col("id")).limit(n).select("id")
 
 
 def bernoulli_sample(contacts: DataFrame, fraction: float, seed: int = 42) -> DataFrame:

@@ -421,6 +421,9 @@ ORACLE = {
                  CASE WHEN id % 3 = 0 THEN '"company":{"from":' || CASE WHEN company IS NULL THEN 'null' ELSE '"' || company || '"' END
                       || ',"to":"' || coalesce(company, '') || ' Ltd"}' END], lambda x: x IS NOT NULL), ',') || '}' AS changes
         FROM contacts WHERE id % 4 = 0 OR id % 3 = 0"""),
+    "union_all_pick": with_fixtures("""
+        SELECT id FROM contacts WHERE first_name = 'red'
+        UNION ALL SELECT id FROM (SELECT id FROM contacts WHERE first_name <> 'red' ORDER BY md5('42:' || id), id LIMIT 20) x"""),
     "distinct_ids": with_fixtures("SELECT DISTINCT id FROM requests", extra_ctes=_REQ),
     "set_difference": with_fixtures("SELECT DISTINCT id FROM requests EXCEPT SELECT id FROM contacts WHERE deleted_at IS NULL",
                                     extra_ctes=_REQ),

@@ -211,7 +211,7 @@ def q_activity_text(spark, sf):
 
 
 def q_bernoulli_cross_join(spark, sf):
-    return G.bernoulli_tags(_c(spark, sf), SEED_TAGS, seed=11)
+    return G.bernoulli_tags(_c(spark, sf), SEED_TAGS, seed=11).select("account_id", "contact_id", "tag_name")
 
 
 def _clone(spark, sf):
@@ -373,6 +373,10 @@ ORACLE = {
         JOIN (SELECT id, created_at FROM contacts
               QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY created_at DESC, id DESC) <= 2000) r ON r.id = ct.contact_id
         JOIN tags t ON t.id = ct.tag_id"""),
+    "bernoulli_cross_join": with_fixtures("""
+        SELECT c.account_id, c.id AS contact_id, t.name AS tag_name
+        FROM contacts c CROSS JOIN (VALUES ('Lead', 0.2), ('Customer', 0.3), ('Partner', 0.05)) t(name, p)
+        WHERE CAST('0x' || substr(md5('11:' || c.id || ':' || t.name), 1, 8) AS BIGINT) / 4294967296.0 < t.p"""),
     "field_limits": _imp("""
         SELECT file, row_number, array_to_string(list_filter([
                  CASE WHEN mode = 'create' AND first = '' THEN 'firstName: firstName should not be empty' END,

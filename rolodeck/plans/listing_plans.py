@@ -322,6 +322,7 @@ ORACLE = {
                row_number() OVER (PARTITION BY account_id ORDER BY created_at DESC, id DESC) AS rank
         FROM import_jobs QUALIFY rank <= 50"""),
     "newest_n": with_fixtures(f"SELECT account_id, id, created_at FROM contacts ORDER BY created_at DESC, id DESC LIMIT {NEWEST}"),
+    "random_sample": with_fixtures("SELECT id FROM contacts ORDER BY md5('42:' || id), id LIMIT 100"),
     "quick_search_rank": with_fixtures(f"""
         SELECT account_id, pos, match_rank, id, name FROM (
           SELECT account_id, id, first_name || ' ' || last_name AS name, match_rank,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from rolodeck.operators import metrics as M
 from rolodeck.operators import predicates as P
 from rolodeck.plans.oracle_fixtures import with_fixtures
@@ -72,11 +74,22 @@ def q_trash_metrics(spark, sf):
     return M.trash_metrics(m.contacts, m.activity, AS_OF, RANGE)
 
 
-def q_metrics_document(spark, sf):
+def document(spark, sf):
     m = load_model(spark, sf)
     return M.metrics_document(m.contacts, m.tags, m.contact_tags, m.activity, m.import_jobs, AS_OF, RANGE)
 
 
+def q_metrics_document(spark, sf):
+    return flat_document(document(spark, sf))
+
+
+def flat_document(doc):
+    """The document's members as columns, its lists as text."""
+    members = [F.col(f"{part}.{f.name}").alias(f"{part}_{f.name}") for part in ("contacts", "quality", "trash", "imports") for f in doc.schema[part].dataType.fields]
+    lists = {part: F.array_join(F.transform(part, lambda x: F.concat_ws("=", *[x[f.name].cast("string") for f in doc.schema[part].dataType.elementType.fields])), ";") for part in ("tags", "daily", "activity")}
+    return doc.select("account_id", "range", *members, *[c.alias(n) for n, c in lists.items()])
+
+
 def q_attention_counts(spark, sf):
     m = load_model(spark, sf)
     return M.attention_counts(m.contacts, m.contact_tags, AS_OF)
@@ -180,6 +193,10 @@ WHERE used.tag_id = tags.id
 QUALIFY rank <= {k}
 """
 
+def _Z(x: str, name: str) -> str:  # noqa: N802
+    return f'CAST(coalesce({x}, 0) AS BIGINT) AS "{name}"'
+
+
 ORACLE = {
     "quality_pack": with_fixtures(_QUALITY),
     "created_by_day": with_fixtures(f"""
@@ -220,6 +237,28 @@ ORACLE = {
         FULL JOIN (SELECT account_id, count(*) FILTER (WHERE type = 'CONTACT_DELETED') AS deleted,
                           count(*) FILTER (WHERE type = 'CONTACT_RESTORED') AS restored
                    FROM contact_activity WHERE created_at >= {START} GROUP BY 1) e ON e.account_id = c.account_id"""),
+    "metrics_document": with_fixtures(f"""
+        SELECT a.account_id, CAST({RANGE} AS INTEGER) AS "range",
+               {_Z("q.active", "contacts_active")}, {_Z("q.new_in_range", "contacts_newInRange")}, {_Z("q.new_prev", "contacts_newPrevRange")},
+               CASE WHEN q.new_prev > 0 THEN floor((q.new_in_range - q.new_prev) / q.new_prev * 1000 + 0.5) / 10 END AS "contacts_changePct", {_Z("t.n", "contacts_inTrash")},
+               {_Z("q.with_email", "quality_withEmail")}, {_Z("q.with_phone", "quality_withPhone")}, {_Z("q.with_company", "quality_withCompany")}, {_Z("q.no_contact", "quality_noContactInfo")},
+               {_Z("q.active - q.no_contact", "quality_reachable")}, {_Z("q.untagged", "quality_untagged")}, {_Z("q.stale", "quality_stale")}, CAST(90 AS INTEGER) AS "quality_staleDays",
+               {_Z("d.contacts", "quality_duplicatePhoneContacts")}, {_Z("d.groups", "quality_duplicatePhoneGroups")},
+               {_Z("t.n", "trash_current")}, {_Z("e.deleted", "trash_deletedInRange")}, {_Z("e.restored", "trash_restoredInRange")},
+               {_Z("i.jobs", "imports_jobs")}, {_Z("i.completed", "imports_completed")}, {_Z("i.failed", "imports_failed")}, {_Z("i.created", "imports_rowsCreated")},
+               {_Z("i.updated", "imports_rowsUpdated")}, {_Z("i.rejected", "imports_rowsRejected")}, {_Z("i.submitted", "imports_rowsSubmitted")},
+               CASE WHEN i.submitted > 0 THEN floor((i.created + i.updated + i.unchanged) / i.submitted * 1000 + 0.5) / 10 END AS "imports_acceptRate",
+               coalesce(tt.x, '') AS tags, coalesce(s.x, '') AS daily, coalesce(ty.x, '') AS activity
+        FROM (SELECT account_id FROM contacts UNION SELECT account_id FROM contact_activity UNION SELECT account_id FROM import_jobs) a
+        LEFT JOIN q USING (account_id) LEFT JOIN d USING (account_id) LEFT JOIN i USING (account_id)
+        LEFT JOIN (SELECT account_id, count(deleted_at) AS n FROM contacts GROUP BY 1) t USING (account_id)
+        LEFT JOIN (SELECT account_id, count(CASE type WHEN 'CONTACT_DELETED' THEN 1 END) AS deleted, count(CASE type WHEN 'CONTACT_RESTORED' THEN 1 END) AS restored
+                   FROM contact_activity WHERE created_at >= {START} GROUP BY 1) e USING (account_id)
+        LEFT JOIN (SELECT account_id, string_agg(name || '=' || n, ';' ORDER BY rank) AS x FROM tt10 GROUP BY 1) tt USING (account_id)
+        LEFT JOIN (SELECT account_id, string_agg(date || '=' || created || '=' || edits, ';' ORDER BY date) AS x FROM series GROUP BY 1) s USING (account_id)
+        LEFT JOIN (SELECT account_id, string_agg(type || '=' || n, ';' ORDER BY n DESC, type) AS x
+                   FROM (SELECT account_id, type, count(*) AS n FROM contact_activity WHERE created_at >= {START} GROUP BY 1, 2) GROUP BY 1) ty USING (account_id)""",
+        extra_ctes=f"q AS ({_QUALITY}), d AS ({_DUP}), i AS ({_ROLLUP}), tt10 AS ({_TOP_TAGS.format(k=10)}), series AS ({_SERIES})"),
     "attention_counts": with_fixtures("""
         SELECT account_id, 'no_contact_info' AS filter, no_contact AS n FROM q
         UNION ALL SELECT account_id, 'untagged', untagged FROM q

@@ -81,7 +81,11 @@ def bernoulli_tags(contacts: DataFrame, tag_probs: list[tuple[str, float]], seed
     small parameter, so each contact row carries it as an array and keeps only
     its hits: no join and no pair that is not emitted."""
     arr = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in tag_probs])
-    kept = F.filter(arr, lambda t: hash01(F.col("id"), F.lit(seed), t["name"]) < t["p"])
+    def drawn(t):  # uniform in [0, 1), from the first 32 bits of an MD5
+        text = F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"), F.lit(":"), t["name"])
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / 2**32
+
+    kept = F.filter(arr, lambda t: drawn(t) < t["p"])
     return contacts.select("account_id", F.col("id").alias("contact_id"), F.explode(kept).alias("t")).select(
         "account_id", "contact_id", F.col("t.name").alias("tag_name"),
         F.xxhash64(F.col("account_id"), F.lower(F.col("t.name"))).alias("tag_id"))
