@@ -117,9 +117,13 @@ def duplicate_phone(contacts: DataFrame) -> DataFrame:
 
     Semi join against the grouped keys (AQE splits a skewed key), instead of
     a window over (account, digits) that would pull a hot group into one task.
+    Only ids and numbers are dealt by number; the contacts meet the ids by id,
+    in the buckets of the store.
     """
+    active = contacts.filter(is_active() & (F.col("phone_digits") != ""))
     keys = shared_phone_keys(contacts).select("account_id", "phone_digits")
-    return contacts.filter(is_active() & (F.col("phone_digits") != "")).join(keys, ["account_id", "phone_digits"], "left_semi")
+    ids = active.select("id", "account_id", "phone_digits").join(keys, ["account_id", "phone_digits"], "left_semi").select("id")
+    return active.join(ids, "id", "left_semi")
 
 
 def attention(contacts: DataFrame, contact_tags: DataFrame, which: str, as_of: dt.datetime) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rolodeck.functions.text import digits_only
 
@@ -45,23 +46,29 @@ def scan_contacts(contacts: DataFrame, keep_account: bool = True) -> DataFrame:
     return contacts.select(*cols)
 
 
-def read_contacts(spark, path: str) -> DataFrame:
-    """Read a contacts table written by ``write_contacts``."""
-    return spark.read.parquet(path)
+#: The column by which the rows of contacts and of their links are dealt over buckets, and the order within one.
+BUCKETS = {"contacts": ("id", ["account_id", "created_at", "id"]), "contact_tags": ("contact_id", ["contact_id", "tag_id"])}
 
 
-def write_contacts(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store contacts clustered by account and sorted by the list keys.
+def write_bucketed(df: DataFrame, table: str, name: str, path: str, buckets: int) -> None:
+    """Store contacts, or their links, as a catalog table ``name`` of so many buckets by contact id.
 
-    Rows are range-partitioned on (account_id, id) so an account of any size is
-    spread over many files, and each file is sorted by (account_id, created_at,
-    id) so Parquet min/max statistics let a tenant filter or a keyset seek skip
-    row groups. No ``partitionBy(account_id)``: thousands of tiny tenants would
-    mean thousands of tiny folders.
+    Joins and semi joins of the two on the contact need no exchange of either
+    side. An account of any size is spread over all buckets, and each file (one
+    a bucket) is sorted by the account and the list keys, so Parquet min/max
+    statistics let a tenant filter or a keyset seek skip row groups. No
+    ``partitionBy(account_id)``: thousands of tiny tenants would mean thousands
+    of tiny folders.
     """
-    (
-        df.repartitionByRange("account_id", "id")
-        .sortWithinPartitions("account_id", "created_at", "id")
-        .write.mode(mode)
-        .parquet(path)
-    )
+    key, order = BUCKETS[table]
+    (df.repartition(buckets, key).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(*order).saveAsTable(name))
+
+
+def read_bucketed(spark, table: str, name: str, path: str, schema: StructType, buckets: int) -> DataFrame:
+    """The table that ``write_bucketed`` stored, entered into the catalog of this session where it is not."""
+    if not spark.catalog.tableExists(name):
+        key, order = BUCKETS[table]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS (path '{path}') "
+                  f"CLUSTERED BY ({key}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS")
+    return spark.table(name)

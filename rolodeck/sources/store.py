@@ -1,9 +1,10 @@
 """The contact store: derived tables written once as Parquet, read by every query.
 
 Contacts are the table every operator scans, so they are stored the way the
-scans want them: range-partitioned on (account_id, id) and sorted inside each
-file by (account_id, created_at, id), which gives Parquet min/max statistics
-for tenant filters and keyset seeks. The store lives in the shared
+scans and joins want them: with their links in buckets by contact id, so that
+the two join without an exchange, and sorted inside each file by (account_id,
+created_at, id), which gives Parquet min/max statistics for tenant filters and
+keyset seeks. The store lives in the shared
 checkpoint folder, keyed by a fingerprint of the input files (path, size,
 modification time) and of the derivation, and is published with a marker file written last, so a
 half-written attempt is never read and a lost executor only costs a retry.
@@ -21,12 +22,12 @@ from pyspark.sql.types import StructType
 
 from rolodeck.session import staging_path
 from rolodeck.sources import fixtures as fx
-from rolodeck.sources.contacts import write_contacts
+from rolodeck.sources.contacts import BUCKETS, read_bucketed, write_bucketed
 
 INPUTS = ("customer", "part", "orders", "events", "supplier")
 TABLES = ("contacts", "tags", "contact_tags", "activity", "import_jobs")
 #: Rises with each change of what is derived, so that a store of an earlier derivation is not read.
-DERIVATION = 2
+DERIVATION = 3
 MARKER = "_READY"
 SCHEMAS = "_SCHEMAS"
 
@@ -87,22 +88,26 @@ def _write_marker(spark: SparkSession, base: str, attempt: str) -> str:
 
 def build(spark: SparkSession, sf_dir: str, attempt_dir: str) -> None:
     m = fx.derive_model(spark, sf_dir)
-    write_contacts(m.contacts, os.path.join(attempt_dir, "contacts"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for t in BUCKETS:
+        write_bucketed(getattr(m, t), t, _table_name(attempt_dir, t), os.path.join(attempt_dir, t), buckets)
     m.tags.write.mode("overwrite").parquet(os.path.join(attempt_dir, "tags"))
-    (m.contact_tags.repartitionByRange("contact_id").sortWithinPartitions("contact_id", "tag_id")
-     .write.mode("overwrite").parquet(os.path.join(attempt_dir, "contact_tags")))
     (m.activity.repartitionByRange("account_id", "created_at", "id").sortWithinPartitions("account_id", "created_at", "id")
      .write.mode("overwrite").parquet(os.path.join(attempt_dir, "activity")))
     m.import_jobs.write.mode("overwrite").parquet(os.path.join(attempt_dir, "import_jobs"))
-    _record_schemas(spark, attempt_dir)
+    _record_schemas(spark, attempt_dir, buckets)
 
 
-def _record_schemas(spark: SparkSession, attempt_dir: str) -> str:
-    """Write the tables' schemas next to them, so readers pass them instead of
+def _table_name(attempt_dir: str, table: str) -> str:
+    return f"rolodeck_{hashlib.sha1(attempt_dir.encode()).hexdigest()[:12]}_{table}"
+
+
+def _record_schemas(spark: SparkSession, attempt_dir: str, buckets: int) -> str:
+    """Write the tables' schemas and the number of buckets next to them, so readers pass them instead of
     inferring them (a footer-reading job per table and query). The content
     comes from the files, so concurrent writers write the same text."""
     schemas = {t: json.loads(spark.read.parquet(os.path.join(attempt_dir, t)).schema.json()) for t in TABLES}
-    text = json.dumps(schemas)
+    text = json.dumps(schemas | {"buckets": buckets})
     # written under a temporary name and renamed, so a reader never sees half a file
     tmp = os.path.join(attempt_dir, f"{SCHEMAS}.tmp-{uuid.uuid4().hex[:8]}")
     _write_text(spark, tmp, text)
@@ -120,14 +125,13 @@ def stored_model(spark: SparkSession, sf_dir: str) -> fx.Model:
         attempt_dir = os.path.join(base, f"attempt-{uuid.uuid4().hex[:12]}")
         build(spark, sf_dir, attempt_dir)
         attempt = _write_marker(spark, base, attempt_dir)
-    text = _read_text(spark, os.path.join(attempt, SCHEMAS))
-    try:
-        recorded = json.loads(text) if text else None
-    except ValueError:
-        recorded = None
-    if recorded is None:  # a store written before schemas were recorded: record them once
-        recorded = json.loads(_record_schemas(spark, attempt))
-    schemas = {t: StructType.fromJson(v) for t, v in recorded.items()}
-    read = {t: spark.read.schema(schemas[t]).parquet(os.path.join(attempt, t)) for t in TABLES}
+    recorded = json.loads(_read_text(spark, os.path.join(attempt, SCHEMAS)))
+    read = {}
+    for t in TABLES:
+        schema, path = StructType.fromJson(recorded[t]), os.path.join(attempt, t)
+        if t in BUCKETS:
+            read[t] = read_bucketed(spark, t, _table_name(attempt, t), path, schema, recorded["buckets"])
+        else:
+            read[t] = spark.read.schema(schema).parquet(path)
     return fx.Model(**read)
 
