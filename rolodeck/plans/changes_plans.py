@@ -179,6 +179,26 @@ def q_remove_tag(spark, sf):
     return out["activity"].select("contact_id", "payload")
 
 
+def q_bulk_writes(spark, sf):
+    """All that the bulk requests write: trashed contacts, links (by the tag's name) and events."""
+    m = load_model(spark, sf)
+    req = bulk_requests(spark, sf)
+    deleted, tagged = C.bulk_delete(m.contacts, req, AS_OF), C.bulk_tag(m.contacts, m.tags, m.contact_tags, req, AS_OF)
+    names = m.tags.select(F.col("id").cast("long").alias("tag_id"), "name").unionByName(tagged["new_tags"].select(F.col("id").alias("tag_id"), "name"))
+    name = F.get_json_object("payload", "$.tag.name")
+    return deleted["next_contacts"].filter("deleted_at IS NOT NULL").select(F.lit("trashed").alias("what"), F.col("id").alias("contact_id"), F.col("version").cast("string").alias("detail")).unionByName(
+        tagged["new_links"].join(names, "tag_id").select(F.lit("link").alias("what"), "contact_id", F.col("name").alias("detail"))).unionByName(
+        deleted["activity"].unionByName(tagged["activity"]).select(F.col("type").alias("what"), "contact_id", F.coalesce(name, "payload").alias("detail")))
+
+
+def q_tag_outcomes(spark, sf):
+    """What became of each add and remove command."""
+    m = load_model(spark, sf)
+    added = C.add_tags(m.contacts, m.tags, m.contact_tags, tag_commands(spark, sf, m), AS_OF)["outcomes"]
+    removed = C.remove_tag(m.contacts, m.tags, m.contact_tags, remove_commands(spark, sf, m), AS_OF)["outcomes"]
+    return added.unionByName(removed.withColumn("added_count", F.lit(None).cast("long")))
+
+
 def q_email_conflicts(spark, sf):
     m = load_model(spark, sf)
     naive = C.normalise_fields(create_commands(spark, sf, m)).select("account_id", "email", F.lit(None).cast("timestamp_ntz").alias("deleted_at"))
@@ -248,6 +268,8 @@ QUERIES = {
     "bulk_result_sets": q_bulk_result_sets,
     "add_tags": q_add_tags,
     "remove_tag": q_remove_tag,
+    "bulk_writes": q_bulk_writes,
+    "tag_outcomes": q_tag_outcomes,
     "email_conflicts": q_email_conflicts,
     "email_owner": q_email_owner,
     "three_way_merge": q_three_way_merge,
@@ -376,6 +398,13 @@ ORACLE = {
                    JOIN (SELECT account_id, id, key, min(request_id) AS first FROM fresh GROUP BY 1, 2, 3) x
                      ON x.account_id = f.account_id AND x.id = f.id AND x.key = f.key AND x.first = f.request_id
                    GROUP BY 1) a ON a.request_id = r.request_id""", extra_ctes=_REQ + "," + _BULK_TAG),
+    "bulk_writes": with_fixtures("""
+        SELECT 'trashed' AS what, c.id AS contact_id, CAST(c.version + 1 AS VARCHAR) AS detail FROM fr JOIN contacts c ON c.id = fr.id
+        UNION ALL SELECT 'CONTACT_DELETED', id, '{"bulk":true}' FROM fr
+        UNION ALL
+        SELECT w.what, x.id, x.name FROM (
+          SELECT DISTINCT f.id, coalesce(t.name, CASE WHEN f.account_id = 0 THEN 'urgent' ELSE 'Big Spender' END) AS name FROM fresh f LEFT JOIN tags t ON t.id = f.tag_id) x,
+          (VALUES ('link'), ('TAG_ADDED')) w(what)""", extra_ctes=_REQ + "," + _BULK_DEL + "," + _BULK_TAG),
     "bulk_not_found": with_fixtures("""
         SELECT DISTINCT account_id, id FROM req q
         WHERE NOT EXISTS (SELECT 1 FROM contacts c WHERE c.account_id = q.account_id AND c.id = q.id)""", extra_ctes=_REQ),
@@ -578,3 +607,12 @@ ORACLE["add_tags"] = with_fixtures("""
       LEFT JOIN tags t ON t.account_id = l.account_id AND lower(t.name) = l.key
       WHERE t.id IS NULL OR NOT EXISTS (SELECT 1 FROM contact_tags ct WHERE ct.contact_id = l.contact_id AND ct.tag_id = t.id)
     ) WHERE k = 1""", extra_ctes=_ACC + "," + _TAG_CMDS)
+ORACLE["tag_outcomes"] = with_fixtures("""
+    SELECT ev.event_id AS seq, ev.user_id AS contact_id, CASE WHEN c.id IS NULL THEN 'NOT_FOUND' WHEN c.deleted_at IS NOT NULL THEN 'CONTACT_DELETED' ELSE 'APPLIED' END AS outcome,
+           CASE WHEN ev.event_type = 'view' THEN coalesce(a.n, 0) END AS added_count
+    FROM ev LEFT JOIN contacts c ON c.id = ev.user_id AND c.account_id = ev.account_id
+    LEFT JOIN (SELECT seq, count(*) AS n FROM (
+                 SELECT l.seq, row_number() OVER (PARTITION BY l.contact_id, l.key ORDER BY l.seq, l.pos) AS k
+                 FROM per_cmd l LEFT JOIN tags t ON t.account_id = l.account_id AND lower(t.name) = l.key
+                 WHERE t.id IS NULL OR NOT EXISTS (SELECT 1 FROM contact_tags ct WHERE ct.contact_id = l.contact_id AND ct.tag_id = t.id)) WHERE k = 1 GROUP BY seq) a ON a.seq = ev.event_id
+    WHERE ev.event_type IN ('view', 'purchase')""", extra_ctes=_ACC + "," + _TAG_CMDS)

@@ -219,16 +219,16 @@ _EMAIL_RE = EMAIL_PATTERN.replace("'", "''")
 
 IMPORT_CTES = f"""
 import_files AS (
-  SELECT DISTINCT 'import-' || CAST(p_partkey % 6 AS VARCHAR) || '.csv' AS file,
-         CAST(p_partkey % 6 + 9000 AS BIGINT) AS job_id, CAST(p_partkey % 6 % 2 AS INTEGER) AS account_id,
+  SELECT DISTINCT 'import-' || CAST(p_partkey % 6 + 6 * (p_partkey // 150000) AS VARCHAR) || '.csv' AS file,
+         CAST(p_partkey % 6 + 6 * (p_partkey // 150000) + 9000 AS BIGINT) AS job_id, CAST(p_partkey % 6 % 2 AS INTEGER) AS account_id,
          CASE WHEN p_partkey % 6 < 4 THEN 'create' ELSE 'update' END AS mode,
          CASE WHEN p_partkey % 6 < 4 THEN {_lit_list(CREATE_HEADER)} ELSE {_lit_list(UPDATE_HEADER)} END AS header
   FROM part
 ),
 import_rows AS (
-  SELECT 'import-' || CAST(p % 6 AS VARCHAR) || '.csv' AS file, CAST(p % 6 + 9000 AS BIGINT) AS job_id,
+  SELECT 'import-' || CAST(p % 6 + 6 * (p // 150000) AS VARCHAR) || '.csv' AS file, CAST(p % 6 + 6 * (p // 150000) + 9000 AS BIGINT) AS job_id,
          CAST(p % 6 % 2 AS INTEGER) AS account_id, CASE WHEN p % 6 < 4 THEN 'create' ELSE 'update' END AS mode,
-         CAST(p // 6 + 1 AS BIGINT) AS row_number,
+         CAST(p // 6 % 25000 + 1 AS BIGINT) AS row_number,
          CASE WHEN p % 6 < 4 THEN
            CASE WHEN p % 43 = 0 THEN list_concat(cc, ['extra']) WHEN p % 47 = 0 THEN cc[1:3] ELSE cc END
          ELSE [CASE WHEN p % 11 = 0 THEN 'nobody.' || CAST(p AS VARCHAR) || '@nowhere.test'
