@@ -1,9 +1,13 @@
 """Operator 8 against all pairs, in one shard and in several."""
 
+import duckdb
 import numpy as np
 import pytest
 
 from rolodeck.llm import hnsw_links as H
+from rolodeck.llm.op8_queries import ORACLE_8, op8_hnsw_links
+
+SF01 = "/root/testdata/sf0.01"
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
 
@@ -77,10 +81,53 @@ def test_rare_links_are_not_passed_unseen():
     queries[[5, 300]] = graph.vectors[[2000, 2500]]
     asked, found = graph.within(queries, 0.99)
     assert sorted(zip(asked.tolist(), found.tolist())) == [(5, 2000), (300, 2500)]
-    asked, found = graph.within(graph.vectors, 0.99, own=True)
+    assert graph.audit[0] == 0  # no beam passed
+    asked, found = graph.within(graph.vectors, 0.99)
     assert len(asked) == 3000 and (np.sort(asked) == np.arange(3000)).all()
 
 
+@pytest.mark.parametrize("n", [40, 700, 3000])
+def test_the_graph_answers_at_every_size(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    base = unit(rng.normal(size=(n // 2, 32)))
+    graph, _ = H.Graph.build(unit(np.concatenate((base, base + rng.normal(size=base.shape) * 0.01))))
+    searched, search = [], H.Graph.search
+    monkeypatch.setattr(H.Graph, "search", lambda self, queries, beam: searched.append(len(queries)) or search(self, queries, beam))
+    asked, found = graph.within(graph.vectors, 0.98)
+    want = {(int(x), int(y)) for x, y in zip(*np.nonzero(graph.vectors @ graph.vectors.T >= 0.98))}
+    got = set(zip(asked.tolist(), found.tolist()))
+    beam, sought, hit = graph.audit
+    assert beam and hit >= H.RECALL * sought and sought >= min(n, H.AUDIT)
+    assert sum(searched) >= n + min(n, H.AUDIT)  # each node asks the graph, and so does each probe
+    assert len(want) >= 2 * n - 2 and got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_more_links_than_a_beam_holds():
+    rng = np.random.default_rng(5)
+    v = np.concatenate((np.ones((400, 16)) + rng.normal(size=(400, 16)) * 0.01, rng.normal(size=(800, 16))))
+    graph, _ = H.Graph.build((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))
+    asked, found = graph.within(graph.vectors, 0.98)
+    assert sorted(zip(asked.tolist(), found.tolist())) == sorted(map(tuple, np.argwhere(graph.vectors @ graph.vectors.T >= 0.98).tolist()))
+
+
+def test_query_against_its_sql_on_all_vectors_and_copies_beside_them(spark, tmp_path):
+    # the table holds no link of its own, so each vector gets a copy turned by a few degrees, and some a second one
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF01}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    rng = np.random.default_rng(1)
+    beside = lambda v, by: [float(np.float32(x)) for x in np.array(v) + rng.normal(size=len(v)) * by * np.linalg.norm(v) / np.sqrt(len(v))]
+    good = [(i, v, lab) for i, v, lab in rows if v]
+    rows += [(i + 1_000_000, beside(v, 0.1), lab) for i, v, lab in good] + [(i + 2_000_000, beside(v, 0.15), lab) for i, v, lab in good[::3]]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [tuple(r) for r in op8_hnsw_links(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert sorted(got) == sorted(con.execute(ORACLE_8).fetchall())
+    assert sum(n for _, n, _, _ in got) > len(good)
+    audits = H.audited(spark.read.parquet(str(tmp_path / "embeddings.parquet")), shard=100).collect()
+    assert all(a.beam and a.found >= H.RECALL * a.sought > 0 for a in audits) and {a.high for a in audits} == {0, 1}
+
+
 def test_empty(spark):
     assert H.embedding_links(spark.createDataFrame([], SCHEMA)).collect() == []
     assert [tuple(r) for r in H.embedding_links(spark.createDataFrame([(4, None, 1)], SCHEMA)).collect()] == [(4, 0, 4, True)]
