@@ -212,8 +212,9 @@ def near_duplicates(prints: DataFrame, doc_id: str = "doc_id", max_bits: int = M
     doc_id that its links reach. prints: (doc_id, fp), written."""
     nodes = Staged(prints.groupBy("fp").agg(F.min(doc_id).alias("least")), "fingerprints")
     parts = connected_components(fingerprint_links(nodes.df.select("fp"), max_bits)).withColumnRenamed("node", "fp")
-    member = nodes.df.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    member = staged(nodes.df.join(parts, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "members")
+    # written by itself, so that a component with most of the fingerprints is broadcast to or split, not aggregated and joined in one task
+    least = staged(member.groupBy("component").agg(F.min("least").alias("component_id")), "component-ids")
     return member.join(least, "component").select("fp", "component", "component_id")
 
 
@@ -234,7 +235,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(doc_id).alias("doc_id"), fingerprint(F.col(text)).alias("fp"))
         .withColumn("row", F.monotonically_increasing_id()), "simhash-docs",
     )
-    classes = near_duplicates(rows.select("doc_id", "fp"), max_bits=max_bits)
+    classes = staged(near_duplicates(rows.select("doc_id", "fp"), max_bits=max_bits), "classes")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     best = rows.select("row", "doc_id", "fp").join(classes, "fp").groupBy("component").agg(F.min(first).alias("first"))
     removed = rows.select("row").join(staged(best.select("first.row"), "survivors"), "row", "left_anti")

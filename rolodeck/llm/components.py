@@ -2,10 +2,13 @@
 
 Each round joins every node to the least node of its neighbourhood: the large
 star hands larger neighbours to it, the small star the smaller ones, until
-every node hangs directly on the least node of its component. A round is
-grouped minima (map-side combined) and joins that AQE can split, so a node
-with a third of all links is no hot task; it is written to the shared folder,
-which cuts the lineage, and the round before it is dropped.
+every node hangs directly on the least node of its component. The least
+neighbours (grouped minima, map-side combined) are written before the links are
+joined to them, so they are a side of known size: broadcast below the session's
+threshold, and beyond it a join whose link side AQE splits, as no aggregate by
+the same key shares its stage. A node with a third of all links is no hot task.
+Stars are written to the shared folder, which cuts the lineage; what a round
+wrote is dropped by the next.
 """
 
 from __future__ import annotations
@@ -22,18 +25,36 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.sum(h.cast("decimal(38,0)"))).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _both_ways(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+def _least(links: DataFrame) -> Staged:
+    """(u, m): the least neighbour of each node, written."""
+    return Staged(links.groupBy("u").agg(F.min("v").alias("m")), "least")
+
+
+def _large_star(links: DataFrame, least: DataFrame) -> DataFrame:
+    least = least.select("u", F.least("u", "m").alias("m"))
+    return _both_ways(links).where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _small_star(links: DataFrame, least: DataFrame) -> DataFrame:
     others = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _round(links: DataFrame) -> Staged:
+    least = _least(_both_ways(links))
+    large = Staged(_large_star(links, least.df), "large-stars")
+    least.drop()
+    least = _least(large.df)
+    small = Staged(_small_star(large.df, least.df), "links")
+    least.drop()
+    large.drop()
+    return small
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of ``links``; component is the least node that links reach.
 
@@ -44,7 +65,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = Staged(links, "links")
     state = _state(now.df)
     while state[0]:
-        after = Staged(_small_star(_large_star(now.df)), "links")
+        after = _round(now.df)
         now.drop()
         now, was, state = after, state, _state(after.df)
         if state == was:
