@@ -13,7 +13,7 @@ counts are map-side combined sums, the prior is one row per rule.
 
 Defined cases: null or empty text has no words and fails ``short``; a null
 host has no host verdict; repeated rows are judged as rows; an empty table
-gives an empty result. Windows are compared by a 64-bit hash inside one text.
+gives an empty result; columns of any other name are carried along. Windows are compared by a 64-bit hash inside one text.
 """
 
 from __future__ import annotations
@@ -124,9 +124,25 @@ def rejected_hosts(judged: DataFrame, host: str, max_rate: float = MAX_RATE) ->
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
-    """``docs`` with the measures of ``measured`` but ``text``, host_rejected and kept."""
-    judged = staged(measured(docs, text).drop(text), "quality")
-    return _with_verdict(judged, host, max_rate)
+    """``docs`` without ``text``, then the measures of ``measured``, base_failed, host_rejected and kept.
+
+    The document travels as one struct, so its columns may have any names; one named like a result (in any
+    case) is returned in its place as given_<name>, the results keep theirs.
+    """
+    columns = [c for c in docs.columns if c != text]
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("doc"), F.col(text).alias("text"), F.col(host).alias("source"))
+    out = _with_verdict(staged(measured(d, "text").drop("text"), "quality"), "source", max_rate)
+    results = [c for c in out.columns if c not in ("doc", "source")]
+    taken = {c.lower() for c in [*results, *columns]}
+    names = []
+    for c in columns:
+        name = c
+        if c.lower() in results:
+            while name.lower() in taken:
+                name = f"given_{name}"
+            taken.add(name.lower())
+        names.append(F.col("doc")[c].alias(name))
+    return out.select(*names, *results)
 
 
 def _with_verdict(judged: DataFrame, host: str, max_rate: float) -> DataFrame:

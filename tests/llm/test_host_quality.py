@@ -66,6 +66,18 @@ def test_null_host_repeats_and_clashing_columns(spark):
     assert sorted(out.collect(), key=str) == sorted([r for r in df.collect() if r["text"]], key=str)
 
 
+def test_measures_beside_columns_of_their_names(spark):
+    plain = spark.createDataFrame([(1, GOOD, "h"), (2, "x", "h"), (3, GOOD, None)], SCHEMA)
+    clashing = plain.selectExpr("doc_id", "7 AS N_WORDS", "text", "8 AS _words", "9 AS _bad", "10 AS `a.b`", "source", "'k' AS kept", "true AS base_failed", "1 AS given_kept", "2 AS doc", "3 AS host_rejected", "4 AS _host")
+    got, want = Q.quality(clashing), Q.quality(plain)
+    results = want.columns[2:]
+    assert got.columns == ["doc_id", "given_N_WORDS", "_words", "_bad", "a.b", "source", "given_given_kept", "given_base_failed", "given_kept", "doc", "given_host_rejected", "_host", *results]
+    pick = lambda df: sorted(map(tuple, df.select("doc_id", "source", *results).collect()))
+    assert pick(got) == pick(want)
+    given = [c for c in got.columns[1:12] if c != "source"]
+    assert {tuple(r) for r in got.select(*[f"`{c}`" for c in given]).collect()} == {(7, 8, 9, 10, "k", True, 1, 2, 3, 4)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert Q.quality(df).collect() == [] and Q.keep_good(df).collect() == []
