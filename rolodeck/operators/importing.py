@@ -22,6 +22,7 @@ from rolodeck.functions.jsonpayload import json_object
 from rolodeck.operators import predicates as P
 from rolodeck.session import checkpoint_dir
 from rolodeck.sources.contacts import with_generated_columns
+from rolodeck.sources.staged import Staged
 
 # Canonical columns, header aliases, labels, limits, messages.
 COLUMNS = ["first_name", "last_name", "email", "phone", "company", "tags"]
@@ -278,14 +279,26 @@ def check_existing(validated_with_dups: DataFrame, contacts: DataFrame) -> DataF
     return j.filter(msg.isNotNull()).select("file", "row_number", msg.alias("message"))
 
 
-def review(rows: DataFrame, files: DataFrame, contacts: DataFrame) -> DataFrame:
+def review(rows: DataFrame, files: DataFrame, contacts: DataFrame, written: list[Staged] | None = None) -> DataFrame:
     """The whole validation (I1/I2 → W1 → I3): every data row with its full
     ordered error list. A file that fails as a whole (S5) has no reviewed
-    rows, so nothing of it is ever applied."""
-    headers = header_map(files)
+    rows, so nothing of it is ever applied.
+
+    The rows, what they validate to and the duplicates are each read several
+    times, so they are written once; ``written`` takes these tables, for a
+    caller that drops them when it has read the review."""
+    written = [] if written is None else written
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        written.append(Staged(df, name))
+        return written[-1].df
+
+    # dealt anew, as a parsed file is one task and validating is more work than the size of its rows shows
+    rows = once(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "row_number"), "import-rows")
+    headers = once(header_map(files), "import-headers")
     usable = headers.join(file_failures(files, rows, headers).filter(F.col("reason").isNull()).select("file"), "file")
-    v = validate_rows(rows, usable, "create").unionByName(validate_rows(rows, usable, "update"))
-    dups = file_duplicates(v)
+    v = once(validate_rows(rows, usable, "create").unionByName(validate_rows(rows, usable, "update")), "import-validated")
+    dups = once(file_duplicates(v), "import-duplicates")
     v = v.join(dups, ["file", "row_number"], "left").withColumn(
         "errors",
         F.concat("errors", F.when(F.col("first_row").isNotNull(),

@@ -36,7 +36,10 @@ class _Run:
 
     def reviewed(self):
         if self._reviewed is None:
-            self._reviewed = I.review(self.rows, self.files, self.m.contacts).checkpoint()
+            written = []
+            self._reviewed = I.review(self.rows, self.files, self.m.contacts, written).checkpoint()
+            for table in written:
+                table.drop()
         return self._reviewed
 
 

@@ -14,6 +14,7 @@ from rolodeck.plans.oracle_fixtures import with_fixtures
 from rolodeck.session import staging_path
 from rolodeck.sources.fixtures import load_model
 from rolodeck.sources.import_fixture import import_files, import_rows
+from rolodeck.sources.staged import staged
 from rolodeck.streaming import rollups as S
 
 FILES_PER_TRIGGER = 8
@@ -41,9 +42,9 @@ def q_stream_import_files(spark, sf):
     path = _stage_import_csv(spark, sf)
     files = import_files(spark, sf)
     # the job table: which uploaded file belongs to which job / mode
-    modes = spark.read.format("binaryFile").load(path + "/*/*.txt").select(F.col("path").alias("file")) \
+    modes = staged(spark.read.format("binaryFile").load(path + "/*/*.txt").select(F.col("path").alias("file")) \
         .withColumn("name", F.regexp_extract("file", r"file=([^/]+)/", 1)) \
-        .join(files.select(F.col("file").alias("name"), "job_id", "account_id", "mode"), "name").drop("name")
+        .join(files.select(F.col("file").alias("name"), "job_id", "account_id", "mode"), "name").drop("name"), "import-modes")
     out, ck = _fresh(spark, "import-review"), _fresh(spark, "import-ckpt")
     S.import_files_stream(spark, path + "/*/*.txt", modes, m.contacts, out, ck, files_per_trigger=2).awaitTermination()
     rev = spark.read.parquet(out)

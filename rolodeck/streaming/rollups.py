@@ -127,11 +127,13 @@ def import_files_stream(spark: SparkSession, source_glob: str, modes: DataFrame,
         paths = [r.file for r in batch.select("file").distinct().collect()]
         if not paths:
             return
-        batch_modes = modes.join(batch.select("file").distinct(), "file")
-        files, rows = csvio.read_import_files(spark, paths, batch_modes)
-        rev = I.review(rows, files, contacts)
+        files, rows = csvio.read_import_files(spark, paths, modes.filter(F.col("file").isin(paths)))
+        written = []
+        rev = I.review(rows, files, contacts, written)
         (rev.select("file", "job_id", "row_number", F.to_json("errors").alias("errors"), F.lit(batch_id).alias("batch_id"))
          .write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}")))
+        for table in written:
+            table.drop()
 
     w = seen.writeStream.foreachBatch(review_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
