@@ -53,7 +53,7 @@ def import_rows(spark: SparkSession, sf_dir: str, contacts: DataFrame) -> DataFr
     part = raw(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     known = contacts.select(F.col("id").alias("_cid"), F.col("email").alias("known_email"))
     prior = contacts.select(F.col("id").alias("_pid"), F.col("email").alias("prior_email"))
-    j = part.join(known, part.p_partkey == known._cid, "left").join(prior, part.p_partkey - N_FILES == prior._pid, "left")
+    j = part.join(known.hint("merge"), part.p_partkey == known._cid, "left").join(prior.hint("merge"), part.p_partkey - N_FILES == prior._pid, "left")
     p = F.col("p_partkey")
     first = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
     last = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
