@@ -269,7 +269,8 @@ def settle(commands: DataFrame, snapshot: DataFrame, chain: int = CHAIN, range_r
     width = -(-(high - low + 1) // ranges) if ranges > 1 else None
 
     snap = snapshot.select(*CONTACT, F.struct("version", "deleted", F.array(*FIELDS).alias("fields")).alias("snap"))
-    chunks = staged(chunked(commands, longest, chain).join(snap, CONTACT, "left").withColumn("found", F.col("snap").isNotNull()), "chunks")
+    # the snapshot grows with the contacts: merged, as its size in files says little of what a broadcast would hold
+    chunks = staged(chunked(commands, longest, chain).join(snap.hint("merge"), CONTACT, "left").withColumn("found", F.col("snap").isNotNull()), "chunks")
     owners = snapshot.filter(~F.col("deleted") & F.col("email").isNotNull()).select("account_id", "contact_id", "email")
     rivals = staged(_rivals(chunks, owners), "rivals")
     long = None

@@ -25,7 +25,7 @@ def _events(spark, sf):
 def _with_account(spark, sf, df, m):
     acc = m.contacts.select(F.col("id").alias("user_id"), F.col("account_id").alias("_acc"))
     # a few commands come from the other tenant: those must be NOT_FOUND
-    return df.join(acc, "user_id").withColumn(
+    return df.join(acc.hint("merge"), "user_id").withColumn(
         "account_id", F.when(F.col("event_id") % 17 == 0, 1 - F.col("_acc")).otherwise(F.col("_acc")).cast("int")).drop("_acc")
 
 
