@@ -174,7 +174,7 @@ def apply_commands(contacts: DataFrame, commands: DataFrame, as_of: dt.datetime,
     # the state after each contact's last applied command (partial max_by per map task, so a hot contact ships one row per task)
     last = applied.groupBy("contact_id", "account_id").agg(
         F.max_by(F.struct(*after, "version", "deleted"), "seq").alias("s"))
-    next_rows = with_generated_columns(last.join(snap.select(F.col("id").alias("contact_id"), "created_at", "deleted_at"), "contact_id").select(
+    next_rows = with_generated_columns(last.join(snap.select(F.col("id").alias("contact_id"), "created_at", "deleted_at").hint("merge"), "contact_id").select(
         F.col("contact_id").alias("id"), "account_id", *[F.col(f"s.{f}").alias(f) for f in fields],
         F.col("s.version").alias("version"), "created_at", ts.alias("updated_at"),
         F.when(F.col("s.deleted") & F.col("deleted_at").isNotNull(), F.col("deleted_at")).when(F.col("s.deleted"), ts).alias("deleted_at"),
