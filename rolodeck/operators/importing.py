@@ -296,7 +296,8 @@ def review(rows: DataFrame, files: DataFrame, contacts: DataFrame, written: list
     # dealt anew, as a parsed file is one task and validating is more work than the size of its rows shows
     rows = once(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "row_number"), "import-rows")
     headers = once(header_map(files), "import-headers")
-    usable = headers.join(file_failures(files, rows, headers).filter(F.col("reason").isNull()).select("file"), "file")
+    # one row a file, of a size the planner knows: the rows meet it where they lie, not dealt by file, where one file is one task
+    usable = once(headers.join(file_failures(files, rows, headers).filter(F.col("reason").isNull()).select("file"), "file"), "import-usable")
     v = once(validate_rows(rows, usable, "create").unionByName(validate_rows(rows, usable, "update")), "import-validated")
     dups = once(file_duplicates(v), "import-duplicates")
     v = v.join(dups, ["file", "row_number"], "left").withColumn(

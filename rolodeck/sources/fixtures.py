@@ -99,7 +99,7 @@ def tags(spark: SparkSession, sf_dir: str, contacts_df: DataFrame | None = None)
     c = (contacts_df if contacts_df is not None else contacts(spark, sf_dir)).select("id", "account_id")
     o = raw(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderdate")
     return (
-        o.join(c, o.o_custkey == c.id)
+        o.join(c.hint("merge"), o.o_custkey == c.id)
         .groupBy("account_id", "o_orderpriority")
         .agg(_shift(F.min("o_orderdate")).alias("created_at"))
         .select(
@@ -117,7 +117,7 @@ def contact_tags(spark: SparkSession, sf_dir: str, contacts_df: DataFrame | None
     o = raw(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderdate")
     c = c.filter(F.col("id") % UNTAGGED[0] != UNTAGGED[1])
     return (
-        o.join(c, o.o_custkey == c.id)
+        o.join(c.hint("merge"), o.o_custkey == c.id)
         .groupBy("id", "account_id", "o_orderpriority")
         .agg(_shift(F.min("o_orderdate")).alias("created_at"))
         .select(
@@ -140,7 +140,7 @@ def contact_activity(spark: SparkSession, sf_dir: str, contacts_df: DataFrame |
         .when((et == "purchase") & (F.col("event_id") % 2 == 0), "CONTACT_RESTORED")
         .when(et == "purchase", "TAG_REMOVED")
     )
-    return e.join(c, e.user_id == c.id).select(
+    return e.join(c.hint("merge"), e.user_id == c.id).select(
         F.col("event_id").alias("id"),
         "account_id",
         F.col("user_id").alias("contact_id"),
@@ -212,9 +212,9 @@ def load_model(spark: SparkSession, sf_dir: str) -> Model:
     return stored_model(spark, sf_dir)
 
 
-def derive_model(spark: SparkSession, sf_dir: str) -> Model:
-    """The derived model as lazy plans over the raw tables."""
-    c = contacts(spark, sf_dir)
+def derive_model(spark: SparkSession, sf_dir: str, contacts_df: DataFrame | None = None) -> Model:
+    """The derived model as lazy plans over the raw tables, and over ``contacts_df`` where the contacts are stored already."""
+    c = contacts_df if contacts_df is not None else contacts(spark, sf_dir)
     return Model(
         contacts=c,
         tags=tags(spark, sf_dir, c),

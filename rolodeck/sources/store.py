@@ -87,10 +87,13 @@ def _write_marker(spark: SparkSession, base: str, attempt: str) -> str:
 
 
 def build(spark: SparkSession, sf_dir: str, attempt_dir: str) -> None:
-    m = fx.derive_model(spark, sf_dir)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    for t in BUCKETS:
-        write_bucketed(getattr(m, t), t, _table_name(attempt_dir, t), os.path.join(attempt_dir, t), buckets)
+    place = {t: (_table_name(attempt_dir, t), os.path.join(attempt_dir, t)) for t in BUCKETS}
+    contacts = fx.contacts(spark, sf_dir)
+    write_bucketed(contacts, "contacts", *place["contacts"], buckets)
+    # the other tables take the stored contacts, so that these are derived once
+    m = fx.derive_model(spark, sf_dir, read_bucketed(spark, "contacts", *place["contacts"], contacts.schema, buckets))
+    write_bucketed(m.contact_tags, "contact_tags", *place["contact_tags"], buckets)
     m.tags.write.mode("overwrite").parquet(os.path.join(attempt_dir, "tags"))
     (m.activity.repartitionByRange("account_id", "created_at", "id").sortWithinPartitions("account_id", "created_at", "id")
      .write.mode("overwrite").parquet(os.path.join(attempt_dir, "activity")))

@@ -10,6 +10,7 @@ from rolodeck.operators import importing as I
 from rolodeck.operators import versionscan
 from rolodeck.plans import changes_plans, import_plans, streaming_plans
 from rolodeck.session import checkpoint_dir
+from rolodeck.sources import fixtures, store
 from rolodeck.sources.fixtures import AS_OF, load_model
 from rolodeck.sources.import_fixture import import_files, import_rows
 from rolodeck.streaming import rollups as S
@@ -75,6 +76,42 @@ def test_a_review_reads_its_rows_once(spark, tmp_path):
         table.drop()
 
 
+def test_rows_are_validated_where_they_lie(spark, monkeypatch):
+    plans, kept = {}, I.Staged
+    monkeypatch.setattr(I, "Staged", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    rows = [("a.csv", 1, 0, "create", 1, ["Ann", "Lee"], False), ("a.csv", 1, 0, "create", 2, ["", "Lee"], False),
+            ("b.csv", 2, 0, "update", 1, ["m1@x.test", "Co"], False), ("c.csv", 3, 0, "create", 1, ["x"], True)]
+    files = spark.createDataFrame([("a.csv", 1, 0, "create", "a.csv", ["first_name", "last_name"], False), ("b.csv", 2, 0, "update", "b.csv", ["email", "company"], False),
+                                   ("c.csv", 3, 0, "create", "c.csv", ["first_name", "last_name"], False)], FILE)
+    contacts = make_contacts(spark, [{"id": 1, "first": "f", "last": "l", "email": "m1@x.test"}])
+    written = []
+    got = {(r.file, r.row_number): [e.message for e in r.errors] for r in I.review(spark.createDataFrame(rows, ROW), files, contacts, written).collect()}
+    assert got == {("a.csv", 1): [], ("a.csv", 2): ["First name is required"], ("b.csv", 1): []}
+    assert "hashpartitioning" not in plans["import-validated"]
+    for table in written:
+        table.drop()
+
+
+def test_import_cells_stand_once_in_the_plan(spark):
+    rows = import_rows(spark, SF, load_model(spark, SF).contacts)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("not-an-email") == 1
+    sizes = {r.n: r.k for r in rows.filter("mode = 'create'").selectExpr("size(cells) AS n").groupBy("n").agg({"n": "count"}).toDF("n", "k").collect()}
+    parts = [k for (k,) in fixtures.raw(spark, SF, "part").select("p_partkey").collect() if k % 6 < 4]
+    extra, short = [k for k in parts if k % 43 == 0], [k for k in parts if k % 47 == 0 and k % 43]
+    assert sizes == {8: len(extra), 3: len(short), 7: len(parts) - len(extra) - len(short)}
+
+
+def test_the_store_derives_its_contacts_once_and_broadcasts_none(spark, monkeypatch, tmp_path):
+    seen = {}
+    for name in ("tags", "contact_tags", "contact_activity"):
+        derive = getattr(fixtures, name)
+        monkeypatch.setattr(fixtures, name, lambda *args, name=name, derive=derive: seen.setdefault(name, derive(*args)))
+    store.build(spark, SF, str(tmp_path / "attempt"))
+    assert len(seen) == 3
+    for df in seen.values():
+        assert not [f for f in df.inputFiles() if "part.parquet" in f or "customer.parquet" in f] and not _broadcasts(df)
+
+
 def test_a_run_keeps_the_review_alone(spark):
     before = _left_over(spark, "import-")
     run = import_plans._Run(spark, SF)
